@@ -231,7 +231,7 @@ def outlier_results(bands: DataFrame, facts: DataFrame, totals: DataFrame | None
     said = F.when(F.col("center").isNull(), F.concat(F.initcap("aggregate"), F.lit(" today: "), value,
                                                      F.lit(" (not enough history yet)"))) \
         .when(F.col("passed"), F.concat(label, F.lit(" = "), value, F.lit(" (normal: "), lo, F.lit(" – "), hi, F.lit(")"))) \
-        .otherwise(F.concat(label, F.lit(" = "), value, F.lit(", "), F.format_string("%.1f", F.abs("score")),
+        .otherwise(F.concat(label, F.lit(" = "), value, F.lit(", "), F.format_string("%.1f", half_even(F.abs("score"), 1)),
                             F.lit("σ "), side, F.lit(" normal (center "), locale_number(F.col("center")), F.lit(")")))
     limit = F.when(F.col("center").isNull(), F.lit("needs 4 comparable days or more")) \
         .otherwise(F.concat(F.lit("between "), lo, F.lit(" and "), hi))
@@ -256,8 +256,8 @@ def volume_results(bands: DataFrame) -> DataFrame:
     weekday = F.get(F.array(*[F.lit(d) for d in _DAYS]), F.weekday("load_date"))
     scope = F.when(F.col("weekday_used"), F.concat(F.lit("on a "), weekday)).otherwise(F.lit("these days"))
     usual = F.concat(F.lit(" (~"), thousands(center), F.lit(")"))
-    drop = F.format_string("%.0f", 100 * (1 - rows / F.greatest(center, F.lit(1.0))))
-    times = F.when(center >= 1, F.concat(F.format_string("%.1f", rows / center), F.lit(" times the normal"))) \
+    drop = F.format_string("%.0f", half_even(100 * (1 - rows / F.greatest(center, F.lit(1.0))), 0))
+    times = F.when(center >= 1, F.concat(F.format_string("%.1f", half_even(rows / center, 1)), F.lit(" times the normal"))) \
         .otherwise(F.lit("far above normal"))
     said = F.when(center.isNull(), F.concat(thousands(rows), F.lit(" rows (not enough history yet)"))) \
         .when((rows == 0) & (lo > 0), F.concat(F.lit("The load arrived empty: 0 rows. Normal "), scope, F.lit(" is ~"),

@@ -109,7 +109,7 @@ def row_results(stats: DataFrame, facts: DataFrame) -> DataFrame:
                                                thousands(F.col("repeated_groups")), F.lit(" values of "), "key_names")) \
         .when(unique, F.lit("No duplicates")) \
         .when(bad > 0, F.concat(thousands(bad), F.lit(" of "), thousands(total), F.lit(" rows fail ("),
-                                F.format_string("%.2f", pct), F.lit("%)"))) \
+                                F.format_string("%.2f", half_even(pct, 2)), F.lit("%)"))) \
         .otherwise(F.lit("Every row complies"))
     limit = F.when(unique, F.lit("0 repeated")) \
         .otherwise(F.concat(F.lit("≤ "), _short_number(F.col("max_pct")), F.lit("% of rows")))

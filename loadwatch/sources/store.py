@@ -1,7 +1,8 @@
 """The monitor's own tables: rows as loaded, delivery log, metrics, check results and observations.
 
-Parquet folders partitioned by load date. Re-validating a day replaces its partitions (dynamic overwrite), so a
-retried or repeated write leaves the same result.
+Rows are Parquet folders by load date. The result tables are small (a few rows per table and day) and are kept by
+month, so that years of history stay a handful of files. Validating a day again replaces what it had (dynamic
+overwrite of the partitions it touches): a retried or repeated write leaves the same result.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from loadwatch.model import CHECK_SCHEMA, LOAD_SCHEMA, METRIC_SCHEMA, TableSpec
 from loadwatch.operators.incidents import OBSERVATION_SCHEMA
+from loadwatch.session import stage
 from loadwatch.sources.connector import path_exists
 
 PUBLICATION_SCHEMA = ("seq bigint, run_id string, published_at string, published timestamp, fingerprint string, "
@@ -25,13 +27,7 @@ SCHEMAS = {
     "observations": OBSERVATION_SCHEMA,
     "publications": PUBLICATION_SCHEMA,
 }
-PARTITIONS = {
-    "loads": ["load_date", "table"],
-    "metrics": ["load_date", "table"],
-    "check_results": ["load_date", "table"],
-    "observations": ["seq"],
-    "publications": ["seq"],
-}
+BY_MONTH = ("loads", "metrics", "check_results")  # the others are appended, one partition per publication
 
 
 def stored_schema(spec: TableSpec) -> T.StructType:
@@ -64,10 +60,20 @@ class Store:
         return self.spark.read.schema(schema).parquet(self._path(name)).select(schema.fieldNames())
 
     def write(self, name: str, df: DataFrame) -> None:
-        """Replace the partitions (day and table, or publication) present in `df`."""
-        columns = [c.split(" ")[0] for c in SCHEMAS[name].split(", ")] if name != "observations" \
-            else ["seq", "load_date", "minute", "table", "run_id", "checks"]
-        self._write(df.select(columns), name, PARTITIONS[name])
+        """Replace the (day, table) pairs, or the publication, present in `df`."""
+        new = df.select(T.StructType.fromDDL(SCHEMAS[name]).fieldNames())
+        if name not in BY_MONTH:
+            self._write(new, name, ["seq"])
+            return
+        new = stage(new, name)
+        key = ["load_date", "table"]
+        kept = self.read(name).join(new.select(*key).distinct(), key, "left_anti")
+        self._write_months(kept.join(_months(new), F.date_format("load_date", "yyyy-MM") == F.col("month"), "left_semi")
+                           .unionByName(new), name)
+
+    def _write_months(self, df: DataFrame, name: str) -> None:
+        merged = stage(df, name)  # also read from the partitions about to be replaced
+        self._write(merged.withColumn("load_month", F.date_format("load_date", "yyyy-MM")), name, ["load_month"])
 
     # ---------------------------------------------------------------- rows
     def write_load(self, df: DataFrame, spec: TableSpec, days: list[date] | None = None) -> None:
@@ -91,26 +97,41 @@ class Store:
         for p in partitions:
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(name)}/{p}"), True)
 
-    def partition_days(self, name: str) -> list[date]:
-        """Load dates of a table from its partition folders: no file is read."""
+    def _partitions(self, name: str) -> list[str]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(date.fromisoformat(n.split("=", 1)[1]) for n in names if n.startswith("load_date="))
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(n for n in names if "=" in n)
+
+    def partition_days(self, name: str) -> list[date]:
+        """Load dates of a row table from its partition folders: no file is read."""
+        return [date.fromisoformat(n.split("=", 1)[1]) for n in self._partitions(name)]
 
     def apply_retention(self, specs: list[TableSpec], today: date, days_rows: int = 7, days_history: int = 120) -> None:
-        """Drop whole partitions: rows older than `days_rows`, and on the first of the month metrics and check
-        results older than `days_history`."""
+        """Drop rows older than `days_rows` and, on the first of the month, metrics and check results older than
+        `days_history`. Whole folders go; only the month that holds the limit is rewritten."""
         for spec in specs:
-            self._drop_before(f"rows/{spec.name}", today - timedelta(days=days_rows))
-        if today.day == 1:
-            for name in ("metrics", "check_results"):
-                self._drop_before(name, today - timedelta(days=days_history))
-
-    def _drop_before(self, name: str, first_kept: date) -> None:
-        self._drop(name, [f"load_date={d.isoformat()}" for d in self.partition_days(name) if d < first_kept])
+            name = f"rows/{spec.name}"
+            self._drop(name, [f"load_date={d.isoformat()}" for d in self.partition_days(name)
+                              if d < today - timedelta(days=days_rows)])
+        if today.day != 1:
+            return
+        limit = today - timedelta(days=days_history)
+        for name in ("metrics", "check_results"):
+            folders = self._partitions(name)
+            edge = f"load_month={limit:%Y-%m}"
+            if edge in folders:
+                month = self.read(name).where(F.date_format("load_date", "yyyy-MM") == F.lit(f"{limit:%Y-%m}"))
+                kept = month.where(F.col("load_date") >= F.lit(limit))
+                if kept.isEmpty():
+                    self._drop(name, [edge])
+                else:
+                    self._write_months(kept, name)
+            self._drop(name, [f for f in folders if f < edge])
+
+
+def _months(df: DataFrame) -> DataFrame:
+    return df.select(F.date_format("load_date", "yyyy-MM").alias("month")).distinct()
 
 
 def keep_rows(df: DataFrame, today, days: int) -> DataFrame:
