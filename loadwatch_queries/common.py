@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadwatch.model import CHECK_COLUMNS, Catalog, Rule, TableSpec
+from loadwatch.model import Catalog, Rule, TableSpec
 from loadwatch.operators.rules import validate_rule
 from loadwatch.sources.connector import align_to_spec, infer_spec, scan_parquet, tag_loads
 
@@ -88,15 +88,25 @@ def band_sql(daily: str, prefix: str = "") -> str:
                  FROM {p}walk WHERE rn > 0)"""
 
 
+NUDGE = 3e-7  # moves exact halves off the rounding limit, where the last digit of a sum would decide
+
+
+def rounded(name: str):
+    """A computed number to 4 decimals: the order of a floating sum changes its last digits."""
+    return (F.round(F.col(name) + F.lit(NUDGE), 4) + F.lit(0.0)).alias(name)
+
+
+def rounded_sql(expression: str, name: str) -> str:
+    return f"round({expression} + {NUDGE}::DOUBLE, 4) + 0::DOUBLE AS {name}"
+
+
 def rounded_bands(bands: DataFrame) -> DataFrame:
-    """Bands with the precision both engines agree on (the order of a sum changes its last digits)."""
-    numbers = [(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("value", "center", "spread", "lo", "hi", "score")]
+    """Bands with the precision both engines agree on."""
+    numbers = [rounded(c) for c in ("value", "center", "spread", "lo", "hi", "score")]
     return bands.select("check_id", "load_date", *numbers, "weekday_used", "passed")
 
 
-ROUNDED_BANDS = """SELECT key AS check_id, d AS load_date, round(v, 4) + 0::DOUBLE AS value,
-    round(center, 4) + 0::DOUBLE AS center, round(spread, 4) + 0::DOUBLE AS spread, round(lo, 4) + 0::DOUBLE AS lo,
-    round(hi, 4) + 0::DOUBLE AS hi, round(score, 4) + 0::DOUBLE AS score, used AS weekday_used, ok AS passed"""
-
-__all__ = [n for n in dir() if not n.startswith("_")]
-CHECKS = CHECK_COLUMNS
+ROUNDED_BANDS = ("SELECT key AS check_id, d AS load_date, "
+                 + ", ".join(rounded_sql(c, n) for c, n in (("v", "value"), ("center", "center"), ("spread", "spread"),
+                                                            ("lo", "lo"), ("hi", "hi"), ("score", "score")))
+                 + ", used AS weekday_used, ok AS passed")
