@@ -210,6 +210,6 @@ def recurrence(found: DataFrame, checks: DataFrame, days: int = 30) -> DataFrame
         .withColumn("recurrence_30d", F.coalesce("n", F.lit(0)).cast("bigint")).drop("n")
 
 
-def mttr_hours(found: DataFrame) -> Column:
+def mttr_hours() -> Column:
     """Mean hours to resolve, for an aggregation over incidents with `minutes_open`."""
     return F.bround(F.avg(F.when(F.col("resolved_date").isNotNull(), F.col("minutes_open"))) / 60, 1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadwatch.functions.scalars import half_even, hhmm
-from loadwatch.model import FAIL, OK, SPARSE_ROWS
+from loadwatch.model import FAIL, OK
 from loadwatch.operators.incidents import minutes_open, mttr_hours
 from loadwatch.operators.monitors import table_status
 
@@ -94,7 +94,7 @@ def kpi_snapshot(summary: DataFrame, checks: DataFrame, found: DataFrame, as_of:
     run = checks.where(F.col("load_date") == day).agg(
         F.count(F.lit(1)).alias("checks_today"), F.count_if(F.col("status") == FAIL).alias("checks_failed"))
     aged = minutes_open(found, day, F.lit(as_of_minute)).agg(
-        F.count_if(F.col("resolved_date").isNull()).alias("open_incidents"), mttr_hours(found).alias("mttr_hours"))
+        F.count_if(F.col("resolved_date").isNull()).alias("open_incidents"), mttr_hours().alias("mttr_hours"))
     one = F.lit(1).alias("one")
     parts = [p.select("*", one) for p in (tables, run, aged)]  # one row each
     return parts[0].join(parts[1], "one").join(parts[2], "one").select(
