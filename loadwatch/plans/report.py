@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadwatch.functions.scalars import half_even, hhmm
-from loadwatch.model import FAIL, OK
+from loadwatch.model import FAIL, OK, known_small
 from loadwatch.operators.incidents import minutes_open, mttr_hours
 from loadwatch.operators.monitors import table_status
 
@@ -47,17 +47,18 @@ def metric_bands(metrics: DataFrame, table: str, metric: str, limit: int = 60) -
     return by_day.orderBy(F.desc("load_date")).limit(limit).withColumn("anomalous", outside).orderBy("load_date")
 
 
-def heatmap(checks: DataFrame, table: str, limit: int = 30) -> DataFrame:
+def heatmap(checks: DataFrame, table: str, limit: int | None = 30) -> DataFrame:
     """Status of every check of a table on its last `limit` days, one row per check and day."""
     own = checks.where(F.col("table") == table)
-    days = own.select("load_date").distinct().orderBy(F.desc("load_date")).limit(limit)
-    return own.join(F.broadcast(days), "load_date", "left_semi").groupBy("check_id", "name", "load_date") \
-        .agg(F.max_by("status", "check_order").alias("status"))
+    if limit:
+        days = own.select("load_date").distinct().orderBy(F.desc("load_date")).limit(limit)
+        own = own.join(known_small(days, limit), "load_date", "left_semi")
+    return own.groupBy("check_id", "name", "load_date").agg(F.max_by("status", "check_order").alias("status"))
 
 
 def heatmap_grid(checks: DataFrame, table: str, days: list[date]) -> DataFrame:
-    """The heatmap with one column per day."""
-    cells = heatmap(checks, table, len(days))
+    """The heatmap of the given days with one column per day."""
+    cells = heatmap(checks.where(F.col("load_date").isin(days)), table, None)
     return cells.groupBy("check_id", "name").pivot("load_date", days).agg(F.first("status"))
 
 
