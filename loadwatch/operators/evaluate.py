@@ -11,12 +11,13 @@ from functools import reduce
 from typing import Any
 
 from pyspark import InheritableThread
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loadwatch.functions.scalars import evidence_number, half_even, thousands
 from loadwatch.model import ERROR, FAIL, NUMERIC, OK, Catalog, Rule, TableSpec, known_small
-from loadwatch.operators.rules import ROW_RULES, analysis_error, bad_rows, daily_value, describe, rule_sql
+from loadwatch.operators.rules import ROW_RULES, analysis_error, bad_rows, daily_value, describe, quoted, rule_sql
 
 MONITOR_CHECKS = 3  # availability, volume and structure come before the rules
 STAT_COLUMNS = ("table", "load_date", "check_id", "kind", "value", "failing_rows", "repeated_groups", "total_rows")
@@ -31,40 +32,52 @@ def daily_stats(df: DataFrame, spec: TableSpec, rules: list[Rule], days: DataFra
     """
     fused = _fused_stats(df, spec, [r for r in rules if r.type in ROW_RULES or r.type == "outlier"])
     parts = [fused] + [_unique_stats(df, r) for r in rules if r.type == "unique"]
-    stats = reduce(DataFrame.unionByName, parts).withColumn("table", F.lit(spec.name)).select(*STAT_COLUMNS)
+    stats = reduce(DataFrame.unionAll, parts).selectExpr(f"{quoted(spec.name)} AS `table`", *STAT_COLUMNS[1:])
     if days is None:
         return stats
-    ids = [("rows", "rows")] + [(r.id, "row" if r.type in ROW_RULES else r.type) for r in rules]
-    grid = days.select("load_date").distinct().select(
-        "load_date", F.inline(F.array(*[F.struct(F.lit(i).alias("check_id"), F.lit(k).alias("kind")) for i, k in ids])))
+    return fill_days(stats, days.select("load_date", F.lit(spec.name).alias("table")), {spec.name: rules})
+
+
+def fill_days(stats: DataFrame, delivered: DataFrame, rules: dict[str, list[Rule]]) -> DataFrame:
+    """Statistics completed with zeros for delivered (load_date, table) pairs that brought no row."""
+    kinds = [(t, i, k) for t, own in rules.items()
+             for i, k in [("rows", "rows")] + [(r.id, "row" if r.type in ROW_RULES else r.type) for r in own]]
+    checks = known_small(stats.sparkSession.createDataFrame(kinds, "table string, check_id string, kind string"), len(kinds))
+    grid = delivered.select("load_date", "table").distinct().join(checks, "table")
     zero = F.lit(0).cast("bigint")
-    return grid.join(stats, ["load_date", "check_id", "kind"], "left").select(
-        F.lit(spec.name).alias("table"), "load_date", "check_id", "kind",
-        F.when(F.col("kind").isin("outlier", "rows"), F.coalesce("value", F.lit(0.0))).otherwise(F.col("value")).alias("value"),
-        F.coalesce("failing_rows", zero).alias("failing_rows"),
-        F.coalesce("repeated_groups", zero).alias("repeated_groups"), F.coalesce("total_rows", zero).alias("total_rows"))
+    measured = F.col("kind").isin("outlier", "rows")
+    return grid.join(stats, ["table", "load_date", "check_id", "kind"], "left").select(
+        "table", "load_date", "check_id", "kind",
+        F.when(measured, F.coalesce("value", F.lit(0.0))).otherwise(F.col("value")).alias("value"),
+        *[F.coalesce(c, zero).alias(c) for c in ("failing_rows", "repeated_groups", "total_rows")])
 
 
-def _stat(check_id: str, kind: str, value, failing, total):
-    return F.struct(F.lit(check_id).alias("check_id"), F.lit(kind).alias("kind"), value.cast("double").alias("value"),
-                    failing.cast("bigint").alias("failing_rows"), F.lit(0).cast("bigint").alias("repeated_groups"),
-                    total.cast("bigint").alias("total_rows"))
+def _stat(check_id: str, kind: str, value: str, failing: str) -> str:
+    return (f"struct({quoted(check_id)} AS check_id, '{kind}' AS kind, CAST({value} AS DOUBLE) AS value, "
+            f"CAST({failing} AS BIGINT) AS failing_rows, 0L AS repeated_groups, row_count AS total_rows)")
 
 
 def _fused_stats(df: DataFrame, spec: TableSpec, rules: list[Rule]) -> DataFrame:
     row_rules = [r for r in rules if r.type in ROW_RULES]
     outliers = [r for r in rules if r.type == "outlier"]
     flags = {f"bad_{i}": bad_rows(r, spec) for i, r in enumerate(row_rules)}
-    aggregates = [F.count(F.lit(1)).alias("row_count")]
-    aggregates += [F.count_if(F.col(name)).alias(f"n_{name}") for name in flags]
+    aggregates = [F.expr("count(1) AS row_count"), *[F.expr(f"count_if({name}) AS n_{name}") for name in flags]]
     aggregates += [daily_value(r).alias(f"value_{i}") for i, r in enumerate(outliers)]
     # One row per load date after map-side combining, whatever the size of a load.
-    wide = df.withColumns(flags).groupBy("load_date").agg(*aggregates) if flags else df.groupBy("load_date").agg(*aggregates)
-    total, none = F.col("row_count"), F.lit(0)
-    stats = [_stat("rows", "rows", total, none, total)]
-    stats += [_stat(r.id, "row", F.lit(None), F.col(f"n_bad_{i}"), total) for i, r in enumerate(row_rules)]
-    stats += [_stat(r.id, "outlier", F.col(f"value_{i}"), none, total) for i, r in enumerate(outliers)]
-    return wide.select("load_date", F.inline(F.array(*stats)))
+    wide = (df.withColumns(flags) if flags else df).groupBy("load_date").agg(*aggregates)
+    stats = [_stat("rows", "rows", "row_count", "0")]
+    stats += [_stat(r.id, "row", "NULL", f"n_bad_{i}") for i, r in enumerate(row_rules)]
+    stats += [_stat(r.id, "outlier", f"value_{i}", "0") for i, r in enumerate(outliers)]
+    return wide.selectExpr("load_date", f"inline(array({', '.join(stats)}))")
+
+
+def _unique_stats(df: DataFrame, rule: Rule) -> DataFrame:
+    groups = df.groupBy("load_date", *[f"`{c}`" for c in rule.params["columns"]]).agg(F.expr("count(1) AS times"))
+    return groups.groupBy("load_date").agg(
+        F.expr("sum(times - 1) AS failing_rows"), F.expr("count_if(times > 1) AS repeated_groups"),
+        F.expr("sum(times) AS total_rows")).selectExpr(
+        "load_date", f"{quoted(rule.id)} AS check_id", "'unique' AS kind", "CAST(NULL AS DOUBLE) AS value",
+        "failing_rows", "repeated_groups", "total_rows")
 
 
 def duplicate_groups(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -139,8 +152,12 @@ def error_results(days: DataFrame, spec: TableSpec, rules: list[Rule], reasons:
 
 def split_by_analysis(df: DataFrame, spec: TableSpec, rules: list[Rule]) -> tuple[list[Rule], dict[str, str]]:
     """Rules that can be planned, and the reason for each one that cannot."""
-    reasons = {r.id: e for r in rules if (e := analysis_error(df, r, spec)) is not None}
-    return [r for r in rules if r.id not in reasons], reasons
+    try:  # all of them in one analysis; only a failure asks which
+        _fused_stats(df, spec, [r for r in rules if r.type != "unique"]).schema
+        return rules, {}
+    except (AnalysisException, ValueError, KeyError):
+        reasons = {r.id: e for r in rules if (e := analysis_error(df, r, spec)) is not None}
+        return [r for r in rules if r.id not in reasons], reasons
 
 
 def split_by_execution(df: DataFrame, spec: TableSpec, rules: list[Rule]) -> tuple[list[Rule], dict[str, str]]:

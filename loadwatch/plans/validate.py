@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loadwatch.model import CHECK_COLUMNS, Catalog, Rule, known_small, specs_frame
 from loadwatch.operators.baseline import (base_points, metrics_of, outlier_results, outlier_series, replay,
                                           score_new_loads, volume_results, volume_series)
-from loadwatch.operators.evaluate import (daily_stats, error_results, row_results, rule_facts, split_by_analysis,
+from loadwatch.operators.evaluate import (daily_stats, error_results, fill_days, row_results, rule_facts, split_by_analysis,
                                           split_by_execution)
 from loadwatch.operators.incidents import observations
 from loadwatch.operators.monitors import availability, overdue_source, structure
@@ -45,23 +45,25 @@ def collect_stats(catalog: Catalog, tables: dict[str, DataFrame], delivered: Dat
     alone to find the broken ones.
     """
     reasons: dict[str, dict[str, str]] = {}
+    usable: dict[str, list[Rule]] = {}
 
-    def stats_of(name: str, execution: bool = False) -> DataFrame:
+    def stats_of(name: str, execution: bool) -> DataFrame:
         spec, rules = catalog.spec(name), catalog.rules_for(name)
         df = align_to_spec(tables[name], spec)
-        usable, failed = split_by_analysis(df, spec, rules)
+        usable[name], reasons[name] = split_by_analysis(df, spec, rules)
         if execution:
-            usable, broken = split_by_execution(df, spec, usable)
-            failed = {**failed, **broken}
-        reasons[name] = failed
-        days = delivered.where(F.col("table") == name).select("load_date") if delivered is not None else None
-        return daily_stats(df, spec, usable, days)
+            usable[name], broken = split_by_execution(df, spec, usable[name])
+            reasons[name] = {**reasons[name], **broken}
+        return daily_stats(df, spec, usable[name])
+
+    def collect(execution: bool) -> DataFrame:
+        stats = reduce(DataFrame.unionByName, [stats_of(n, execution) for n in tables])
+        return stage(stats if delivered is None else fill_days(stats, delivered, usable), "stats")
 
     try:
-        stats = stage(reduce(DataFrame.unionByName, [stats_of(n) for n in tables]), "stats")
+        return collect(execution=False), reasons
     except Exception:  # a custom condition failed while running: isolate it, keep the rest
-        stats = stage(reduce(DataFrame.unionByName, [stats_of(n, execution=True) for n in tables]), "stats")
-    return stats, reasons
+        return collect(execution=True), reasons
 
 
 def validate(catalog: Catalog, tables: dict[str, DataFrame], arrivals: DataFrame, received: DataFrame,

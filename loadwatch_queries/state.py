@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loadwatch.functions.scalars import minute_of_day
 from loadwatch.model import Catalog, Field, TableSpec, specs_frame
 from loadwatch.plans.validate import Validation, validate
+from loadwatch.session import stage
 from loadwatch_queries.common import band_sql, rules_of, table
 
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -69,7 +70,7 @@ class State:
 
 def state(spark, sf) -> State:
     cat = catalog()
-    d = deliveries(spark, sf)
+    d = stage(deliveries(spark, sf), "deliveries")
     arrivals = d.select("load_date", "table", "arrived_minute", "now_minute")
     events = events_with_key(spark, sf)
     tables = {t: events.where(F.col("event_type") == t).drop("event_type") for t in TYPES}
