@@ -6,7 +6,8 @@ A uniqueness rule needs a shuffle on its own key and is one more aggregation.
 
 from __future__ import annotations
 
-import threading
+import uuid
+from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loadwatch.functions.scalars import evidence_number, half_even, thousands
 from loadwatch.model import ERROR, FAIL, NUMERIC, OK, Catalog, Rule, TableSpec, known_small
+from loadwatch.session import stage
 from loadwatch.operators.rules import ROW_RULES, analysis_error, bad_rows, daily_value, describe, quoted, rule_sql
 
 MONITOR_CHECKS = 3  # availability, volume and structure come before the rules
@@ -215,16 +217,16 @@ def duplicate_examples(df: DataFrame, rule: Rule, n: int = 5) -> DataFrame:
 
 
 # ----------------------------------------------------- budget for custom SQL
-def run_budgeted(df: DataFrame, seconds: float, max_rows: int = 1000) -> list[Any]:
-    """Rows of a user query, at most `max_rows`; cancelled with TimeoutError after `seconds`."""
-    context = df.sparkSession.sparkContext
-    tag = f"budget-{threading.get_ident()}-{id(df)}"
+def within_budget(spark: SparkSession, action: Callable[[], Any], seconds: float) -> Any:
+    """Result of `action`; the Spark jobs it starts are cancelled with TimeoutError after `seconds`."""
+    context = spark.sparkContext
+    tag = f"budget-{uuid.uuid4().hex}"
     outcome: dict[str, Any] = {}
 
     def work():
         context.addJobTag(tag)
         try:
-            outcome["rows"] = df.limit(max_rows).collect()
+            outcome["result"] = action()
         except Exception as exc:
             outcome["error"] = exc
         finally:
@@ -239,7 +241,24 @@ def run_budgeted(df: DataFrame, seconds: float, max_rows: int = 1000) -> list[An
         raise TimeoutError(f"the query exceeded {seconds:g} s and was cancelled")
     if "error" in outcome:
         raise outcome["error"]
-    return outcome["rows"]
+    return outcome["result"]
+
+
+def run_budgeted(df: DataFrame, seconds: float, max_rows: int = 1000) -> list[Any]:
+    """Rows of a user query, at most `max_rows`; cancelled with TimeoutError after `seconds`."""
+    return within_budget(df.sparkSession, lambda: df.limit(max_rows).collect(), seconds)
+
+
+def budgeted_sql_stats(df: DataFrame, spec: TableSpec, rules: list[Rule], seconds: float) -> tuple[list[DataFrame], dict[str, str]]:
+    """Statistics of each custom SQL rule, run alone within `seconds`; and why the others gave none."""
+    done, reasons = [], {}
+    for rule in rules:
+        stats = daily_stats(df, spec, [rule]).where(F.col("kind") == "row")
+        try:
+            done.append(within_budget(df.sparkSession, lambda: stage(stats, "sql-rule"), seconds))
+        except Exception as exc:
+            reasons[rule.id] = str(exc).splitlines()[0]
+    return done, reasons
 
 
 def preview_rule(df: DataFrame, spec: TableSpec, rule: Rule, seconds: float = 30.0) -> dict[str, Any]:

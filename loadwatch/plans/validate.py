@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from loadwatch.model import CHECK_COLUMNS, Catalog, Rule, known_small, specs_frame
 from loadwatch.operators.baseline import (base_points, metrics_of, outlier_results, outlier_series, replay,
                                           score_new_loads, volume_results, volume_series)
-from loadwatch.operators.evaluate import (daily_stats, error_results, fill_days, row_results, rule_facts, split_by_analysis,
+from loadwatch.operators.evaluate import (budgeted_sql_stats, daily_stats, error_results, fill_days, row_results, rule_facts, split_by_analysis,
                                           split_by_execution)
-from loadwatch.operators.incidents import observations
+from loadwatch.operators.incidents import incidents, observations, timeline
 from loadwatch.operators.monitors import availability, overdue_source, structure
 from loadwatch.operators.profile import suggest_rules
 from loadwatch.operators.rules import validate_rule
@@ -22,7 +22,7 @@ from loadwatch.operators.score import score_metrics, table_scores
 from loadwatch.session import stage
 from loadwatch.sources.connector import Connector, align_to_spec, available_dates, path_exists, scan
 from loadwatch.sources.publications import fingerprint, parse_manifest, plan_dates, read_manifest
-from loadwatch.sources.rulebook import next_id
+from loadwatch.sources.rulebook import load_rules, next_id, save_rules
 from loadwatch.sources.store import Store
 
 
@@ -38,11 +38,13 @@ class Validation:
     observations: DataFrame
 
 
-def collect_stats(catalog: Catalog, tables: dict[str, DataFrame], delivered: DataFrame | None = None):
+def collect_stats(catalog: Catalog, tables: dict[str, DataFrame], delivered: DataFrame | None = None,
+                  sql_seconds: float | None = None):
     """Daily statistics of every table, written once; and the rules that could not be evaluated, by table.
 
     A rule that cannot be planned is left out at once. If the job still fails, each rule of the failing table runs
-    alone to find the broken ones.
+    alone to find the broken ones. With `sql_seconds`, custom SQL rules leave the fused pass and each one has that
+    long to finish.
     """
     reasons: dict[str, dict[str, str]] = {}
     usable: dict[str, list[Rule]] = {}
@@ -54,7 +56,13 @@ def collect_stats(catalog: Catalog, tables: dict[str, DataFrame], delivered: Dat
         if execution:
             usable[name], broken = split_by_execution(df, spec, usable[name])
             reasons[name] = {**reasons[name], **broken}
-        return daily_stats(df, spec, usable[name])
+        if sql_seconds is None:
+            return daily_stats(df, spec, usable[name])
+        custom = [r for r in usable[name] if r.type == "sql"]
+        apart, late = budgeted_sql_stats(df, spec, custom, sql_seconds)
+        reasons[name] = {**reasons[name], **late}
+        usable[name] = [r for r in usable[name] if r.id not in late]
+        return reduce(DataFrame.unionByName, apart, daily_stats(df, spec, [r for r in usable[name] if r.type != "sql"]))
 
     def collect(execution: bool) -> DataFrame:
         stats = reduce(DataFrame.unionByName, [stats_of(n, execution) for n in tables])
@@ -67,16 +75,17 @@ def collect_stats(catalog: Catalog, tables: dict[str, DataFrame], delivered: Dat
 
 
 def validate(catalog: Catalog, tables: dict[str, DataFrame], arrivals: DataFrame, received: DataFrame,
-             history: DataFrame | None = None) -> Validation:
+             history: DataFrame | None = None, sql_seconds: float | None = None) -> Validation:
     """Validate every load of `tables` (frames tagged with `load_date`), all days and tables together.
 
     `arrivals`: load_date, table, arrived_minute (NULL when missing), now_minute and optionally published, seq,
-    run_id. `received`: load_date, table, columns. `history`: clean points of earlier validations.
+    run_id. `received`: load_date, table, columns. `history`: clean points of earlier validations. `sql_seconds`: time
+    each custom SQL rule may take.
     """
     spark = arrivals.sparkSession
     specs, facts = specs_frame(spark, catalog), rule_facts(spark, catalog)
     delivered = arrivals.where("arrived_minute is not null").select("load_date", "table")
-    stats, reasons = collect_stats(catalog, tables, delivered)
+    stats, reasons = collect_stats(catalog, tables, delivered, sql_seconds)
     series = outlier_series(stats, facts).unionByName(volume_series(stats, specs))
     bands = stage(replay(series, history), "bands")
     totals = stats.where(F.col("kind") == "rows").select("table", "load_date", F.col("total_rows").alias("row_count"))
@@ -115,10 +124,12 @@ class Monitor:
     connector: Connector
     store: Store
     rules: tuple[Rule, ...] = ()
+    sql_seconds: float | None = None
 
     def __post_init__(self) -> None:
+        saved = f"{self.store.root}/rules"
         if not self.rules:
-            self.rules = self.connector.catalog.rules
+            self.rules = tuple(load_rules(self.spark, saved)) if path_exists(self.spark, saved) else self.connector.catalog.rules
         self.rules = tuple(validate_rule(r, self.connector.catalog) for r in self.rules)
 
     @property
@@ -201,7 +212,7 @@ class Monitor:
         stored = {s.name: stored[s.name] if s.load_type == "incremental" else
                   stored[s.name].where(F.col("load_date") == F.lit(days[-1])) for s in self.catalog.tables}
         history = stage(base_points(self.store.read("metrics")), "history")
-        v = validate(self.catalog, stored, arrivals, shape, history)
+        v = validate(self.catalog, stored, arrivals, shape, history, self.sql_seconds)
         counts = v.stats.where(F.col("kind") == "rows").select("load_date", "table", F.col("total_rows").alias("row_count"))
         loads = arrivals.join(counts, ["load_date", "table"], "left").join(shape, ["load_date", "table"]) \
             .withColumn("row_count", F.coalesce("row_count", F.lit(0).cast("bigint")))
@@ -228,6 +239,7 @@ class Monitor:
                 except ValueError:
                     continue
                 self.rules = (*self.rules, rule)
+        save_rules(self.spark, list(self.rules), f"{self.store.root}/rules")
 
     def check_overdue(self, as_of: datetime) -> bool:
         """Record the failure of every table when the source is overdue; once per day."""
@@ -241,3 +253,26 @@ class Monitor:
                                 F.lit(self._next_seq()).cast("bigint").alias("seq"))
         self.store.write("observations", observations(checks, minutes))
         return True
+
+    # ------------------------------------------------------------ incidents
+    def incidents(self) -> DataFrame:
+        """Every incident, from the observations and the actions of the analysts."""
+        return incidents(self.store.read("observations"), self.store.read("actions"), specs_frame(self.spark, self.catalog))
+
+    def timeline(self) -> DataFrame:
+        return timeline(self.store.read("observations"), specs_frame(self.spark, self.catalog), self.store.read("actions"))
+
+    def escalate(self, table: str, actor: str = "analyst") -> None:
+        """Escalate the incident of a table: it stays open, and the story says who did it."""
+        self._act(table, "escalate", "", actor)
+
+    def resolve(self, table: str, note: str = "", actor: str = "analyst") -> None:
+        """Resolve the open incident of a table by hand."""
+        self._act(table, "resolve", note, actor)
+
+    def _act(self, table: str, action: str, note: str, actor: str) -> None:
+        seen = self.store.read("observations").where(F.col("table") == self.catalog.spec(table).name)
+        now = F.struct("seq", "load_date", "minute")  # the clock of a connector is that of its data
+        act = seen.agg(F.max(now).alias("now")).where("now is not null").select(
+            "now.*", F.lit(table).alias("table"), F.lit(action).alias("action"), F.lit(note).alias("note"), F.lit(actor).alias("actor"))
+        self.store.append("actions", act)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadwatch.model import CHECK_SCHEMA, LOAD_SCHEMA, METRIC_SCHEMA, TableSpec
-from loadwatch.operators.incidents import OBSERVATION_SCHEMA
+from loadwatch.operators.incidents import ACTION_SCHEMA, OBSERVATION_SCHEMA
 from loadwatch.session import stage
 from loadwatch.sources.connector import path_exists
 
@@ -26,6 +26,7 @@ SCHEMAS = {
     "check_results": CHECK_SCHEMA,
     "observations": OBSERVATION_SCHEMA,
     "publications": PUBLICATION_SCHEMA,
+    "actions": ACTION_SCHEMA,
 }
 BY_MONTH = ("loads", "metrics", "check_results")  # the others are appended, one partition per publication
 
@@ -71,6 +72,10 @@ class Store:
         self._write_months(kept.join(_months(new), F.date_format("load_date", "yyyy-MM") == F.col("month"), "left_semi")
                            .unionByName(new), name)
 
+    def append(self, name: str, df: DataFrame) -> None:
+        """Add rows to a log nobody rewrites."""
+        df.select(T.StructType.fromDDL(SCHEMAS[name]).fieldNames()).coalesce(1).write.mode("append").parquet(self._path(name))
+
     def _write_months(self, df: DataFrame, name: str) -> None:
         merged = stage(df, name)  # also read from the partitions about to be replaced
         self._write(merged.withColumn("load_month", F.date_format("load_date", "yyyy-MM")), name, ["load_month"])
