@@ -66,7 +66,9 @@ class Store:
         if name not in BY_MONTH:
             self._write(new, name, ["seq"])
             return
-        new = stage(new, name)
+        if not path_exists(self.spark, self._path(name)):
+            self._write(new.withColumn("load_month", F.date_format("load_date", "yyyy-MM")), name, ["load_month"])
+            return
         key = ["load_date", "table"]
         kept = self.read(name).join(new.select(*key).distinct(), key, "left_anti")
         self._write_months(kept.join(_months(new), F.date_format("load_date", "yyyy-MM") == F.col("month"), "left_semi")
