@@ -6,9 +6,11 @@ import json
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Statuses, severities, rule types, operators and aggregates of the contract.
 OK, WARN, FAIL, ERROR = "ok", "warn", "fail", "error"
@@ -123,28 +125,11 @@ class Catalog:
         return [r for r in self.rules if r.table == table and (r.enabled or not enabled_only)]
 
 
-SPEC_SCHEMA = T.StructType([
-    T.StructField("table", T.StringType(), False),
-    T.StructField("table_order", T.IntegerType(), False),
-    T.StructField("title", T.StringType()),
-    T.StructField("owner", T.StringType()),
-    T.StructField("owner_email", T.StringType()),
-    T.StructField("expected_at", T.IntegerType(), False),
-    T.StructField("load_type", T.StringType(), False),
-    T.StructField("consumers", T.ArrayType(T.StringType())),
-    T.StructField("expected_columns", T.ArrayType(T.StringType())),
-])
-
-RULE_SCHEMA = T.StructType([
-    T.StructField("id", T.StringType(), False),
-    T.StructField("table", T.StringType(), False),
-    T.StructField("type", T.StringType(), False),
-    T.StructField("severity", T.StringType(), False),
-    T.StructField("params", T.StringType()),
-    T.StructField("enabled", T.BooleanType()),
-    T.StructField("note", T.StringType()),
-    T.StructField("author", T.StringType()),
-])
+SPEC_SCHEMA = ("table string, table_order int, title string, owner string, owner_email string, expected_at int, "
+               "load_type string, consumers array<string>, expected_columns array<string>")
+
+RULE_SCHEMA = ("id string, table string, type string, severity string, params string, enabled boolean, note string, "
+               "author string")
 
 LOAD_SCHEMA = "load_date date, table string, arrived_minute int, row_count bigint, columns array<string>"
 
@@ -158,32 +143,33 @@ CHECK_SCHEMA = (
 CHECK_COLUMNS = [c.split(" ")[0] for c in CHECK_SCHEMA.split(", ")]
 
 
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows the driver already holds (configuration, calendar days) as a local relation.
+
+    Its exact size is known to the optimizer, which broadcasts it only below its own threshold.
+    """
+    shape = T.StructType.fromDDL(schema)
+    names = shape.fieldNames()
+    cells = pa.Table.from_pylist([dict(zip(names, r)) for r in rows], schema=to_arrow_schema(shape))
+    return spark.createDataFrame(cells, schema=shape)
+
+
 def specs_frame(spark: SparkSession, catalog: Catalog) -> DataFrame:
-    """One row per monitored table. Its size is that of a configuration file, known here."""
-    rows = [(t.name, i, t.title or t.name, t.owner, t.owner_email, t.expected_at, t.load_type,
-             list(t.consumers), t.column_names) for i, t in enumerate(catalog.tables)]
-    return known_small(spark.createDataFrame(rows, SPEC_SCHEMA), len(rows))
+    """One row per monitored table."""
+    return small_frame(spark, [(t.name, i, t.title or t.name, t.owner, t.owner_email, t.expected_at, t.load_type,
+                                list(t.consumers), t.column_names) for i, t in enumerate(catalog.tables)], SPEC_SCHEMA)
 
 
 def rules_frame(spark: SparkSession, rules: list[Rule] | tuple[Rule, ...]) -> DataFrame:
     """One row per rule, its parameters as JSON."""
-    rows = [(r.id, r.table, r.type, r.severity, json.dumps(r.params, ensure_ascii=False), r.enabled, r.note, r.author)
-            for r in rules]
-    return known_small(spark.createDataFrame(rows, RULE_SCHEMA), len(rows))
+    return small_frame(spark, [(r.id, r.table, r.type, r.severity, json.dumps(r.params, ensure_ascii=False), r.enabled,
+                                r.note, r.author) for r in rules], RULE_SCHEMA)
 
 
 def rule_to_dict(rule: Rule) -> dict[str, Any]:
     return asdict(rule)
 
 
-BROADCAST_ROWS = 50_000
-
-
-def known_small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a frame built from `rows` driver-side rows; beyond the bound Spark chooses."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def severity_weight(col) -> Any:
     """Weight of a severity column."""
     out = None

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loadwatch.functions.scalars import evidence_number, half_even, thousands
-from loadwatch.model import ERROR, FAIL, NUMERIC, OK, Catalog, Rule, TableSpec, known_small
+from loadwatch.model import ERROR, FAIL, NUMERIC, OK, Catalog, Rule, TableSpec, small_frame
 from loadwatch.session import stage
 from loadwatch.operators.rules import ROW_RULES, analysis_error, bad_rows, daily_value, describe, quoted, rule_sql
 
@@ -44,7 +44,7 @@ def fill_days(stats: DataFrame, delivered: DataFrame, rules: dict[str, list[Rule
     """Statistics completed with zeros for delivered (load_date, table) pairs that brought no row."""
     kinds = [(t, i, k) for t, own in rules.items()
              for i, k in [("rows", "rows")] + [(r.id, "row" if r.type in ROW_RULES else r.type) for r in own]]
-    checks = known_small(stats.sparkSession.createDataFrame(kinds, "table string, check_id string, kind string"), len(kinds))
+    checks = small_frame(stats.sparkSession, kinds, "table string, check_id string, kind string")
     grid = delivered.select("load_date", "table").distinct().join(checks, "table")
     zero = F.lit(0).cast("bigint")
     measured = F.col("kind").isin("outlier", "rows")
@@ -110,7 +110,7 @@ def rule_facts(spark: SparkSession, catalog: Catalog) -> DataFrame:
                          p.get("column"), float(p.get("z") or 3), bool(p.get("same_weekday", True)), rule_sql(r, spec)))
     schema = ("table string, check_id string, check_order int, name string, severity string, rule_type string, "
               "max_pct double, key_names string, aggregate string, column string, z double, same_weekday boolean, sql string")
-    return known_small(spark.createDataFrame(rows, schema), len(rows))
+    return small_frame(spark, rows, schema)
 
 
 def row_results(stats: DataFrame, facts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadwatch.functions.scalars import hhmm
-from loadwatch.model import known_small
+from loadwatch.model import small_frame
 
 # Probable cause and requested action per kind of check.
 CAUSES = {
@@ -45,7 +45,7 @@ def cause_key(rule_type: Column, message: Column) -> Column:
 def with_causes(checks: DataFrame) -> DataFrame:
     """Checks (rule_type, message) with their cause and action; an unknown kind takes those of a custom rule."""
     rows = [(k, *v) for k, v in CAUSES.items()]
-    catalogue = known_small(checks.sparkSession.createDataFrame(rows, "cause_key string, cause string, action string"), len(rows))
+    catalogue = small_frame(checks.sparkSession, rows, "cause_key string, cause string, action string")
     cause, action = CAUSES["sql"]
     return checks.withColumn("cause_key", cause_key(F.col("rule_type"), F.col("message"))) \
         .join(catalogue, "cause_key", "left") \

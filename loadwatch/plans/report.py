@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadwatch.functions.scalars import half_even, hhmm
-from loadwatch.model import FAIL, OK, known_small
+from loadwatch.model import FAIL, OK
 from loadwatch.operators.incidents import minutes_open, mttr_hours
 from loadwatch.operators.monitors import table_status
 
@@ -52,7 +52,7 @@ def heatmap(checks: DataFrame, table: str, limit: int | None = 30) -> DataFrame:
     own = checks.where(F.col("table") == table)
     if limit:
         days = own.select("load_date").distinct().orderBy(F.desc("load_date")).limit(limit)
-        own = own.join(known_small(days, limit), "load_date", "left_semi")
+        own = own.join(days, "load_date", "left_semi")
     return own.groupBy("check_id", "name", "load_date").agg(F.max_by("status", "check_order").alias("status"))
 
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadwatch.model import CHECK_COLUMNS, Catalog, Rule, known_small, specs_frame
+from loadwatch.model import CHECK_COLUMNS, Catalog, Rule, small_frame, specs_frame
 from loadwatch.operators.baseline import (base_points, metrics_of, outlier_results, outlier_series, replay,
                                           score_new_loads, volume_results, volume_series)
 from loadwatch.operators.evaluate import (budgeted_sql_stats, daily_stats, error_results, fill_days, row_results, rule_facts, split_by_analysis,
@@ -179,7 +179,7 @@ class Monitor:
 
     def _validate_days(self, days: list[date], head, seq: int) -> None:
         spark, connector = self.spark, self.connector
-        calendar = known_small(spark.createDataFrame([(d,) for d in days], "load_date date"), len(days))
+        calendar = small_frame(spark, [(d,) for d in days], "load_date date")
         tables, received = {}, []
         for spec in self.catalog.tables:
             df, columns = connector.current(spark, spec.name)
@@ -199,7 +199,7 @@ class Monitor:
                 tables[spec.name] = df.withColumn("load_date", F.lit(days[-1]))
             received += [(d, spec.name, columns) for d in due]
         self._suggest(tables, days)
-        shape = spark.createDataFrame(received, "load_date date, table string, columns array<string>")
+        shape = small_frame(spark, received, "load_date date, table string, columns array<string>")
         arrivals = shape.select("load_date", "table", F.lit(head["published_minute"]).alias("arrived_minute"),
                                 F.lit(head["published_minute"]).alias("now_minute"),
                                 F.lit(head["published"]).cast("timestamp").alias("published"),
