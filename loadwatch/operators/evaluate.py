@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loadwatch.functions.scalars import evidence_number, half_even, thousands
-from loadwatch.model import ERROR, FAIL, NUMERIC, OK, Catalog, Rule, TableSpec, small_frame
+from loadwatch.model import ERROR, FAIL, NUMERIC, OK, TEXT, Catalog, Rule, TableSpec, small_frame
 from loadwatch.session import stage
-from loadwatch.operators.rules import ROW_RULES, analysis_error, bad_rows, daily_value, describe, quoted, rule_sql
+from loadwatch.operators.rules import ROW_RULES, analysis_error, bad_rows, daily_value, describe, is_identifier, quoted, rule_sql
 
 MONITOR_CHECKS = 3  # availability, volume and structure come before the rules
 STAT_COLUMNS = ("table", "load_date", "check_id", "kind", "value", "failing_rows", "repeated_groups", "total_rows")
@@ -33,7 +33,7 @@ def daily_stats(df: DataFrame, spec: TableSpec, rules: list[Rule], days: DataFra
     delivered load dates when some of them may have brought no row at all.
     """
     fused = _fused_stats(df, spec, [r for r in rules if r.type in ROW_RULES or r.type == "outlier"])
-    parts = [fused] + [_unique_stats(df, r) for r in rules if r.type == "unique"]
+    parts = [fused] + [_unique_stats(df, spec, r) for r in rules if r.type == "unique"]
     stats = reduce(DataFrame.unionAll, parts).selectExpr(f"{quoted(spec.name)} AS `table`", *STAT_COLUMNS[1:])
     if days is None:
         return stats
@@ -73,29 +73,50 @@ def _fused_stats(df: DataFrame, spec: TableSpec, rules: list[Rule]) -> DataFrame
     return wide.selectExpr("load_date", f"inline(array({', '.join(stats)}))")
 
 
-def _unique_stats(df: DataFrame, rule: Rule) -> DataFrame:
-    groups = df.groupBy("load_date", *[f"`{c}`" for c in rule.params["columns"]]).agg(F.expr("count(1) AS times"))
-    return groups.groupBy("load_date").agg(
-        F.expr("sum(times - 1) AS failing_rows"), F.expr("count_if(times > 1) AS repeated_groups"),
-        F.expr("sum(times) AS total_rows")).selectExpr(
-        "load_date", f"{quoted(rule.id)} AS check_id", "'unique' AS kind", "CAST(NULL AS DOUBLE) AS value",
-        "failing_rows", "repeated_groups", "total_rows")
+def _long_key(spec: TableSpec, columns: list[str]) -> bool:
+    """Free text may be long; identifiers are not."""
+    return any(spec.column(c).type == TEXT and not is_identifier(c) for c in columns)
+
 
+def key_groups(df: DataFrame, columns: list[str], long_key: bool) -> DataFrame:
+    """Rows per key within each load, as `times`; NULL keys group together.
 
-def duplicate_groups(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Groups that repeat within a load; NULL keys group together."""
+    With a long key only the groups that may repeat come back: a 64-bit hash of the key is counted first, and only
+    rows whose hash repeats carry their key through a shuffle. A hash that occurs once belongs to a key that occurs
+    once, so nothing is lost, and rows that share a hash by accident are told apart by the key itself.
+    """
     keys = [F.col(f"`{c}`") for c in columns]
-    return df.groupBy("load_date", *keys).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    if long_key:
+        df = df.withColumn("key_hash", F.xxhash64(*keys))
+        again = _hash_counts(df).where("n > 1").select("load_date", "key_hash")
+        df = df.join(again, ["load_date", "key_hash"], "left_semi")
+    return df.groupBy("load_date", *keys).agg(F.expr("count(1) AS times"))
 
 
-def _unique_stats(df: DataFrame, rule: Rule) -> DataFrame:
-    keys = [F.col(f"`{c}`") for c in rule.params["columns"]]
-    groups = df.groupBy("load_date", *keys).agg(F.count(F.lit(1)).alias("times"))
-    return groups.groupBy("load_date").agg(
-        F.sum(F.col("times") - 1).alias("failing_rows"), F.count_if(F.col("times") > 1).alias("repeated_groups"),
-        F.sum("times").alias("total_rows")).select(
-        "load_date", F.lit(rule.id).alias("check_id"), F.lit("unique").alias("kind"),
-        F.lit(None).cast("double").alias("value"), "failing_rows", "repeated_groups", "total_rows")
+def _hash_counts(hashed: DataFrame) -> DataFrame:
+    return hashed.groupBy("load_date", "key_hash").agg(F.expr("count(1) AS n"))
+
+
+def duplicate_groups(df: DataFrame, columns: list[str], long_key: bool = False) -> DataFrame:
+    """Groups that repeat within a load."""
+    return key_groups(df, columns, long_key).where("times > 1")
+
+
+def _unique_stats(df: DataFrame, spec: TableSpec, rule: Rule) -> DataFrame:
+    columns = rule.params["columns"]
+    long_key = _long_key(spec, columns)
+    stats = key_groups(df, columns, long_key).groupBy("load_date").agg(
+        F.expr("sum(times - 1) AS failing_rows"), F.expr("count_if(times > 1) AS repeated_groups"),
+        F.expr("sum(times) AS total_rows"))
+    if long_key:
+        hashed = df.withColumn("key_hash", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+        totals = _hash_counts(hashed).groupBy("load_date").agg(F.expr("sum(n) AS total_rows"))
+        stats = totals.join(stats.drop("total_rows"), "load_date", "left").selectExpr(
+            "load_date", "coalesce(failing_rows, 0L) AS failing_rows", "coalesce(repeated_groups, 0L) AS repeated_groups",
+            "total_rows")
+    return stats.selectExpr(
+        "load_date", f"{quoted(rule.id)} AS check_id", "'unique' AS kind", "CAST(NULL AS DOUBLE) AS value",
+        "failing_rows", "repeated_groups", "total_rows")
 
 
 # ------------------------------------------------------------------ results
@@ -207,11 +228,12 @@ def _evidence(col, kind: str):
     return evidence_number(col) if kind in NUMERIC else F.coalesce(col.cast("string"), F.lit("NULL"))
 
 
-def duplicate_examples(df: DataFrame, rule: Rule, n: int = 5) -> DataFrame:
+def duplicate_examples(df: DataFrame, spec: TableSpec, rule: Rule, n: int = 5) -> DataFrame:
     """The `n` most repeated groups of each load date; ties in key order."""
     keys = [F.col(f"`{c}`") for c in rule.params["columns"]]
     ranked = Window.partitionBy("load_date").orderBy(F.desc("times"), *[F.asc_nulls_first(f"`{c}`") for c in rule.params["columns"]])
-    return duplicate_groups(df, rule.params["columns"]) \
+    columns = rule.params["columns"]
+    return duplicate_groups(df, columns, _long_key(spec, columns)) \
         .withColumn("position", F.row_number().over(ranked)).where(F.col("position") <= n) \
         .select("load_date", "position", *keys, "times")
 
@@ -277,7 +299,7 @@ def preview_rule(df: DataFrame, spec: TableSpec, rule: Rule, seconds: float = 30
         result = run_budgeted(evaluate_rules(load, spec, [rule]), seconds)[0]
         examples = []
         if result["failing_rows"] and rule.type == "unique":
-            examples = [r.asDict() for r in run_budgeted(duplicate_examples(load, rule), seconds)]
+            examples = [r.asDict() for r in run_budgeted(duplicate_examples(load, spec, rule), seconds)]
         elif result["failing_rows"]:
             order = [F.col(f"`{c}`") for c in spec.column_names]
             examples = [r.asDict() for r in

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loadwatch.functions.scalars import half_even
 from loadwatch.model import NUMERIC, TEXT, Field, TableSpec
+from loadwatch.operators.rules import is_identifier
 
 MAX_CATALOGUE, MIN_PRESENT = 12, 30  # fixed values: when a text column looks like a short catalogue
 
@@ -18,11 +19,20 @@ def _text(field: Field) -> Column:
     return (c + F.lit(0.0)).cast("string") if field.data_type() in ("double", "float") else c.cast("string")
 
 
+LONG_TEXT = 64
+
+
+def _identity(field: Field) -> Column:
+    """What tells one value from another: the value, or the SHA-256 of a text longer than the digest itself."""
+    shown = _text(field)
+    return F.when(F.length(shown) > LONG_TEXT, F.sha2(shown, 256)).otherwise(shown) if field.type == TEXT else shown
+
+
 def profile(df: DataFrame, spec: TableSpec, exact: bool = True) -> DataFrame:
     """Per load date and column: null percentage, distinct values and, for numbers, minimum, maximum and mean.
 
-    The exact form turns cells into (column, value) pairs counted by value: repeated values are combined before the
-    only shuffle that carries data, and a hot value costs one row per task. `exact=False` estimates the distinct
+    The exact form turns cells into narrow (column, value) pairs counted by value: repeated values are combined before
+    the only shuffle that carries data, and a hot value costs one row per task. `exact=False` estimates the distinct
     count in a single aggregation by load date.
     """
     return _exact_profile(df, spec) if exact else _estimated_profile(df, spec)
@@ -30,24 +40,24 @@ def profile(df: DataFrame, spec: TableSpec, exact: bool = True) -> DataFrame:
 
 def _finish(rows: DataFrame, spec: TableSpec) -> DataFrame:
     share = F.when(F.col("n") > 0, half_even(100 * F.col("nulls") / F.col("n"), 2))
-    return rows.select("load_date", F.lit(spec.name).alias("table"), "position", "column", "type",
-                       share.alias("null_pct"), F.col("distinct_values").cast("bigint").alias("distinct_values"),
+    names, types = (F.array(*[F.lit(v) for v in values]) for values in (spec.column_names, [c.type for c in spec.columns]))
+    return rows.select("load_date", F.lit(spec.name).alias("table"), "position", F.get(names, F.col("position")).alias("column"),
+                       F.get(types, F.col("position")).alias("type"), share.alias("null_pct"),
+                       F.col("distinct_values").cast("bigint").alias("distinct_values"),
                        "min_value", "max_value", half_even(F.col("mean_value"), 2).alias("mean_value"))
 
 
 def _exact_profile(df: DataFrame, spec: TableSpec) -> DataFrame:
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(c.name).alias("column"), F.lit(c.type).alias("type"),
-                 _text(c).alias("shown"),
-                 (F.col(f"`{c.name}`").cast("double") if c.type in NUMERIC else F.lit(None).cast("double")).alias("number"))
-        for i, c in enumerate(spec.columns)])
-    keys = ["load_date", "position", "column", "type"]
-    values = df.select("load_date", F.inline(cells)).groupBy(*keys, "shown", "number").agg(F.count(F.lit(1)).alias("times"))
-    numbers = F.when(F.col("number").isNotNull(), F.col("times"))
-    rows = values.groupBy(*keys).agg(
+    cells = F.array(*[F.struct(F.lit(i).alias("position"), _identity(c).alias("shown")) for i, c in enumerate(spec.columns)])
+    values = df.select("load_date", F.inline(cells)).groupBy("load_date", "position", "shown").agg(F.count(F.lit(1)).alias("times"))
+    numeric = [i for i, c in enumerate(spec.columns) if c.type in NUMERIC]
+    number = F.when(F.col("position").isin(numeric), F.col("shown").try_cast("double"))
+    values = values.withColumn("number", number)
+    counted = F.when(F.col("number").isNotNull(), F.col("times"))
+    rows = values.groupBy("load_date", "position").agg(
         F.sum("times").alias("n"), F.sum(F.when(F.col("shown").isNull(), F.col("times")).otherwise(0)).alias("nulls"),
         F.count("shown").alias("distinct_values"), F.min("number").alias("min_value"), F.max("number").alias("max_value"),
-        (F.sum(F.col("number") * F.col("times")) / F.sum(numbers)).alias("mean_value"))
+        (F.sum(F.col("number") * F.col("times")) / F.sum(counted)).alias("mean_value"))
     return _finish(rows, spec)
 
 
@@ -61,8 +71,7 @@ def _estimated_profile(df: DataFrame, spec: TableSpec) -> DataFrame:
                            F.avg(col).cast("double").alias(f"mean_{i}")]
     none = F.lit(None).cast("double")
     rows = F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(c.name).alias("column"), F.lit(c.type).alias("type"),
-                 F.col(f"nulls_{i}").alias("nulls"), F.col(f"distinct_{i}").alias("distinct_values"),
+        F.struct(F.lit(i).alias("position"), F.col(f"nulls_{i}").alias("nulls"), F.col(f"distinct_{i}").alias("distinct_values"),
                  (F.col(f"min_{i}") if c.type in NUMERIC else none).alias("min_value"),
                  (F.col(f"max_{i}") if c.type in NUMERIC else none).alias("max_value"),
                  (F.col(f"mean_{i}") if c.type in NUMERIC else none).alias("mean_value"))
@@ -71,11 +80,6 @@ def _estimated_profile(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 # -------------------------------------------------------------- suggestions
-def is_identifier(name: str) -> bool:
-    lower = name.lower()
-    return lower == "id" or lower.startswith("id_") or lower.endswith("_id")
-
-
 def suggest_rules(load: DataFrame, spec: TableSpec) -> list[dict[str, Any]]:
     """First rules for a table that has none, from the profile of one load; an empty load suggests nothing.
 

@@ -168,7 +168,7 @@ def repeated_groups(spark, sf):
     WHERE position <= 5""")
 def most_repeated_groups(spark, sf):
     df, spec = loads_of(table(spark, sf, "events"), "events", "ts")
-    return duplicate_examples(df, rules_of(spec, ("U6", "unique", "high", {"columns": ["user_id", "event_type"]}))[0])
+    return duplicate_examples(df, spec, rules_of(spec, ("U6", "unique", "high", {"columns": ["user_id", "event_type"]}))[0])
 
 
 # ------------------------------------------------------------ all together
