@@ -210,6 +210,12 @@ def recurrence(found: DataFrame, checks: DataFrame, days: int = 30) -> DataFrame
         .withColumn("recurrence_30d", F.coalesce("n", F.lit(0)).cast("bigint")).drop("n")
 
 
+def with_runs(found: DataFrame, log: DataFrame) -> DataFrame:
+    """Incidents with the publication of the run that brought their failing load, when it is known."""
+    runs = log.groupBy("run_id").agg(F.max_by(F.struct("published_at", "run_url"), "published_at").alias("run"))
+    return found.join(runs, "run_id", "left").withColumns({"published_at": F.col("run.published_at"), "run_url": F.col("run.run_url")}).drop("run")
+
+
 def mttr_hours() -> Column:
     """Mean hours to resolve, for an aggregation over incidents with `minutes_open`."""
     return F.bround(F.avg(F.when(F.col("resolved_date").isNotNull(), F.col("minutes_open"))) / 60, 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loadwatch.functions.scalars import run_url
 from loadwatch.model import FAIL
 from loadwatch.operators import incidents as inc
 from loadwatch.plans.escalation import CAUSES, escalation_reports
@@ -126,6 +127,18 @@ def incidents_kept(spark, sf):
     return inc.keep_recent(_found(s), _as_of(s)[0], 10).select("incident_id", "opened_date")
 
 
+@query(with_state(f"""SELECT incident_id, 'run ' || max_run AS run_id, max_run || 'T12:00:00' AS published_at, 'https://runs.example/' || 'run%20' || max_run AS run_url
+    FROM (SELECT i.*, (SELECT CAST(max(d) AS VARCHAR) FROM islands s WHERE s.tbl = i.tbl AND s.island = i.island AND s.fail) AS max_run FROM incidents i)"""))
+def incident_runs(spark, sf):
+    """Each incident with the publication that brought its last failing load: here every day is one run."""
+    s = state(spark, sf)
+    run = F.concat(F.lit("run "), F.col("load_date").cast("string"))
+    found = inc.incidents(s.validation.observations.withColumn("run_id", run), None, s.specs)
+    at = F.concat(F.col("load_date").cast("string"), F.lit("T12:00:00"))
+    log = s.arrivals.select(run.alias("run_id"), at.alias("published_at"), run_url("https://runs.example/{run_id}", run).alias("run_url")).distinct()
+    return inc.with_runs(found, log).select("incident_id", "run_id", "published_at", "run_url")
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

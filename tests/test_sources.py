@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadwatch.model import Field, TableSpec
-from loadwatch.plans.validate import Monitor, validate_one_day
+from loadwatch.plans.monitor import Monitor
+from loadwatch.plans.validate import validate_one_day
 from loadwatch.sources.connector import (align_to_spec, available_dates, infer_spec, load_connector, normalize_types, read_load, scan_csv)
 from loadwatch.sources.publications import fingerprint, plan_dates, read_manifest
 from loadwatch.sources.store import Store
@@ -98,6 +99,7 @@ def test_duplicates_open_an_incident_with_its_run_and_a_republication_closes_it(
     publish(spark, gold, days=11, copied=10, published="2026-10-06T12:00:00+00:00")
     assert monitor.sync() == [START + timedelta(days=10)]
     (found,) = monitor.incidents().collect()
+    assert found.run_url == "http://x/#run=run-11"
     assert found.table == "payments" and found.run_id == "run-11" and "unique" in {c.rule_type for c in found.checks}
     assert one(monitor, "loads", "`table` = 'payments'").agg(F.max("row_count")).first()[0] == 120
     monitor.escalate("payments", "ana")
@@ -124,6 +126,35 @@ def test_a_dropped_column_fails_structure_and_its_consequences_together(spark, g
     assert monitor.incidents().where("status = 'open'").count() == 1
 
 
+def test_reading_the_state(monitor):
+    shots = monitor.snapshot()
+    k = shots["kpis"].first()
+    assert k.tables_total == 3 and k.open_incidents == 1 and k.checks_failed >= 2 and k.rows_today > 0
+    assert shots["tables"].count() == 3 and shots["incidents"].count() == 2 and shots["score_series"].count() == 12
+    assert not shots["events"].isEmpty() and shots["publications"].count() == 4
+    detail = monitor.table_detail("payments")
+    assert {"results", "volume", "scores", "heatmap", "profile", "outlier:R003"} <= set(detail)
+    assert detail["profile"].count() == 5 and detail["results"].count() == 6 and detail["volume"].count() == 12
+    assert detail["outlier:R003"].where("lo is not null").count() == 8 and detail["outlier:R003"].where("anomalous").count() >= 1
+    lines = [r.line for r in monitor.metrics_text().orderBy("position", "label").collect()]
+    assert lines[1] == "loadwatch_open_incidents 1" and any(x.startswith('loadwatch_table_rows{table="payments"} ') for x in lines)
+    (mail,) = monitor.reports().collect()
+    assert mail.recipient == "data@x.example" and "Missing columns: amount" in mail.body
+
+
+def test_rules_can_be_tried_changed_and_removed(monitor):
+    tried = monitor.preview({"table": "payments", "type": "allowed_values", "severity": "low", "params": {"column": "method", "values": ["pse"]}})
+    assert tried["status"] == "fail" and len(tried["examples"]) == 5
+    before = len(monitor.rules)
+    added = monitor.add_rule({"table": "payments", "type": "not_null", "severity": "low", "params": {"column": "id_client"}})
+    assert not monitor.update_rule(added.id, enabled=False).enabled
+    assert added.id not in {r.id for r in monitor.catalog.rules_for("payments")}
+    monitor.delete_rule(added.id)
+    assert len(monitor.rules) == before
+    with pytest.raises(ValueError):
+        monitor.update_rule("R999", enabled=False)
+
+
 def test_overdue_source_is_one_incident_per_table(spark, tmp_path):
     publish(spark, tmp_path, days=3, published="2026-09-04T07:00:00+00:00")
     cfg = config(tmp_path, expected="07:00")
