@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +25,8 @@ from loadwatch.sources.publications import fingerprint, parse_manifest, plan_dat
 from loadwatch.sources.rulebook import load_rules, next_id, save_rules
 from loadwatch.sources.store import Store
 
+ROW_DAYS = 7  # days of rows kept
+
 
 @dataclass
 class Monitor:
@@ -114,19 +116,23 @@ class Monitor:
                                 F.lit(head["published_minute"]).alias("now_minute"),
                                 F.lit(head["published"]).cast("timestamp").alias("published"),
                                 F.lit(seq).cast("bigint").alias("seq"), F.lit(head["run_id"]).cast("string").alias("run_id"))
+        # Rows retention would drop at once are validated from the source and never stored.
+        first_kept = days[-1] - timedelta(days=ROW_DAYS)
+        loads = {}
         for spec in self.catalog.tables:
+            aligned = align_to_spec(tables[spec.name], spec)
             due = days if spec.load_type == "incremental" else days[-1:]
-            self.store.write_load(align_to_spec(tables[spec.name], spec), spec, due)
-        stored = {s.name: self.store.rows(s).where(F.col("load_date").between(days[0], days[-1]))
-                  .join(calendar, "load_date", "left_semi") for s in self.catalog.tables}
-        stored = {s.name: stored[s.name] if s.load_type == "incremental" else
-                  stored[s.name].where(F.col("load_date") == F.lit(days[-1])) for s in self.catalog.tables}
+            kept = [d for d in due if d >= first_kept]
+            self.store.write_load(aligned.where(F.col("load_date") >= F.lit(first_kept)), spec, kept)
+            stored = self.store.rows(spec).where(F.col("load_date").isin(kept))
+            older = aligned.where(F.col("load_date") < F.lit(first_kept))
+            loads[spec.name] = stored if len(kept) == len(due) else stored.unionByName(older)
         history = stage(base_points(self.store.read("metrics")), "history")
-        v = validate(self.catalog, stored, arrivals, shape, history, self.sql_seconds)
+        v = validate(self.catalog, loads, arrivals, shape, history, self.sql_seconds)
         counts = v.stats.where(F.col("kind") == "rows").select("load_date", "table", F.col("total_rows").alias("row_count"))
-        loads = arrivals.join(counts, ["load_date", "table"], "left").join(shape, ["load_date", "table"]) \
+        delivered = arrivals.join(counts, ["load_date", "table"], "left").join(shape, ["load_date", "table"]) \
             .withColumn("row_count", F.coalesce("row_count", F.lit(0).cast("bigint")))
-        self.store.write("loads", loads)
+        self.store.write("loads", delivered)
         self.store.write("check_results", v.checks)
         self.store.write("metrics", v.metrics)
         self.store.write("observations", v.observations)
@@ -134,7 +140,7 @@ class Monitor:
             F.lit(seq).cast("bigint").alias("seq"), F.lit(head["run_id"]).cast("string").alias("run_id"),
             F.lit(head["published_at"]).alias("published_at"), F.lit(head["published"]).cast("timestamp").alias("published"),
             F.lit(head["published_at"]).alias("fingerprint"), "load_date"))
-        self.store.apply_retention(list(self.catalog.tables), days[-1])
+        self.store.apply_retention(list(self.catalog.tables), days[-1], ROW_DAYS)
 
     def _suggest(self, tables: dict[str, DataFrame], days: list[date]) -> None:
         """Tables without rules get suggested ones from their first delivered load, once."""

@@ -44,10 +44,12 @@ def stream_rows(rows: DataFrame, spec: TableSpec, store: Store, checkpoint: str,
 def daily_counts(rows: DataFrame, time_column: str, table: str, load_type: str = "incremental",
                  delay: str = "1 hour") -> DataFrame:
     """Rows per day of a stream as volume series; a day is emitted once the watermark passes its end."""
-    at = F.col(time_column).cast("timestamp")
+    # Windows start at UTC midnight: shift the clock of the session onto UTC, so that days are those people see.
+    at = F.from_utc_timestamp(F.col(time_column).cast("timestamp"), F.current_timezone())
     counted = rows.select(at.alias("at")).withWatermark("at", delay).groupBy(F.window("at", "1 day")).count()
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("window.start") / 86400).cast("int"))
     return counted.select(
-        F.lit(table).alias("table"), F.lit("rows").alias("check_id"), F.to_date("window.start").alias("load_date"),
+        F.lit(table).alias("table"), F.lit("rows").alias("check_id"), day.alias("load_date"),
         F.col("count").cast("double").alias("value"), F.lit(VOLUME_Z).alias("z"),
         F.lit(load_type == "incremental").alias("same_weekday"), F.lit(True).alias("volume"))
 

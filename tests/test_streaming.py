@@ -44,11 +44,16 @@ def test_a_day_published_again_replaces_its_point(spark):
     assert got[MONDAY + timedelta(days=20)].center == expected[MONDAY + timedelta(days=20)].center
 
 
-def test_days_close_with_the_watermark(spark):
+@pytest.mark.parametrize("zone", ["UTC", "America/Bogota"])
+def test_days_close_with_the_watermark(spark, zone):
     use_rocksdb(spark)
     rows = [(datetime(2026, 1, 1) + timedelta(minutes=37 * i),) for i in range(400)]
-    counts = daily_counts(stream_of(spark, "at timestamp", [rows[:150], rows[150:]]), "at", "t")
-    got = {r.load_date: r.value for r in run_to_table(counts, "counts").collect()}
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        counts = daily_counts(stream_of(spark, "at timestamp_ntz", [rows[:150], rows[150:]]), "at", "t")
+        got = {r.load_date: r.value for r in run_to_table(counts, "counts").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     whole = {}
     for (t,) in rows:
         whole[t.date()] = whole.get(t.date(), 0) + 1
