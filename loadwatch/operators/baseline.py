@@ -13,6 +13,7 @@ A series is one row per (table, check, day): its length is bounded by the calend
 from __future__ import annotations
 
 import math
+import statistics
 from collections import deque
 
 import numpy as np
@@ -34,6 +35,8 @@ MAD_SCALE = 1.4826
 RELATIVE_FLOOR = 0.05
 ABSOLUTE_FLOOR = 1e-9
 
+TIE = 1e-9  # closer than this to the edge, rounding could decide a verdict
+
 
 # ------------------------------------------------------------- one series
 def _median(ordered: list[float]) -> float:
@@ -41,6 +44,11 @@ def _median(ordered: list[float]) -> float:
     return (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
 
 
+def _deviation(values: list[float]) -> float:
+    mean = math.fsum(values) / len(values)
+    return math.sqrt(math.fsum((v - mean) ** 2 for v in values) / (len(values) - 1))
+
+
 class CleanHistory:
     """The last clean points of one series and the band they give for the next day."""
 
@@ -69,23 +77,29 @@ class CleanHistory:
 
     def judge(self, day: int, value: float):
         """(weekday_used, center, spread, lo, hi, score, passed); Nones while the history is too short."""
-        values, least, matched, sparse = self._sample(day)
-        n = len(values)
-        if n < MIN_POINTS:
-            return matched, None, None, None, None, None, True
+        sample = self._sample(day)
+        if len(sample[0]) < MIN_POINTS:
+            return sample[2], None, None, None, None, None, True
+        verdict, margin = self._compare(value, sample, _deviation)
+        if margin < TIE:  # on the very edge the last digit decides: use the exact deviation
+            verdict, _ = self._compare(value, sample, statistics.stdev)
+        return verdict
+
+    def _compare(self, value: float, sample, deviation):
+        """The verdict, and how far the value is from the edge of its band relative to the spread."""
+        values, least, matched, sparse = sample
         center = _median(sorted(values))
-        mean = math.fsum(values) / n
-        deviation = math.sqrt(math.fsum((v - mean) ** 2 for v in values) / (n - 1))
         mad = _median(sorted(abs(v - center) for v in values))
-        spread = max(deviation, MAD_SCALE * mad, abs(center) * RELATIVE_FLOOR, least, ABSOLUTE_FLOOR)
+        spread = max(deviation(values), MAD_SCALE * mad, abs(center) * RELATIVE_FLOOR, least, ABSOLUTE_FLOOR)
         lo, hi = center - self.z * spread, center + self.z * spread
         score = (value - center) / spread
         if not self.volume:
-            return matched, center, spread, lo, hi, score, abs(score) <= self.z
+            return (matched, center, spread, lo, hi, score, abs(score) <= self.z), abs(abs(score) - self.z)
         lo = max(lo, 0.0)
         if sparse:
             lo, hi = 0.0, max(hi, 3 * center, float(SPARSE_ROWS))
-        return matched, center, spread, lo, hi, score, lo <= value <= hi
+        edge = min(abs(value - lo), abs(value - hi)) / spread
+        return (matched, center, spread, lo, hi, score, lo <= value <= hi), edge
 
 
 def _replay_group(pdf: pd.DataFrame) -> pd.DataFrame:

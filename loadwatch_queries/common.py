@@ -72,7 +72,8 @@ def band_sql(daily: str, prefix: str = "") -> str:
                            WHEN vol THEN greatest(center - z * spread, 0) ELSE center - z * spread END AS lo,
                       CASE WHEN center IS NULL THEN NULL WHEN vol AND typical < 30 THEN greatest(center + z * spread, 3 * center, 30)
                            ELSE center + z * spread END AS hi
-      FROM (SELECT *, CASE WHEN center IS NULL THEN NULL ELSE greatest(list_stddev_samp(w),
+      FROM (SELECT *, CASE WHEN center IS NULL THEN NULL ELSE greatest(
+                          sqrt(list_aggregate(list_transform(w, lambda q: power(q - list_aggregate(w, 'favg'), 2)), 'fsum') / (len(w) - 1)),
                           1.4826 * list_median(list_transform(w, lambda q: abs(q - center))), abs(center) * 0.05,
                           CASE WHEN vol THEN greatest(1.0, sqrt(typical)) ELSE 0 END, 1e-9) END AS spread
       FROM (SELECT *, CASE WHEN len(w) < 4 THEN NULL ELSE list_median(w) END AS center

@@ -97,9 +97,10 @@ def _order_days(spark, sf, condition):
 @query(f"""WITH manifest AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS load_date FROM orders
                              WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'),
     wanted AS (SELECT load_date FROM manifest UNION SELECT load_date FROM ({_AVAILABLE})
-               WHERE load_date <= (SELECT max(load_date) FROM manifest))
-    SELECT load_date FROM wanted WHERE load_date NOT IN (
-        SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderpriority = '5-LOW')""")
+               WHERE load_date <= (SELECT max(load_date) FROM manifest)),
+    pending AS (SELECT load_date FROM wanted WHERE load_date NOT IN (
+        SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderpriority = '5-LOW'))
+    SELECT load_date FROM pending UNION ALL SELECT load_date FROM wanted WHERE NOT EXISTS (SELECT 1 FROM pending)""")
 def planned_dates_first(spark, sf):
     manifest = _order_days(spark, sf, "o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")
     processed = _order_days(spark, sf, "o_orderpriority = '5-LOW'")
