@@ -4,28 +4,27 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadwatch.functions.scalars import half_even
 from loadwatch.model import NUMERIC, TEXT, Field, TableSpec
-from loadwatch.operators.rules import is_identifier
+from loadwatch.operators.rules import is_identifier, quoted
 
 MAX_CATALOGUE, MIN_PRESENT = 12, 30  # fixed values: when a text column looks like a short catalogue
 
 
-def _text(field: Field) -> Column:
-    c = F.col(f"`{field.name}`")
-    return (c + F.lit(0.0)).cast("string") if field.data_type() in ("double", "float") else c.cast("string")
+def _text(field: Field) -> str:
+    c = f"`{field.name}`"
+    return f"CAST({c} + 0.0D AS STRING)" if field.data_type() in ("double", "float") else f"CAST({c} AS STRING)"
 
 
 LONG_TEXT = 64
 
 
-def _identity(field: Field) -> Column:
+def _identity(field: Field) -> str:
     """What tells one value from another: the value, or the SHA-256 of a text longer than the digest itself."""
     shown = _text(field)
-    return F.when(F.length(shown) > LONG_TEXT, F.sha2(shown, 256)).otherwise(shown) if field.type == TEXT else shown
+    return f"CASE WHEN length({shown}) > {LONG_TEXT} THEN sha2({shown}, 256) ELSE {shown} END" if field.type == TEXT else shown
 
 
 def profile(df: DataFrame, spec: TableSpec, exact: bool = True) -> DataFrame:
@@ -39,44 +38,40 @@ def profile(df: DataFrame, spec: TableSpec, exact: bool = True) -> DataFrame:
 
 
 def _finish(rows: DataFrame, spec: TableSpec) -> DataFrame:
-    share = F.when(F.col("n") > 0, half_even(100 * F.col("nulls") / F.col("n"), 2))
-    names, types = (F.array(*[F.lit(v) for v in values]) for values in (spec.column_names, [c.type for c in spec.columns]))
-    return rows.select("load_date", F.lit(spec.name).alias("table"), "position", F.get(names, F.col("position")).alias("column"),
-                       F.get(types, F.col("position")).alias("type"), share.alias("null_pct"),
-                       F.col("distinct_values").cast("bigint").alias("distinct_values"),
-                       "min_value", "max_value", half_even(F.col("mean_value"), 2).alias("mean_value"))
+    names, types = (", ".join(map(quoted, v)) for v in (spec.column_names, [c.type for c in spec.columns]))
+    return rows.selectExpr(
+        "load_date", f"{quoted(spec.name)} AS `table`", "position", f"get(array({names}), position) AS column",
+        f"get(array({types}), position) AS type", "CASE WHEN n > 0 THEN bround(100 * nulls / n, 2) END AS null_pct",
+        "CAST(distinct_values AS BIGINT) AS distinct_values", "min_value", "max_value", "bround(mean_value, 2) AS mean_value")
 
 
 def _exact_profile(df: DataFrame, spec: TableSpec) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(i).alias("position"), _identity(c).alias("shown")) for i, c in enumerate(spec.columns)])
-    values = df.select("load_date", F.inline(cells)).groupBy("load_date", "position", "shown").agg(F.count(F.lit(1)).alias("times"))
-    numeric = [i for i, c in enumerate(spec.columns) if c.type in NUMERIC]
-    number = F.when(F.col("position").isin(numeric), F.col("shown").try_cast("double"))
-    values = values.withColumn("number", number)
-    counted = F.when(F.col("number").isNotNull(), F.col("times"))
+    cells = ", ".join(f"struct({i} AS position, {_identity(c)} AS shown)" for i, c in enumerate(spec.columns))
+    numeric = ", ".join(str(i) for i, c in enumerate(spec.columns) if c.type in NUMERIC) or "-1"
+    values = df.selectExpr("load_date", f"inline(array({cells}))").groupBy("load_date", "position", "shown") \
+        .agg(F.expr("count(1) AS times"))
+    values = values.selectExpr("*", f"CASE WHEN position IN ({numeric}) THEN try_cast(shown AS DOUBLE) END AS number")
     rows = values.groupBy("load_date", "position").agg(
-        F.sum("times").alias("n"), F.sum(F.when(F.col("shown").isNull(), F.col("times")).otherwise(0)).alias("nulls"),
-        F.count("shown").alias("distinct_values"), F.min("number").alias("min_value"), F.max("number").alias("max_value"),
-        (F.sum(F.col("number") * F.col("times")) / F.sum(counted)).alias("mean_value"))
+        F.expr("sum(times) AS n"), F.expr("sum(CASE WHEN shown IS NULL THEN times ELSE 0 END) AS nulls"),
+        F.expr("count(shown) AS distinct_values"), F.expr("min(number) AS min_value"), F.expr("max(number) AS max_value"),
+        F.expr("sum(number * times) / sum(CASE WHEN number IS NOT NULL THEN times END) AS mean_value"))
     return _finish(rows, spec)
 
 
 def _estimated_profile(df: DataFrame, spec: TableSpec) -> DataFrame:
-    aggregates = [F.count(F.lit(1)).alias("n")]
+    aggregates, cells = ["count(1) AS n"], []
     for i, c in enumerate(spec.columns):
-        col = F.col(f"`{c.name}`")
-        aggregates += [F.count_if(col.isNull()).alias(f"nulls_{i}"), F.approx_count_distinct(_text(c)).alias(f"distinct_{i}")]
+        name = f"`{c.name}`"
+        aggregates += [f"count_if({name} IS NULL) AS nulls_{i}", f"approx_count_distinct({_text(c)}) AS distinct_{i}"]
+        numbers = {"min": "CAST(NULL AS DOUBLE)", "max": "CAST(NULL AS DOUBLE)", "mean": "CAST(NULL AS DOUBLE)"}
         if c.type in NUMERIC:
-            aggregates += [F.min(col.cast("double")).alias(f"min_{i}"), F.max(col.cast("double")).alias(f"max_{i}"),
-                           F.avg(col).cast("double").alias(f"mean_{i}")]
-    none = F.lit(None).cast("double")
-    rows = F.array(*[
-        F.struct(F.lit(i).alias("position"), F.col(f"nulls_{i}").alias("nulls"), F.col(f"distinct_{i}").alias("distinct_values"),
-                 (F.col(f"min_{i}") if c.type in NUMERIC else none).alias("min_value"),
-                 (F.col(f"max_{i}") if c.type in NUMERIC else none).alias("max_value"),
-                 (F.col(f"mean_{i}") if c.type in NUMERIC else none).alias("mean_value"))
-        for i, c in enumerate(spec.columns)])
-    return _finish(df.groupBy("load_date").agg(*aggregates).select("load_date", "n", F.inline(rows)), spec)
+            aggregates += [f"CAST(min({name}) AS DOUBLE) AS min_{i}", f"CAST(max({name}) AS DOUBLE) AS max_{i}",
+                           f"CAST(avg({name}) AS DOUBLE) AS mean_{i}"]
+            numbers = {k: f"{k}_{i}" for k in numbers}
+        cells.append(f"struct({i} AS position, nulls_{i} AS nulls, distinct_{i} AS distinct_values, "
+                     + ", ".join(f"{v} AS {k}_value" for k, v in numbers.items()) + ")")
+    by_day = df.groupBy("load_date").agg(*[F.expr(a) for a in aggregates])
+    return _finish(by_day.selectExpr("load_date", "n", f"inline(array({', '.join(cells)}))"), spec)
 
 
 # -------------------------------------------------------------- suggestions
@@ -90,23 +85,22 @@ def suggest_rules(load: DataFrame, spec: TableSpec) -> list[dict[str, Any]]:
     numbers = [c for c in spec.columns if c.type in NUMERIC and not is_identifier(c.name)]
     texts = [c for c in spec.columns if c.type == TEXT and not is_identifier(c.name)]
 
-    def present(c: Field) -> Column:
-        col = F.col(f"`{c.name}`")
-        return col.isNotNull() & (col.cast("string") != "")
+    def present(c: Field) -> str:
+        return f"(`{c.name}` IS NOT NULL AND CAST(`{c.name}` AS STRING) <> '')"
 
-    first = [F.count(F.lit(1)).alias("n")]
-    first += [F.count_if(present(c)).alias(f"present:{c.name}") for c in spec.columns]
-    first += [F.min(F.col(f"`{c.name}`")).cast("double").alias(f"min:{c.name}") for c in numbers]
-    first += [F.approx_count_distinct(F.when(present(c), _text(c))).alias(f"about:{c.name}") for c in texts]
-    seen = load.agg(*first).first()
+    first = ["count(1) AS n"]
+    first += [f"count_if({present(c)}) AS `present:{c.name}`" for c in spec.columns]
+    first += [f"CAST(min(`{c.name}`) AS DOUBLE) AS `min:{c.name}`" for c in numbers]
+    first += [f"approx_count_distinct(CASE WHEN {present(c)} THEN {_text(c)} END) AS `about:{c.name}`" for c in texts]
+    seen = load.agg(*map(F.expr, first)).first()
     n = seen["n"]
     if n == 0:
         return []
     short = [c for c in texts if seen[f"present:{c.name}"] >= MIN_PRESENT and seen[f"about:{c.name}"] <= MAX_CATALOGUE]
     full_ids = [c for c in ids if seen[f"present:{c.name}"] == n]
     unique = [c for c in full_ids if spec.load_type == "incremental"]
-    second = [F.array_sort(F.collect_set(F.when(present(c), _text(c)))).alias(f"values:{c.name}") for c in short]
-    found = load.agg(*second).first() if second else {}
+    second = [f"array_sort(collect_set(CASE WHEN {present(c)} THEN {_text(c)} END)) AS `values:{c.name}`" for c in short]
+    found = load.agg(*map(F.expr, second)).first() if second else {}
     distinct = {c.name: load.groupBy(F.col(f"`{c.name}`")).agg(F.count(F.lit(1)).alias("times"))
                 .agg(F.max("times")).first()[0] == 1 for c in unique}
     out = []

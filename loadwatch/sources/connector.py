@@ -114,13 +114,13 @@ def normalize_types(df: DataFrame) -> DataFrame:
     return df.select([plain(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
-def _rule_value(col: Column, data_type: T.DataType) -> Column:
+def _rule_value(name: str, data_type: T.DataType) -> str:
     """A cell as the rules see it: native dates, booleans as 0 and 1, NaN as missing."""
     if isinstance(data_type, T.BooleanType):
-        return col.cast("int")
+        return f"CAST({name} AS INT)"
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(col), col)
-    return col
+        return f"CASE WHEN NOT isnan({name}) THEN {name} END"
+    return name
 
 
 def align_to_spec(df: DataFrame, spec: TableSpec, keep: tuple[str, ...] = ("load_date",)) -> DataFrame:
@@ -128,12 +128,11 @@ def align_to_spec(df: DataFrame, spec: TableSpec, keep: tuple[str, ...] = ("load
     types = {f.name: f.dataType for f in df.schema.fields}
     columns = []
     for c in spec.columns:
-        if c.name in types:
-            columns.append(_rule_value(F.col(f"`{c.name}`"), types[c.name]).alias(c.name))
-        else:
-            columns.append(F.lit(None).cast("int" if c.data_type() == "boolean" else c.data_type()).alias(c.name))
-    tags = [F.col(k) for k in keep if k in types and k not in spec.column_names]
-    return df.select(*columns, *tags)
+        name = f"`{c.name}`"
+        empty = "INT" if c.data_type() == "boolean" else c.data_type()
+        value = _rule_value(name, types[c.name]) if c.name in types else f"CAST(NULL AS {empty})"
+        columns.append(name if value == name else f"{value} AS {name}")
+    return df.selectExpr(*columns, *[k for k in keep if k in types and k not in spec.column_names])
 
 
 # -------------------------------------------------------------- connector
