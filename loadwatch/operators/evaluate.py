@@ -62,13 +62,13 @@ def _stat(check_id: str, kind: str, value: str, failing: str) -> str:
 def _fused_stats(df: DataFrame, spec: TableSpec, rules: list[Rule]) -> DataFrame:
     row_rules = [r for r in rules if r.type in ROW_RULES]
     outliers = [r for r in rules if r.type == "outlier"]
-    flags = {f"bad_{i}": bad_rows(r, spec) for i, r in enumerate(row_rules)}
-    aggregates = [F.expr("count(1) AS row_count"), *[F.expr(f"count_if({name}) AS n_{name}") for name in flags]]
+    flags = {f"__bad_{i}": bad_rows(r, spec) for i, r in enumerate(row_rules)}
+    aggregates = [F.expr("count(1) AS row_count"), *[F.expr(f"count_if({name}) AS n{name}") for name in flags]]
     aggregates += [daily_value(r).alias(f"value_{i}") for i, r in enumerate(outliers)]
     # One row per load date after map-side combining, whatever the size of a load.
     wide = (df.withColumns(flags) if flags else df).groupBy("load_date").agg(*aggregates)
     stats = [_stat("rows", "rows", "row_count", "0")]
-    stats += [_stat(r.id, "row", "NULL", f"n_bad_{i}") for i, r in enumerate(row_rules)]
+    stats += [_stat(r.id, "row", "NULL", f"n__bad_{i}") for i, r in enumerate(row_rules)]
     stats += [_stat(r.id, "outlier", f"value_{i}", "0") for i, r in enumerate(outliers)]
     return wide.selectExpr("load_date", f"inline(array({', '.join(stats)}))")
 
@@ -79,7 +79,7 @@ def _long_key(spec: TableSpec, columns: list[str]) -> bool:
 
 
 def key_groups(df: DataFrame, columns: list[str], long_key: bool) -> DataFrame:
-    """Rows per key within each load, as `times`; NULL keys group together.
+    """Rows per key within each load, as `__times`; NULL keys group together.
 
     With a long key only the groups that may repeat come back: a 64-bit hash of the key is counted first, and only
     rows whose hash repeats carry their key through a shuffle. A hash that occurs once belongs to a key that occurs
@@ -87,30 +87,30 @@ def key_groups(df: DataFrame, columns: list[str], long_key: bool) -> DataFrame:
     """
     keys = [F.col(f"`{c}`") for c in columns]
     if long_key:
-        df = df.withColumn("key_hash", F.xxhash64(*keys))
-        again = _hash_counts(df).where("n > 1").select("load_date", "key_hash")
-        df = df.join(again, ["load_date", "key_hash"], "left_semi")
-    return df.groupBy("load_date", *keys).agg(F.expr("count(1) AS times"))
+        df = df.withColumn("__key_hash", F.xxhash64(*keys))
+        again = _hash_counts(df).where("__rows > 1").select("load_date", "__key_hash")
+        df = df.join(again, ["load_date", "__key_hash"], "left_semi")
+    return df.groupBy("load_date", *keys).agg(F.expr("count(1) AS __times"))
 
 
 def _hash_counts(hashed: DataFrame) -> DataFrame:
-    return hashed.groupBy("load_date", "key_hash").agg(F.expr("count(1) AS n"))
+    return hashed.groupBy("load_date", "__key_hash").agg(F.expr("count(1) AS __rows"))
 
 
 def duplicate_groups(df: DataFrame, columns: list[str], long_key: bool = False) -> DataFrame:
-    """Groups that repeat within a load."""
-    return key_groups(df, columns, long_key).where("times > 1")
+    """Groups that repeat within a load, with how many `times`."""
+    return key_groups(df, columns, long_key).where("__times > 1").withColumnRenamed("__times", "times")
 
 
 def _unique_stats(df: DataFrame, spec: TableSpec, rule: Rule) -> DataFrame:
     columns = rule.params["columns"]
     long_key = _long_key(spec, columns)
     stats = key_groups(df, columns, long_key).groupBy("load_date").agg(
-        F.expr("sum(times - 1) AS failing_rows"), F.expr("count_if(times > 1) AS repeated_groups"),
-        F.expr("sum(times) AS total_rows"))
+        F.expr("sum(__times - 1) AS failing_rows"), F.expr("count_if(__times > 1) AS repeated_groups"),
+        F.expr("sum(__times) AS total_rows"))
     if long_key:
-        hashed = df.withColumn("key_hash", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
-        totals = _hash_counts(hashed).groupBy("load_date").agg(F.expr("sum(n) AS total_rows"))
+        hashed = df.withColumn("__key_hash", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+        totals = _hash_counts(hashed).groupBy("load_date").agg(F.expr("sum(__rows) AS total_rows"))
         stats = totals.join(stats.drop("total_rows"), "load_date", "left").selectExpr(
             "load_date", "coalesce(failing_rows, 0L) AS failing_rows", "coalesce(repeated_groups, 0L) AS repeated_groups",
             "total_rows")
@@ -211,8 +211,8 @@ def failing_examples(df: DataFrame, spec: TableSpec, rules: list[Rule], n: int =
 
     One scan for all rules; ranks are cut before the shuffle, so a load full of bad rows stays cheap.
     """
-    flags = {f"bad_{i}": F.coalesce(bad_rows(r, spec), F.lit(False)) for i, r in enumerate(rules)}
-    broken = F.explode(F.array(*[F.when(F.col(f"bad_{i}"), F.lit(r.id)) for i, r in enumerate(rules)]))
+    flags = {f"__bad_{i}": F.coalesce(bad_rows(r, spec), F.lit(False)) for i, r in enumerate(rules)}
+    broken = F.explode(F.array(*[F.when(F.col(f"__bad_{i}"), F.lit(r.id)) for i, r in enumerate(rules)]))
     columns = [F.col(f"`{c}`") for c in spec.column_names]
     bad = df.withColumns(flags).where(reduce(lambda a, b: a | b, [F.col(f) for f in flags])) \
         .select("load_date", broken.alias("check_id"), F.struct(*columns).alias("record")).where("check_id is not null")

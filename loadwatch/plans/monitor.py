@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from loadwatch.model import Catalog, Rule, small_frame, specs_frame
 from loadwatch.operators import incidents as inc
@@ -24,6 +25,7 @@ from loadwatch.sources.connector import Connector, align_to_spec, available_date
 from loadwatch.sources.publications import fingerprint, parse_manifest, plan_dates, publication_log, read_manifest
 from loadwatch.sources.rulebook import load_rules, next_id, save_rules
 from loadwatch.sources.store import Store
+from loadwatch.streaming.ingest import watch_publications
 
 ROW_DAYS = 7  # days of rows kept
 
@@ -65,13 +67,16 @@ class Monitor:
                     F.lit(None).cast("array<string>").alias("dates"), F.lit(None).cast("map<string,bigint>").alias("datasets"))
         return parse_manifest(times)
 
-    def sync(self) -> list[date]:
-        """Validate what the source has published since the last call; the dates validated, none if nothing changed."""
-        published = self.publication()
-        if published is None or published.isEmpty():
-            return []
-        head = published.orderBy(F.desc("published")).select(
+    def sync(self, published: DataFrame | None = None) -> list[date]:
+        """Validate what the source has published since the last call; the dates validated, none if nothing changed.
+
+        `published` are manifest rows; by default those the source shows now.
+        """
+        published = self.publication() if published is None else published
+        head = None if published is None else published.orderBy(F.desc("published")).select(
             "run_id", "published_at", "published", "published_minute").first()
+        if head is None:
+            return []
         log = self.store.read("publications")
         last = log.orderBy(F.desc("seq")).select("seq", "fingerprint").first()
         if last is not None and last["fingerprint"] == head["published_at"]:
@@ -85,9 +90,13 @@ class Monitor:
             self._validate_days(days, head, self._next_seq())
         return days
 
+    def watch(self, folder: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+        """Validate each new manifest of `folder` as it appears, in order and once."""
+        return watch_publications(self.spark, folder, lambda manifest, _: self.sync(manifest), checkpoint, trigger)
+
     def _next_seq(self) -> int:
-        """Processing order: one more than any publication or overdue notice so far."""
-        return (self.store.read("observations").agg(F.max("seq").alias("seq")).first()["seq"] or 0) + 1
+        """Processing order: one more than the last one logged. What an interrupted run left is overwritten."""
+        return (self.store.read("publications").agg(F.max("seq").alias("seq")).first()["seq"] or 0) + 1
 
     def _validate_days(self, days: list[date], head, seq: int) -> None:
         spark, connector = self.spark, self.connector
@@ -160,14 +169,16 @@ class Monitor:
     def check_overdue(self, as_of: datetime) -> bool:
         """Record the failure of every table when the source is overdue; once per day."""
         log = self.store.read("publications")
-        checks = overdue_source(log, specs_frame(self.spark, self.catalog), as_of, self.connector.title)
-        noted = self.store.read("observations")
-        if checks.isEmpty() or not noted.where((F.col("load_date") == F.lit(as_of.date())) & F.exists(
-                "checks", lambda c: c["check_id"] == "availability")).isEmpty():
+        checks = overdue_source(log, self.specs, as_of, self.connector.title)
+        today = self.store.read("observations").where(F.col("load_date") == F.lit(as_of.date()))
+        if checks.isEmpty() or not today.where(F.exists("checks", lambda c: c["check_id"] == "availability")).isEmpty():
             return False
-        minutes = checks.select("load_date", "table", F.lit(as_of.hour * 60 + as_of.minute).alias("minute"),
-                                F.lit(self._next_seq()).cast("bigint").alias("seq"))
+        seq = F.lit(self._next_seq()).cast("bigint").alias("seq")
+        minutes = checks.select("load_date", "table", F.lit(as_of.hour * 60 + as_of.minute).alias("minute"), seq)
         self.store.write("observations", inc.observations(checks, minutes))
+        # The log keeps its order: a notice repeats the last publication, without dates.
+        last = log.orderBy(F.desc("seq")).limit(1)
+        self.store.write("publications", stage(last.withColumns({"seq": seq, "load_date": F.lit(None).cast("date")}), "notice"))
         return True
 
     # ---------------------------------------------------------------- rules
@@ -216,7 +227,7 @@ class Monitor:
 
     def runs(self) -> DataFrame:
         """One row per publication validated so far."""
-        log = self.store.read("publications").groupBy("seq", "run_id", "published_at").agg(F.collect_set("load_date").alias("dates"))
+        log = self.store.read("publications").where("load_date is not null").groupBy("seq", "run_id", "published_at").agg(F.collect_set("load_date").alias("dates"))
         published = F.to_timestamp("published_at")
         return publication_log(log.select(
             "run_id", "published_at", F.to_date(published).alias("published_date"),

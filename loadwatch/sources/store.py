@@ -33,7 +33,7 @@ BY_MONTH = ("loads", "metrics", "check_results")  # the others are appended, one
 
 def stored_schema(spec: TableSpec) -> T.StructType:
     """Types of the rows of a table as stored: booleans are 0 and 1."""
-    kinds = [(c.name, "int" if c.data_type() == "boolean" else c.data_type()) for c in spec.columns]
+    kinds = [(c.name, "int" if c.data_type() == "boolean" else c.data_type()) for c in spec.columns if c.name != "load_date"]
     return T.StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k in kinds))
 
 
@@ -86,7 +86,8 @@ class Store:
     def write_load(self, df: DataFrame, spec: TableSpec, days: list[date] | None = None) -> None:
         """Rows tagged with `load_date` replace those of the same days. `days` names the delivered days, so that
         one that now brings no row loses its old ones."""
-        self._write(df.select(*[F.col(f"`{c}`") for c in spec.column_names], "load_date"), f"rows/{spec.name}", ["load_date"])
+        columns = [F.col(f"`{c}`") for c in spec.column_names if c != "load_date"]
+        self._write(df.select(*columns, "load_date"), f"rows/{spec.name}", ["load_date"])
         if days:
             kept = {r[0] for r in df.select("load_date").distinct().collect()}
             self._drop(f"rows/{spec.name}", [f"load_date={d.isoformat()}" for d in days if d not in kept])

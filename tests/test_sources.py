@@ -172,6 +172,32 @@ def test_overdue_source_is_one_incident_per_table(spark, tmp_path):
     assert m.incidents().where("resolution = 'manual'").isEmpty()  # already resolved
 
 
+def test_watching_a_folder_of_manifests(spark, tmp_path):
+    publish(spark, tmp_path, days=4, published="2026-09-04T23:00:00+00:00")
+    cfg = config(tmp_path)
+    cfg["tables"] = cfg["tables"][:1]
+    m = Monitor(spark, load_connector(spark, cfg), Store(spark, str(tmp_path / "store")))
+    (tmp_path / "manifests").mkdir()
+    for i, days in enumerate((["2026-09-01", "2026-09-02"], ["2026-09-03", "2026-09-04"])):
+        (tmp_path / "manifests" / f"{i}.json").write_text(json.dumps({"run_id": f"r{i}", "published_at": f"2026-09-0{4 + i}T23:00:00", "dates": days}))
+        os.utime(tmp_path / "manifests" / f"{i}.json", (1.7e9 + i, 1.7e9 + i))
+    for _ in range(2):
+        m.watch(str(tmp_path / "manifests"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert m.store.read("loads").count() == 4 and m.runs().count() == 2
+
+
+def test_a_source_column_may_be_called_load_date(spark, tmp_path):
+    spark.range(6).selectExpr("id", "date_add(date'2026-09-01', cast(id % 2 as int)) load_date", "id % 2 times") \
+        .coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    (tmp_path / "manifest.json").write_text('{"run_id": "r", "published_at": "2026-09-02T01:00:00", "dates": ["2026-09-01", "2026-09-02"]}')
+    cfg = {"source": "s", "path": str(tmp_path), "manifest": "manifest.json", "tables": [{"name": "t", "date_column": "load_date"}],
+           "rules": [{"table": "t", "type": "unique", "severity": "low", "params": {"columns": ["times"]}}]}
+    m = Monitor(spark, load_connector(spark, cfg), Store(spark, str(tmp_path / "store")))
+    assert len(m.sync()) == 2
+    got = m.store.read("check_results").where("check_id = 'R001'").collect()
+    assert [r.failing_rows for r in got] == [2, 2] and m.store.rows(m.catalog.spec("t")).count() == 6
+
+
 def test_last_date_only_still_loads_the_history(spark, tmp_path):
     publish(spark, tmp_path, days=4, listed=["2026-09-04"])
     dates = read_manifest(spark, f"{tmp_path}/manifest.json").select(F.explode("dates").alias("load_date"))
