@@ -308,7 +308,8 @@ class Monitor:
 
     def table_detail(self, table: str) -> dict[str, DataFrame]:
         """What a table's page shows; `outlier:<rule>` holds the band of each outlier rule."""
-        spec, metrics, checks = self.catalog.spec(table), self.store.read("metrics"), self.store.read("check_results")
+        spec = self.catalog.spec(table)
+        metrics, checks = self.store.read("metrics"), self.store.read("check_results")
         own = checks.where(F.col("table") == table)
         newest = own.agg(F.max("load_date")).scalar()
         rows = self.store.rows(spec)

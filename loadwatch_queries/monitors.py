@@ -7,12 +7,12 @@ from datetime import datetime, time
 from pyspark.sql import functions as F
 
 from loadwatch.model import Catalog, Field, TableSpec, specs_frame
+from loadwatch.operators.evaluate import evaluate_rules
 from loadwatch.operators.monitors import availability, due_loads, missing_loads, overdue_source, structure, table_status
 from loadwatch.operators.score import global_scores, table_scores
-from loadwatch_queries.common import rules_of, loads_of, shown, table
-from loadwatch.operators.evaluate import evaluate_rules
+from loadwatch_queries.common import loads_of, rules_of, table
 from loadwatch_queries.rules import LINEITEM_CHECKS, LINEITEM_RULES
-from loadwatch_queries.state import LAST_MINUTE, TYPES, catalog, deliveries, state, with_state
+from loadwatch_queries.state import TYPES, deliveries, state, with_state
 
 QUERIES = {}
 

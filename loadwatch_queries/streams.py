@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
-from loadwatch.model import Catalog, specs_frame
-from loadwatch.operators.baseline import outlier_series, volume_series
+from loadwatch.model import Catalog
+from loadwatch.operators.baseline import outlier_series
 from loadwatch.operators.evaluate import daily_stats, rule_facts
 from loadwatch.session import shared_dir, stage
 from loadwatch.sources.store import Store
