@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from loadwatch.functions.scalars import evidence_number, half_even, thousands
 from loadwatch.model import ERROR, FAIL, NUMERIC, OK, TEXT, Catalog, Rule, TableSpec, small_frame
+from loadwatch.operators.rules import (ROW_RULES, analysis_error, bad_rows, daily_value, describe, is_identifier, quoted,
+                                       rule_sql)
 from loadwatch.session import stage
-from loadwatch.operators.rules import ROW_RULES, analysis_error, bad_rows, daily_value, describe, is_identifier, quoted, rule_sql
 
 MONITOR_CHECKS = 3  # availability, volume and structure come before the rules
 STAT_COLUMNS = ("table", "load_date", "check_id", "kind", "value", "failing_rows", "repeated_groups", "total_rows")

@@ -231,9 +231,9 @@ def read_load(df: DataFrame, spec: TableSpec, day: date | None) -> DataFrame:
 
 
 def tag_loads(df: DataFrame, spec: TableSpec, snapshot_day: date | None = None) -> DataFrame:
-    """Every load of a table at once, each row tagged with its load date."""
+    """Every load of a table at once, each row tagged with its load date; a row without a date belongs to no load."""
     if spec.load_type == "incremental" and spec.date_column in df.columns:
-        return df.withColumn("load_date", F.col(f"`{spec.date_column}`").cast("date"))
+        return df.withColumn("load_date", F.col(f"`{spec.date_column}`").cast("date")).where("load_date is not null")
     return df.withColumn("load_date", F.lit(snapshot_day).cast("date"))
 
 

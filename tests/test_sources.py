@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from loadwatch.model import Field, TableSpec
 from loadwatch.plans.monitor import Monitor
 from loadwatch.plans.validate import validate_one_day
-from loadwatch.sources.connector import (align_to_spec, available_dates, infer_spec, load_connector, normalize_types, read_load, scan_csv)
+from loadwatch.sources.connector import (align_to_spec, available_dates, infer_spec, load_connector, normalize_types, read_load,
+                                         scan_csv, tag_loads)
 from loadwatch.sources.publications import fingerprint, plan_dates, read_manifest
 from loadwatch.sources.store import Store
 
@@ -272,6 +273,12 @@ def test_alignment_and_nan(spark):
     assert [tuple(r) for r in align_to_spec(df, spec).orderBy("flag").collect()] == [(None, None, 0), (None, 1.0, 1)]
 
 
+def test_rows_without_a_date_belong_to_no_load(spark):
+    df = spark.createDataFrame([(1, date(2026, 1, 1)), (2, None)], "id int, day date")
+    assert [r.load_date for r in tag_loads(df, infer_spec(df, "t", date_column="day")).collect()] == [date(2026, 1, 1)]
+    assert tag_loads(df, infer_spec(df, "t", load_type="snapshot"), date(2026, 1, 2)).count() == 2
+
+
 def test_reading_one_load_prunes_the_file(spark, tmp_path):
     df = spark.range(10).selectExpr("id", "timestamp_ntz'2026-09-01 10:00:00' + make_interval(0, 0, 0, cast(id as int)) ts")
     df.write.parquet(f"{tmp_path}/t.parquet")
