@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that are worked on at once in a task; a longer text is worked on alone.
 CHUNK_BYTES = 3 << 20
@@ -29,6 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def picked(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns, once each, whatever characters their names hold."""
+    return df.select(*(F.col("`" + c.replace("`", "``") + "`") for c in dict.fromkeys(names)))
+
+
+def shape(df: DataFrame, kept: list[str], new: str) -> StructType:
+    """The columns `kept` of `df`, then those of the DDL text `new`."""
+    return StructType([*(df.schema[c] for c in kept), *StructType.fromDDL(new).fields])
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most `limit` bytes of text each, or one row."""
     for batch in batches:

@@ -12,14 +12,13 @@ of the input with the name of a measure is replaced by the measure.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadwatch.llm.arrays import Texts, chunks, rolled, same_bytes, table, xxh64
+from loadwatch.llm.arrays import Texts, chunks, picked, rolled, same_bytes, shape, table, xxh64
 
 WINDOW = 8
 #: The rules, on the measures of a document; `base` is the one that rejects a document by itself.
@@ -120,7 +119,7 @@ def measures(texts: pa.Array) -> dict[str, np.ndarray]:
 def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`docs` (or its columns `keep`) with the measures of every whole text."""
     kept = [c for c in (docs.columns if keep is None else keep) if c not in MEASURES]
-    taken = list(dict.fromkeys([*kept, text]))
+    taken = [*kept, text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, text):
@@ -128,8 +127,7 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
             yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(found[m], pa.int64()) for m in MEASURES],
                                              [*kept, *MEASURES])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema]
-    return docs.select(taken).mapInArrow(run, ", ".join([*fields, *(f"{m} bigint" for m in MEASURES)]))
+    return picked(docs, taken).mapInArrow(run, shape(docs, kept, ", ".join(f"{m} bigint" for m in MEASURES)))
 
 
 def host_verdicts(measured: DataFrame, host: Column, rules: dict[str, str] = RULES, limit: float = HOST_LIMIT) -> DataFrame:

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from loadwatch.llm import quality, tokens
+import corpus_pipeline
+from loadwatch.llm import decontaminate, language, mixing, quality, quotes, scoring, secrets, simhash, tokens, warc
 
 QUERIES = {
+    "op1_lm_score": (scoring.op1_lm_score, None),
     "op2_token_counts": (tokens.op2_token_counts, None),
+    "op3_curriculum": (mixing.op3_curriculum, None),
     "op4_host_rules": (quality.op4_host_rules, None),
+    "op5_language": (language.op5_language, None),
+    "op6_simhash": (simhash.op6_simhash, None),
+    "op7_decontaminate": (decontaminate.op7_decontaminate, decontaminate.OP7_SQL),
+    "op8_warc": (warc.op8_warc, warc.OP8_SQL),
+    "op9_secrets": (secrets.op9_secrets, None),
+    "op10_quotes": (quotes.op10_quotes, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from loadwatch.llm.arrays import chunks, table
+from loadwatch.llm.arrays import chunks, picked, shape, table
 
 LIMIT = 2048
 #: Pre-tokens whose counts a task remembers.
@@ -178,9 +178,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = LI
             yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [
                 pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], [*kept, *new])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema]
-    return docs.select(list(dict.fromkeys([*kept, text]))).mapInArrow(
-        run, ", ".join([*fields, "n_bytes bigint", "n_tokens bigint", "over_limit boolean"]))
+    return picked(docs, [*kept, text]).mapInArrow(run, shape(docs, kept, "n_bytes bigint, n_tokens bigint, over_limit boolean"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
