@@ -13,7 +13,6 @@ A series is one row per (table, check, day): its length is bounded by the calend
 from __future__ import annotations
 
 import math
-import statistics
 from collections import deque
 
 import numpy as np
@@ -35,7 +34,9 @@ MAD_SCALE = 1.4826
 RELATIVE_FLOOR = 0.05
 ABSOLUTE_FLOOR = 1e-9
 
-TIE = 1e-9  # closer than this to the edge, rounding could decide a verdict
+# A point as close as this to the edge of its band, in spreads, is on it and passes: one rule for the replay, the one-day path and
+# streams, so that the rounding of a sum never decides.
+TIE = 1e-9
 
 
 # ------------------------------------------------------------- one series
@@ -80,26 +81,18 @@ class CleanHistory:
         sample = self._sample(day)
         if len(sample[0]) < MIN_POINTS:
             return sample[2], None, None, None, None, None, True
-        verdict, margin = self._compare(value, sample, _deviation)
-        if margin < TIE:  # on the very edge the last digit decides: use the exact deviation
-            verdict, _ = self._compare(value, sample, statistics.stdev)
-        return verdict
-
-    def _compare(self, value: float, sample, deviation):
-        """The verdict, and how far the value is from the edge of its band relative to the spread."""
         values, least, matched, sparse = sample
         center = _median(sorted(values))
         mad = _median(sorted(abs(v - center) for v in values))
-        spread = max(deviation(values), MAD_SCALE * mad, abs(center) * RELATIVE_FLOOR, least, ABSOLUTE_FLOOR)
+        spread = max(_deviation(values), MAD_SCALE * mad, abs(center) * RELATIVE_FLOOR, least, ABSOLUTE_FLOOR)
         lo, hi = center - self.z * spread, center + self.z * spread
         score = (value - center) / spread
         if not self.volume:
-            return (matched, center, spread, lo, hi, score, abs(score) <= self.z), abs(abs(score) - self.z)
+            return matched, center, spread, lo, hi, score, abs(score) <= self.z + TIE
         lo = max(lo, 0.0)
         if sparse:
             lo, hi = 0.0, max(hi, 3 * center, float(SPARSE_ROWS))
-        edge = min(abs(value - lo), abs(value - hi)) / spread
-        return (matched, center, spread, lo, hi, score, lo <= value <= hi), edge
+        return matched, center, spread, lo, hi, score, lo - TIE * spread <= value <= hi + TIE * spread
 
 
 def _replay_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -171,16 +164,18 @@ def _last(values: Column, n: int) -> Column:
 
 def score_new_loads(history: DataFrame, today: DataFrame) -> DataFrame:
     """Bands and verdicts of new days against clean points (table, check_id, load_date, value), not learning between them."""
-    points = history.select(F.col("table").alias("h_table"), F.col("check_id").alias("h_check"),
-                            F.col("load_date").alias("point_date"), F.col("value").alias("point"))
-    earlier = (F.col("table") == F.col("h_table")) & (F.col("check_id") == F.col("h_check")) & \
-        (F.col("point_date") < F.col("load_date"))
-    newest = Window.partitionBy("table", "check_id", "load_date").orderBy(F.desc_nulls_last("point_date"))
-    kept = today.join(points, earlier, "left").withColumn("age", F.row_number().over(newest)) \
-        .where(F.col("age") <= HISTORY_POINTS)
-    own = [*KEY, "load_date", "value", "z", "same_weekday", "volume"]
-    listed = F.sort_array(F.collect_list(F.when(F.col("point_date").isNotNull(), F.struct("point_date", "point"))))
-    s = kept.groupBy(*own).agg(listed.alias("points"))
+    own = ["value", "z", "same_weekday", "volume"]
+    asked = today.select(*KEY, "load_date", *own, F.lit(0).alias("known"), F.lit(None).cast("double").alias("point"))
+    points = history.join(today.select(*KEY).distinct(), KEY, "left_semi").select(
+        *KEY, "load_date", *[F.lit(None).cast(today.schema[c].dataType).alias(c) for c in own], F.lit(1).alias("known"),
+        F.col("value").alias("point"))
+    # One ordered walk over points and asked days: a day sees the points numbered up to it, of earlier days only.
+    series = Window.partitionBy(*KEY)
+    numbered = asked.unionByName(points).withColumn("number", F.sum("known").over(
+        series.orderBy("load_date", "known").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    last = series.orderBy("number").rangeBetween(1 - HISTORY_POINTS, Window.currentRow)
+    pair = F.when(F.col("known") == 1, F.struct(F.col("load_date").alias("point_date"), "point"))
+    s = numbered.withColumn("points", F.sort_array(F.collect_list(pair).over(last))).where("known = 0")
     s = s.withColumn("typical", F.when(F.col("volume"), F.coalesce(array_median(F.col("points.point")), F.lit(0.0))))
     sparse = F.col("volume") & (F.col("typical") < SPARSE_ROWS)
     s = s.withColumn("sparse", F.coalesce(sparse, F.lit(False)))
@@ -202,7 +197,9 @@ def score_new_loads(history: DataFrame, today: DataFrame) -> DataFrame:
     s = s.withColumn("hi", F.when(known, F.when(F.col("sparse"), F.greatest(high, 3 * F.col("center"), F.lit(float(SPARSE_ROWS))))
                                   .otherwise(high)))
     s = s.withColumn("score", (F.col("value") - F.col("center")) / F.col("spread"))
-    inside = F.when(F.col("volume"), F.col("value").between(F.col("lo"), F.col("hi"))).otherwise(F.abs("score") <= F.col("z"))
+    slack = TIE * F.col("spread")
+    inside = F.when(F.col("volume"), F.col("value").between(F.col("lo") - slack, F.col("hi") + slack)) \
+        .otherwise(F.abs("score") <= F.col("z") + TIE)
     return s.withColumn("passed", F.coalesce(inside, F.lit(True))).select(*BAND_COLUMNS)
 
 

@@ -13,7 +13,7 @@ from typing import Any
 
 from pyspark import InheritableThread
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loadwatch.functions.scalars import evidence_number, half_even, thousands
@@ -79,42 +79,44 @@ def _long_key(spec: TableSpec, columns: list[str]) -> bool:
     return any(spec.column(c).type == TEXT and not is_identifier(c) for c in columns)
 
 
+def _key_digest(columns: list[str]) -> Column:
+    """256 bits that stand for a long key: its parts as JSON, where NULL is no text and lengths can't run together."""
+    return F.unhex(F.sha2(F.to_json(F.array(*[F.col(f"`{c}`").cast("string") for c in columns])), 256))
+
+
 def key_groups(df: DataFrame, columns: list[str], long_key: bool) -> DataFrame:
     """Rows per key within each load, as `__times`; NULL keys group together.
 
-    With a long key only the groups that may repeat come back: a 64-bit hash of the key is counted first, and only
-    rows whose hash repeats carry their key through a shuffle. A hash that occurs once belongs to a key that occurs
-    once, so nothing is lost, and rows that share a hash by accident are told apart by the key itself.
+    One scan and one aggregation with map-side combining. A long key travels as its SHA-256 (`__key`), never as text.
     """
-    keys = [F.col(f"`{c}`") for c in columns]
-    if long_key:
-        df = df.withColumn("__key_hash", F.xxhash64(*keys))
-        again = _hash_counts(df).where("__rows > 1").select("load_date", "__key_hash")
-        df = df.join(again, ["load_date", "__key_hash"], "left_semi")
+    keys = [_key_digest(columns).alias("__key")] if long_key else [F.col(f"`{c}`") for c in columns]
     return df.groupBy("load_date", *keys).agg(F.expr("count(1) AS __times"))
 
 
-def _hash_counts(hashed: DataFrame) -> DataFrame:
-    return hashed.groupBy("load_date", "__key_hash").agg(F.expr("count(1) AS __rows"))
+def duplicate_groups(df: DataFrame, columns: list[str], long_key: bool = False, top: int | None = None) -> DataFrame:
+    """Groups that repeat within a load, with how many `times`; with `top`, those of the `top` highest counts and their ties."""
+    return _repeated(df, columns, long_key, top).withColumnRenamed("__times", "times")
 
 
-def duplicate_groups(df: DataFrame, columns: list[str], long_key: bool = False) -> DataFrame:
-    """Groups that repeat within a load, with how many `times`."""
-    return key_groups(df, columns, long_key).where("__times > 1").withColumnRenamed("__times", "times")
+def _repeated(df: DataFrame, columns: list[str], long_key: bool, top: int | None) -> DataFrame:
+    """The same with `__times`. The texts of a long key are read back for the groups that are left only."""
+    groups = key_groups(df, columns, long_key).where("__times > 1")
+    if top is not None:
+        most = Window.partitionBy("load_date").orderBy(F.desc("__times"))
+        groups = groups.withColumn("__rank", F.rank().over(most)).where(F.col("__rank") <= top).drop("__rank")
+    if not long_key:
+        return groups
+    names = [F.col(f"`{c}`") for c in columns]
+    shown = df.select("load_date", _key_digest(columns).alias("__key"), *names).join(groups.select("load_date", "__key"), ["load_date", "__key"], "left_semi")
+    one = shown.groupBy("load_date", "__key").agg(*[F.min(f"`{c}`").alias(c) for c in columns])  # all rows of a digest are alike
+    return one.join(groups, ["load_date", "__key"]).select("load_date", *names, "__times")
 
 
 def _unique_stats(df: DataFrame, spec: TableSpec, rule: Rule) -> DataFrame:
     columns = rule.params["columns"]
-    long_key = _long_key(spec, columns)
-    stats = key_groups(df, columns, long_key).groupBy("load_date").agg(
+    stats = key_groups(df, columns, _long_key(spec, columns)).groupBy("load_date").agg(
         F.expr("sum(__times - 1) AS failing_rows"), F.expr("count_if(__times > 1) AS repeated_groups"),
         F.expr("sum(__times) AS total_rows"))
-    if long_key:
-        hashed = df.withColumn("__key_hash", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
-        totals = _hash_counts(hashed).groupBy("load_date").agg(F.expr("sum(__rows) AS total_rows"))
-        stats = totals.join(stats.drop("total_rows"), "load_date", "left").selectExpr(
-            "load_date", "coalesce(failing_rows, 0L) AS failing_rows", "coalesce(repeated_groups, 0L) AS repeated_groups",
-            "total_rows")
     return stats.selectExpr(
         "load_date", f"{quoted(rule.id)} AS check_id", "'unique' AS kind", "CAST(NULL AS DOUBLE) AS value",
         "failing_rows", "repeated_groups", "total_rows")
@@ -184,14 +186,54 @@ def split_by_analysis(df: DataFrame, spec: TableSpec, rules: list[Rule]) -> tupl
         return [r for r in rules if r.id not in reasons], reasons
 
 
+# Classes of SQL states that an expression can raise on its data (cardinality, data, external routine).
+DATA_STATES = ("21", "22", "38", "39")
+
+
+def data_error(exc: Exception) -> str | None:
+    """What a user's expression raised while it ran; None for anything else, such as a lost executor or a full disk."""
+    state = getattr(exc, "getSqlState", lambda: None)()
+    if state and state.startswith(DATA_STATES):
+        return str(exc).splitlines()[0]
+    cause = getattr(exc, "java_exception", None) or getattr(exc, "_origin", None)
+    while cause is not None:
+        state = cause.getSqlState() if hasattr(cause, "getClass") and _is_spark_error(cause) else None
+        if state and state.startswith(DATA_STATES):
+            return str(cause.getMessage()).splitlines()[0]
+        cause = cause.getCause()
+    return None
+
+
+def _is_spark_error(cause) -> bool:
+    kind = cause.getClass()
+    while kind is not None:
+        if any(i.getName() == "org.apache.spark.SparkThrowable" for i in kind.getInterfaces()):
+            return True
+        kind = kind.getSuperclass()
+    return False
+
+
 def split_by_execution(df: DataFrame, spec: TableSpec, rules: list[Rule]) -> tuple[list[Rule], dict[str, str]]:
-    """After a fused job failed: run every rule alone to tell the broken ones from the rest."""
-    reasons = {}
-    for rule in rules:
+    """After a table's job failed on its data: halve the custom conditions, the only rules that can raise, until the broken
+    ones are alone. Errors that no expression raised are passed on."""
+    reasons: dict[str, str] = {}
+
+    def search(suspects: list[Rule]) -> None:
         try:
-            daily_stats(df, spec, [rule]).write.format("noop").mode("overwrite").save()
-        except Exception as exc:  # whatever a user's expression raises at run time
-            reasons[rule.id] = str(exc).splitlines()[0]
+            _fused_stats(df, spec, suspects).write.format("noop").mode("overwrite").save()
+        except Exception as exc:
+            said = data_error(exc)
+            if said is None:
+                raise
+            if len(suspects) == 1:
+                reasons[suspects[0].id] = said
+                return
+            search(suspects[:len(suspects) // 2])
+            search(suspects[len(suspects) // 2:])
+
+    custom = [r for r in rules if r.type == "sql"]
+    if custom:
+        search(custom)
     return [r for r in rules if r.id not in reasons], reasons
 
 
@@ -231,12 +273,28 @@ def _evidence(col, kind: str):
 
 def duplicate_examples(df: DataFrame, spec: TableSpec, rule: Rule, n: int = 5) -> DataFrame:
     """The `n` most repeated groups of each load date; ties in key order."""
-    keys = [F.col(f"`{c}`") for c in rule.params["columns"]]
-    ranked = Window.partitionBy("load_date").orderBy(F.desc("times"), *[F.asc_nulls_first(f"`{c}`") for c in rule.params["columns"]])
     columns = rule.params["columns"]
-    return duplicate_groups(df, columns, _long_key(spec, columns)) \
-        .withColumn("position", F.row_number().over(ranked)).where(F.col("position") <= n) \
-        .select("load_date", "position", *keys, "times")
+    return _most_repeated(df, spec, columns, n).select("load_date", F.col("__position").alias("position"), *[F.col(f"`{c}`") for c in columns],
+                                                       F.col("__times").alias("times"))
+
+
+def _most_repeated(df: DataFrame, spec: TableSpec, columns: list[str], n: int) -> DataFrame:
+    ranked = Window.partitionBy("load_date").orderBy(F.desc("__times"), *[F.asc_nulls_first(f"`{c}`") for c in columns])
+    return _repeated(df, columns, _long_key(spec, columns), n).withColumn("__position", F.row_number().over(ranked)).where(F.col("__position") <= n)
+
+
+def failing_evidence(df: DataFrame, spec: TableSpec, rules: list[Rule], n: int = 5) -> DataFrame | None:
+    """What is shown of failing checks, as (load_date, table, check_id, position, shown): bad rows, or repeated keys and how often."""
+    columns = ["load_date", "table", "check_id", "position", "shown"]
+    row_rules = [r for r in rules if r.type in ROW_RULES]
+    parts = [failing_examples(df, spec, row_rules, n).select(columns)] if row_rules else []
+    for r in (r for r in rules if r.type == "unique"):
+        keys = r.params["columns"]
+        said = F.concat(F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL"))) for c in keys]),
+                        F.lit(" (x"), F.col("__times").cast("string"), F.lit(")"))
+        parts.append(_most_repeated(df, spec, keys, n).select(
+            "load_date", F.lit(spec.name).alias("table"), F.lit(r.id).alias("check_id"), F.col("__position").alias("position"), said.alias("shown")))
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 # ----------------------------------------------------- budget for custom SQL
@@ -267,9 +325,18 @@ def within_budget(spark: SparkSession, action: Callable[[], Any], seconds: float
     return outcome["result"]
 
 
-def run_budgeted(df: DataFrame, seconds: float, max_rows: int = 1000) -> list[Any]:
-    """Rows of a user query, at most `max_rows`; cancelled with TimeoutError after `seconds`."""
-    return within_budget(df.sparkSession, lambda: df.limit(max_rows).collect(), seconds)
+class BudgetedRows(list):
+    """Rows of a user query; `truncated` says that there were more than the budget allows."""
+
+    truncated = False
+
+
+def run_budgeted(df: DataFrame, seconds: float, max_rows: int = 1000) -> BudgetedRows:
+    """Rows of a user query, at most `max_rows` (`truncated` if it has more); cancelled with TimeoutError after `seconds`."""
+    got = within_budget(df.sparkSession, lambda: df.limit(max_rows + 1).collect(), seconds)
+    rows = BudgetedRows(got[:max_rows])
+    rows.truncated = len(got) > max_rows
+    return rows
 
 
 def budgeted_sql_stats(df: DataFrame, spec: TableSpec, rules: list[Rule], seconds: float) -> tuple[list[DataFrame], dict[str, str]]:
@@ -280,7 +347,10 @@ def budgeted_sql_stats(df: DataFrame, spec: TableSpec, rules: list[Rule], second
         try:
             done.append(within_budget(df.sparkSession, lambda: stage(stats, "sql-rule"), seconds))
         except Exception as exc:
-            reasons[rule.id] = str(exc).splitlines()[0]
+            said = str(exc) if isinstance(exc, TimeoutError) else data_error(exc)
+            if said is None:
+                raise
+            reasons[rule.id] = said
     return done, reasons
 
 

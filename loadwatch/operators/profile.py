@@ -18,21 +18,17 @@ def _text(field: Field) -> str:
     return f"CAST({c} + 0.0D AS STRING)" if field.data_type() in ("double", "float") else f"CAST({c} AS STRING)"
 
 
-LONG_TEXT = 64
-
-
 def _identity(field: Field) -> str:
-    """What tells one value from another: the value, or the SHA-256 of a text longer than the digest itself."""
-    shown = _text(field)
-    return f"CASE WHEN length({shown}) > {LONG_TEXT} THEN sha2({shown}, 256) ELSE {shown} END" if field.type == TEXT else shown
+    """What tells one value from another: the value, or the SHA-256 of a text, whatever its length."""
+    return f"sha2({_text(field)}, 256)" if field.type == TEXT else _text(field)
 
 
 def profile(df: DataFrame, spec: TableSpec, exact: bool = True) -> DataFrame:
     """Per load date and column: null percentage, distinct values and, for numbers, minimum, maximum and mean.
 
-    The exact form turns cells into narrow (column, value) pairs counted by value: repeated values are combined before
-    the only shuffle that carries data, and a hot value costs one row per task. `exact=False` estimates the distinct
-    count in a single aggregation by load date.
+    Everything but the distinct count is one aggregation by load date over the columns as they are. The exact count turns
+    cells into narrow (column, value) pairs, distinct in every task before the only shuffle that carries data, so a hot value
+    costs one row per task. `exact=False` estimates the distinct count within the first aggregation.
     """
     return _exact_profile(df, spec) if exact else _estimated_profile(df, spec)
 
@@ -47,22 +43,24 @@ def _finish(rows: DataFrame, spec: TableSpec) -> DataFrame:
 
 def _exact_profile(df: DataFrame, spec: TableSpec) -> DataFrame:
     cells = ", ".join(f"struct({i} AS position, {_identity(c)} AS shown)" for i, c in enumerate(spec.columns))
-    numeric = ", ".join(str(i) for i, c in enumerate(spec.columns) if c.type in NUMERIC) or "-1"
-    values = df.selectExpr("load_date", f"inline(array({cells}))").groupBy("load_date", "position", "shown") \
-        .agg(F.expr("count(1) AS times"))
-    values = values.selectExpr("*", f"CASE WHEN position IN ({numeric}) THEN try_cast(shown AS DOUBLE) END AS number")
-    rows = values.groupBy("load_date", "position").agg(
-        F.expr("sum(times) AS n"), F.expr("sum(CASE WHEN shown IS NULL THEN times ELSE 0 END) AS nulls"),
-        F.expr("count(shown) AS distinct_values"), F.expr("min(number) AS min_value"), F.expr("max(number) AS max_value"),
-        F.expr("sum(number * times) / sum(CASE WHEN number IS NOT NULL THEN times END) AS mean_value"))
+    values = df.selectExpr("load_date", f"inline(array({cells}))").where("shown IS NOT NULL").distinct()
+    counts = values.groupBy("load_date", "position").agg(F.expr("count(1) AS distinct_values"))
+    rows = _basics(df, spec, estimate=False).drop("distinct_values").join(counts, ["load_date", "position"], "left") \
+        .withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
     return _finish(rows, spec)
 
 
 def _estimated_profile(df: DataFrame, spec: TableSpec) -> DataFrame:
+    return _finish(_basics(df, spec, estimate=True), spec)
+
+
+def _basics(df: DataFrame, spec: TableSpec, estimate: bool) -> DataFrame:
+    """One aggregation by load date, turned into one row per column."""
     aggregates, cells = ["count(1) AS n"], []
     for i, c in enumerate(spec.columns):
         name = f"`{c.name}`"
-        aggregates += [f"count_if({name} IS NULL) AS nulls_{i}", f"approx_count_distinct({_text(c)}) AS distinct_{i}"]
+        about = f"approx_count_distinct({_text(c)})" if estimate else "CAST(0 AS BIGINT)"
+        aggregates += [f"count_if({name} IS NULL) AS nulls_{i}", f"{about} AS distinct_{i}"]
         numbers = {"min": "CAST(NULL AS DOUBLE)", "max": "CAST(NULL AS DOUBLE)", "mean": "CAST(NULL AS DOUBLE)"}
         if c.type in NUMERIC:
             aggregates += [f"CAST(min({name}) AS DOUBLE) AS min_{i}", f"CAST(max({name}) AS DOUBLE) AS max_{i}",
@@ -71,7 +69,7 @@ def _estimated_profile(df: DataFrame, spec: TableSpec) -> DataFrame:
         cells.append(f"struct({i} AS position, nulls_{i} AS nulls, distinct_{i} AS distinct_values, "
                      + ", ".join(f"{v} AS {k}_value" for k, v in numbers.items()) + ")")
     by_day = df.groupBy("load_date").agg(*[F.expr(a) for a in aggregates])
-    return _finish(by_day.selectExpr("load_date", "n", f"inline(array({', '.join(cells)}))"), spec)
+    return by_day.selectExpr("load_date", "n", f"inline(array({', '.join(cells)}))")
 
 
 # -------------------------------------------------------------- suggestions

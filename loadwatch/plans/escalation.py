@@ -8,32 +8,32 @@ from pyspark.sql import functions as F
 from loadwatch.functions.scalars import hhmm
 from loadwatch.model import small_frame
 
-# Probable cause and requested action per kind of check.
+# What most often lies behind each kind of failing check, and what the owner is asked to do first.
 CAUSES = {
-    "availability": ("The loading process did not run or ended with an error.",
-                     "Review the log of the loading process, run it again and confirm the publication time."),
-    "volume_low": ("Incomplete load: the file arrived cut short, or the ingestion was deleted or truncated.",
-                   "Check the source file against the expected count and reload the whole table."),
-    "volume_high": ("The file was processed more than once, or holds several days.",
-                    "Find the duplicated run, clean the load and validate again."),
-    "structure": ("The source system changed: the file brings other columns than agreed.",
-                  "Confirm the change with the owner of the source system and adjust the mapping before reloading."),
-    "unique": ("The process ran again without controlling duplicates (the load is not idempotent).",
-               "Remove the repeated rows and make sure that a new run replaces instead of adding."),
-    "same_day": ("A file of an earlier date was loaded (yesterday's file processed again).",
-                 "Find the file of the right day and reload the table."),
-    "not_null": ("A field was not filled in at the source, or the load maps it wrongly.",
-                 "Review the mapping of the column and complete the empty rows at the source."),
-    "range": ("Values impossible for the business: a calculation or unit error at the source.",
-              "Review the formula or the units in the source system and correct the rows shown."),
-    "compare": ("Columns contradict each other: a calculation error at the source.",
-                "Review the calculation in the source system for the example rows."),
-    "allowed_values": ("A new value that is not in the agreed catalogue.",
-                       "Confirm whether it is a valid new value (and update the catalogue) or a source error."),
-    "outlier": ("An unusual value against history: a possible unit error or a real business event.",
-                "Confirm with the business whether there was an event; if not, review the units and reload."),
-    "sql": ("The data breaks a business rule defined by the area.",
-            "Review the example rows with the owner of the rule."),
+    "availability": ("No delivery was seen by the hour agreed; the job upstream may be late, stopped or failing.",
+                     "Tell us when the delivery will come, and restart the job if it stopped."),
+    "volume_low": ("Far fewer rows than usual: part of the data was probably left out on the way.",
+                   "Compare the row count with the system of origin and send the missing part."),
+    "volume_high": ("Far more rows than usual: the same data may have been sent twice, or several days together.",
+                    "Look for a repeated run or a wider date filter, and send the day once."),
+    "structure": ("The columns delivered are not those of the contract.",
+                  "Restore the missing columns, or agree on the new layout with us."),
+    "unique": ("Records that should exist once exist several times, as after a second run without a clean start.",
+               "Take the extra copies out and check what happens when the job is run twice."),
+    "same_day": ("The rows carry another date than the delivery; an old extract may have been sent.",
+                 "Send the extract of the day named above."),
+    "not_null": ("Mandatory cells are empty; the field may have been renamed or dropped in an earlier step.",
+                 "Find the step that loses the value and deliver the rows again."),
+    "range": ("Numbers lie outside what is possible for this field; a unit or a sign may have changed.",
+              "Check units and formulas of the field and correct the rows listed."),
+    "compare": ("Two fields of the same row do not agree with each other.",
+                "Check which of the two fields is wrong in the rows listed."),
+    "allowed_values": ("The field holds codes that nobody has told us about.",
+                       "Say whether the new codes are meant; then we add them to the list, otherwise correct them."),
+    "outlier": ("The daily figure moved much further than its own past suggests.",
+                "Say whether something real explains it; if not, check units and filters."),
+    "sql": ("Rows match a condition that must never hold for this table.",
+            "Go through the rows listed and correct them, or tell us if the condition is out of date."),
 }
 
 
@@ -68,7 +68,7 @@ def escalation_reports(found: DataFrame, specs: DataFrame, examples: DataFrame |
                        .select("incident_id", "rank", "check.check_id", "check.name", "check.message", "check.rule_type"))
     listed = F.sort_array(F.collect_list(F.struct("rank", "check_id", "name", "message", "cause", "action")))
     evidence = each.groupBy("incident_id").agg(listed.alias("list"))
-    r = found.drop("title_of_table").join(evidence, "incident_id", "left") \
+    r = found.join(evidence, "incident_id", "left") \
         .join(specs.select("table", F.col("title").alias("table_title"), "owner", "owner_email", "consumers"), "table")
     r = r.withColumn("main", F.get("list", 0))
     if examples is None:
@@ -80,23 +80,19 @@ def escalation_reports(found: DataFrame, specs: DataFrame, examples: DataFrame |
     cause = F.coalesce("main.cause", F.lit("No failing checks."))
     action = F.coalesce("main.action", F.lit("Validate by hand."))
     # The action of the main check, then those of the others that differ from it.
-    others = F.filter(F.transform(F.slice("list", 2, 1000), lambda c: c["action"]), lambda a: a != F.col("main.action"))
+    others = F.filter(F.transform(F.slice("list", 2, F.greatest(F.size("list"), F.lit(1))), lambda c: c["action"]), lambda a: a != F.col("main.action"))
     actions = F.concat(F.array(action), F.coalesce(others, F.array().cast("array<string>")))
-    findings = F.concat_ws("\n", F.transform("list", lambda c: F.concat(F.lit("  • "), c["name"], F.lit(": "), c["message"])))
+    findings = F.concat_ws("\n", F.transform("list", lambda c: F.concat(F.lit("* "), c["name"], F.lit(" -> "), c["message"])))
     sampled = F.when(F.size("samples") > 0, F.concat(
-        F.lit("\nExamples of the affected rows:\n"),
-        F.concat_ws("\n", F.transform("samples", lambda e: F.concat(F.lit("  - "), e))), F.lit("\n"))).otherwise(F.lit(""))
+        F.lit("\n\nSome of the rows in question\n"), F.concat_ws("\n", F.transform("samples", lambda e: F.concat(F.lit("* "), e))))).otherwise(F.lit(""))
     again = F.when(F.col("recurrence_30d") > 0, F.concat(
-        F.lit("\nThis is the "), _ordinal(F.col("recurrence_30d") + 1),
-        F.lit(" time this table fails in the last 30 days."))).otherwise(F.lit(""))
+        F.lit("\nIt is the "), _ordinal(F.col("recurrence_30d") + 1), F.lit(" incident of this table within 30 days."))).otherwise(F.lit(""))
     opened = F.col("opened_date").cast("string")
     body = F.concat(
-        F.lit("Hello, "), "owner", F.lit(",\n\nThe quality monitor found a problem in the table "), "table", F.lit(" ("),
-        "table_title", F.lit("), in the load of "), opened, F.lit(" at "), hhmm(F.col("opened_minute")), F.lit(". Severity: "),
-        "severity", F.lit(".\n\nWhat we found:\n"), findings, F.lit("\n"), sampled, F.lit("\nProbable cause: "), cause,
-        F.lit("\n\nImpact: it feeds "), F.concat_ws(", ", "consumers"), F.lit("."), again, F.lit("\n\nRequested action: "), action,
-        F.lit("\n\nWe look forward to your confirmation. The incident closes by itself when the next load passes every "
-              "check.\n\nData quality team"))
+        F.lit("To: "), "owner", F.lit("\nTable: "), "table", F.lit(" - "), "table_title", F.lit("\nLoad: "), opened, F.lit(", seen at "),
+        hhmm(F.col("opened_minute")), F.lit("\nSeverity: "), "severity", F.lit("\nWho depends on it: "), F.concat_ws(", ", "consumers"), again,
+        F.lit("\n\nPlease do this\n"), action, F.lit("\n\nWhy we write\n"), findings, F.lit("\n\nWhat may be behind it\n"), cause, sampled,
+        F.lit("\n\nNothing has to be reported back: a later load without failing checks ends the incident."))
     subject = F.concat(F.lit("["), "severity", F.lit("] "), "table", F.lit(": "), "title", F.lit(" ("), opened, F.lit(")"))
     return r.select("incident_id", "table", F.col("owner_email").alias("recipient"), subject.alias("subject"),
                     body.alias("body"), cause.alias("cause"), F.concat_ws("\n", actions).alias("actions"))

@@ -4,46 +4,53 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loadwatch.model import Catalog, Rule, small_frame, specs_frame
 from loadwatch.operators import incidents as inc
-from loadwatch.operators.baseline import base_points, expected_rows
-from loadwatch.operators.evaluate import failing_examples, preview_rule
+from loadwatch.operators.baseline import base_points, clean_history, expected_rows
+from loadwatch.operators.evaluate import failing_evidence, preview_rule
 from loadwatch.operators.monitors import overdue_source
 from loadwatch.operators.profile import profile, suggest_rules
-from loadwatch.operators.rules import ROW_RULES, validate_rule
+from loadwatch.operators.rules import validate_rule
 from loadwatch.plans import report
 from loadwatch.plans.escalation import escalation_reports
 from loadwatch.plans.validate import validate
-from loadwatch.session import stage
+from loadwatch.session import stage, temporary
 from loadwatch.sources.connector import Connector, align_to_spec, available_dates, path_exists, scan
 from loadwatch.sources.publications import fingerprint, parse_manifest, plan_dates, publication_log, read_manifest
-from loadwatch.sources.rulebook import load_rules, next_id, save_rules
-from loadwatch.sources.store import Store
+from loadwatch.sources.rulebook import keep_rules, kept_rules, next_id
+from loadwatch.sources.store import DAYS_HISTORY, DAYS_ROWS, Store
 from loadwatch.streaming.ingest import watch_publications
 
-ROW_DAYS = 7  # days of rows kept
+EXAMPLES = 5  # bad rows or repeated groups kept with a failing check
 
 
 @dataclass
 class Monitor:
-    """A connector and the store of its results. Holds no data: every call reads the store."""
+    """A connector and the store of its results. Holds no data: every call reads the store.
+
+    `sql_seconds` is the time each custom SQL rule may take (None: no limit, and they share the scan of the other rules);
+    `row_days` and `history_days` say how long rows, and metrics with check results, are kept.
+    """
 
     spark: SparkSession
     connector: Connector
     store: Store
     rules: tuple[Rule, ...] = ()
-    sql_seconds: float | None = None
+    sql_seconds: float | None = 300.0
+    row_days: int = DAYS_ROWS
+    history_days: int = DAYS_HISTORY
 
     def __post_init__(self) -> None:
-        saved = f"{self.store.root}/rules"
         if not self.rules:
-            self.rules = tuple(load_rules(self.spark, saved)) if path_exists(self.spark, saved) else self.connector.catalog.rules
+            kept = kept_rules(self.spark, f"{self.store.root}/rules")
+            self.rules = self.connector.catalog.rules if kept is None else tuple(kept)
         self.rules = tuple(validate_rule(r, self.connector.catalog) for r in self.rules)
 
     @property
@@ -70,17 +77,25 @@ class Monitor:
     def sync(self, published: DataFrame | None = None) -> list[date]:
         """Validate what the source has published since the last call; the dates validated, none if nothing changed.
 
-        `published` are manifest rows; by default those the source shows now.
+        `published` are manifest rows, one or several publications; by default those the source shows now. Every publication
+        that was not processed yet is, in the order of their times.
         """
         published = self.publication() if published is None else published
-        head = None if published is None else published.orderBy(F.desc("published")).select(
-            "run_id", "published_at", "published", "published_minute").first()
-        if head is None:
+        if published is None:
             return []
+        seen = self.store.read("publications").select(F.col("fingerprint").alias("published_at")).distinct()
+        heads = published.join(seen, "published_at", "left_anti").groupBy("published_at").agg(
+            F.min("published").alias("published"), F.min("published_minute").alias("published_minute"),
+            F.max("run_id").alias("run_id"), F.any_value("datasets").alias("datasets")).orderBy("published", "published_at").collect()
+        days: set[date] = set()
+        for head in heads:  # one row per publication
+            with temporary(self.spark):
+                days |= set(self._sync_one(published, head))
+        return sorted(days)
+
+    def _sync_one(self, published: DataFrame, head) -> list[date]:
         log = self.store.read("publications")
-        last = log.orderBy(F.desc("seq")).select("seq", "fingerprint").first()
-        if last is not None and last["fingerprint"] == head["published_at"]:
-            return []
+        last = log.orderBy(F.desc("seq")).select("seq").first()
         dates = published.where(F.col("published_at") == head["published_at"]).select(F.explode("dates").alias("load_date"))
         available = available_dates([(scan(self.spark, self.connector.files[s.name]), s) for s in self.catalog.tables
                                      if s.load_type == "incremental" and s.date_column]) if last is None else None
@@ -126,7 +141,7 @@ class Monitor:
                                 F.lit(head["published"]).cast("timestamp").alias("published"),
                                 F.lit(seq).cast("bigint").alias("seq"), F.lit(head["run_id"]).cast("string").alias("run_id"))
         # Rows retention would drop at once are validated from the source and never stored.
-        first_kept = days[-1] - timedelta(days=ROW_DAYS)
+        first_kept = days[-1] - timedelta(days=self.row_days)
         loads = {}
         for spec in self.catalog.tables:
             aligned = align_to_spec(tables[spec.name], spec)
@@ -136,8 +151,11 @@ class Monitor:
             stored = self.store.rows(spec).where(F.col("load_date").isin(kept))
             older = aligned.where(F.col("load_date") < F.lit(first_kept))
             loads[spec.name] = stored if len(kept) == len(due) else stored.unionByName(older)
-        history = stage(base_points(self.store.read("metrics")), "history")
-        v = validate(self.catalog, loads, arrivals, shape, history, self.sql_seconds)
+        # The points that days before the first new one are remembered by, and later ones if an earlier day comes again.
+        metrics, own = self.store.read("metrics"), ["load_date", "table", "metric", "value"]
+        since = clean_history(metrics, F.lit(days[0])).select(own).unionByName(metrics.where(F.col("load_date") >= F.lit(days[0])).select(own))
+        history = stage(base_points(since), "history")
+        v = validate(self.catalog, loads, arrivals, shape, history, self.sql_seconds, one_day=len(days) == 1)
         counts = v.stats.where(F.col("kind") == "rows").select("load_date", "table", F.col("total_rows").alias("row_count"))
         delivered = arrivals.join(counts, ["load_date", "table"], "left").join(shape, ["load_date", "table"]) \
             .withColumn("row_count", F.coalesce("row_count", F.lit(0).cast("bigint")))
@@ -145,18 +163,40 @@ class Monitor:
         self.store.write("check_results", v.checks)
         self.store.write("metrics", v.metrics)
         self.store.write("observations", v.observations)
+        self.store.clear("examples", arrivals)
+        examples = self._evidence(v.checks, loads)
+        if examples is not None:
+            self.store.write("examples", examples)
+        datasets = F.lit(None).cast("map<string,bigint>") if head["datasets"] is None else F.create_map(
+            *[F.lit(x) for pair in head["datasets"].items() for x in pair]).cast("map<string,bigint>")
         self.store.write("publications", calendar.select(
+            datasets.alias("datasets"),
             F.lit(seq).cast("bigint").alias("seq"), F.lit(head["run_id"]).cast("string").alias("run_id"),
             F.lit(head["published_at"]).alias("published_at"), F.lit(head["published"]).cast("timestamp").alias("published"),
             F.lit(head["published_at"]).alias("fingerprint"), "load_date"))
-        self.store.apply_retention(list(self.catalog.tables), days[-1], ROW_DAYS)
+        self.store.apply_retention(list(self.catalog.tables), days[-1], self.row_days, self.history_days, days)
+
+    def _evidence(self, checks: DataFrame, loads: dict[str, DataFrame]) -> DataFrame | None:
+        """The first bad rows and the most repeated groups of every check that fails, from the load it fails on."""
+        failing = stage(checks.where(F.col("status") == "fail").select("load_date", "table", "check_id"), "failing")
+        named = {(r["table"], r["check_id"]) for r in failing.select("table", "check_id").distinct().collect()}  # rules
+        out = []
+        for spec in self.catalog.tables:
+            broken = [r for r in self.catalog.rules_for(spec.name) if (spec.name, r.id) in named]
+            own = failing.where(F.col("table") == spec.name)
+            df = loads[spec.name].join(own.select("load_date").distinct(), "load_date", "left_semi")
+            shown = failing_evidence(df, spec, broken, EXAMPLES)
+            out += [] if shown is None else [shown]
+        return reduce(DataFrame.unionByName, out).join(failing, ["load_date", "table", "check_id"], "left_semi") if out else None
 
     def _suggest(self, tables: dict[str, DataFrame], days: list[date]) -> None:
-        """Tables without rules get suggested ones from their first delivered load, once."""
+        """Tables without rules get suggested ones from their first delivered load that has rows, once."""
         for spec in self.catalog.tables:
             if spec.name not in self.connector.auto_rules or self.catalog.rules_for(spec.name, enabled_only=False):
                 continue
-            first = days[0] if spec.load_type == "incremental" else days[-1]
+            first = tables[spec.name].agg(F.min("load_date")).first()[0]
+            if first is None:  # nothing has come yet: a later publication may
+                continue
             load = align_to_spec(tables[spec.name].where(F.col("load_date") == F.lit(first)), spec)
             for raw in suggest_rules(load, spec):
                 try:
@@ -164,7 +204,7 @@ class Monitor:
                 except ValueError:
                     continue
                 self.rules = (*self.rules, rule)
-        save_rules(self.spark, list(self.rules), f"{self.store.root}/rules")
+        keep_rules(self.spark, list(self.rules), f"{self.store.root}/rules")
 
     def check_overdue(self, as_of: datetime) -> bool:
         """Record the failure of every table when the source is overdue; once per day."""
@@ -184,7 +224,7 @@ class Monitor:
     # ---------------------------------------------------------------- rules
     def _save_rules(self, rules: list[Rule]) -> None:
         self.rules = tuple(rules)
-        save_rules(self.spark, rules, f"{self.store.root}/rules")
+        keep_rules(self.spark, rules, f"{self.store.root}/rules")
 
     def add_rule(self, raw: dict[str, Any]) -> Rule:
         """Validate and keep a rule; without an id it gets the next number."""
@@ -227,36 +267,25 @@ class Monitor:
 
     def runs(self) -> DataFrame:
         """One row per publication validated so far."""
-        log = self.store.read("publications").where("load_date is not null").groupBy("seq", "run_id", "published_at").agg(F.collect_set("load_date").alias("dates"))
-        published = F.to_timestamp("published_at")
+        log = self.store.read("publications").where("load_date is not null").groupBy("seq", "run_id", "published_at").agg(
+            F.collect_set("load_date").alias("dates"), F.any_value("datasets").alias("datasets"))
+        published = F.try_to_timestamp("published_at")
         return publication_log(log.select(
             "run_id", "published_at", F.to_date(published).alias("published_date"),
             (F.hour(published) * 60 + F.minute(published)).alias("published_minute"), F.array_sort("dates").alias("dates"),
-            F.lit(None).cast("map<string,bigint>").alias("datasets")), self.connector.run_url)
+            "datasets"), self.connector.run_url)
 
     def timeline(self) -> DataFrame:
         return inc.timeline(self.store.read("observations"), self.specs, self.store.read("actions"))
 
     def reports(self) -> DataFrame:
-        """The message for the owner of each open incident, with examples of the rows that fail."""
+        """The message for the owner of each open incident, with the rows that its newest failing load has kept."""
         checks = self.store.read("check_results")
-        open_now = inc.recurrence(self.incidents().where("resolved_date is null"), checks)
-        return escalation_reports(open_now, self.specs, self._examples(checks))
-
-    def _examples(self, checks: DataFrame) -> DataFrame:
-        """Bad rows of the newest stored load of each table, only for the row rules that failed on it."""
-        out = small_frame(self.spark, [], "table string, check_id string, position int, shown string")
-        for spec in self.catalog.tables:
-            days = self.store.partition_days(f"rows/{spec.name}")
-            if not days:
-                continue
-            failed = {r.check_id for r in checks.where((F.col("table") == spec.name) & (F.col("load_date") == F.lit(days[-1]))
-                                                       & (F.col("status") == "fail")).select("check_id").collect()}
-            broken = [r for r in self.catalog.rules_for(spec.name) if r.id in failed and r.type in ROW_RULES]
-            if broken:
-                load = self.store.rows(spec).where(F.col("load_date") == F.lit(days[-1]))
-                out = out.unionByName(failing_examples(load, spec, broken, 3).select("table", "check_id", "position", "shown"))
-        return out
+        open_now = stage(inc.recurrence(self.incidents().where("resolved_date is null"), checks), "incidents")
+        since = self.store.read("examples").join(open_now.select("table", "opened_date"), "table").where("load_date >= opened_date")
+        newest = Window.partitionBy("table", "check_id").orderBy(F.desc("load_date"))
+        kept = since.withColumn("age", F.dense_rank().over(newest)).where("age = 1").select("table", "check_id", "position", "shown")
+        return escalation_reports(open_now, self.specs, kept)
 
     def escalate(self, table: str, actor: str = "analyst") -> None:
         """Escalate the incident of a table: it stays open, and the story says who did it."""
@@ -277,24 +306,30 @@ class Monitor:
     def _arrivals(self) -> DataFrame:
         return self.store.read("loads").select("load_date", "table", "arrived_minute", F.col("arrived_minute").alias("now_minute"))
 
-    def summary(self) -> DataFrame:
-        """One row per table and load."""
+    def summary(self, shown: DataFrame | None = None) -> DataFrame:
+        """One row per table and load; `shown` (table, load_date) names those that are asked for."""
         loads, checks, metrics = self.store.read("loads"), self.store.read("check_results"), self.store.read("metrics")
+        if shown is not None:
+            loads = loads.join(shown, ["table", "load_date"], "left_semi")
         scores = metrics.where((F.col("metric") == "score") & (F.col("table") != "_global")) \
             .select("load_date", "table", F.col("value").alias("score"))
         asked = loads.select("load_date", "table").join(self.specs.select("table", "load_type"), "table")
-        return report.table_summary(self.specs, self._arrivals(), checks, scores, metrics,
+        arrivals = loads.select("load_date", "table", "arrived_minute", F.col("arrived_minute").alias("now_minute"))
+        return report.table_summary(self.specs, arrivals, checks, scores, metrics,
                                     expected_rows(base_points(metrics), asked), loads)
 
     def latest_summary(self) -> DataFrame:
         """The newest load of each table."""
-        newest = self.store.read("loads").groupBy("table").agg(F.max("load_date").alias("load_date"))
-        return self.summary().join(newest, ["table", "load_date"], "left_semi")
+        return self.summary(self.store.read("loads").groupBy("table").agg(F.max("load_date").alias("load_date")))
 
     def kpis(self) -> DataFrame:
-        """The newest day in one row."""
-        newest = self.store.read("loads").agg(F.max(F.struct("load_date", "arrived_minute")).alias("now")).first()["now"]
-        return report.kpi_snapshot(self.summary(), self.store.read("check_results"), self.incidents(),
+        """The newest day in one row; before the first publication, today without loads."""
+        loads = self.store.read("loads")
+        newest = loads.agg(F.max(F.struct("load_date", "arrived_minute")).alias("now")).first()["now"]
+        if newest is None:
+            newest = {"load_date": date.today(), "arrived_minute": 0}
+        of_day = loads.where(F.col("load_date") == F.lit(newest["load_date"])).select("table", "load_date")
+        return report.kpi_snapshot(self.summary(of_day), self.store.read("check_results"), self.incidents(),
                                    newest["load_date"], newest["arrived_minute"])
 
     def snapshot(self) -> dict[str, DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loadwatch.model import CHECK_COLUMNS, Catalog, Rule, specs_frame
 from loadwatch.operators.baseline import (metrics_of, outlier_results, outlier_series, replay, score_new_loads,
                                           volume_results, volume_series)
-from loadwatch.operators.evaluate import (budgeted_sql_stats, daily_stats, error_results, fill_days, row_results,
+from loadwatch.operators.evaluate import (budgeted_sql_stats, daily_stats, data_error, error_results, fill_days, row_results,
                                           rule_facts, split_by_analysis, split_by_execution)
 from loadwatch.operators.incidents import observations
 from loadwatch.operators.monitors import availability, structure
@@ -34,54 +34,79 @@ class Validation:
 
 def collect_stats(catalog: Catalog, tables: dict[str, DataFrame], delivered: DataFrame | None = None,
                   sql_seconds: float | None = None):
-    """Daily statistics of every table, written once; and the rules that could not be evaluated, by table.
+    """Daily statistics of every table; and the rules that could not be evaluated, by table.
 
-    A rule that cannot be planned is left out at once. If the job still fails, each rule of the failing table runs
-    alone to find the broken ones. With `sql_seconds`, custom SQL rules leave the fused pass and each one has that
-    long to finish.
+    A rule that cannot be planned is left out at once. All tables run in one job; if an expression fails on its data, every
+    table with custom conditions becomes a job of its own, and within a table that fails the conditions are halved until the
+    broken ones are alone. Tables without custom conditions are not read again. Errors that no expression raised (a lost
+    executor, a full disk) are passed on. With `sql_seconds`, custom SQL rules leave the fused pass and each one has that long
+    to finish.
     """
     reasons: dict[str, dict[str, str]] = {}
     usable: dict[str, list[Rule]] = {}
-
-    def stats_of(name: str, execution: bool) -> DataFrame:
-        spec, rules = catalog.spec(name), catalog.rules_for(name)
-        df = align_to_spec(tables[name], spec)
-        usable[name], reasons[name] = split_by_analysis(df, spec, rules)
-        if execution:
-            usable[name], broken = split_by_execution(df, spec, usable[name])
-            reasons[name] = {**reasons[name], **broken}
-        if sql_seconds is None:
-            return daily_stats(df, spec, usable[name])
-        custom = [r for r in usable[name] if r.type == "sql"]
-        apart, late = budgeted_sql_stats(df, spec, custom, sql_seconds)
-        reasons[name] = {**reasons[name], **late}
-        usable[name] = [r for r in usable[name] if r.id not in late]
-        return reduce(DataFrame.unionByName, apart, daily_stats(df, spec, [r for r in usable[name] if r.type != "sql"]))
-
-    def collect(execution: bool) -> DataFrame:
-        stats = reduce(DataFrame.unionByName, [stats_of(n, execution) for n in tables])
-        return stage(stats if delivered is None else fill_days(stats, delivered, usable), "stats")
-
+    aligned = {name: align_to_spec(df, catalog.spec(name)) for name, df in tables.items()}
+    parts: dict[str, list[DataFrame]] = {}
+    for name, df in aligned.items():
+        spec = catalog.spec(name)
+        usable[name], reasons[name] = split_by_analysis(df, spec, catalog.rules_for(name))
+        parts[name] = []
+        if sql_seconds is not None:
+            parts[name], late = budgeted_sql_stats(df, spec, [r for r in usable[name] if r.type == "sql"], sql_seconds)
+            reasons[name] |= late
+            usable[name] = [r for r in usable[name] if r.id not in late]
+
+    def stats_of(name: str) -> DataFrame:
+        fused = [r for r in usable[name] if r.type != "sql" or sql_seconds is None]
+        return reduce(DataFrame.unionByName, parts[name], daily_stats(aligned[name], catalog.spec(name), fused))
+
+    def at_risk(name: str) -> bool:
+        return sql_seconds is None and any(r.type == "sql" for r in usable[name])
+
+    safe, risky = [n for n in tables if not at_risk(n)], [n for n in tables if at_risk(n)]
+    done = [stage(reduce(DataFrame.unionByName, map(stats_of, names)), "stats") for names in [safe] if names and risky]
+    if not risky:
+        done = [reduce(DataFrame.unionByName, map(stats_of, safe))]
+    elif (together := _tried(reduce(DataFrame.unionByName, map(stats_of, risky)))) is not None:
+        done.append(together)
+    else:
+        for name in risky:
+            one = _tried(stats_of(name)) if len(risky) > 1 else None
+            if one is None:
+                usable[name], broken = split_by_execution(aligned[name], catalog.spec(name), usable[name])
+                reasons[name] |= broken
+                one = stage(stats_of(name), "stats")
+            done.append(one)
+    stats = reduce(DataFrame.unionByName, done)
+    stats = stats if delivered is None else fill_days(stats, delivered, usable)
+    return stage(stats, "stats"), reasons
+
+
+def _tried(stats: DataFrame) -> DataFrame | None:
+    """The statistics, staged, or None if an expression failed on its data."""
     try:
-        return collect(execution=False), reasons
-    except Exception:  # a custom condition failed while running: isolate it, keep the rest
-        return collect(execution=True), reasons
+        return stage(stats, "stats")
+    except Exception as exc:
+        if data_error(exc) is None:
+            raise
+        return None
 
 
 def validate(catalog: Catalog, tables: dict[str, DataFrame], arrivals: DataFrame, received: DataFrame,
-             history: DataFrame | None = None, sql_seconds: float | None = None) -> Validation:
+             history: DataFrame | None = None, sql_seconds: float | None = None, one_day: bool = False) -> Validation:
     """Validate every load of `tables` (frames tagged with `load_date`), all days and tables together.
 
     `arrivals`: load_date, table, arrived_minute (NULL when missing), now_minute and optionally published, seq,
     run_id. `received`: load_date, table, columns. `history`: clean points of earlier validations. `sql_seconds`: time
-    each custom SQL rule may take.
+    each custom SQL rule may take. `one_day`: every series has one new point at most, which is scored against the history without
+    walking it and without Python workers.
     """
     spark = arrivals.sparkSession
     specs, facts = specs_frame(spark, catalog), rule_facts(spark, catalog)
     delivered = arrivals.where("arrived_minute is not null").select("load_date", "table")
     stats, reasons = collect_stats(catalog, tables, delivered, sql_seconds)
     series = outlier_series(stats, facts).unionByName(volume_series(stats, specs))
-    bands = stage(replay(series, history), "bands")
+    alone = one_day and history is not None
+    bands = stage(score_new_loads(history, series) if alone else replay(series, history), "bands")
     totals = stats.where(F.col("kind") == "rows").select("table", "load_date", F.col("total_rows").alias("row_count"))
     parts = [availability(arrivals, specs), volume_results(bands), structure(received, specs),
              row_results(stats, facts), outlier_results(bands, facts, totals)]
@@ -97,13 +122,3 @@ def validate(catalog: Catalog, tables: dict[str, DataFrame], arrivals: DataFrame
     extra = [c for c in ("seq", "run_id") if c in arrivals.columns]
     seen = observations(checks, minutes.select("load_date", "table", "minute", *extra))
     return Validation(checks, bands, stats, scores, metrics, seen)
-
-
-def validate_one_day(catalog: Catalog, tables: dict[str, DataFrame], history: DataFrame) -> DataFrame:
-    """Bands of a single new day against the stored history, without Python workers."""
-    any_table = next(iter(tables.values()))
-    spark = any_table.sparkSession
-    specs, facts = specs_frame(spark, catalog), rule_facts(spark, catalog)
-    stats, _ = collect_stats(catalog, tables)
-    series = outlier_series(stats, facts).unionByName(volume_series(stats, specs))
-    return score_new_loads(history, series)

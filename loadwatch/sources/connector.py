@@ -124,13 +124,18 @@ def _rule_value(name: str, data_type: T.DataType) -> str:
 
 
 def align_to_spec(df: DataFrame, spec: TableSpec, keep: tuple[str, ...] = ("load_date",)) -> DataFrame:
-    """The columns of the contract only: missing ones become NULL, unknown ones are dropped."""
+    """The columns of the contract only, with its types: missing ones become NULL, unknown ones are dropped, and a column
+    that arrives with another type is cast to the contract's, what doesn't fit becoming NULL."""
     types = {f.name: f.dataType for f in df.schema.fields}
     columns = []
     for c in spec.columns:
         name = f"`{c.name}`"
         empty = "INT" if c.data_type() == "boolean" else c.data_type()
         value = _rule_value(name, types[c.name]) if c.name in types else f"CAST(NULL AS {empty})"
+        if c.name in types and c.spark_type and types[c.name] != T.StructType.fromDDL(f"c {c.spark_type}")["c"].dataType:
+            text_flag = c.data_type() == "boolean" and isinstance(types[c.name], T.StringType)
+            cast = f"CAST(try_cast({name} AS BOOLEAN) AS INT)" if text_flag else f"try_cast({name} AS {empty})"
+            value = _rule_value(cast, T.StructType.fromDDL(f"c {empty}")["c"].dataType)
         columns.append(name if value == name else f"{value} AS {name}")
     return df.selectExpr(*columns, *[k for k in keep if k in types and k not in spec.column_names])
 

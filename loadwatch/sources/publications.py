@@ -18,8 +18,8 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_manifest(raw: DataFrame) -> DataFrame:
     dates = F.array_sort(F.array_distinct(F.transform("dates", lambda d: F.try_to_date(d))))
-    published = F.to_timestamp("published_at")
-    return (raw.where("published_at is not null and published_at <> ''")
+    published = F.try_to_timestamp("published_at")
+    return (raw.where(published.isNotNull())
             .withColumn("published", published)
             .withColumn("published_date", F.to_date(published))
             .withColumn("published_minute", minute_of_day(published))

@@ -29,7 +29,34 @@ def load_rules(spark: SparkSession, path: str) -> list[Rule]:
 def save_rules(spark: SparkSession, rules: list[Rule], path: str) -> None:
     """The catalogue as one JSON array, in a folder any Hadoop file system can hold."""
     text = json.dumps([rule_to_dict(r) for r in rules], ensure_ascii=False, indent=2)
-    spark.createDataFrame([(text,)], "value string").write.mode("overwrite").text(path)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Complete versions of a kept catalogue: Spark marks a folder when its write has ended."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(int(n[8:]) for n in names if n.startswith("version=")
+                  and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+
+
+def kept_rules(spark: SparkSession, folder: str) -> list[Rule] | None:
+    """The newest complete version of the catalogue in `folder`; None if there is none."""
+    known = _versions(spark, folder)
+    return load_rules(spark, f"{folder}/version={known[-1]}") if known else None
+
+
+def keep_rules(spark: SparkSession, rules: list[Rule], folder: str) -> None:
+    """Writes the catalogue as a new version, if it changed; a crash leaves the version before it. The last few stay."""
+    known = _versions(spark, folder)
+    if known and load_rules(spark, f"{folder}/version={known[-1]}") == list(rules):
+        return
+    save_rules(spark, rules, f"{folder}/version={known[-1] + 1 if known else 1}")
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in known[:-4]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version={old}"), True)
 
 
 def number_rules(raws: list[dict], catalog) -> list[Rule]:

@@ -32,12 +32,20 @@ def watch_publications(spark: SparkSession, folder: str, on_publication: Callabl
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
-def stream_rows(rows: DataFrame, spec: TableSpec, store: Store, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Write streamed rows (tagged with `load_date`) to the store; each batch replaces the days it brings whole."""
-    def replace_days(batch: DataFrame, _: int) -> None:
-        store.write_load(batch, spec)
+def stream_rows(rows: DataFrame, spec: TableSpec, store: Store, checkpoint: str, trigger: dict | None = None,
+                publication: str | None = None) -> StreamingQuery:
+    """Write streamed rows (tagged with `load_date`) to the store.
 
-    return (rows.writeStream.foreachBatch(replace_days).option("checkpointLocation", checkpoint)
+    A day may come in any number of files and batches: within a publication its rows add up. The column `publication` orders
+    the publications (the time published, a run number as text); a later one replaces the days it brings. Without it all rows
+    belong to one publication. A batch that is repeated after a failure replaces itself.
+    """
+    tagged = rows if publication else rows.withColumn("__publication", F.lit(""))
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        store.add_batch(batch, spec, batch_id, publication or "__publication")
+
+    return (tagged.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 

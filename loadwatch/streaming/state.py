@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from bisect import insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from loadwatch.model import HISTORY_POINTS
 from loadwatch.operators.baseline import KEY, CleanHistory
 
-KEPT_POINTS = 120  # clean points kept per series, so that a late day still finds the 60 before it
 _POINTS = "day int, value double"
 _BANDS = ("table string, check_id string, day int, value double, z double, volume boolean, weekday_used boolean, "
           "center double, spread double, lo double, hi double, score double, passed boolean")
@@ -22,7 +22,14 @@ _EVENTS = ("table string, number bigint, load_date string, minute int, position
 
 
 class BaselineState(StatefulProcessor):
-    """Judges the points of a series in day order; a day published again replaces its own point."""
+    """Judges the points of a series in day order; a day published again replaces its own point.
+
+    The state holds a clean point of 12 bytes per day. With `days_kept`, points older than so many days before the newest one
+    go, but never the last ones a day at that limit is compared with.
+    """
+
+    def __init__(self, days_kept: int | None = None) -> None:
+        self._days_kept = days_kept
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._points = handle.getListState("points", _POINTS)
@@ -40,7 +47,10 @@ class BaselineState(StatefulProcessor):
                 insort(clean, (day, value))
             out.append((key[0], key[1], day, value, float(r.z), bool(r.volume), bool(used), center, spread, lo, hi,
                         score, bool(passed)))
-        self._points.put(clean[-KEPT_POINTS:])
+        if self._days_kept is not None and clean:
+            limit = bisect_left(clean, (clean[-1][0] - self._days_kept,))
+            clean = clean[max(0, limit - HISTORY_POINTS):]
+        self._points.put(clean)
         frame = pd.DataFrame(out, columns=[c.split(" ")[0] for c in _BANDS.split(", ")])
         for name in ("center", "spread", "lo", "hi", "score"):
             frame[name] = frame[name].astype("float64")
@@ -50,11 +60,12 @@ class BaselineState(StatefulProcessor):
         pass
 
 
-def stateful_bands(series: DataFrame) -> DataFrame:
-    """Bands of a stream of daily points, as `loadwatch.operators.baseline.replay` gives in batch."""
+def stateful_bands(series: DataFrame, days_kept: int | None = None) -> DataFrame:
+    """Bands of a stream of daily points, as `loadwatch.operators.baseline.replay` gives in batch. `days_kept`: how far back a
+    day may still be published again; by default any day (the store's own horizon is `DAYS_HISTORY`)."""
     judged = series.select(*KEY, F.unix_date("load_date").alias("day"), "value", "z", "same_weekday", "volume") \
         .groupBy(*KEY).transformWithStateInPandas(
-            statefulProcessor=BaselineState(), outputStructType=_BANDS, outputMode="Append", timeMode="None")
+            statefulProcessor=BaselineState(days_kept), outputStructType=_BANDS, outputMode="Append", timeMode="None")
     return judged.select(*KEY, F.date_from_unix_date("day").alias("load_date"), "value", "z", "volume", "weekday_used",
                          *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("center", "spread", "lo", "hi", "score")], "passed")
 

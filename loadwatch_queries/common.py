@@ -67,7 +67,7 @@ def band_sql(daily: str, prefix: str = "") -> str:
       UNION ALL
       SELECT key, rn, d, v, z, vol, used, center, spread, lo, hi, ok,
              CASE WHEN ok THEN list_append(base, {{'d': d, 'v': v}})[-60:] ELSE base END
-      FROM (SELECT *, center IS NULL OR CASE WHEN vol THEN v >= lo AND v <= hi ELSE abs((v - center) / spread) <= z END AS ok
+      FROM (SELECT *, center IS NULL OR CASE WHEN vol THEN v >= lo - 1e-9 * spread AND v <= hi + 1e-9 * spread ELSE abs((v - center) / spread) <= z + 1e-9 END AS ok
       FROM (SELECT *, CASE WHEN center IS NULL THEN NULL WHEN vol AND typical < 30 THEN 0
                            WHEN vol THEN greatest(center - z * spread, 0) ELSE center - z * spread END AS lo,
                       CASE WHEN center IS NULL THEN NULL WHEN vol AND typical < 30 THEN greatest(center + z * spread, 3 * center, 30)

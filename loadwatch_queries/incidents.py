@@ -156,14 +156,14 @@ def _lookup(c: str, which: int) -> str:
     '[' || severity || '] ' || tbl || ': ' || title || ' (' || opened_date || ')' AS subject, {_lookup('evidence[1]', 0)} AS cause,
     array_to_string(list_concat([{_lookup('evidence[1]', 1)}], list_filter(list_transform(evidence[2:], lambda c: {_lookup('c', 1)}),
         lambda x: x <> {_lookup('evidence[1]', 1)})), chr(10)) AS actions,
-    'Hello, ' || tbl || ' team,' || chr(10) || chr(10) || 'The quality monitor found a problem in the table ' || tbl || ' (Events: ' || tbl || '), in the load of '
-      || opened_date || ' at ' || {_hhmm('opened_minute')} || '. Severity: ' || severity || '.' || chr(10) || chr(10) || 'What we found:' || chr(10)
-      || array_to_string(list_transform(evidence, lambda c: '  • ' || c.name || ': ' || c.message), chr(10)) || chr(10) || chr(10)
-      || 'Probable cause: ' || {_lookup('evidence[1]', 0)} || chr(10) || chr(10) || 'Impact: it feeds Dashboard, Risk.'
-      || CASE WHEN r > 0 THEN chr(10) || 'This is the ' || (r + 1) || CASE WHEN (r + 1) % 100 BETWEEN 11 AND 13 THEN 'th' WHEN (r + 1) % 10 = 1 THEN 'st'
-              WHEN (r + 1) % 10 = 2 THEN 'nd' WHEN (r + 1) % 10 = 3 THEN 'rd' ELSE 'th' END || ' time this table fails in the last 30 days.' ELSE '' END
-      || chr(10) || chr(10) || 'Requested action: ' || {_lookup('evidence[1]', 1)} || chr(10) || chr(10)
-      || 'We look forward to your confirmation. The incident closes by itself when the next load passes every check.' || chr(10) || chr(10) || 'Data quality team' AS body
+    'To: ' || tbl || ' team' || chr(10) || 'Table: ' || tbl || ' - Events: ' || tbl || chr(10) || 'Load: ' || opened_date || ', seen at ' || {_hhmm('opened_minute')}
+      || chr(10) || 'Severity: ' || severity || chr(10) || 'Who depends on it: Dashboard, Risk'
+      || CASE WHEN r > 0 THEN chr(10) || 'It is the ' || (r + 1) || CASE WHEN (r + 1) % 100 BETWEEN 11 AND 13 THEN 'th' WHEN (r + 1) % 10 = 1 THEN 'st'
+              WHEN (r + 1) % 10 = 2 THEN 'nd' WHEN (r + 1) % 10 = 3 THEN 'rd' ELSE 'th' END || ' incident of this table within 30 days.' ELSE '' END
+      || chr(10) || chr(10) || 'Please do this' || chr(10) || {_lookup('evidence[1]', 1)} || chr(10) || chr(10) || 'Why we write' || chr(10)
+      || array_to_string(list_transform(evidence, lambda c: '* ' || c.name || ' -> ' || c.message), chr(10)) || chr(10) || chr(10)
+      || 'What may be behind it' || chr(10) || {_lookup('evidence[1]', 0)} || chr(10) || chr(10)
+      || 'Nothing has to be reported back: a later load without failing checks ends the incident.' AS body
     FROM (SELECT *, {_RECURRENCE} AS r FROM incidents i)"""))
 def escalation_messages(spark, sf):
     s = state(spark, sf)

@@ -70,13 +70,14 @@ def streamed_incidents(spark, sf):
 
 @query("""SELECT CAST(ts AS DATE) AS load_date, count(*) AS n_rows FROM events GROUP BY 1""")
 def streamed_loads(spark, sf):
-    """Events published twice as a stream: the second publication replaces the days of the first."""
+    """Events published twice as a stream, every day spread over many files and several batches: the batches of a publication add
+    up, and the second publication replaces the days of the first."""
     df, spec = loads_of(table(spark, sf, "events"), "events", "ts")
     store, checkpoint, path = Store(spark, shared_dir(spark, "store")), shared_dir(spark, "rows-checkpoint"), shared_dir(spark, "events")
-    for _ in range(2):
-        df.coalesce(1).write.mode("append").parquet(path)
-        rows = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-        stream_rows(rows, spec, store, checkpoint).awaitTermination()
+    for published in ("2024-02-01", "2024-02-02"):
+        df.withColumn("published", F.lit(published)).repartition(6).write.mode("append").parquet(path)
+        rows = spark.readStream.schema(df.withColumn("published", F.lit("")).schema).option("maxFilesPerTrigger", 2).parquet(path)
+        stream_rows(rows, spec, store, checkpoint, publication="published").awaitTermination()
     return store.rows(spec).groupBy("load_date").agg(F.count(F.lit(1)).alias("n_rows"))
 
 

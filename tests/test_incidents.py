@@ -161,7 +161,7 @@ def test_report_has_evidence_cause_examples_and_owner(spark, specs):
     examples = spark.createDataFrame([("t00", "c3", 1, "amount=-7,73")], "table string, check_id string, position int, shown string")
     (r,) = escalation_reports(found, specs, examples).collect()
     assert r.recipient == "a@b.c" and r.subject == f"[critical] t00: name 3 ({START})"
-    assert r.cause == CAUSES["range"][0] and "amount=-7,73" in r.body and "This is the 3rd time" in r.body and "Hello, team" in r.body
+    assert r.cause == CAUSES["range"][0] and "amount=-7,73" in r.body and "It is the 3rd incident" in r.body and r.body.startswith("To: team")
     assert r.actions.split("\n") == [CAUSES["range"][1], CAUSES["volume_low"][1]]
 
 

@@ -55,10 +55,12 @@ def test_uniqueness_combines_copies_before_the_shuffle(table):
     assert "partial_count" in before_shuffle and no_pairs(text)
 
 
-def test_free_text_stays_out_of_the_first_shuffle(table):
+def test_free_text_is_scanned_once_and_never_shuffled(table):
     df, spec, rules = table
-    text = plan(daily_stats(df, spec, rules[5:]))
-    assert "hashpartitioning(load_date#" in text and "__key_hash" in text and no_pairs(text)
+    text = plan(daily_stats(df, spec, rules[5:6]))
+    assert text.count("FileScan") == 2 and text.count("note:string") == 1  # the row count reads the day alone
+    assert "sha2" in text and "Join" not in text and no_pairs(text)
+    assert not [x for x in text.split("\n") if "Exchange" in x and "note#" in x]
 
 
 def test_a_third_of_the_rows_in_one_key_or_day_is_counted_whole(table):
@@ -79,14 +81,22 @@ def test_examples_are_cut_before_the_shuffle(table):
 def test_the_exact_profile_shuffles_narrow_pairs(table):
     df, spec, _ = table
     text = plan(profile(df, spec))
-    assert "Expand" not in text and "sha2" in text and "partial_count" in text
+    assert "Expand" not in text and "sha2" in text and "partial_count" in text and no_pairs(text)
+
+
+def test_expected_rows_read_each_point_once(spark):
+    """A day of every point asked: as many rows reach the windows as there are points and days, not their pairs."""
+    days = spark.range(400).selectExpr("'t' `table`", "'a' check_id", "date_add(date'2025-01-01', cast(id as int)) load_date", "1.0D value", "3.0D z", "true same_weekday", "true volume")
+    text = plan(score_new_loads(days.select("table", "check_id", "load_date", "value"), days))
+    assert [x for x in text.split("\n") if "Join" in x and "LeftSemi" not in x] == [] and text.count("Window [") == 2
+    assert score_new_loads(days.select("table", "check_id", "load_date", "value"), days).where("center is not null").count() > 300
 
 
 def test_new_days_need_no_python(spark):
     today = spark.createDataFrame([("t", "a", date(2026, 1, 8), 1.0, 3.0, True, True)], POINTS)
     history = today.select("table", "check_id", "load_date", "value")
     text = plan(score_new_loads(history, today))
-    assert "Pandas" not in text and "Python" not in text and "WindowGroupLimit" in text
+    assert "Pandas" not in text and "Python" not in text and no_pairs(text)
     assert "FlatMapGroupsInPandas" in plan(replay(today))
 
 

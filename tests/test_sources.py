@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loadwatch.model import Field, TableSpec
 from loadwatch.plans.monitor import Monitor
-from loadwatch.plans.validate import validate_one_day
+from loadwatch.plans.validate import validate
 from loadwatch.sources.connector import (align_to_spec, available_dates, infer_spec, load_connector, normalize_types, read_load,
                                          scan_csv, tag_loads)
 from loadwatch.sources.publications import fingerprint, plan_dates, read_manifest
@@ -90,7 +90,9 @@ def test_one_day_path_equals_what_was_stored(spark, gold, monitor):
     tables = {s.name: monitor.store.rows(s).where(F.col("load_date") == F.lit(day)) for s in monitor.catalog.tables if s.name == "payments"}
     from loadwatch.operators.baseline import base_points
     history = base_points(monitor.store.read("metrics")).where(F.col("load_date") < F.lit(day))
-    bands = {r.check_id: r for r in validate_one_day(monitor.catalog, tables, history).collect()}
+    arrivals = spark.createDataFrame([(day, "payments", 1, 1)], "load_date date, table string, arrived_minute int, now_minute int")
+    received = arrivals.select("load_date", "table", F.array(*map(F.lit, monitor.catalog.spec("payments").column_names)).alias("columns"))
+    bands = {r.check_id: r for r in validate(monitor.catalog, tables, arrivals, received, history, one_day=True).bands.collect()}
     stored = {r.metric: r.value for r in one(monitor, "metrics", f"`table` = 'payments' and load_date = '{day}'").collect()}
     assert bands["R003"].lo == pytest.approx(stored["rule:R003:lo"]) and bands["R003"].hi == pytest.approx(stored["rule:R003:hi"])
     assert bands["rows"].value == stored["rows"] == 60
@@ -320,3 +322,121 @@ def test_csv_schema_is_frozen_after_the_first_read(spark, tmp_path):
     assert first.dtypes == [("a", "int"), ("b", "string")]
     (tmp_path / "a.csv").write_text("a,b\nnot a number,x\n")
     assert scan_csv(spark, f"{tmp_path}/a.csv", first.schema).first().a is None
+
+
+def test_a_day_may_come_in_many_files_and_batches(spark, folder):
+    """Rows of a publication add up; a later publication replaces its days; a repeated batch changes nothing."""
+    from loadwatch.streaming.ingest import stream_rows
+    store, spec = Store(spark, f"{folder}/store"), TableSpec("t", (Field("id", "integer"),))
+    rows = spark.range(20).selectExpr("id", "date_add(date'2026-03-01', cast(id % 2 as int)) load_date", "'2026-03-02T01' published")
+    rows.repartition(6).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream_rows(stream, spec, store, f"{folder}/checkpoint", publication="published").awaitTermination()
+    assert sorted(r.id for r in store.rows(spec).collect()) == list(range(20))
+    store.add_batch(rows.where("id = 3"), spec, 99, "published")
+    store.add_batch(rows.where("id = 3"), spec, 99, "published")
+    assert store.rows(spec).count() == 21
+    second = rows.where("id < 4").withColumn("published", F.lit("2026-03-03T01")).where("load_date = date'2026-03-02'")
+    second.repartition(2).write.mode("append").parquet(f"{folder}/in")
+    stream_rows(stream, spec, store, f"{folder}/checkpoint", publication="published").awaitTermination()
+    got = [(r.load_date.day, r.id) for r in store.rows(spec).collect()]
+    assert sorted(i for d, i in got if d == 2) == [1, 3] and sorted(i for d, i in got if d == 1) == list(range(0, 20, 2))
+    store.add_batch(rows.where("id = 5"), spec, 100, "published")  # late rows of the publication that was replaced
+    assert store.rows(spec).where("load_date = date'2026-03-02'").count() == 2
+    store.write_load(rows.where("id = 7").drop("published"), spec)
+    assert [r.id for r in store.rows(spec).where("load_date = date'2026-03-02'").collect()] == [7]
+
+
+def test_every_manifest_of_a_folder_is_validated_in_order(spark, tmp_path):
+    publish(spark, tmp_path, days=4, published="2026-09-04T23:00:00+00:00")
+    cfg = {**config(tmp_path), "manifest": "manifests"}
+    cfg["tables"] = cfg["tables"][:1]
+    (tmp_path / "manifests").mkdir()
+    for i, days in ((1, ["2026-09-03", "2026-09-04"]), (0, ["2026-09-01", "2026-09-02"])):
+        (tmp_path / "manifests" / f"{i}.json").write_text(json.dumps({"run_id": f"r{i}", "published_at": f"2026-09-0{4 + i}T23:00:00", "dates": days, "datasets": {"payments": 120 + i}}))
+    (tmp_path / "manifests" / "bad.json").write_text('{"run_id": "x", "published_at": "yesterday", "dates": ["2026-09-09"]}')
+    m = Monitor(spark, load_connector(spark, cfg), Store(spark, str(tmp_path / "store")))
+    assert m.kpis().first().tables_total == 0 and m.snapshot()["tables"].isEmpty()  # before the first publication
+    assert m.sync() == [START + timedelta(days=d) for d in range(4)] and m.sync() == []
+    runs = {r.run_id: r for r in m.runs().collect()}
+    assert set(runs) == {"r0", "r1"} and runs["r1"].dataset_rows == 121
+    assert [r.load_date.day for r in m.store.read("publications").orderBy("seq", "load_date").collect()] == [1, 2, 3, 4]
+
+
+def test_tables_that_start_later_get_rules_from_their_own_first_load(spark, tmp_path):
+    for name, first in (("a", 0), ("b", 2)):
+        spark.range(200).selectExpr("id row_id", "abs(hash(id)) % 50 + 0.5D amount", f"date_add(date'2026-09-01', cast({first} + id % {5 - first} as int)) day") \
+            .coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    (tmp_path / "manifest.json").write_text('{"run_id": "r", "published_at": "2026-09-05T23:00:00", "dates": ["2026-09-05"]}')
+    cfg = {"source": "s", "path": str(tmp_path), "manifest": "manifest.json", "expected_at": "23:59",
+           "tables": [{"name": n, "date_column": "day"} for n in ("a", "b")]}
+    m = Monitor(spark, load_connector(spark, cfg), Store(spark, str(tmp_path / "store")))
+    m.sync()
+    kinds = {t: sorted(r.type for r in m.rules if r.table == t) for t in ("a", "b")}
+    assert kinds["a"] == kinds["b"] == ["not_null", "range", "unique"]
+    judged = m.store.read("check_results").where("kind = 'rule' and `table` = 'b'").groupBy("load_date").count().collect()
+    assert {r.load_date.day: r["count"] for r in judged}[3] == 3
+
+
+def test_a_rule_that_fails_on_the_data_is_found_without_the_others(spark, tmp_path):
+    """Only the table with the broken condition is read again, and what is said is the cause."""
+    from loadwatch.model import Catalog, Rule
+    from loadwatch.plans.validate import collect_stats
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.range(40).selectExpr("id", "concat('x', id) name", "date'2026-09-01' load_date")
+    df.write.parquet(f"{tmp_path}/p")
+    p = spark.read.parquet(f"{tmp_path}/p")
+    spec_p, spec_q = infer_spec(p.drop("load_date"), "p"), TableSpec("q", (Field("id", "integer"),))
+    count = F.udf(lambda x: (seen.add(1), x)[1], "bigint").asNondeterministic()
+    q = df.select(count("id").alias("id"), "load_date")
+    sql = lambda t, i, c: Rule(i, t, "sql", "low", {"condition": c})
+    rules = (sql("p", "R1", "id < 5"), sql("p", "R2", "cast(name as int) > 0"), sql("p", "R3", "id > 35"),
+             Rule("R4", "q", "range", "low", {"column": "id", "min": 3}))
+    stats, reasons = collect_stats(Catalog((spec_p, spec_q), rules), {"p": p, "q": q})
+    got = {(r.table, r.check_id): r.failing_rows for r in stats.where("kind = 'row'").collect()}
+    assert got == {("p", "R1"): 5, ("p", "R3"): 4, ("q", "R4"): 3}
+    assert set(reasons["p"]) == {"R2"} and "CAST_INVALID_INPUT" in reasons["p"]["R2"] and not reasons["q"]
+    assert seen.value == 40  # the other table was evaluated once
+
+
+def test_a_column_with_another_type_is_cast_to_the_contract(spark):
+    spec = TableSpec("t", (Field("id", "integer", spark_type="bigint"), Field("v", "decimal", spark_type="double"), Field("f", "integer", spark_type="boolean")))
+    df = spark.createDataFrame([("7", "1.5", "true"), ("x", "NaN", "maybe")], "id string, v string, f string")
+    assert [tuple(r) for r in align_to_spec(df, spec).collect()] == [(7, 1.5, 1), (None, None, None)]
+
+
+def test_retention_prunes_when_any_validated_day_is_a_first(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.write("metrics", spark.range(426).selectExpr("date_add(date'2025-01-01', cast(id as int)) load_date", "'t' `table`", "'rows' metric", "1D value"))
+    store.apply_retention([], date(2026, 3, 2), validated=[date(2026, 3, 1), date(2026, 3, 2)])
+    assert store.read("metrics").agg(F.min("load_date")).first()[0] == date(2025, 11, 1)
+    text = store.read("metrics", date(2026, 2, 1), date(2026, 2, 3))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(load_month" in text and store.read("metrics", date(2026, 2, 1), date(2026, 2, 3)).count() == 3
+
+
+def test_rules_are_kept_as_versions_and_only_when_they_change(spark, folder):
+    from loadwatch.model import Rule
+    from loadwatch.sources.rulebook import keep_rules, kept_rules
+    rules = [Rule("R001", "t", "not_null", "low", {"column": "c"})]
+    assert kept_rules(spark, f"{folder}/rules") is None
+    for _ in range(2):
+        keep_rules(spark, rules, f"{folder}/rules")
+    assert os.listdir(f"{folder}/rules") == ["version=1"] and kept_rules(spark, f"{folder}/rules") == rules
+    for i in range(2, 9):
+        rules.append(Rule(f"R{i:03d}", "t", "not_null", "low", {"column": "c"}))
+        keep_rules(spark, rules, f"{folder}/rules")
+    os.makedirs(f"{folder}/rules/version=9")  # a write that never ended
+    assert kept_rules(spark, f"{folder}/rules") == rules and len(os.listdir(f"{folder}/rules")) == 6
+
+
+def test_staged_tables_go_when_a_sync_ends(spark, tmp_path):
+    publish(spark, tmp_path, days=2, copied=1)
+    cfg = config(tmp_path)
+    cfg["tables"] = cfg["tables"][:1]
+    shared = spark.conf.get("spark.checkpoint.dir")
+    m = Monitor(spark, load_connector(spark, cfg), Store(spark, str(tmp_path / "store")))
+    before = set(os.listdir(shared))
+    m.sync()
+    assert set(os.listdir(shared)) == before
+    (mail,) = m.reports().collect()
+    assert "id_payment=P-1-0 (x2)" in mail.body  # the repeated keys travel with the message

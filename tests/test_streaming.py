@@ -102,3 +102,16 @@ def test_shared_folder_is_required_on_a_cluster(spark):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session, "x")
+
+
+def test_a_day_published_very_late_is_judged_as_in_the_replay(spark):
+    """More than 120 clean points come between the day and its publication."""
+    use_rocksdb(spark)
+    rows = [("t", "a", MONDAY + timedelta(days=i), 100.0 + i % 5, 3.0, False, False) for i in range(260)]
+    late = [(*rows[40][:3], 900.0, *rows[40][4:])]
+    expected = {r.load_date: r for r in replay(spark.createDataFrame(rows[:40] + late, SCHEMA)).collect()}[late[0][2]]
+    for kept, same in ((None, True), (30, False)):
+        bands = run_to_table(stateful_bands(stream_of(spark, SCHEMA, [rows[:40] + rows[41:], late]), kept), "bands")
+        (got,) = bands.where(bands.load_date == late[0][2]).collect()
+        assert ((got.center, got.spread, got.passed) == (expected.center, expected.spread, expected.passed)) == same
+    assert not expected.passed
