@@ -13,6 +13,7 @@ from loadwatch.operators.evaluate import daily_stats, rule_facts
 from loadwatch.plans.report import metric_bands
 from loadwatch.session import stage
 from loadwatch_queries.common import ROUNDED_BANDS, band_sql, loads_of, rounded, rounded_bands, rounded_sql, rules_of, table
+from loadwatch_queries.state import _loc
 
 QUERIES = {}
 
@@ -71,14 +72,18 @@ def outlier_trailing(spark, sf):
 
 @query(f"""WITH RECURSIVE {band_sql(_EVENT_SERIES)}
     SELECT d AS load_date, key AS check_id, CASE WHEN ok THEN 'ok' ELSE 'fail' END AS status, round_even(v, 4) AS value,
-           CASE WHEN center IS NULL THEN 'needs 4 comparable days or more' ELSE 'banded' END AS threshold FROM bands""")
+           CASE WHEN center IS NULL THEN 'needs 4 comparable days or more' ELSE 'between ' || {_loc('lo')} || ' and ' || {_loc('hi')} END AS threshold,
+           CASE WHEN center IS NULL THEN said || ' today: ' || {_loc('v')} || ' (not enough history yet)'
+                WHEN ok THEN said || ' of value = ' || {_loc('v')} || ' (normal: ' || {_loc('lo')} || ' – ' || {_loc('hi')} || ')'
+                ELSE said || ' of value = ' || {_loc('v')} || ', ' || format('{{:.1f}}', round_even(abs(score), 1)) || 'σ '
+                     || CASE WHEN score > 0 THEN 'above' ELSE 'below' END || ' normal (center ' || {_loc('center')} || ')' END AS message
+    FROM (SELECT *, CASE key WHEN 'T1' THEN 'Sum' WHEN 'T2' THEN 'Avg' WHEN 'T3' THEN 'Min' ELSE 'Count' END AS said FROM bands)""")
 def outlier_checks(spark, sf):
     df, spec = loads_of(table(spark, sf, "events"), "events", "ts")
     rules = _event_rules(spec)
     facts = rule_facts(spark, Catalog((spec,), tuple(rules)))
     checks = outlier_results(_outlier_bands(df, spec, rules), facts)
-    limit = F.when(F.col("threshold").startswith("between"), "banded").otherwise(F.col("threshold"))
-    return checks.select("load_date", "check_id", "status", "value", limit.alias("threshold"))
+    return checks.select("load_date", "check_id", "status", "value", "threshold", "message")
 
 
 # ----------------------------------------------------------------- volume

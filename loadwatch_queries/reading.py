@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -63,11 +63,14 @@ def check_heatmap(spark, sf):
     return report.heatmap(state(spark, sf).checks, "error")
 
 
-@query(with_state("""SELECT check_id, name, max(status) FILTER (WHERE load_date = DATE '2024-01-01') AS "2024-01-01",
-    max(status) FILTER (WHERE load_date = DATE '2024-01-15') AS "2024-01-15" FROM checks WHERE tbl = 'signup' GROUP BY 1, 2"""))
+_GRID = [date(2024, 1, 1) + timedelta(days=i) for i in range(30)]
+
+
+@query(with_state("SELECT check_id, name, " + ", ".join(f"max(status) FILTER (WHERE load_date = DATE '{d}') AS \"{d}\"" for d in _GRID)
+                  + " FROM checks WHERE tbl = 'signup' GROUP BY 1, 2"))
 def check_grid(spark, sf):
-    """The heatmap as a grid, one column per chosen day."""
-    return report.heatmap_grid(state(spark, sf).checks, "signup", [date(2024, 1, 1), date(2024, 1, 15)])
+    """The heatmap as a grid, one column per day of the tables."""
+    return report.heatmap_grid(state(spark, sf).checks, "signup", _GRID)
 
 
 def _summary(s):

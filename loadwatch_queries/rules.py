@@ -277,10 +277,13 @@ def column_profile(spark, sf):
     return out
 
 
-@query(_profile_sql("events", _EVENTS, "CAST(ts AS DATE)", distinct=False))
+@query(f"""SELECT *, true AS estimate_close FROM ({_profile_sql("events", _EVENTS, "CAST(ts AS DATE)", distinct=False)})""")
 def column_profile_estimated(spark, sf):
-    """The one-pass profile; its distinct counts are estimates and are left out here."""
-    return profile(*loads_of(table(spark, sf, "events"), "events", "ts"), exact=False).drop("distinct_values")
+    """The one-pass profile; its distinct counts are estimates, held against the exact ones within four standard errors."""
+    loads = loads_of(table(spark, sf, "events"), "events", "ts")
+    exact = profile(*loads).select("load_date", "position", F.col("distinct_values").alias("exact"))
+    near = F.abs(F.col("distinct_values") - F.col("exact")) <= F.greatest(F.lit(2.0), 0.2 * F.col("exact"))
+    return profile(*loads, exact=False).join(exact, ["load_date", "position"]).withColumn("estimate_close", near).drop("distinct_values", "exact")
 
 
 @query("""SELECT * FROM (
@@ -313,15 +316,14 @@ def suggested_rules(spark, sf):
 _AGE = "date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01')"
 
 
-@query(f"""WITH f AS (SELECT c_mktsegment AS segment, o_totalprice AS amount, {_AGE} AS days_late FROM orders JOIN customer ON o_custkey = c_custkey
-                      WHERE c_acctbal > 0),
+@query(f"""WITH f AS (SELECT c_mktsegment AS segment, o_totalprice AS amount, {_AGE} AS days_late FROM orders JOIN customer ON o_custkey = c_custkey),
     s AS (SELECT DISTINCT c_mktsegment AS segment FROM customer UNION SELECT p_type FROM part),
     a AS (SELECT segment, count(*) AS n, sum(amount) AS total, sum(amount) FILTER (WHERE days_late > 30) AS overdue FROM f GROUP BY 1)
     SELECT segment, coalesce(n, 0) AS n_records, round(coalesce(total, 0), 0) AS total, round(coalesce(overdue, 0), 0) AS overdue,
            CASE WHEN coalesce(total, 0) <> 0 THEN round(100 * coalesce(overdue, 0) / total, 2) ELSE 0.0 END AS overdue_pct FROM s LEFT JOIN a USING (segment)""")
 def segment_totals(spark, sf):
-    """Orders of customers in credit by market segment; part types are segments without a record."""
-    good = table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    """Orders by market segment; part types are segments without a record."""
+    good = table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
     age = F.datediff(F.lit("2001-08-01").cast("date"), F.col("o_orderdate").cast("date"))
     facts = table(spark, sf, "orders").join(good, F.col("o_custkey") == F.col("c_custkey")) \
         .select("segment", F.col("o_totalprice").alias("amount"), age.alias("days_late"))

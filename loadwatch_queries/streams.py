@@ -57,15 +57,23 @@ def streamed_outliers(spark, sf):
     return rounded_bands(run_to_table(stateful_bands(_as_stream(spark, series, "series", F.year("load_date"))), "bands"))
 
 
-@query(with_state("""SELECT tbl AS "table", d AS load_date, CASE WHEN opens THEN 'detected' WHEN fail THEN 'persists' ELSE 'resolved' END AS kind
-    FROM (SELECT *, lag(fail) OVER (PARTITION BY tbl ORDER BY d) AS before FROM marked) WHERE fail OR before"""))
+_WEIGHT = "CASE {w} WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END"
+
+
+@query(with_state(f""", ev AS (SELECT *, max(fails[1].w) OVER run AS w_now, max(fails[1].w) OVER (PARTITION BY tbl, island ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS w_before,
+        count(*) FILTER (WHERE fail) OVER run AS n, first_value(fails[1].name) OVER run AS title, lag(fail) OVER (PARTITION BY tbl, island ORDER BY d) AS failed
+      FROM islands WHERE island > 0 WINDOW run AS (PARTITION BY tbl, island ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    told AS (SELECT *, 0 AS position, 'detected' AS kind, w_now AS w FROM ev WHERE opens UNION ALL SELECT *, 2, 'persists', w_before FROM ev WHERE fail AND NOT opens
+      UNION ALL SELECT *, 3, 'escalated', w_now FROM ev WHERE fail AND NOT opens AND w_now > w_before UNION ALL SELECT *, 5, 'resolved', w_now FROM ev WHERE NOT fail AND failed)
+    SELECT tbl AS "table", CAST(island AS BIGINT) AS number, d AS load_date, CAST(minute AS INTEGER) AS minute, CAST(position AS INTEGER) AS position, kind,
+      {_WEIGHT.format(w='w')} AS severity, title, n AS loads_failed FROM told"""))
 def streamed_incidents(spark, sf):
-    """Observations as they come: incidents open, persist and resolve with state by table."""
+    """Observations as they come: incidents open, persist, rise and resolve with state by table."""
     use_rocksdb(spark)
     seen = state(spark, sf).validation.observations
     week = F.date_trunc("week", F.col("load_date").cast("timestamp")).cast("date")
     events = run_to_table(stateful_incidents(_as_stream(spark, seen, "observations", week)), "incidents")
-    return events.where("kind <> 'escalated'").select("table", "load_date", "kind")
+    return events.select("table", "number", "load_date", "minute", "position", "kind", "severity", "title", "loads_failed")
 
 
 @query("""SELECT CAST(ts AS DATE) AS load_date, count(*) AS n_rows FROM events GROUP BY 1""")
