@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input.
 
-Quality rules drop rejected documents; SimHash keeps the document of the smallest id of each group of near-duplicates;
+Quality rules drop rejected documents; SimHash keeps the document of the smallest id of each group of near-duplicates (five-word
+shingles, a similarity of 0.8 or more);
 decontamination drops documents that hold a benchmark window; secrets are replaced in the text, and `n_chars` with it; mixing
 gives the copies of documents that the training mix takes, in training order. Every stage works on all that its predecessor kept.
 """

@@ -8,7 +8,9 @@ whole, by exclusive-or and bit counts. A pair of blocks gives a spanning forest
 near copies costs no more rows than it has members. Forests are joined by repeated hooking to the smallest neighbour and
 shortening, each round written to the shared folder.
 
-Exact copies share a fingerprint and are one node. The work of the comparison grows with the square of the distinct
+A fingerprint is 64 bits for each seed; with four seeds and five-word shingles, `SIMILAR` bits of 256 tell texts of a Jaccard
+similarity of 0.8 or more from others (`keep_first`). Exact copies share a fingerprint and are one node: the fingerprint itself
+if it has 64 bits, else its 64-bit hash. The work of the comparison grows with the square of the distinct
 fingerprints, times the small share of tiles that lie within the radius; that is the method's price for being exact.
 
 Edge cases: a null or empty text has fingerprint zero and is linked like any other; repeated rows stay repeated, with the same
@@ -29,7 +31,12 @@ from loadwatch.llm.arrays import Texts, chunks, picked, shape, spaced, table, xx
 from loadwatch.model import small_frame
 from loadwatch.session import stage
 
-WORDS, RADIUS = 3, 3
+WORDS, RADIUS, SEEDS = 3, 3, (42,)
+#: Near-duplicates by similarity: words of a shingle, seeds, and differing bits. At a Jaccard similarity of 0.8 the expected
+#: difference is 39 bits of 256, with a deviation of 6.
+SIMILAR_WORDS, SIMILAR_SEEDS, SIMILAR = 5, (42, 43, 44, 45), 51
+#: Within this radius, the counts of quarters are worth cutting blocks by.
+FINE = 8
 #: Fingerprints of a block.
 TILE = 16384
 #: Rows of the plan of pairs up to which it is sent to every task.
@@ -37,11 +44,11 @@ PLANNED = 200_000
 LOW = np.uint64(0xFFFFFFFF)
 
 
-def fingerprints(texts: pa.Array, words: int = WORDS) -> np.ndarray:
-    """One 64-bit fingerprint per text: the majority of each bit over the hashes of all its shingles."""
+def fingerprints(texts: pa.Array, words: int = WORDS, seeds: tuple[int, ...] = SEEDS) -> np.ndarray:
+    """A row of 64 bits per seed for each text: the majority of each bit over the hashes of all its shingles."""
     t = Texts(texts, lower=True)
     starts, ends, offsets = t.words()
-    out = np.zeros(len(t), np.uint64)
+    out = np.zeros((len(t), len(seeds)), np.uint64)
     size = np.diff(offsets)
     some = np.flatnonzero(size)
     if len(some) == 0:
@@ -51,26 +58,35 @@ def fingerprints(texts: pa.Array, words: int = WORDS) -> np.ndarray:
     begin = np.concatenate([[0], np.cumsum(n)])
     first = np.repeat(offsets[:-1][some] - begin[:-1], n) + np.arange(begin[-1])
     last = first + np.repeat(np.minimum(size[some], words), n) - 1
-    h = xxh64(data, starts[first], ends[last])
-    for a in range(0, len(some), 4096):
-        b = min(a + 4096, len(some))
-        bits = np.unpackbits(h[begin[a]:begin[b]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, begin[a:b] - begin[a], axis=0, dtype=np.int64)
-        major = (2 * ones > n[a:b, None]).astype(np.uint8)
-        out[some[a:b]] = np.packbits(major, axis=1, bitorder="little").view("<u8").reshape(-1)
+    for k, seed in enumerate(seeds):
+        h = xxh64(data, starts[first], ends[last], seed)
+        for a in range(0, len(some), 512):
+            b = min(a + 512, len(some))
+            bits = np.unpackbits(h[begin[a]:begin[b]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, begin[a:b] - begin[a], axis=0, dtype=np.int32)
+            major = (2 * ones > n[a:b, None]).astype(np.uint8)
+            out[some[a:b], k] = np.packbits(major, axis=1, bitorder="little").view("<u8").reshape(-1)
     return out
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None = None, words: int = WORDS) -> DataFrame:
-    """`docs` (or its columns `keep`) with `fp`, the fingerprint's 64 bits as a signed number."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c != "fp"]
+def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None = None, words: int = WORDS,
+                     seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """`docs` (or its columns `keep`) with `fp`, its node, and with several seeds also `fp0`, `fp1` and so on: signed numbers."""
+    names = ["fp", *(f"fp{k}" for k in range(len(seeds)) if len(seeds) > 1)]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, text):
-            fp = fingerprints(part.column(text), words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(fp)], [*kept, "fp"])
+            found = fingerprints(part.column(text), words, seeds)
+            node = found[:, 0]
+            if len(seeds) > 1:
+                at = np.arange(0, 8 * found.size + 1, 8 * len(seeds))
+                node = xxh64(np.ascontiguousarray(found).view(np.uint8).reshape(-1), at[:-1], at[1:])
+            columns = [node, *(found[:, k] for k in range(len(seeds)) if len(seeds) > 1)]
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(x.view(np.int64)) for x in map(np.ascontiguousarray, columns)],
+                                             [*kept, *names])
 
-    return picked(docs, [*kept, text]).mapInArrow(run, shape(docs, kept, "fp bigint"))
+    return picked(docs, [*kept, text]).mapInArrow(run, shape(docs, kept, ", ".join(f"{c} bigint" for c in names)))
 
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -93,25 +109,44 @@ def quarters(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.bitwise_count(x & np.uint64(0xFFFF)).astype(np.int64), np.bitwise_count((x >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int64))
 
 
+def tiles_of(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of fingerprints by tile, the begins of the tiles and their bit counts by quarter (of the first 64 bits)."""
+    if radius > FINE:  # so wide a radius reaches nearly every tile: one is as good
+        return np.arange(len(x)), np.array([0, len(x)]), np.zeros((1, 4), np.int64)
+    first = x[:, 0]
+    c, d = quarters(first)
+    order = np.argsort(c * 32 + d, kind="stable")
+    key = (c * 32 + d)[order]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    halves = np.stack([c, np.bitwise_count(first & LOW) - c, d, np.bitwise_count(first >> np.uint64(32)) - d], axis=1).astype(np.int64)
+    return order, np.append(begin, len(x)), halves[order[begin]]
+
+
+def close(left: list[np.ndarray], right: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs with at most `radius` differing bits; the first two words of 64 bits are compared for all, others for what is left."""
+    bits = np.bitwise_count(left[0][:, None] ^ right[0][None, :])
+    if len(left) > 1:
+        bits += np.bitwise_count(left[1][:, None] ^ right[1][None, :])
+    r, c = np.nonzero(bits <= radius)
+    if len(left) > 2 and len(r):
+        total = bits[r, c].astype(np.int64)
+        for x, y in zip(left[2:], right[2:], strict=True):
+            total += np.bitwise_count(x[r] ^ y[c])
+        r, c = r[total <= radius], c[total <= radius]
+    return r, c
+
+
 def links(x: np.ndarray, y: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs with at most `radius` differing bits, skipping tiles whose quarters' counts differ by more in sum.
 
-    Pairs of a dense tile are thinned to one link per row and column of a strip, which keeps all components."""
-    out_a, out_b = [], []
+    Pairs of a dense strip are thinned to a spanning forest, which holds the same components."""
+    out_a, out_b, shift = [], [], 0 if same else len(x)
     if len(x) == 0 or len(y) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def tiles(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Order by the counts of the quarters; begins of tiles, and their counts."""
-        c, d = quarters(v)
-        order = np.argsort(c * 32 + d, kind="stable")
-        key = (c * 32 + d)[order]
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        halves = np.stack([c, np.bitwise_count(v & LOW) - c, d, np.bitwise_count(v >> np.uint64(32)) - d], axis=1).astype(np.int64)
-        return order, np.append(begin, len(v)), halves[order[begin]], v[order]
-
-    order_x, at_x, count_x, sorted_x = tiles(x)
-    order_y, at_y, count_y, sorted_y = (order_x, at_x, count_x, sorted_x) if same else tiles(y)
+    order_x, at_x, count_x = tiles_of(x, radius)
+    order_y, at_y, count_y = (order_x, at_x, count_x) if same else tiles_of(y, radius)
+    sorted_x = [np.ascontiguousarray(x[order_x, k]) for k in range(x.shape[1])]
+    sorted_y = sorted_x if same else [np.ascontiguousarray(y[order_y, k]) for k in range(y.shape[1])]
     for i in range(len(count_x)):
         near = np.flatnonzero(np.abs(count_y - count_x[i]).sum(axis=1) <= radius)
         if same:
@@ -119,46 +154,47 @@ def links(x: np.ndarray, y: np.ndarray, radius: int, same: bool) -> tuple[np.nda
         if len(near) == 0:
             continue
         cols = np.concatenate([np.arange(at_y[j], at_y[j + 1]) for j in near])
-        right = sorted_y[cols]
-        rows = max(1, (1 << 20) // len(right))
+        right = [w[cols] for w in sorted_y]
+        rows = max(1, (1 << 18) // len(cols))
         for a in range(int(at_x[i]), int(at_x[i + 1]), rows):
-            left = sorted_x[a:min(a + rows, int(at_x[i + 1]))]
-            r, c = np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= radius)
-            if len(r):
-                p, q = order_x[a + r], order_y[cols[c]]
-                on = p != q if same else np.ones(len(p), bool)
+            r, c = close([w[a:min(a + rows, int(at_x[i + 1]))] for w in sorted_x], right, radius)
+            p, q = order_x[a + r], order_y[cols[c]]
+            if same:
+                on = p < q if len(count_x) == 1 else p != q
                 p, q = p[on], q[on]
-                if len(p) > len(left) + len(right):  # a dense strip: a spanning forest holds the same components
-                    nodes, inv = np.unique(np.concatenate([p, q + (0 if same else len(x))]), return_inverse=True)
-                    root = nodes[roots(inv[:len(p)], inv[len(p):], len(nodes))]
-                    on = nodes != root
-                    out_a.append(root[on])
-                    out_b.append(nodes[on])
-                else:
-                    out_a.append(p)
-                    out_b.append(q + (0 if same else len(x)))
+            if len(p) > rows + len(cols):
+                nodes, inv = np.unique(np.concatenate([p, q + shift]), return_inverse=True)
+                root = nodes[roots(inv[:len(p)], inv[len(p):], len(nodes))]
+                out_a.append(root[nodes != root])
+                out_b.append(nodes[nodes != root])
+            elif len(p):
+                out_a.append(p)
+                out_b.append(q + shift)
     if not out_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest over two blocks (or within one, `right` None)."""
-    nodes = left if right is None else np.concatenate([left, right])
+    """Links, as places in `left` then `right`, of a spanning forest over two blocks (or within one, `right` None)."""
+    n = len(left) + (0 if right is None else len(right))
     a, b = links(left, left if right is None else right, radius, right is None)
-    root = roots(a, b, len(nodes))
-    on = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[root[on]], nodes[on]
+    root = roots(a, b, n)
+    on = np.flatnonzero(root != np.arange(n))
+    return root[on], on
 
 
 def near(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) of spanning forests over all pairs of distinct `fp` within `radius` bits."""
-    lows = F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    highs = F.bit_count(F.shiftrightunsigned("fp", 32))
+    """Links (a, b) of spanning forests over all pairs of distinct nodes `fp` within `radius` bits of `fp`, or of `fp0`, `fp1`..."""
+    words = [c for c in distinct.columns if c != "fp"] or ["fp"]
+    grain = 1 if radius <= FINE else radius  # tiles that are narrower than a wide radius would all be neighbours
+    lows = F.floor(F.bit_count(F.col(words[0]).bitwiseAND(F.lit(0xFFFFFFFF))) / grain).cast("int")
+    highs = F.floor(F.bit_count(F.shiftrightunsigned(words[0], 32)) / grain).cast("int")
     # At most 33 * 33 rows: the sizes of the tiles, in a table of known size.
     sizes = distinct.groupBy(lows.alias("p"), highs.alias("q")).count()
     blocks = {(r.p, r.q): math.ceil(r["count"] / tile) for r in sizes.collect()}
-    steps = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if 0 < abs(i) + abs(j) <= radius]
+    least = lambda i: max(0, (abs(i) - 1) * grain + 1)  # noqa: E731  by how much counts of tiles i apart differ at least
+    steps = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if (i, j) != (0, 0) and least(i) + least(j) <= radius]
     # For every tile, the pairs of blocks in which a fingerprint of its block k takes part.
     spark = distinct.sparkSession
     rows = []
@@ -178,14 +214,18 @@ def near(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFra
     n_of = small_frame(spark, [(p, q, n) for (p, q), n in blocks.items()], "p int, q int, n int")
     if len(rows) <= PLANNED:
         plan, n_of = F.broadcast(plan), F.broadcast(n_of)
-    placed = (distinct.select("fp", lows.alias("p"), highs.alias("q")).join(n_of, ["p", "q"])
-              .withColumn("k", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).join(plan, ["p", "q", "k"]).select("pair", "fp", "right"))
+    columns = list(dict.fromkeys(["fp", *words]))
+    placed = (distinct.select(*columns, lows.alias("p"), highs.alias("q")).join(n_of, ["p", "q"])
+              .withColumn("k", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).join(plan, ["p", "q", "k"]).select("pair", "right", *columns))
 
     def compare(key: tuple, pair: pa.Table) -> pa.Table:
         first, second = key[0].as_py().split("-")
-        fp, right = pair.column("fp").to_numpy().view(np.uint64), pair.column("right").to_numpy()
-        a, b = forest(np.sort(fp[~right]), None if first == second else np.sort(fp[right]), radius)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        node, right = pair.column("fp").to_numpy(), pair.column("right").to_numpy()
+        order = np.lexsort((node, right))
+        bits = np.stack([pair.column(c).to_numpy().view(np.uint64)[order] for c in words], axis=1)
+        n = int((~right).sum())
+        a, b = forest(bits[:n], None if first == second else bits[n:], radius)
+        return pa.table({"a": node[order[a]], "b": node[order[b]]})
 
     return placed.groupBy("pair").applyInArrow(compare, "a bigint, b bigint")
 
@@ -217,8 +257,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def with_component(printed: DataFrame, key: str = "doc_id", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """`printed` (with `fp`, read twice or more: stage it) with `component_id`, the smallest key of its component."""
-    least = stage(printed.groupBy("fp").agg(F.min(key).alias("least")), "prints")
-    member = components(near(least.select("fp"), radius, tile))
+    words = [c for c in printed.columns if c.startswith("fp")]
+    least = stage(printed.groupBy(*words).agg(F.min(key).alias("least")), "prints")
+    member = components(near(least.select(*words), radius, tile))
     grouped = least.join(member, least["fp"] == member["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(named, "root").select(F.col("fp").alias("__fp"), "component_id")
@@ -230,14 +271,16 @@ def hex_digits(fp: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """`key`, `fingerprint` and `component_id` of every row of `docs`."""
+    """`key`, `fingerprint` (64 bits) and `component_id` of every row of `docs`."""
     printed = stage(with_fingerprint(docs, text, [key], words), "prints")
     return with_component(printed, key, radius).select(key, hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one row of each component: the one of the smallest key. Among rows that share that key, one stays."""
-    found = near_duplicates(docs, key, text)
+    """`docs` with one row of each group of texts that are near-duplicates by similarity: the one of the smallest key. Among rows
+    that share that key, one stays."""
+    printed = stage(with_fingerprint(picked(docs, [key, text]).toDF("__key", "__text"), "__text", ["__key"], SIMILAR_WORDS, SIMILAR_SEEDS), "prints")
+    found = with_component(printed, "__key", SIMILAR).withColumnRenamed("__key", key)
     first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("__key")).count()
     first = stage(first, "kept")
     kept = docs.join(first, F.col(key).eqNullSafe(F.col("__key")), "left_semi")

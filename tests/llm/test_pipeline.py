@@ -1,16 +1,14 @@
 """The pipeline against a version in plain Python."""
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loadwatch.llm.mixing import mix
 from loadwatch.llm.quality import measures
-from loadwatch.llm.simhash import fingerprints
 
 from .conftest import SMALL
 from .test_decontaminate import by_hand as contaminated
 from .test_secrets import by_hand as secrets_in
-from .test_simhash import groups
+from .test_simhash import similar_groups
 
 
 def test_stages(spark):
@@ -25,7 +23,7 @@ def test_stages(spark):
     m = measures(pa.array([r["text"] for r in rows]))
     good = [r for i, r in enumerate(rows) if m["n_words"][i] >= 20 and 100 * m["n_repeat_words"][i] <= 30 * m["n_words"][i]]
     assert {r.doc_id for r in made[0]} == {r["doc_id"] for r in good}
-    root = groups(fingerprints(pa.array([r["text"] for r in good])).tolist())
+    root = similar_groups([r["text"] for r in good])
     least = {}
     for r, g in zip(good, root):
         least[g] = min(r["doc_id"], least.get(g, r["doc_id"]))

@@ -7,12 +7,12 @@ from loadwatch.llm import simhash
 from loadwatch.llm.simhash import components, fingerprints, forest, keep_first, near, near_duplicates, roots
 
 
-def by_hand(text):
+def by_hand(text, k=3, seed=42):
     w = bytes((text or "").encode()).lower().split() if text else []
     if not w:
         return 0
-    shingles = [b" ".join(w[i:i + 3]) for i in range(max(1, len(w) - 2))]
-    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    shingles = [b" ".join(w[i:i + k]) for i in range(max(1, len(w) - k + 1))]
+    h = [xxhash.xxh64_intdigest(s, seed) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
@@ -25,7 +25,9 @@ def groups(prints):
 
 def test_fingerprints(texts):
     got = fingerprints(pa.array([r[1] for r in texts]))
-    assert got.tolist() == [by_hand(r[1]) for r in texts]
+    assert got[:, 0].tolist() == [by_hand(r[1]) for r in texts]
+    wide = fingerprints(pa.array([r[1] for r in texts]), 5, (42, 7))
+    assert wide[:, 0].tolist() == [by_hand(r[1], 5) for r in texts] and wide[:, 1].tolist() == [by_hand(r[1], 5, 7) for r in texts]
 
 
 @pytest.mark.parametrize("tile", [16384, 16])
@@ -54,7 +56,7 @@ def test_links_of_blocks_have_the_components_of_all_pairs(spark, tile):
 
 def test_dense_strip_keeps_the_component():
     x = np.unique(np.array([(1 << i) for i in range(64)] + [0], np.uint64))
-    a, b = forest(x, None, 2)
+    a, b = forest(x[:, None], None, 2)
     assert len(a) == len(x) - 1
 
 
@@ -74,12 +76,58 @@ def test_rows_and_components(spark, docs, texts, empty):
     assert near_duplicates(empty).collect() == []
 
 
+def similar_groups(texts):
+    """The smallest row of each group by 256 bits, over all pairs."""
+    x = fingerprints(pa.array(texts), simhash.SIMILAR_WORDS, simhash.SIMILAR_SEEDS)
+    apart = np.bitwise_count(x[:, None, :] ^ x[None, :, :]).astype(int).sum(axis=2)
+    return roots(*np.nonzero(apart <= simhash.SIMILAR), len(x))
+
+
 def test_one_of_each_group_stays(spark, docs, texts):
-    found = near_duplicates(docs)
     kept = keep_first(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.select("doc_id").where("doc_id IS NOT NULL").collect()) == sorted(
-        r.component_id for r in found.select("component_id").where("component_id IS NOT NULL").distinct().collect())
+    least = {}
+    for (k, *_), r in zip(texts, similar_groups([t[1] for t in texts])):
+        if k is not None:
+            least[r] = min(k, least.get(r, k))
+    assert sorted(r.doc_id for r in kept.select("doc_id").where("doc_id IS NOT NULL").collect()) == sorted(least.values())
+
+
+def test_texts_of_a_similarity_of_four_fifths_go_and_others_stay(spark):
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if 60 <= len(r.text.split()) <= 900][:150]
+    rng, more = np.random.default_rng(3), []
+    for k, t in rows[:60]:  # a copy with one word in a hundred changed
+        w = t.split()
+        for i in rng.choice(len(w), max(1, len(w) // 100), replace=False):
+            w[i] = f"changed{i}"
+        more.append((10_000 + k, " ".join(w)))
+    kept = {r.doc_id for r in keep_first(spark.createDataFrame(rows + more, "doc_id bigint, text string").repartition(4)).collect()}
+    sets = [(k, shingles(t)) for k, t in rows + more]
+    for i, (k, a) in enumerate(sets):
+        closest = max((len(a & b) / len(a | b) for j, (_, b) in enumerate(sets) if i != j), default=0)
+        smaller = [len(a & b) / len(a | b) for _, b in sets[:i]]
+        assert closest >= 0.5 or k in kept  # nothing like it: it stays
+        assert max(smaller, default=0) < 0.8 or k not in kept  # an earlier one like it: it goes
+
+
+@pytest.mark.parametrize("tile", [16384, 40])
+def test_wide_fingerprints_link_as_all_pairs_do(spark, tile):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 1 << 63, (120, 4), dtype=np.uint64)
+    for i in range(60):  # chains of 40 flipped bits
+        y = x[i].copy()
+        for b in rng.choice(256, 40, replace=False):
+            y[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        x = np.vstack([x, y])
+    df = spark.createDataFrame([(i, *map(int, r.view(np.int64))) for i, r in enumerate(x)], "fp bigint, fp0 bigint, fp1 bigint, fp2 bigint, fp3 bigint")
+    got = {r.node: r.root for r in components(near(df, 51, tile)).collect()}
+    apart = np.bitwise_count(x[:, None, :] ^ x[None, :, :]).astype(int).sum(axis=2)
+    root = roots(*np.nonzero(apart <= 51), len(x))
+    assert {i: r for i, r in enumerate(root.tolist()) if (root == r).sum() > 1} == got
 
 
 def test_long_chain_is_one_component(spark):
