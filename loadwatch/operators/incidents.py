@@ -20,6 +20,11 @@ OBSERVATION_SCHEMA = (
     "checks array<struct<rank:int,check_order:int,check_id:string,name:string,severity:string,weight:int,"
     "rule_type:string,message:string>>")
 ACTION_SCHEMA = "seq bigint, load_date date, minute int, table string, action string, note string, actor string"
+#: Incidents that ended long ago, kept as rows so that their observations can go: `cut_*` is the event that ended them.
+CLOSED_SCHEMA = (
+    "table string, island bigint, opened_seq bigint, severity string, title string, status string, opened_date date, opened_minute int, "
+    "resolved_date date, resolved_minute int, resolution string, loads_failed bigint, run_id string, "
+    + OBSERVATION_SCHEMA[OBSERVATION_SCHEMA.index("checks array"):] + ", cut_seq bigint, cut_date date, cut_minute int, cut_turn int")
 INCIDENT_COLUMNS = ["incident_id", "table", "severity", "title", "status", "opened_date", "opened_minute",
                     "resolved_date", "resolved_minute", "resolution", "loads_failed", "run_id", "checks"]
 
@@ -85,9 +90,44 @@ def _facts(events: DataFrame) -> DataFrame:
     return e.withColumn("closes", F.col("event").isin("pass", "resolve") & ~F.col("closed_before"))
 
 
-def incidents(obs: DataFrame, actions: DataFrame | None = None, table_order: DataFrame | None = None) -> DataFrame:
-    """One row per incident: opened, severity, evidence, loads failed, resolution."""
-    return number_incidents(_collapse(_facts(_stream(obs, actions))), table_order).select(*INCIDENT_COLUMNS)
+def incidents(obs: DataFrame, actions: DataFrame | None = None, table_order: DataFrame | None = None,
+              closed: DataFrame | None = None) -> DataFrame:
+    """One row per incident: opened, severity, evidence, loads failed, resolution. `closed`: incidents kept as rows, whose
+    events `obs` and `actions` no longer hold (`after_closed`)."""
+    found = _collapse(_facts(_stream(obs, actions)))
+    return number_incidents(_with_closed(found, closed), table_order).select(*INCIDENT_COLUMNS)
+
+
+def _with_closed(found: DataFrame, closed: DataFrame | None) -> DataFrame:
+    """Kept incidents beside the others; their islands are numbered below 0, away from those that are counted anew."""
+    if closed is None:
+        return found
+    return found.unionByName(closed.withColumn("island", F.col("island") - F.lit(1 << 40)).select(found.columns))
+
+
+def settled(obs: DataFrame, actions: DataFrame | None, before: Column) -> DataFrame:
+    """The incidents of each table up to the first one that is open or ended on `before` or later, as `CLOSED_SCHEMA` rows."""
+    events = _facts(_stream(obs, actions))
+    ends = events.where("closes").groupBy("table", "island").agg(F.min("at").alias("cut"))
+    done = F.coalesce(F.col("resolved_date") < before, F.lit(False)).cast("int")
+    so_far = Window.partitionBy("table").orderBy("island").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    old = _collapse(events).withColumn("done", F.min(done).over(so_far)).where("done = 1").join(ends, ["table", "island"])
+    cut = [F.col(f"cut.{a}").alias(f"cut_{b}") for a, b in (("seq", "seq"), ("load_date", "date"), ("minute", "minute"), ("turn", "turn"))]
+    names = [c.split(" ")[0].strip() for c in CLOSED_SCHEMA.split(", ") if not c.startswith("cut_")]
+    return old.select(*[n for n in names if n in old.columns], *cut)
+
+
+def after_closed(events: DataFrame, closed: DataFrame, turn: int = 0) -> DataFrame:
+    """Observations (`turn` 0) or actions (1) that come after everything `closed` has settled for their table."""
+    moment = [F.col(a).alias(b) for a, b in (("cut_seq", "seq"), ("cut_date", "load_date"), ("cut_minute", "minute"), ("cut_turn", "turn"))]
+    cuts = closed.groupBy("table").agg(F.max(F.struct(*moment)).alias("__cut"))
+    at = F.struct("seq", "load_date", "minute", F.lit(turn).alias("turn"))
+    return events.join(cuts, "table", "left").where(F.col("__cut").isNull() | (at > F.col("__cut"))).select(events.columns)
+
+
+def still_needed(obs: DataFrame, actions: DataFrame | None) -> DataFrame:
+    """The processing numbers (`seq`) of the events between the opening and the end of an incident."""
+    return _facts(_stream(obs, actions)).where(~F.col("closed_before")).select("seq").distinct()
 
 
 def _collapse(e: DataFrame) -> DataFrame:
@@ -134,11 +174,12 @@ def number_incidents(found: DataFrame, table_order: DataFrame | None = None) ->
     return numbered.withColumn("incident_id", F.concat(F.lit("INC-"), padded))
 
 
-def timeline(obs: DataFrame, specs: DataFrame, actions: DataFrame | None = None) -> DataFrame:
-    """The story of each incident: detected, notified, persists, escalated, resolved, in order."""
+def timeline(obs: DataFrame, specs: DataFrame, actions: DataFrame | None = None, closed: DataFrame | None = None) -> DataFrame:
+    """The story of each incident: detected, notified, persists, escalated, resolved, in order. Incidents kept as rows
+    (`closed`) have a number and no story."""
     events = _facts(_stream(obs, actions))
-    found = number_incidents(_collapse(events), specs)
-    heads = found.select("table", "island", "incident_id", F.struct(
+    found = number_incidents(_with_closed(_collapse(events), closed), specs)
+    heads = found.where("island > 0").select("table", "island", "incident_id", F.struct(
         F.col("opened_date").alias("load_date"), F.col("opened_minute").alias("minute")).alias("opened"))
     e = events.join(specs.select("table", "owner", "owner_email"), "table")
     # What the closing observation is told depends on the evidence it clears.

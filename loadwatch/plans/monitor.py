@@ -175,6 +175,8 @@ class Monitor:
             F.lit(head["published_at"]).alias("published_at"), F.lit(head["published"]).cast("timestamp").alias("published"),
             F.lit(head["published_at"]).alias("fingerprint"), "load_date"))
         self.store.apply_retention(list(self.catalog.tables), days[-1], self.row_days, self.history_days, days)
+        if firsts := [d for d in days if d.day == 1]:
+            self._settle(max(firsts) - timedelta(days=self.history_days))
 
     def _evidence(self, checks: DataFrame, loads: dict[str, DataFrame]) -> DataFrame | None:
         """The first bad rows and the most repeated groups of every check that fails, from the load it fails on."""
@@ -261,7 +263,8 @@ class Monitor:
 
     def incidents(self) -> DataFrame:
         """Every incident that retention keeps, with the run that brought the failing load and its link."""
-        found = inc.incidents(self.store.read("observations"), self.store.read("actions"), self.specs)
+        obs, actions, closed = self._events()
+        found = inc.incidents(obs, actions, self.specs, closed)
         newest = self.store.read("publications").agg(F.max("load_date")).scalar()
         return inc.with_runs(inc.keep_recent(found, F.coalesce(newest, F.current_date())), self.runs())
 
@@ -276,7 +279,22 @@ class Monitor:
             "datasets"), self.connector.run_url)
 
     def timeline(self) -> DataFrame:
-        return inc.timeline(self.store.read("observations"), self.specs, self.store.read("actions"))
+        obs, actions, closed = self._events()
+        return inc.timeline(obs, self.specs, actions, closed)
+
+    def _events(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Observations and actions that still matter, and the incidents settled before them."""
+        closed = self.store.read("closed_incidents")
+        return inc.after_closed(self.store.read("observations"), closed), inc.after_closed(self.store.read("actions"), closed, 1), closed
+
+    def _settle(self, before: date) -> None:
+        """Incidents that ended before that day become rows; observations that no other incident needs go."""
+        obs, actions, _ = self._events()
+        old = stage(inc.settled(obs, actions, F.lit(before)), "settled")
+        if not old.isEmpty():
+            self.store.append("closed_incidents", old)
+        obs, actions, _ = self._events()
+        self.store.drop_publications("observations", before, inc.still_needed(obs, actions))
 
     def reports(self) -> DataFrame:
         """The message for the owner of each open incident, with the rows that its newest failing load has kept."""

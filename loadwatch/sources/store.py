@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadwatch.model import CHECK_SCHEMA, LOAD_SCHEMA, METRIC_SCHEMA, TableSpec
-from loadwatch.operators.incidents import ACTION_SCHEMA, OBSERVATION_SCHEMA
+from loadwatch.operators.incidents import ACTION_SCHEMA, CLOSED_SCHEMA, OBSERVATION_SCHEMA
 from loadwatch.session import stage
 from loadwatch.sources.connector import path_exists
 
@@ -25,6 +25,7 @@ PUBLICATION_SCHEMA = ("seq bigint, run_id string, published_at string, published
 EXAMPLE_SCHEMA = "load_date date, table string, check_id string, position int, shown string"
 SCHEMAS = {
     "examples": EXAMPLE_SCHEMA,
+    "closed_incidents": CLOSED_SCHEMA,
     "loads": LOAD_SCHEMA,
     "metrics": METRIC_SCHEMA,
     "check_results": CHECK_SCHEMA,
@@ -106,6 +107,12 @@ class Store:
         """Add rows to a log nobody rewrites."""
         df.select(T.StructType.fromDDL(SCHEMAS[name]).fieldNames()).coalesce(1).write.mode("append").parquet(self._path(name))
 
+    def drop_publications(self, name: str, before: date, needed: DataFrame) -> None:
+        """Drop the folders of publications all of whose rows are older than `before`, but for those `needed` names."""
+        kept = {r["seq"] for r in needed.collect()}  # publications with an unfinished or recent incident
+        last = self.read(name).groupBy("seq").agg(F.max("load_date").alias("d")).where(F.col("d") < F.lit(before))
+        self._drop(name, [f"seq={r['seq']}" for r in last.select("seq").collect() if r["seq"] not in kept])
+
     def _write_months(self, df: DataFrame, name: str) -> None:
         merged = stage(df, name)  # also read from the partitions about to be replaced
         self._write(merged.withColumn("load_month", F.date_format("load_date", "yyyy-MM")), name, ["load_month"])

@@ -169,3 +169,26 @@ def test_causes_tell_drops_from_copies_and_fall_back(spark):
     rows = [("volume", "The load arrived empty: 0 rows."), ("volume", "9 rows arrived, 2.0 times the normal"), ("unknown", "")]
     got = [r.cause for r in with_causes(spark.createDataFrame(rows, "rule_type string, message string")).orderBy("message").collect()]
     assert got == [CAUSES["sql"][0], CAUSES["volume_high"][0], CAUSES["volume_low"][0]]
+
+
+def test_incidents_kept_as_rows_leave_the_others_as_they_were(spark, specs):
+    """Settled up to any day, numbers, incidents and stories are those of the whole log."""
+    rng = random.Random(11)
+    for _ in range(3):
+        rows = []
+        for d in range(40):
+            for t in ("t00", "t01", "t02"):
+                fails = [check(rng.choice(["low", "high", "critical"]), 1)] if rng.random() < 0.4 else []
+                rows.append((d // 2, START + timedelta(days=d - (5 if rng.random() < 0.1 else 0)), 420 + rng.randrange(9), t, None, fails))
+        obs = spark.createDataFrame(rows, inc.OBSERVATION_SCHEMA)
+        acts = spark.createDataFrame([(r[0], r[1], 900, r[3], "resolve", "", "ana") for r in rows if rng.random() < 0.1], inc.ACTION_SCHEMA)
+        whole = inc.incidents(obs, acts, specs)
+        closed = inc.settled(obs, acts, F.lit(START + timedelta(days=20)))
+        assert 0 < closed.count() < whole.count()
+        left, left_acts = inc.after_closed(obs, closed), inc.after_closed(acts, closed, 1)
+        needed = [r.seq for r in inc.still_needed(left, left_acts).collect()]
+        few = left.where(F.col("seq").isin(needed) | (F.col("load_date") >= F.lit(START + timedelta(days=20))))
+        got = inc.incidents(few, left_acts, specs, closed)
+        assert got.exceptAll(whole).isEmpty() and whole.exceptAll(got).isEmpty()
+        story = inc.timeline(few, specs, left_acts, closed)
+        assert story.exceptAll(inc.timeline(obs, specs, acts)).isEmpty() and few.count() < obs.count()
