@@ -1,13 +1,14 @@
 """Language-model scores from an Elias-Fano n-gram trie that Spark counts, shards and queries.
 
-1. `blocks`: each task splits a few megabytes of whole texts into words and keeps them as local numbers plus the distinct words'
-   XXH64 (a word's identity), in the shared folder.
-2. `counted`: distinct words of each block go to a shard by hash, get their number and their count in the training texts, and
-   come back. What is sent is one entry per block and word, whatever the word's frequency.
-3. `scored`: the distinct (context, word) pairs of each block, with their training counts, go to a shard by context. A shard
-   builds its trie, writes its levels to a file, maps it, and answers all pairs with quantised log-probabilities. A context
-   that holds a large share of all tokens is split over several shards by its successors.
-4. The answers meet their block again and are summed per text.
+1. `blocks`: each task splits a few megabytes of whole texts into words and keeps them as local numbers, and the distinct words'
+   mixed XXH64 (a word's identity) in ascending order, in the shared folder.
+2. `counted`: distinct words of each block go to a shard by range of hash, get their number and their count in the training texts,
+   and come back. What is sent is one entry per block and word, whatever the word's frequency.
+3. `scored`: the distinct (context, word) pairs of each block, with their training counts and the texts they stand in, go to a
+   shard by context. A shard builds its trie, writes its levels to a file, maps it, answers all pairs with quantised
+   log-probabilities, and sums them per text. A context that holds a large share of all tokens is split over several shards by its
+   successors; a pair that does is one entry per block.
+4. The shards' sums of each block's texts are added up.
 
 The trie has two levels. The first holds the contexts' numbers (monotone), pointers into the second (monotone) and quantised
 back-off weights; the second holds each context's successors, made monotone by adding what the successors of all contexts before
@@ -37,13 +38,13 @@ from pyspark.sql import functions as F
 from loadwatch.llm.arrays import Texts, chunks, pack, spread, table, unpack, xxh64
 from loadwatch.session import stage
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 #: Entries of a shard, about, for words and for pairs.
-WORDS_SHARD, PAIRS_SHARD = 2_000_000, 4_000_000
+WORDS_SHARD, PAIRS_SHARD = 600_000, 1_500_000
 #: A context with more than this share of a shard's tokens is split.
 SPLIT = 0.25
 DISCOUNT, STEPS = 0.75, 512
-#: Stand-ins for hashes of the end of a text; numbers of the beginning; words are numbered from 2.
+#: The hash that stands for the end of a text; the number of its beginning; words are numbered from 2.
 END, BEGIN = np.uint64(1), 1
 
 
@@ -197,17 +198,13 @@ def blocks(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
             inner = np.ones(len(hashes), bool)
             inner[last] = False
             hashes[inner], hashes[last] = xxh64(t.bytes, starts, ends), END
-            words, token, times = np.unique(hashes, return_inverse=True, return_counts=True)
-            order = np.argsort(-times, kind="stable")  # frequent words get small numbers, which pack well
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            token = rank[token]
+            words, token = np.unique(spread(hashes), return_inverse=True)
             teaches = part.column("__train").to_numpy(zero_copy_only=False).astype(bool)
             seen = np.bincount(token[np.repeat(teaches, size)], minlength=len(words))
             ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("__key"))
             yield pa.RecordBatch.from_arrays([
                 pa.array([number], pa.int64()), ids, pa.array([pack(size, teaches.astype(np.uint8), token)], pa.binary()),
-                pa.array([pack(words[order], seen)], pa.binary()), pa.array([len(words)], pa.int64()), pa.array([len(token)], pa.int64())],
+                pa.array([pack(steps(words), seen)], pa.binary()), pa.array([len(words)], pa.int64()), pa.array([len(token)], pa.int64())],
                 ["block", "ids", "tokens", "words", "n_words", "n_tokens"])
             number += 1
 
@@ -215,6 +212,11 @@ def blocks(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     return stage(rows.mapInArrow(run, f"block bigint, ids array<{kind}>, tokens binary, words binary, n_words bigint, n_tokens bigint"), "blocks")
 
 
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """First value and differences, from which `np.cumsum` gives the values back."""
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
+
+
 def parts_of(shard: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order by shard, and (shard, begin, end) in it."""
     order = np.argsort(shard, kind="stable")
@@ -228,22 +230,22 @@ def counted(held: DataFrame, shards: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, words in zip(batch.column("block").to_pylist(), batch.column("words"), strict=True):
-                hashes, seen = unpack(words.as_py())
-                order, parts = parts_of((spread(hashes) % np.uint64(shards)).astype(np.int64))
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("words"), strict=True):
+                step, seen = unpack(packed.as_py())
+                words = np.cumsum(step.astype(np.uint64), dtype=np.uint64)
+                _, parts = parts_of((((words >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([s for s, _, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()),
-                    pa.array([pack(hashes[order[a:b]], seen[order[a:b]]) for _, a, b in parts], pa.binary())], ["shard", "block", "payload"])
+                    pa.array([pack(steps(words[a:b]), seen[a:b]) for _, a, b in parts], pa.binary())], ["shard", "block", "payload"])
 
     def count(key: tuple, rows: pa.Table) -> pa.Table:
         shard, got = key[0].as_py(), [unpack(x.as_py()) for x in rows.column("payload")]
         at = np.cumsum([0, *(len(h) for h, _ in got)])
-        words, inverse = np.unique(np.concatenate([h.astype(np.uint64) for h, _ in got]), return_inverse=True)
-        seen = np.concatenate([c.astype(np.int64) for _, c in got])
+        words, inverse = np.unique(np.concatenate([np.cumsum(h.astype(np.uint64), dtype=np.uint64) for h, _ in got]), return_inverse=True)
         total = np.zeros(len(words), np.int64)
-        np.add.at(total, inverse, seen)
+        np.add.at(total, inverse, np.concatenate([c.astype(np.int64) for _, c in got]))
         n = len(got)
-        replies = [pack(2 + shard + inverse[a:b] * shards, total[inverse[a:b]]) for a, b in zip(at, at[1:], strict=False)]
+        replies = [pack(steps(2 + shard + inverse[a:b] * shards), total[inverse[a:b]]) for a, b in zip(at, at[1:], strict=False)]
         return pa.table({"block": rows.column("block"), "shard": pa.array([shard] * n, pa.int32()), "payload": pa.array(replies, pa.binary()),
                          "n": pa.array([int(total.sum())] + [0] * (n - 1), pa.int64()), "v": pa.array([int((total > 0).sum())] + [0] * (n - 1), pa.int64())})
 
@@ -254,31 +256,37 @@ def counted(held: DataFrame, shards: int) -> DataFrame:
 class Block:
     """A block with its words' numbers and counts, and its distinct pairs dealt to shards."""
 
-    def __init__(self, rows: pa.Table, replies: list[tuple[int, bytes]], word_shards: int, pair_shards: int, n: int, split: float):
-        self.size, teaches, self.token = (x.astype(np.int64) for x in unpack(rows.column("tokens")[0].as_py()))
-        hashes, _ = unpack(rows.column("words")[0].as_py())
-        k = len(hashes)
-        order, parts = parts_of((spread(hashes.astype(np.uint64)) % np.uint64(word_shards)).astype(np.int64))
-        self.number, self.count = np.zeros(k + 1, np.int64), np.zeros(k + 1, np.int64)
-        answer = dict(replies)
-        for s, a, b in parts:
-            self.number[order[a:b]], self.count[order[a:b]] = (x.astype(np.int64) for x in unpack(answer[s]))
-        self.number[k], self.count[k] = BEGIN, self.count[np.flatnonzero(hashes == END)[0]]
+    def __init__(self, tokens: bytes, replies: list[bytes], shards: int, n: int, split: float):
+        """`replies`: in the order of the word shards."""
+        self.size, self.teaches, self.token = (x.astype(np.int64) for x in unpack(tokens))
+        got = [unpack(x) for x in replies]
+        k, last = sum(len(c) for _, c in got), np.cumsum(self.size) - 1
+        self.number = np.append(np.concatenate([np.cumsum(x.astype(np.int64)) for x, _ in got]), BEGIN)
+        self.count = np.concatenate([c.astype(np.int64) for _, c in got])
+        self.count = np.append(self.count, self.count[self.token[last[0]]])  # a text begins as often as one ends
+        self.owner = np.repeat(np.arange(len(self.size)), self.size)
         before = np.concatenate([[k], self.token[:-1]])
-        before[np.concatenate([[0], np.cumsum(self.size)[:-1]])] = k
-        pairs, self.pair = np.unique(before * (k + 1) + self.token, return_inverse=True)
-        self.context, self.word = pairs // (k + 1), pairs % (k + 1)
-        self.seen = np.bincount(self.pair, np.repeat(teaches, self.size), len(pairs)).astype(np.int64)
-        share = splits(self.count[self.context], n, pair_shards, split)
+        before[last[:-1] + 1] = k
+        key = before * (k + 1) + self.token
+        self.by_pair = np.argsort(key, kind="stable")
+        key = key[self.by_pair]
+        self.begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.context, self.word = key[self.begin] // (k + 1), key[self.begin] % (k + 1)
+        self.begin = np.append(self.begin, len(key))
+        self.seen = np.add.reduceat(np.repeat(self.teaches, self.size)[self.by_pair], self.begin[:-1])
+        share = splits(self.count[self.context], n, shards, split)
         deal = (self.number[self.context].astype(np.uint64) << np.uint64(20)) + (spread(self.number[self.word].astype(np.uint64)) % share.astype(np.uint64))
-        self.order, self.parts = parts_of((spread(deal) % np.uint64(pair_shards)).astype(np.int64))
+        self.order, self.parts = parts_of((spread(deal) % np.uint64(shards)).astype(np.int64))
 
     def packed(self, a: int, b: int) -> bytes:
-        """Pairs of one shard: contexts in runs, words as places in a table, and their training counts."""
+        """Pairs of one shard: contexts in runs, words as places in a table, training counts, and the texts of each pair."""
         on = self.order[a:b]
         contexts, runs = np.unique(self.context[on], return_counts=True)  # the order is stable: contexts ascend
         words, inverse = np.unique(self.word[on], return_inverse=True)
-        return pack(self.number[contexts], self.count[contexts], runs, self.number[words], self.count[words], inverse, self.seen[on])
+        times = self.begin[on + 1] - self.begin[on]
+        places = np.repeat(self.begin[on] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+        return pack(self.number[contexts], self.count[contexts], runs, self.number[words], self.count[words], inverse, self.seen[on],
+                    times, self.owner[self.by_pair[places]], np.array([len(self.size)]))
 
 
 def splits(count: np.ndarray, n: int, shards: int, split: float) -> np.ndarray:
@@ -286,33 +294,32 @@ def splits(count: np.ndarray, n: int, shards: int, split: float) -> np.ndarray:
     return np.minimum(1 + (count * shards / max(1.0, split * n)).astype(np.int64) if shards > 1 else np.ones(len(count), np.int64), 1 << 20)
 
 
-def answered(rows: pa.Table, n: int, v: int, shards: int, split: float) -> list[bytes]:
-    """One shard: its trie, and the codes of every row's pairs."""
-    got = [[x.astype(np.int64) for x in unpack(p.as_py())] for p in rows.column("payload")]
-    context = np.concatenate([np.repeat(g[0], g[2]) for g in got])
-    word = np.concatenate([g[3][g[5]] for g in got])
-    seen = np.concatenate([g[6] for g in got])
+def answered(payloads: list[bytes], n: int, v: int, shards: int, split: float) -> list[bytes]:
+    """One shard: its trie, and per block the sums of the codes of its texts."""
+    got = [[x if k in (5, 7, 8) else x.astype(np.int64) for k, x in enumerate(unpack(p))] for p in payloads]
     # The shard's contexts and words, once each.
     contexts, first = np.unique(np.concatenate([g[0] for g in got]), return_index=True)
     times = np.concatenate([g[1] for g in got])[first]
     words, first = np.unique(np.concatenate([g[3] for g in got]), return_index=True)
     unigram = (np.concatenate([g[4] for g in got])[first] + 1) / (n + v + 1)
     width = len(words) + 1
-    c, w = np.searchsorted(contexts, context), np.searchsorted(words, word)
-    taught = np.flatnonzero(seen)
-    pairs, inverse = np.unique(c[taught] * width + w[taught], return_inverse=True)
-    total = np.bincount(inverse, seen[taught], len(pairs))
+    key = [np.repeat(np.searchsorted(contexts, g[0]), g[2]) * width + np.searchsorted(words, g[3])[g[5]] for g in got]
+    taught = [g[6] > 0 for g in got]
+    pairs, inverse = np.unique(np.concatenate([k[t] for k, t in zip(key, taught, strict=True)]), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate([g[6][t] for g, t in zip(got, taught, strict=True)]), len(pairs))
     pc, pw = pairs // width, pairs % width
     sizes = np.bincount(pc, minlength=len(contexts))
     weight = np.minimum(1.0, DISCOUNT * np.maximum(sizes, 1) * splits(times, n, shards, split) / np.maximum(times, 1))
     p = (total - DISCOUNT) / times[pc] + weight[pc] * unigram[pw]
     on = times > 0
     trie = Trie.written(contexts[on], sizes[on], words[pw], quantised(weight[on]), quantised(np.minimum(p, 1.0)))
-    code, bow = trie.query(context, word)
-    lower = quantised(unigram)[w]
-    code = np.where(code >= 0, code, np.maximum(bow, 0) + lower)
-    at = np.cumsum([0, *(len(g[6]) for g in got)])
-    return [pack(code[a:b]) for a, b in zip(at, at[1:], strict=False)]
+    lower, out = quantised(unigram), []
+    for g, k in zip(got, key, strict=True):  # block by block, so that a query's own arrays stay small
+        c, w = k // width, k % width
+        code, bow = trie.query(contexts[c], words[w])
+        code = np.where(code >= 0, code, np.maximum(bow, 0) + lower[w])
+        out.append(pack(np.bincount(g[8], np.repeat(code, g[7]), int(g[9][0])).astype(np.int64)))
+    return out
 
 
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES,
@@ -321,41 +328,51 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     held = blocks(docs, train, key, text, block_bytes)
     sums = held.agg(F.sum("n_words"), F.sum("n_tokens")).first()
     word_shards = max(1, math.ceil((sums[0] or 0) / words_shard))
-    pair_shards = max(1, math.ceil((sums[1] or 0) / pairs_shard))
+    shards = max(1, math.ceil((sums[1] or 0) / pairs_shard))
     counts = counted(held, word_shards)
     totals = counts.agg(F.sum("n"), F.sum("v")).first()
     n, v = totals[0] or 0, totals[1] or 0
+    kind = docs.schema[key].dataType.simpleString()
+    # Rows with ids carry what a block knows of its texts by itself; they pass a shard unchanged.
+    passed = f"shard int, block bigint, payload binary, ids array<{kind}>"
 
     def send(mine: pa.Table, replies: pa.Table) -> pa.Table:
-        block = Block(mine, list(zip(replies.column("shard").to_pylist(), replies.column("payload").to_pylist(), strict=True)), word_shards, pair_shards, n, split)
-        return pa.table({"shard": pa.array([s for s, _, _ in block.parts], pa.int32()), "block": pa.array([mine.column("block")[0].as_py()] * len(block.parts), pa.int64()),
-                         "payload": pa.array([block.packed(a, b) for _, a, b in block.parts], pa.binary())})
+        number, ids = mine.column("block")[0].as_py(), mine.schema.field("ids").type
+        order = np.argsort(replies.column("shard").to_numpy())
+        found = replies.column("payload").to_pylist()
+        block = Block(mine.column("tokens")[0].as_py(), [found[i] for i in order], shards, n, split)
+        count, texts = block.count[block.token], len(block.size)
+        known = np.bincount(block.owner, count > 0, texts).astype(np.int64)
+        base = np.bincount(block.owner, np.log10((count + 1) / (n + v + 1)), texts)
+        parts = len(block.parts)
+        return pa.table({
+            "shard": pa.array([s for s, _, _ in block.parts] + [number % shards], pa.int32()), "block": pa.array([number] * (parts + 1), pa.int64()),
+            "payload": pa.array([block.packed(a, b) for _, a, b in block.parts] + [pack(block.size, block.teaches, known, base)], pa.binary()),
+            "ids": pa.concat_arrays([pa.nulls(parts, ids), mine.column("ids").combine_chunks()])})
 
     def answer(rows: pa.Table) -> pa.Table:
-        return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "payload": pa.array(answered(rows, n, v, pair_shards, split), pa.binary())})
-
-    sent = held.select("block", "tokens", "words").groupBy("block").cogroup(counts.select("block", "shard", "payload").groupBy("block")).applyInArrow(
-        send, "shard int, block bigint, payload binary")
-    codes = stage(sent.groupBy("shard").applyInArrow(answer, "block bigint, shard int, payload binary"), "codes")
-    both = counts.select("block", F.col("shard"), "payload", F.lit(0).alias("kind")).unionByName(codes.select("block", "shard", "payload", F.lit(1).alias("kind")))
-    made = f"`{key}` {docs.schema[key].dataType.simpleString()}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-
-    def finish(mine: pa.Table, replies: pa.Table) -> pa.Table:
-        got = list(zip(replies.column("kind").to_pylist(), replies.column("shard").to_pylist(), replies.column("payload").to_pylist(), strict=True))
-        block = Block(mine, [(s, p) for k, s, p in got if k == 0], word_shards, pair_shards, n, split)
-        code, answers = np.zeros(len(block.context), np.int64), {s: p for k, s, p in got if k == 1}
-        for s, a, b in block.parts:
-            code[block.order[a:b]] = unpack(answers[s])[0]
-        docs_n, owner = len(block.size), np.repeat(np.arange(len(block.size)), block.size)
-        count = block.count[block.token]
-        ids = mine.column("ids").combine_chunks()
-        teaches = unpack(mine.column("tokens")[0].as_py())[1].astype(bool)
-        return pa.table([ids.flatten(), pa.array(teaches), pa.array(block.size, pa.int64()), pa.array(np.bincount(owner[count > 0], minlength=docs_n), pa.int64()),
-                         pa.array(np.full(docs_n, n), pa.int64()), pa.array(np.bincount(owner, np.log10((count + 1) / (n + v + 1)), docs_n)),
-                         pa.array(-np.bincount(owner, code[block.pair], docs_n) / STEPS)],
-                        [key, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return held.select("block", "ids", "tokens", "words").groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, made)
+        payloads, own = rows.column("payload").to_pylist(), rows.column("ids").is_valid().to_pylist()
+        asked = [i for i, mine in enumerate(own) if not mine]
+        if asked:
+            for i, sums in zip(asked, answered([payloads[i] for i in asked], n, v, shards, split), strict=True):
+                payloads[i] = sums
+        return rows.set_column(rows.schema.get_field_index("payload"), "payload", pa.array(payloads, pa.binary()))
+
+    def finish(rows: pa.Table) -> pa.Table:
+        payloads, own = rows.column("payload").to_pylist(), rows.column("ids").is_valid().to_pylist()
+        mine = own.index(True)
+        size, teaches, known, base = unpack(payloads[mine])
+        codes = np.zeros(len(size), np.int64)
+        for i, p in enumerate(payloads):
+            if i != mine:
+                codes += unpack(p)[0].astype(np.int64)
+        ids = rows.column("ids").combine_chunks().drop_null().flatten()
+        return pa.table([ids, pa.array(teaches.astype(bool)), pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(size), n, np.int64)),
+                         pa.array(base), pa.array(-codes / STEPS)], [key, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    sent = held.select("block", "ids", "tokens").groupBy("block").cogroup(counts.select("block", "shard", "payload").groupBy("block")).applyInArrow(send, passed)
+    made = f"`{key}` {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return sent.groupBy("shard").applyInArrow(answer, passed).groupBy("block").applyInArrow(finish, made)
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
