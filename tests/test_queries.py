@@ -6,11 +6,11 @@ import pytest
 
 import __spark_entry__ as entry_point
 from compare import compare, connect
-from loadwatch_queries import baselines, monitors, rules, sources
+from loadwatch_queries import baselines, contracts, monitors, rules, sources
 
 SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 # The others read the same validated history, one validation each: ALL_QUERIES=1 runs them too (tools/compare.py as well).
-QUICK = [*sources.QUERIES, *rules.QUERIES, *baselines.QUERIES, *[n for n in monitors.QUERIES if not n.startswith("history")],
+QUICK = [*sources.QUERIES, *contracts.QUERIES, *rules.QUERIES, *baselines.QUERIES, *[n for n in monitors.QUERIES if not n.startswith("history")],
          "all_incidents", "daily_indicators"]
 NAMES = list(entry_point.queries()) if os.environ.get("ALL_QUERIES") else QUICK
 
@@ -32,4 +32,6 @@ def test_entry_has_rows(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    """All but those of the corpus operators, which have tests of their own where SQL cannot express them."""
+    own = {n for module in entry_point.MODULES if module.__name__.startswith("loadwatch_queries") for n in module.QUERIES}
+    assert own <= set(entry_point.oracle_sql()) <= set(entry_point.queries())
