@@ -18,8 +18,7 @@ from loadwatch.session import stage
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither fail the base rule nor belong to a rejected host."""
-    measured = stage(quality.measure(docs), "quality")
-    return quality.with_verdicts(measured).where("kept").select(docs.columns)
+    return quality.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

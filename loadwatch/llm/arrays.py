@@ -55,6 +55,15 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             first = last
 
 
+#: Rows of keys and small values up to which a table is sent to every task: tens of megabytes.
+FEW = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df`, to be broadcast if its rows, counted, are few; read more than once, so stage what is costly."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 class Texts:
     """Bytes of all texts of a batch in one buffer; `words()` finds the stretches without ASCII white space."""
 

@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadwatch.llm.arrays import table
+from loadwatch.llm.arrays import small, table
+from loadwatch.session import stage
 
 LENGTH = 10
 #: Distinct benchmark windows up to which the set is sent to every task.
@@ -86,6 +87,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """`docs` without contaminated documents (`remove="documents"`), or with every hit word, and what follows it up to the
     next word, taken out of the text (`remove="spans"`)."""
     found = hits(docs, benchmark_windows(benchmark, text=text, length=length), key, text, length)
+    found = small(stage(found.select("__id", "__print", *(["__spans"] if remove == "spans" else [])), "hits"))
     on = F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__print"))
     if remove == "documents":
         return docs.join(found, on, "left_anti")

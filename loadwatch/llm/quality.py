@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadwatch.llm.arrays import Texts, chunks, picked, rolled, same_bytes, shape, table, xxh64
+from loadwatch.llm.arrays import Texts, chunks, picked, rolled, same_bytes, shape, small, table, xxh64
+from loadwatch.session import stage
 
 WINDOW = 8
 #: The rules, on the measures of a document; `base` is the one that rejects a document by itself.
@@ -150,18 +151,47 @@ def host_verdicts(measured: DataFrame, host: Column, rules: dict[str, str] = RUL
     return out.withColumn("host_ok", fine)
 
 
-def with_verdicts(measured: DataFrame, host: str = "source", rules: dict[str, str] = RULES, limit: float = HOST_LIMIT) -> DataFrame:
-    """`measured` with `base_failed` and `kept`; hosts meet their documents by an equality that also holds for null."""
-    verdicts = host_verdicts(measured, F.col(host), rules, limit).select(F.col("host").alias("__host"), F.col("host_ok").alias("__ok"))
+def with_verdicts(measured: DataFrame, host: str = "source", rules: dict[str, str] = RULES, limit: float = HOST_LIMIT,
+                  verdicts: DataFrame | None = None) -> DataFrame:
+    """`measured` with `base_failed` and `kept`; hosts meet their documents by an equality that also holds for null. The
+    verdicts are those of `measured` itself, or given; few hosts are sent to every task, so that no text is shuffled."""
+    verdicts = host_verdicts(measured, F.col(host), rules, limit) if verdicts is None else verdicts
+    verdicts = small(stage(verdicts.select(F.col("host").alias("__host"), F.col("host_ok").alias("__ok")), "hosts"))
     failed = F.expr(rules["base"])
     joined = measured.join(verdicts, F.col(host).eqNullSafe(F.col("__host")), "left")
     return (joined.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(F.col("__ok"), F.lit(True)))
             .drop("__host", "__ok"))
 
 
+def kept_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of `docs` that pass. Texts are measured twice, once for the hosts and once as they are filtered, and never stored."""
+    measured = stage(measure(docs, text, [host]), "quality")
+    again = measure(docs.select(F.struct("*").alias("__row"), F.col(host).alias("__source"), F.col(text).alias("__text")), "__text", ["__row", "__source"])
+    return with_verdicts(again, "__source", verdicts=host_verdicts(measured, F.col(host))).where("kept").select("__row.*")
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loadwatch.session import stage
     docs = table(spark, sf_dir, "documents")
     measured = stage(measure(docs, keep=["doc_id", "source"]), "quality")
     return with_verdicts(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                           "base_failed", "kept", "source")
+
+
+#: The same over DuckDB.
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+win AS (SELECT doc_id, i, w[i:i + 7] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+twice AS (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM win JOIN twice USING (doc_id, g)) GROUP BY 1),
+m AS (SELECT d.doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+    FROM d LEFT JOIN rep USING (doc_id)),
+f AS (SELECT source, x.r AS rule, count(*) AS n, count(*) FILTER (WHERE x.b) AS k FROM (SELECT source, unnest([
+        {'r': 'base', 'b': n_words < 20 OR 100 * n_repeat_words > 30 * n_words}, {'r': 'word_length', 'b': n_words >= 20 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words)},
+        {'r': 'symbols', 'b': 10 * n_symbols > n_words}, {'r': 'lines', 'b': n_lines > 1 AND 10 * n_dup_lines > 3 * n_lines}]) AS x FROM m) GROUP BY ALL),
+prior AS (SELECT rule, least(greatest(avg(k / n), 1e-6), 1 - 1e-6) AS mean, greatest(var_pop(k / n) - avg((k / n) * (1 - k / n) / n), 1e-9) AS between_hosts FROM f GROUP BY rule),
+ok AS (SELECT source, bool_and((k + mean * s) / (n + s) <= 0.5) AS host_ok
+    FROM (SELECT f.*, mean, least(greatest(mean * (1 - mean) / between_hosts - 1, 1), 1e6) AS s FROM f JOIN prior USING (rule)) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND host_ok AS kept, m.source FROM m JOIN ok ON m.source IS NOT DISTINCT FROM ok.source"""

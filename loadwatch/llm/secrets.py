@@ -182,10 +182,11 @@ def listed(spans: F.Column) -> F.Column:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
     """`docs` with every found stretch of the text replaced by `mark`; texts without findings stay as they are."""
     from loadwatch.session import stage
-    # The row travels as one value, so that its names meet no others.
+    # Texts are scanned twice, for the thresholds and as they are cleaned, and never stored. The row travels as one value, so that
+    # its names meet no others.
+    limits = step_up(stage(scan(docs, text, []), "secrets"))
     rows = docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text"))
-    scanned = stage(scan(rows, "__text", ["__row", "__text"]), "secrets")
-    found = with_findings(scanned, step_up(scanned))
+    found = with_findings(scan(rows, "__text", ["__row", "__text"]), limits)
     # Spans in order of start: the text up to each span that begins after all before it ended, then one mark.
     whole = F.col("__text")
     folded = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, s: F.struct(

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadwatch.llm.arrays import Texts, chunks, picked, shape, spaced, table, xxh64
+from loadwatch.llm.arrays import Texts, chunks, picked, shape, small, spaced, table, xxh64
 from loadwatch.model import small_frame
 from loadwatch.session import stage
 
@@ -281,10 +281,11 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     that share that key, one stays."""
     printed = stage(with_fingerprint(picked(docs, [key, text]).toDF("__key", "__text"), "__text", ["__key"], SIMILAR_WORDS, SIMILAR_SEEDS), "prints")
     found = with_component(printed, "__key", SIMILAR).withColumnRenamed("__key", key)
-    first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("__key")).count()
-    first = stage(first, "kept")
-    kept = docs.join(first, F.col(key).eqNullSafe(F.col("__key")), "left_semi")
-    return kept if first.where("count > 1").isEmpty() else kept.dropDuplicates([key])
+    rows = stage(found.select(F.col(key).alias("__key"), F.col(key).eqNullSafe(F.col("component_id")).alias("__first")), "kept")
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    if rows.groupBy("__key").count().where("count > 1").isEmpty():
+        return docs.join(small(rows.where("NOT __first").select("__key")), same, "left_anti")
+    return docs.join(rows.where("__first").select("__key").distinct(), same, "left_semi").dropDuplicates([key])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
