@@ -28,7 +28,7 @@ from loadwatch.session import stage
 
 WEIGHTS, CAP = (5.0, 2.0, 1.0), 3
 #: Rows of a bucket of the running sum, about.
-ROWS = 20_000
+ROWS = 1_000
 #: The default schedules, dealt to the sources in turn: (time, multiplier) knots of early, constant and late sources.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.5), (1.0, 2.0)))
 WHITE = r"[\x20\x09-\x0D]+"
@@ -111,14 +111,17 @@ def training_order(docs: DataFrame, key: str = "doc_id", text: str = "text", sou
     """Every copy that the mix takes, with the columns of `docs`, range-sorted by `position`; the copy that crosses its source's
     target keeps its first `taken_words` words only by that count, the text stays whole. `copy` counts from 0."""
     new = ("copy", "taken_words", "position")
-    mixed = mix(docs, key, text, source, **how)
-    # Rows that share key and text are alike: each is met by the copies of one of them.
-    number = F.row_number().over(Window.partitionBy("__key", "__p").orderBy(F.lit(1)))
-    copies = mixed.where(F.size("copies") > 0).select(F.col(key).alias("__key"), F.col("p").alias("__p"), F.col("copies").alias("__copies"))
-    copies = copies.withColumn("__n", number)
-    mine = docs.drop(*new).withColumn("__key2", F.col(key)).withColumn("__p2", F.xxhash64(text))
-    mine = mine.withColumn("__n2", F.row_number().over(Window.partitionBy("__key2", "__p2").orderBy(F.lit(1))))
-    joined = mine.join(copies, F.col("__key2").eqNullSafe(F.col("__key")) & (F.col("__p2") == F.col("__p")) & (F.col("__n2") == F.col("__n")))
+    mixed = stage(mix(docs, key, text, source, **how), "mix")
+    copies = stage(mixed.where(F.size("copies") > 0).select(
+        F.col(key).alias("__key"), F.col("p").alias("__p"), F.xxhash64(key).alias("__h"), F.col("copies").alias("__copies")), "copies")
+    mine = docs.drop(*new).withColumn("__h2", F.xxhash64(key)).withColumn("__p2", F.xxhash64(text))
+    same = (F.col("__h2") == F.col("__h")) & (F.col("__p2") == F.col("__p")) & F.col(key).eqNullSafe(F.col("__key"))
+    if not mixed.groupBy(key, "p").count().where("count > 1").isEmpty():
+        # Rows that share key and text are alike: each is met by the copies of one of them.
+        copies = copies.withColumn("__n", F.row_number().over(Window.partitionBy("__h", "__p", "__key").orderBy(F.lit(1))))
+        mine = mine.withColumn("__n2", F.row_number().over(Window.partitionBy("__h2", "__p2", key).orderBy(F.lit(1))))
+        same = same & (F.col("__n2") == F.col("__n"))
+    joined = mine.join(copies, same)
     out = joined.select(*(f"`{c}`" for c in docs.columns if c not in new), F.posexplode("__copies").alias("copy", "__c")).select(
         "*", F.col("__c.words").alias("taken_words"), F.col("__c.position").alias("position")).drop("__c")
     ranged = out.repartitionByRange(partitions, "position") if partitions else out.repartitionByRange("position")
@@ -129,3 +132,25 @@ def op3_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents")).withColumn("position", F.array_min(F.transform("copies", lambda c: c["position"])))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "position").repartitionByRange(
         F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+
+
+#: The same over DuckDB: capped shares from the sources in the order in which they reach their caps.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size,
+        md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS sz, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM d GROUP BY source),
+w AS (SELECT *, CASE rk % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS wt, sum(sz) OVER () AS total FROM s),
+c AS (SELECT *, 3 * sz / wt AS cap, (total - coalesce(sum(3 * sz) OVER o, 0))::DOUBLE / sum(wt) OVER (ORDER BY 3 * sz / wt, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+    FROM w WINDOW o AS (ORDER BY 3 * sz / wt, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, sz, rk, least((3 * sz)::DOUBLE, (SELECT rate FROM c WHERE rate <= cap ORDER BY cap, rk LIMIT 1) * wt) AS target FROM c),
+p AS (SELECT d.doc_id, d.size, t.sz, t.target, d.source, t.rk, CAST(sum(d.size) OVER (PARTITION BY t.rk ORDER BY h, doc_id) - d.size AS BIGINT) AS start_at, CAST(round(t.target) AS BIGINT) AS whole
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, greatest(0, least(size, whole - start_at)) AS a, greatest(0, least(size, whole - start_at - sz)) AS b, greatest(0, least(size, whole - start_at - 2 * sz)) AS c,
+    CASE WHEN greatest(0, least(size, whole - start_at)) > 0 THEN start_at / target END AS share FROM p)
+SELECT doc_id, size::BIGINT AS size, sz AS source_size, target, (a + b + c)::BIGINT AS taken, source,
+    CASE WHEN share IS NULL THEN NULL WHEN share <= 0 THEN 0.0::DOUBLE
+        WHEN rk % 3 = 0 THEN least(2 * share / (1.5::DOUBLE + sqrt(greatest(2.25::DOUBLE + -2.0::DOUBLE * share, 0))), 1.0::DOUBLE)
+        WHEN rk % 3 = 1 THEN least(2 * share / (1.0::DOUBLE + sqrt(1.0::DOUBLE)), 1.0::DOUBLE)
+        WHEN share * 0.875::DOUBLE <= 0.25::DOUBLE THEN 2 * (share * 0.875::DOUBLE) / (0.5::DOUBLE + sqrt(0.25::DOUBLE))
+        ELSE least(0.5::DOUBLE + 2 * (share * 0.875::DOUBLE - 0.25::DOUBLE) / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 6.0::DOUBLE * (share * 0.875::DOUBLE - 0.25::DOUBLE))), 1.0::DOUBLE) END AS position
+FROM q"""

@@ -8,8 +8,8 @@ from loadwatch.llm import decontaminate, language, mixing, quality, quotes, scor
 QUERIES = {
     "op1_lm_score": (scoring.op1_lm_score, None),
     "op2_token_counts": (tokens.op2_token_counts, None),
-    "op3_curriculum": (mixing.op3_curriculum, None),
-    "op4_host_rules": (quality.op4_host_rules, None),
+    "op3_curriculum": (mixing.op3_curriculum, mixing.OP3_SQL),
+    "op4_host_rules": (quality.op4_host_rules, quality.OP4_SQL),
     "op5_language": (language.op5_language, None),
     "op6_simhash": (simhash.op6_simhash, None),
     "op7_decontaminate": (decontaminate.op7_decontaminate, decontaminate.OP7_SQL),
