@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loadwatch.llm.arrays import XX, Texts, chunks, picked, shape, spread, table, xxh64
+from loadwatch.llm.arrays import XX, Texts, chunks, picked, shape, small, spread, table, xxh64
+from loadwatch.session import stage
 
 #: Labelled rows that are used to fit, at most.
 SAMPLE = 1200
@@ -163,9 +164,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.length(text)).alias("h"))
     langs = max(1, rows.select("lang").distinct().count())
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    # `r <= k` is cut in every task before the shuffle, so that no language is gathered whole.
-    got = ranked.where(F.col("r") <= max(1, sample // langs)).select("lang", "text", "h").orderBy("h", "lang", "text").collect()
+    share, first = max(1, sample // langs), F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    # Hashes alone are ranked, cut in every task before the shuffle; then the texts up to each language's last hash are read.
+    last = rows.select("lang", "h").withColumn("r", first).where(F.col("r") <= share).groupBy("lang").agg(F.max("h").alias("last"))
+    few = rows.join(small(stage(last, "sample")), "lang").where("h <= last").withColumn("r", first)
+    got = few.where(F.col("r") <= share).select("lang", "text", "h").orderBy("h", "lang", "text").collect()
     return train([r.text for r in got], [r.lang for r in got])
 
 
