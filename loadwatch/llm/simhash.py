@@ -37,8 +37,9 @@ WORDS, RADIUS, SEEDS = 3, 3, (42,)
 SIMILAR_WORDS, SIMILAR_SEEDS, SIMILAR = 5, (42, 43, 44, 45), 51
 #: Within this radius, the counts of quarters are worth cutting blocks by.
 FINE = 8
-#: Fingerprints of a block.
-TILE = 16384
+#: Fingerprints of a block. Every block meets those that are near, so that what is shuffled falls with the size of a block; a wide
+#: radius makes all blocks near, and takes larger ones.
+TILE, WIDE_TILE = 16384, 65536
 #: Rows of the plan of pairs up to which it is sent to every task.
 PLANNED = 200_000
 LOW = np.uint64(0xFFFFFFFF)
@@ -280,7 +281,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """`docs` with one row of each group of texts that are near-duplicates by similarity: the one of the smallest key. Among rows
     that share that key, one stays."""
     printed = stage(with_fingerprint(picked(docs, [key, text]).toDF("__key", "__text"), "__text", ["__key"], SIMILAR_WORDS, SIMILAR_SEEDS), "prints")
-    found = with_component(printed, "__key", SIMILAR).withColumnRenamed("__key", key)
+    found = with_component(printed, "__key", SIMILAR, WIDE_TILE).withColumnRenamed("__key", key)
     rows = stage(found.select(F.col(key).alias("__key"), F.col(key).eqNullSafe(F.col("component_id")).alias("__first")), "kept")
     same = F.col(key).eqNullSafe(F.col("__key"))
     if rows.groupBy("__key").count().where("count > 1").isEmpty():
