@@ -8,10 +8,14 @@ whole, by exclusive-or and bit counts. A pair of blocks gives a spanning forest
 near copies costs no more rows than it has members. Forests are joined by repeated hooking to the smallest neighbour and
 shortening, each round written to the shared folder.
 
-A fingerprint is 64 bits for each seed; with four seeds and five-word shingles, `SIMILAR` bits of 256 tell texts of a Jaccard
-similarity of 0.8 or more from others (`keep_first`). Exact copies share a fingerprint and are one node: the fingerprint itself
-if it has 64 bits, else its 64-bit hash. The work of the comparison grows with the square of the distinct
-fingerprints, times the small share of tiles that lie within the radius; that is the method's price for being exact.
+A fingerprint is 64 bits for each seed. Exact copies share a fingerprint and are one node: the fingerprint itself if it has 64 bits,
+else its 64-bit hash. The work of the comparison grows with the square of the distinct fingerprints, times the small share of tiles
+that lie within the radius; that is the method's price for being exact.
+
+`keep_first` goes by the Jaccard similarity of sets of five-word shingles. Its nodes are distinct sets; links within `SIMILAR` of 256
+bits, between sets whose sizes allow the similarity, only say which texts may be similar. The sets of each component of such links then
+meet in one task (those of a large one block by block), where all pairs that share one of their rarest shingles are counted out
+(`alike`); only pairs that reach `JACCARD` are links. Pairs of one component of links are not counted again.
 
 Edge cases: a null or empty text has fingerprint zero and is linked like any other; repeated rows stay repeated, with the same
 component; a null id never is the smallest unless all ids of the component are null; an empty table gives an empty result.
@@ -32,9 +36,13 @@ from loadwatch.model import small_frame
 from loadwatch.session import stage
 
 WORDS, RADIUS, SEEDS = 3, 3, (42,)
-#: Near-duplicates by similarity: words of a shingle, seeds, and differing bits. At a Jaccard similarity of 0.8 the expected
-#: difference is 39 bits of 256, with a deviation of 6.
-SIMILAR_WORDS, SIMILAR_SEEDS, SIMILAR = 5, (42, 43, 44, 45), 51
+#: Near-duplicates by similarity: words of a shingle, seeds, and differing bits of candidates. At a Jaccard similarity of 0.8 the
+#: expected difference is 39 bits of 256, and 48 at most (sets of four and five), with a deviation of 6.
+SIMILAR_WORDS, SIMILAR_SEEDS, SIMILAR = 5, (42, 43, 44, 45), 80
+#: The similarity of near-duplicates, as a fraction.
+JACCARD = (4, 5)
+#: Shingles of the sets that are compared in one task, about, in each of two blocks.
+SETS = 2_000_000
 #: Within this radius, the counts of quarters are worth cutting blocks by.
 FINE = 8
 #: Fingerprints of a block. Every block meets those that are near, so that what is shuffled falls with the size of a block; a wide
@@ -45,31 +53,51 @@ PLANNED = 200_000
 LOW = np.uint64(0xFFFFFFFF)
 
 
-def fingerprints(texts: pa.Array, words: int = WORDS, seeds: tuple[int, ...] = SEEDS) -> np.ndarray:
-    """A row of 64 bits per seed for each text: the majority of each bit over the hashes of all its shingles."""
+def shingled(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A buffer of words, the starts and ends of all shingles in it, and their number in each text."""
     t = Texts(texts, lower=True)
     starts, ends, offsets = t.words()
-    out = np.zeros((len(t), len(seeds)), np.uint64)
     size = np.diff(offsets)
-    some = np.flatnonzero(size)
-    if len(some) == 0:
-        return out
+    n = np.where(size > 0, np.maximum(size - words + 1, 1), 0)
     data, starts, ends = spaced(t.bytes, starts, ends)
-    n = np.maximum(size[some] - words + 1, 1)
+    first = np.repeat(offsets[:-1] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    last = first + np.repeat(np.minimum(size, words), n) - 1
+    return data, starts[first], ends[last], n
+
+
+def majorities(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The majority of each bit over each text's n hashes."""
+    out, some = np.zeros(len(n), np.uint64), np.flatnonzero(n)
+    n = n[some]
     begin = np.concatenate([[0], np.cumsum(n)])
-    first = np.repeat(offsets[:-1][some] - begin[:-1], n) + np.arange(begin[-1])
-    last = first + np.repeat(np.minimum(size[some], words), n) - 1
-    for k, seed in enumerate(seeds):
-        h = xxh64(data, starts[first], ends[last], seed)
-        for a in range(0, len(some), 512):
-            b = min(a + 512, len(some))
-            bits = np.unpackbits(h[begin[a]:begin[b]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, begin[a:b] - begin[a], axis=0, dtype=np.int32)
-            major = (2 * ones > n[a:b, None]).astype(np.uint8)
-            out[some[a:b], k] = np.packbits(major, axis=1, bitorder="little").view("<u8").reshape(-1)
+    for a in range(0, len(some), 512):
+        b = min(a + 512, len(some))
+        bits = np.unpackbits(h[begin[a]:begin[b]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, begin[a:b] - begin[a], axis=0, dtype=np.int32)
+        major = (2 * ones > n[a:b, None]).astype(np.uint8)
+        out[some[a:b]] = np.packbits(major, axis=1, bitorder="little").view("<u8").reshape(-1)
     return out
 
 
+def fingerprints(texts: pa.Array, words: int = WORDS, seeds: tuple[int, ...] = SEEDS) -> np.ndarray:
+    """A row of 64 bits per seed for each text: the majority of each bit over the hashes of all its shingles."""
+    data, starts, ends, n = shingled(texts, words)
+    return np.stack([majorities(xxh64(data, starts, ends, seed), n) for seed in seeds], axis=1)
+
+
+def shingle_sets(texts: pa.Array, words: int = SIMILAR_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct shingles: hashes that ascend within a text, number, hash of the whole set; and where they stand in a buffer."""
+    data, starts, ends, n = shingled(texts, words)
+    h, owner = xxh64(data, starts, ends, SIMILAR_SEEDS[0]), np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h, order, n = h[fresh], order[fresh], np.bincount(owner[fresh], minlength=len(n))
+    at = 8 * np.concatenate([[0], np.cumsum(n)])
+    return h, n, xxh64(h.astype("<u8").view(np.uint8), at[:-1], at[1:]), data, starts[order], ends[order]
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None = None, words: int = WORDS,
                      seeds: tuple[int, ...] = SEEDS) -> DataFrame:
     """`docs` (or its columns `keep`) with `fp`, its node, and with several seeds also `fp0`, `fp1` and so on: signed numbers."""
@@ -90,6 +118,108 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None
     return picked(docs, [*kept, text]).mapInArrow(run, shape(docs, kept, ", ".join(f"{c} bigint" for c in names)))
 
 
+def with_similar(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns `keep` of `docs` with `fp`, the hash of the text's set of shingles, its fingerprint `fp0` to `fp3`, and the set's size `n`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, text):
+            h, n, node, data, starts, ends = shingle_sets(part.column(text))
+            bits = [majorities(h if k == 0 else xxh64(data, starts, ends, seed), n) for k, seed in enumerate(SIMILAR_SEEDS)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x.view(np.int64)) for x in (node, *bits)), pa.array(n)],
+                                             [*keep, "fp", "fp0", "fp1", "fp2", "fp3", "n"])
+
+    return picked(docs, [*keep, text]).mapInArrow(run, shape(docs, keep, "fp bigint, fp0 bigint, fp1 bigint, fp2 bigint, fp3 bigint, n bigint"))
+
+
+def with_set(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(fp, hashes) of every text: the hash of its set of shingles, and the set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, text):
+            h, n, node, *_ = shingle_sets(part.column(text))
+            at, raw = 8 * np.concatenate([[0], np.cumsum(n)]), h.astype("<u8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())],
+                                             ["fp", "hashes"])
+
+    return picked(docs, [text]).mapInArrow(run, "fp bigint, hashes binary")
+
+
+def alike(sets: list[np.ndarray]) -> np.ndarray:
+    """For each of distinct sets the first of its component, where sets of a similarity of `JACCARD` or more are linked: exact.
+
+    Two such sets share one of their `size - ceil(similarity * size) + 1` rarest hashes, in any one order of all hashes."""
+    over, under = JACCARD
+    size = np.array([len(x) for x in sets], np.int64)
+    root, at = np.arange(len(sets)), np.concatenate([[0], np.cumsum(size)])
+    if at[-1] == 0:
+        return root
+    _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(df), np.int64)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(df))
+    owner = np.repeat(np.arange(len(sets)), size)
+    token = token[np.lexsort((rank[token], owner))]
+    few = (np.arange(len(token)) - at[owner] < (size + (-over * size) // under + 1)[owner]) & (df[token] > 1)
+    members, names = owner[few], token[few]
+    order = np.argsort(names, kind="stable")
+    members, names = members[order], names[order]
+    mark, done, changed = np.zeros(len(df), bool), 0, True
+    for d in range(len(sets)):
+        if changed and (d == 0 or done > len(members)):  # lists whose sets are all in one component have no more to say
+            begin = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
+            if len(begin):
+                of = root[members]
+                mixed = np.repeat(np.minimum.reduceat(of, begin) != np.maximum.reduceat(of, begin), np.diff(np.append(begin, len(names))))
+                members, names = members[mixed], names[mixed]
+            done, changed = 0, False
+        mine = token[at[d]:at[d + 1]]
+        asked = mine[:size[d] + (-over * size[d]) // under + 1]
+        first, last = np.searchsorted(names, asked), np.searchsorted(names, asked, "right")
+        lists = [members[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True) if b > a + 1]
+        if not lists:
+            continue
+        found = np.concatenate(lists)
+        done += len(found)
+        found = np.unique(found[root[found] != root[d]])
+        found = found[(found > d) & (under * np.minimum(size[found], size[d]) >= over * np.maximum(size[found], size[d]))]
+        if len(found) == 0:
+            continue
+        mark[mine] = True
+        begin = np.concatenate([[0], np.cumsum(size[found])])
+        place = np.repeat(at[found] - begin[:-1], size[found]) + np.arange(begin[-1])
+        both = np.add.reduceat(mark[token[place]], begin[:-1], dtype=np.int64)
+        mark[mine] = False
+        hit = found[under * both >= over * (size[found] + size[d] - both)]
+        if len(hit):
+            joined = np.unique(np.append(root[hit], root[d]))
+            root[np.isin(root, joined)] = joined[0]
+            changed = True
+    return root
+
+
+def verified(docs: DataFrame, groups: DataFrame, nodes: DataFrame, text: str = "text", size: int = SETS) -> DataFrame:
+    """Links (a, b) of spanning forests over all pairs of nodes of one group (`groups`: node, root) whose sets, of the texts of `docs`,
+    are similar. Small groups are dealt to tasks by hash; a group of more than `size` shingles is cut into blocks, which meet by pairs."""
+    weighed = groups.join(nodes.select(F.col("fp").alias("node"), "n"), "node")
+    weights = stage(weighed.groupBy("root").agg(F.sum("n").alias("weight")), "groups")
+    bins = math.ceil((weights.agg(F.sum("weight")).first()[0] or 0) / size) or 1
+    cut = weights.select("root", F.ceil(F.col("weight") / size).cast("int").alias("cuts"))
+    large = cut.where("cuts > 1")
+    placed = groups.join(small(large), "root", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    placed = placed.select(F.col("node").alias("fp"), "cuts", F.when(F.col("cuts") > 1, F.col("root")).alias("own"),
+                           F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).alias("bin"),
+                           F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int").alias("block"))
+    placed = stage(placed, "groups")
+    held = with_set(docs, text).join(small(placed), "fp").dropDuplicates(["fp"])
+    met = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    met = met.select("fp", "hashes", "own", "bin", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        node = rows.column("fp").to_numpy()
+        root = alike([np.frombuffer(x.as_buffer(), "<u8") for x in rows.column("hashes")])
+        on = np.flatnonzero(root != np.arange(len(node)))
+        return pa.table({"a": node[root[on]], "b": node[on]})
+
+    return met.groupBy("own", "bin", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The smallest node of each of n nodes' components, given links between nodes."""
     root = np.arange(n)
@@ -124,14 +254,14 @@ def tiles_of(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def close(left: list[np.ndarray], right: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with at most `radius` differing bits; the first two words of 64 bits are compared for all, others for what is left."""
+    """Index pairs with at most `radius` differing bits; the first three words of 64 bits are compared for all, others for what is left."""
     bits = np.bitwise_count(left[0][:, None] ^ right[0][None, :])
-    if len(left) > 1:
-        bits += np.bitwise_count(left[1][:, None] ^ right[1][None, :])
+    for x, y in zip(left[1:3], right[1:3], strict=True):
+        bits += np.bitwise_count(x[:, None] ^ y[None, :])
     r, c = np.nonzero(bits <= radius)
-    if len(left) > 2 and len(r):
+    if len(left) > 3 and len(r):
         total = bits[r, c].astype(np.int64)
-        for x, y in zip(left[2:], right[2:], strict=True):
+        for x, y in zip(left[3:], right[3:], strict=True):
             total += np.bitwise_count(x[r] ^ y[c])
         r, c = r[total <= radius], c[total <= radius]
     return r, c
@@ -185,17 +315,22 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
     return root[on], on
 
 
-def near(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) of spanning forests over all pairs of distinct nodes `fp` within `radius` bits of `fp`, or of `fp0`, `fp1`..."""
-    words = [c for c in distinct.columns if c != "fp"] or ["fp"]
+def near(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, size: str | None = None) -> DataFrame:
+    """Links (a, b) of spanning forests over all pairs of distinct nodes `fp` within `radius` bits of `fp`, or of `fp0`, `fp1`...
+
+    With a column `size`, pairs of sizes whose ratio rules out a similarity of `JACCARD` need not meet."""
+    words = [c for c in distinct.columns if c not in ("fp", size)] or ["fp"]
     grain = 1 if radius <= FINE else radius  # tiles that are narrower than a wide radius would all be neighbours
     lows = F.floor(F.bit_count(F.col(words[0]).bitwiseAND(F.lit(0xFFFFFFFF))) / grain).cast("int")
     highs = F.floor(F.bit_count(F.shiftrightunsigned(words[0], 32)) / grain).cast("int")
+    if size:  # tiles by size, a little wider than the ratio, so that only neighbours can be similar
+        lows, highs = F.floor(F.log(F.greatest(F.col(size), F.lit(1))) / math.log(1.001 * JACCARD[1] / JACCARD[0])).cast("int"), F.lit(0)
     # At most 33 * 33 rows: the sizes of the tiles, in a table of known size.
     sizes = distinct.groupBy(lows.alias("p"), highs.alias("q")).count()
     blocks = {(r.p, r.q): math.ceil(r["count"] / tile) for r in sizes.collect()}
     least = lambda i: max(0, (abs(i) - 1) * grain + 1)  # noqa: E731  by how much counts of tiles i apart differ at least
     steps = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if (i, j) != (0, 0) and least(i) + least(j) <= radius]
+    steps = [(-1, 0), (1, 0)] if size else steps
     # For every tile, the pairs of blocks in which a fingerprint of its block k takes part.
     spark = distinct.sparkSession
     rows = []
@@ -260,7 +395,11 @@ def with_component(printed: DataFrame, key: str = "doc_id", radius: int = RADIUS
     """`printed` (with `fp`, read twice or more: stage it) with `component_id`, the smallest key of its component."""
     words = [c for c in printed.columns if c.startswith("fp")]
     least = stage(printed.groupBy(*words).agg(F.min(key).alias("least")), "prints")
-    member = components(near(least.select(*words), radius, tile))
+    return named(printed, least, components(near(least.select(*words), radius, tile)))
+
+
+def named(printed: DataFrame, least: DataFrame, member: DataFrame) -> DataFrame:
+    """`printed` with `component_id`, the smallest of the keys `least` of its component's nodes; `member`: (node, root) of linked ones."""
     grouped = least.join(member, least["fp"] == member["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(named, "root").select(F.col("fp").alias("__fp"), "component_id")
@@ -280,8 +419,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with one row of each group of texts that are near-duplicates by similarity: the one of the smallest key. Among rows
     that share that key, one stays."""
-    printed = stage(with_fingerprint(picked(docs, [key, text]).toDF("__key", "__text"), "__text", ["__key"], SIMILAR_WORDS, SIMILAR_SEEDS), "prints")
-    found = with_component(printed, "__key", SIMILAR, WIDE_TILE).withColumnRenamed("__key", key)
+    printed = stage(with_similar(picked(docs, [key, text]).toDF("__key", "__text"), ["__key"], "__text"), "prints")
+    nodes = stage(printed.groupBy("fp", "fp0", "fp1", "fp2", "fp3", "n").agg(F.min("__key").alias("least")), "prints")
+    groups = stage(components(near(nodes.drop("least"), SIMILAR, WIDE_TILE, "n")), "groups")
+    member = components(verified(docs, groups, nodes, text))
+    found = named(printed, nodes, member).withColumnRenamed("__key", key)
     rows = stage(found.select(F.col(key).alias("__key"), F.col(key).eqNullSafe(F.col("component_id")).alias("__first")), "kept")
     same = F.col(key).eqNullSafe(F.col("__key"))
     if rows.groupBy("__key").count().where("count > 1").isEmpty():

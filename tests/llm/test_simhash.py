@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from loadwatch.llm import simhash
@@ -135,3 +136,31 @@ def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "a bigint, b bigint")
     got = components(edges).collect()
     assert len(got) == n + 1 and {r.root for r in got} == {0}
+
+
+def test_jaccard_decides_which_rows_go(spark):
+    rng = np.random.default_rng(11)
+    rows, boiler = [], [f"b{i}" for i in range(140)]
+    for i in range(60):  # pages of one template: half of the shingles are shared, no pair reaches 0.8
+        rows.append([*boiler, *(f"p{i}x{j}" for j in range(60))])
+    for i in range(40):  # texts and copies around the limit, short ones and repeated passages among them
+        base = [f"t{i}y{j}" for j in range(int(rng.integers(8, 120)))]
+        rows.append(base)
+        for _ in range(3):
+            copy = list(base)
+            for at in rng.choice(len(copy), int(rng.integers(0, max(2, len(copy) // 25))), replace=False):
+                copy[at] = f"c{rng.integers(10**9)}"
+            rows.append(copy * int(rng.integers(1, 4)) if rng.random() < 0.3 else copy)
+    sets = [{tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))} for w in rows]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = roots(*np.array(links).T, len(sets))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in keep_first(df).collect()) == sorted(set(root.tolist()))
+    hashes = [np.array(sorted({hash(x) & (1 << 63) - 1 for x in s}), np.uint64) for s in sets]
+    assert simhash.alike(hashes).tolist() == root.tolist()
+    # Blocks of a large group meet by pairs.
+    nodes = simhash.with_similar(df, ["doc_id"]).groupBy("fp", "n").agg(F.min("doc_id").alias("least"))
+    one = nodes.select(F.col("fp").alias("node"), F.lit(1).alias("root"))
+    cut = components(simhash.verified(df, one, nodes, size=3000))
+    got = simhash.named(nodes, nodes, cut).select("least", "component_id").collect()
+    assert all(root[r.least] == r.component_id for r in got)
