@@ -395,14 +395,15 @@ def with_component(printed: DataFrame, key: str = "doc_id", radius: int = RADIUS
     """`printed` (with `fp`, read twice or more: stage it) with `component_id`, the smallest key of its component."""
     words = [c for c in printed.columns if c.startswith("fp")]
     least = stage(printed.groupBy(*words).agg(F.min(key).alias("least")), "prints")
-    return named(printed, least, components(near(least.select(*words), radius, tile)))
+    return named(printed, least, components(near(least.select(*words), radius, tile))).drop("__root")
 
 
 def named(printed: DataFrame, least: DataFrame, member: DataFrame) -> DataFrame:
-    """`printed` with `component_id`, the smallest of the keys `least` of its component's nodes; `member`: (node, root) of linked ones."""
+    """`printed` with `__root`, its component, and `component_id`, the smallest of the keys `least` of the component's nodes; `member`:
+    (node, root) of linked ones."""
     grouped = least.join(member, least["fp"] == member["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(named, "root").select(F.col("fp").alias("__fp"), "component_id")
+    named = grouped.join(named, "root").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), "component_id")
     return printed.drop("component_id").join(named, F.col("fp") == F.col("__fp")).drop("__fp")
 
 
@@ -417,18 +418,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one row of each group of texts that are near-duplicates by similarity: the one of the smallest key. Among rows
-    that share that key, one stays."""
-    printed = stage(with_similar(picked(docs, [key, text]).toDF("__key", "__text"), ["__key"], "__text"), "prints")
+    """`docs` with one row of each group of texts that are near-duplicates by similarity: the one of the smallest key. Among a
+    group's rows that share that key, or have none, the text of the smallest hash stays, and one of its copies."""
+    rows = docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__print"), F.col(text).alias("__text"))
+    printed = stage(with_similar(rows, ["__key", "__print"], "__text"), "prints")
     nodes = stage(printed.groupBy("fp", "fp0", "fp1", "fp2", "fp3", "n").agg(F.min("__key").alias("least")), "prints")
     groups = stage(components(near(nodes.drop("least"), SIMILAR, WIDE_TILE, "n")), "groups")
     member = components(verified(docs, groups, nodes, text))
-    found = named(printed, nodes, member).withColumnRenamed("__key", key)
-    rows = stage(found.select(F.col(key).alias("__key"), F.col(key).eqNullSafe(F.col("component_id")).alias("__first")), "kept")
+    rows = stage(named(printed, nodes, member).select("__key", "__print", "__root", F.col("__key").eqNullSafe(F.col("component_id")).alias("__first")), "kept")
     same = F.col(key).eqNullSafe(F.col("__key"))
     if rows.groupBy("__key").count().where("count > 1").isEmpty():
         return docs.join(small(rows.where("NOT __first").select("__key")), same, "left_anti")
-    return docs.join(rows.where("__first").select("__key").distinct(), same, "left_semi").dropDuplicates([key])
+    # Keys repeat: rows are told apart by their text, too.
+    first = stage(rows.where("__first").groupBy("__root").agg(F.min("__key").alias("__key"), F.min("__print").alias("__print")).drop("__root"), "kept")
+    told = docs.withColumn("__mine", F.xxhash64(text))
+    kept = told.join(small(first), same & (F.col("__mine") == F.col("__print")), "left_semi")
+    if not rows.groupBy("__key", "__print").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([key, "__mine"])
+    return kept.drop("__mine")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

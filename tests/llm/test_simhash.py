@@ -164,3 +164,15 @@ def test_jaccard_decides_which_rows_go(spark):
     cut = components(simhash.verified(df, one, nodes, size=3000))
     got = simhash.named(nodes, nodes, cut).select("least", "component_id").collect()
     assert all(root[r.least] == r.component_id for r in got)
+
+
+def test_rows_that_share_a_key_or_have_none_are_told_apart(spark):
+    words = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(6)]
+    near_copy = words[0] + " more"
+    rows = [(None, words[0]), (None, words[1]), (None, words[1]), (7, words[2]), (7, words[3]), (7, words[3]), (8, words[4]), (9, words[4]),
+            (9, words[5]), (None, words[5]), (7, near_copy), (7, words[2] + " more")]
+    got = sorted(((r.doc_id, r.text) for r in keep_first(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()), key=str)
+    of_two = [r for r in got if r[1].startswith(words[2])]
+    assert len(of_two) == 1 and of_two[0][0] == 7  # near copies of one key: one of them
+    rest = [(None, words[1]), (7, words[3]), (7, near_copy), (8, words[4]), (9, words[5])]
+    assert [r for r in got if r not in of_two] == sorted(rest, key=str)
