@@ -1,7 +1,8 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests on other long strings.
 
 Three patterns give the base findings: assignments, access keys, long hex. The battery looks at every other run of 20 or more
-characters of base64 or URL alphabets: it infers the encoding (hex, base32, lower or upper base36, base64) and asks
+characters of base64 or URL alphabets, without the fixed patterns' findings and cut at inner '='; a piece that no alphabet holds, or
+that does not pass whole, is cut at its signs (`tested`). It infers the encoding (hex, base32, lower or upper base36, base64) and asks
 
 * uniformity: is the chi-squared statistic of the alphabet's counts within what a random string gives;
 * serial correlation: is the lag-1 correlation of the symbols' positions in the alphabet within what a random string gives;
@@ -37,6 +38,10 @@ WORDS = re.compile(rb"password|passwd|secret|token|api_?key", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{12,}")  # runs are maximal, so that a shorter run fails wherever in it a match begins
 HEX = re.compile(rb"[0-9a-f]{32,}")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+INNER = re.compile(rb"[^=]+=*")
+#: What is left of a piece that is cut: the parts that base64 holds, and those that its URL form does; then those without signs.
+MIXED, PLAIN = (re.compile(rb"[A-Za-z0-9+/]+"), re.compile(rb"[A-Za-z0-9_-]+")), re.compile(rb"[A-Za-z0-9+]+")
 Q, TEXT_CHANGE, LIKELY = 0.01, 0.25, 0.001
 #: Lower ends of the classes of length and their weights in the step-up.
 CLASSES, WEIGHTS = (20, 28, 40, 64), (0.6, 0.9, 1.2, 1.3)
@@ -108,14 +113,35 @@ def length_class(n: int) -> int:
     return sum(n >= x for x in CLASSES) - 1
 
 
+def tested(s: bytes, at: int) -> Iterator[tuple[int, int, int, int]]:
+    """(class, bin, start, end) of the pieces of a string at `at` that pass as random; a secret may be found with less or more around it."""
+    if len(s) < LEAST:
+        return
+    if (logp := battery(s)) is not None:
+        yield length_class(len(s)), int(-logp / BIN), at, at + len(s)
+        return
+    body = s.rstrip(b"=")
+    for cut in MIXED if encoding(s) is None else (PLAIN,):
+        for m in cut.finditer(body):
+            a, b = m.start(), len(s) if m.end() == len(body) else m.end()  # the padding goes with the last part
+            if b - a < len(s):
+                yield from tested(s[a:b], at + a)
+
+
 def candidates(raw: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(class, bin, start, end) of strings that pass as random and touch no base span; bins count down from p = 1."""
-    out = []
+    """(class, bin, start, end) of strings that pass as random, of what is outside the base spans, which come in order of start."""
+    out, k, covered = set(), 0, 0
     for m in CANDIDATE.finditer(raw):
-        a, b = m.span()
-        if not any(a < e and s < b for _, s, e in base) and (logp := battery(m[0])) is not None:
-            out.append((length_class(b - a), int(-logp / BIN), a, b))
-    return out
+        at, rest = max(m.start(), covered), []
+        while k < len(base) and base[k][1] < m.end():
+            rest.append((at, base[k][1]))
+            covered = max(covered, base[k][2])
+            at, k = max(at, covered), k + 1
+        for first, last in [*rest, (at, m.end())]:
+            for p in INNER.finditer(raw[first:max(first, last)]):
+                a, b = first + p.start(), first + p.end()
+                out.update(tested(raw[a:b] if b == last else raw[a:b].rstrip(b"="), a))
+    return sorted(out, key=lambda c: c[2:])
 
 
 SCANNED = "kinds array<int>, starts array<int>, ends array<int>, c_classes array<int>, c_bins array<int>, c_starts array<int>, c_ends array<int>"
