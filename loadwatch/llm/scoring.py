@@ -16,8 +16,8 @@ it have reached, and quantised interpolated probabilities. All monotone sequence
 among the contexts, reads two pointers, adds the base of the context's range and looks for the successor by the high bits, within
 that range only. Probabilities are absolutely discounted bigrams, interpolated with the add-one unigram.
 
-In a context that is split, the number of distinct successors in a shard times the number of shards stands for their number in
-all, which moves probabilities by less than the quantisation step of `1 / STEPS` of a decade.
+The distinct successors of contexts that are split are counted before (`followers`): each shard counts those dealt to it, and the
+shards' numbers are added up. There are at most `2 / SPLIT` such contexts a shard, so their counts go to every task.
 
 Edge cases: a null or empty text is one end token; a null id is held in training; repeated rows count and are scored each; an empty
 table gives an empty result; no training row gives counts of 0. Texts may be of any length.
@@ -253,20 +253,28 @@ def counted(held: DataFrame, shards: int) -> DataFrame:
     return stage(sent.groupBy("shard").applyInArrow(count, "block bigint, shard int, payload binary, n bigint, v bigint"), "counts")
 
 
+def numbered(tokens: bytes, replies: list[bytes]) -> tuple[np.ndarray, ...]:
+    """A block's texts' sizes, whether they train, its tokens and the token before each; the numbers and counts of its words, the
+    beginning of a text last."""
+    size, teaches, token = (x.astype(np.int64) for x in unpack(tokens))
+    got = [unpack(x) for x in replies]
+    k, last = sum(len(c) for _, c in got), np.cumsum(size) - 1
+    number = np.append(np.concatenate([np.cumsum(x.astype(np.int64)) for x, _ in got]), BEGIN)
+    count = np.concatenate([c.astype(np.int64) for _, c in got])
+    count = np.append(count, count[token[last[0]]])  # a text begins as often as one ends
+    before = np.concatenate([[k], token[:-1]])
+    before[last[:-1] + 1] = k
+    return size, teaches, token, before, number, count
+
+
 class Block:
     """A block with its words' numbers and counts, and its distinct pairs dealt to shards."""
 
     def __init__(self, tokens: bytes, replies: list[bytes], shards: int, n: int, split: float):
         """`replies`: in the order of the word shards."""
-        self.size, self.teaches, self.token = (x.astype(np.int64) for x in unpack(tokens))
-        got = [unpack(x) for x in replies]
-        k, last = sum(len(c) for _, c in got), np.cumsum(self.size) - 1
-        self.number = np.append(np.concatenate([np.cumsum(x.astype(np.int64)) for x, _ in got]), BEGIN)
-        self.count = np.concatenate([c.astype(np.int64) for _, c in got])
-        self.count = np.append(self.count, self.count[self.token[last[0]]])  # a text begins as often as one ends
+        self.size, self.teaches, self.token, before, self.number, self.count = numbered(tokens, replies)
+        k = len(self.number) - 1
         self.owner = np.repeat(np.arange(len(self.size)), self.size)
-        before = np.concatenate([[k], self.token[:-1]])
-        before[last[:-1] + 1] = k
         key = before * (k + 1) + self.token
         self.by_pair = np.argsort(key, kind="stable")
         key = key[self.by_pair]
@@ -274,9 +282,7 @@ class Block:
         self.context, self.word = key[self.begin] // (k + 1), key[self.begin] % (k + 1)
         self.begin = np.append(self.begin, len(key))
         self.seen = np.add.reduceat(np.repeat(self.teaches, self.size)[self.by_pair], self.begin[:-1])
-        share = splits(self.count[self.context], n, shards, split)
-        deal = (self.number[self.context].astype(np.uint64) << np.uint64(20)) + (spread(self.number[self.word].astype(np.uint64)) % share.astype(np.uint64))
-        self.order, self.parts = parts_of((spread(deal) % np.uint64(shards)).astype(np.int64))
+        self.order, self.parts = parts_of(dealt(self.number[self.context], self.number[self.word], self.count[self.context], n, shards, split))
 
     def packed(self, a: int, b: int) -> bytes:
         """Pairs of one shard: contexts in runs, words as places in a table, training counts, and the texts of each pair."""
@@ -294,8 +300,42 @@ def splits(count: np.ndarray, n: int, shards: int, split: float) -> np.ndarray:
     return np.minimum(1 + (count * shards / max(1.0, split * n)).astype(np.int64) if shards > 1 else np.ones(len(count), np.int64), 1 << 20)
 
 
-def answered(payloads: list[bytes], n: int, v: int, shards: int, split: float) -> list[bytes]:
-    """One shard: its trie, and per block the sums of the codes of its texts."""
+def dealt(context: np.ndarray, word: np.ndarray, count: np.ndarray, n: int, shards: int, split: float) -> np.ndarray:
+    """The shards of pairs of numbers."""
+    share = splits(count, n, shards, split)
+    deal = (context.astype(np.uint64) << np.uint64(20)) + (spread(word.astype(np.uint64)) % share.astype(np.uint64))
+    return (spread(deal) % np.uint64(shards)).astype(np.int64)
+
+
+def followers(held: DataFrame, counts: DataFrame, n: int, shards: int, split: float) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts that are split, ascending, and the number of distinct successors of each in the training texts."""
+    if shards == 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def send(mine: pa.Table, replies: pa.Table) -> pa.Table:
+        found = replies.column("payload").to_pylist()
+        size, teaches, token, before, number, count = numbered(mine.column("tokens")[0].as_py(), [found[i] for i in np.argsort(replies.column("shard").to_numpy())])
+        on = (splits(count, n, shards, split) > 1)[before] & np.repeat(teaches > 0, size)
+        key = np.unique(before[on] * len(number) + token[on])
+        context, word = key // len(number), key % len(number)
+        order, parts = parts_of(dealt(number[context], number[word], count[context], n, shards, split)) if len(key) else (None, [])
+        return pa.table({"shard": pa.array([x for x, _, _ in parts], pa.int32()),
+                         "payload": pa.array([pack(number[context[order[a:b]]], number[word[order[a:b]]]) for _, a, b in parts], pa.binary())})
+
+    def count_distinct(rows: pa.Table) -> pa.Table:
+        got = [unpack(x) for x in rows.column("payload").to_pylist()]
+        contexts, c = np.unique(np.concatenate([x.astype(np.int64) for x, _ in got]), return_inverse=True)
+        words, w = np.unique(np.concatenate([x.astype(np.int64) for _, x in got]), return_inverse=True)
+        return pa.table({"context": contexts, "n": np.bincount(np.unique(c * len(words) + w) // len(words), minlength=len(contexts))})
+
+    sent = held.select("block", "tokens").groupBy("block").cogroup(counts.select("block", "shard", "payload").groupBy("block")).applyInArrow(send, "shard int, payload binary")
+    rows = sent.groupBy("shard").applyInArrow(count_distinct, "context bigint, n bigint").groupBy("context").agg(F.sum("n")).collect()
+    rows = np.array(sorted(map(tuple, rows)), np.int64).reshape(-1, 2)
+    return rows[:, 0].copy(), rows[:, 1].copy()
+
+
+def answered(payloads: list[bytes], n: int, v: int, split: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    """One shard: its trie, and per block the sums of the codes of its texts. `split`: as `followers` gives them."""
     got = [[x if k in (5, 7, 8) else x.astype(np.int64) for k, x in enumerate(unpack(p))] for p in payloads]
     # The shard's contexts and words, once each.
     contexts, first = np.unique(np.concatenate([g[0] for g in got]), return_index=True)
@@ -309,7 +349,10 @@ def answered(payloads: list[bytes], n: int, v: int, shards: int, split: float) -
     total = np.bincount(inverse, np.concatenate([g[6][t] for g, t in zip(got, taught, strict=True)]), len(pairs))
     pc, pw = pairs // width, pairs % width
     sizes = np.bincount(pc, minlength=len(contexts))
-    weight = np.minimum(1.0, DISCOUNT * np.maximum(sizes, 1) * splits(times, n, shards, split) / np.maximum(times, 1))
+    after = sizes.copy()
+    known = np.isin(contexts, split[0])
+    after[known] = split[1][np.searchsorted(split[0], contexts[known])]
+    weight = np.minimum(1.0, DISCOUNT * np.maximum(after, 1) / np.maximum(times, 1))
     p = (total - DISCOUNT) / times[pc] + weight[pc] * unigram[pw]
     on = times > 0
     trie = Trie.written(contexts[on], sizes[on], words[pw], quantised(weight[on]), quantised(np.minimum(p, 1.0)))
@@ -332,6 +375,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     counts = counted(held, word_shards)
     totals = counts.agg(F.sum("n"), F.sum("v")).first()
     n, v = totals[0] or 0, totals[1] or 0
+    after = followers(held, counts, n, shards, split)
     kind = docs.schema[key].dataType.simpleString()
     # Rows with ids carry what a block knows of its texts by itself; they pass a shard unchanged.
     passed = f"shard int, block bigint, payload binary, ids array<{kind}>"
@@ -354,7 +398,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         payloads, own = rows.column("payload").to_pylist(), rows.column("ids").is_valid().to_pylist()
         asked = [i for i, mine in enumerate(own) if not mine]
         if asked:
-            for i, sums in zip(asked, answered([payloads[i] for i in asked], n, v, shards, split), strict=True):
+            for i, sums in zip(asked, answered([payloads[i] for i in asked], n, v, after), strict=True):
                 payloads[i] = sums
         return rows.set_column(rows.schema.get_field_index("payload"), "payload", pa.array(payloads, pa.binary()))
 

@@ -87,3 +87,11 @@ def test_nothing_to_learn_and_nothing_to_score(spark, docs, empty):
 def test_bigrams_beat_unigrams_on_held_out_texts(spark):
     r = op1_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
+
+
+def test_split_contexts_have_the_model_spelled_out(spark):
+    # "hot" is a third of all tokens and has three successors; "wide" has many.
+    rows = [(i, f"hot {'abc'[i % 3]} hot {'abc'[i % 2]} wide w{i} hot") for i in range(300)] + [(1000 + i, f"hot w{i} wide a hot hot") for i in range(20)]
+    trains = [k < 1000 for k, _ in rows]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    compared(score(df, F.col("doc_id") < 1000, block_bytes=2_000, words_shard=100, pairs_shard=100).collect(), rows, trains)
