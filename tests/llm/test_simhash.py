@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -77,11 +79,20 @@ def test_rows_and_components(spark, docs, texts, empty):
     assert near_duplicates(empty).collect() == []
 
 
+def five_word_sets(texts):
+    """Sets of five-word shingles, ASCII letters lowered; a text of fewer words is one shingle."""
+    out = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        out.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))})
+    return out
+
+
 def similar_groups(texts):
-    """The smallest row of each group by 256 bits, over all pairs."""
-    x = fingerprints(pa.array(texts), simhash.SIMILAR_WORDS, simhash.SIMILAR_SEEDS)
-    apart = np.bitwise_count(x[:, None, :] ^ x[None, :, :]).astype(int).sum(axis=2)
-    return roots(*np.nonzero(apart <= simhash.SIMILAR), len(x))
+    """The smallest row of each group of texts linked by a Jaccard similarity of 0.8 or more, over all pairs."""
+    sets = five_word_sets(texts)
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
+    return roots(*np.array(links).reshape(-1, 2).T, len(sets))
 
 
 def test_one_of_each_group_stays(spark, docs, texts):
