@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loadwatch.llm import decontaminate, language, mixing, quality, quotes, scoring, secrets, simhash, tokens, warc
+from loadwatch.llm import decontaminate, language, merkle, mixing, quality, quotes, scoring, secrets, simhash, tokens, toxicity, warc, whitening
 
 QUERIES = {
     "op1_lm_score": (scoring.op1_lm_score, None),
@@ -16,5 +16,8 @@ QUERIES = {
     "op8_warc": (warc.op8_warc, warc.OP8_SQL),
     "op9_secrets": (secrets.op9_secrets, None),
     "op10_quotes": (quotes.op10_quotes, None),
+    "op11_whitening": (whitening.op11_whitening, None),
+    "op12_toxicity": (toxicity.op12_toxicity, None),
+    "op13_merkle": (merkle.op13_merkle, merkle.OP13_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
