@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,12 +30,12 @@ from loadwatch.llm.arrays import small, table
 from loadwatch.session import stage
 
 #: Levels that one stored link climbs: a block has 2^STRIDE nodes.
-STRIDE = 8
+STRIDE = 10
 #: Copies of a link that very many leaves share.
 SALTS = 64
 TOP = -1  # the tree over the groups' roots
 
-LINK = "tree bigint, level int, pos bigint, siblings array<string>, reached string, up_tree bigint, up_level int, up_pos bigint, final boolean"
+LINK = "tree bigint, level int, pos bigint, siblings array<binary>, reached binary, up_tree bigint, up_level int, up_pos bigint, final boolean"
 LINK_COLUMNS = [c.split(" ")[0] for c in LINK.split(", ")]
 
 
@@ -44,6 +44,11 @@ def digest(*parts: Column) -> Column:
     return F.sha2(F.concat(*parts).cast("binary"), 256)
 
 
+def shown(c: Column) -> Column:
+    """A digest's bytes as lower-case hex text."""
+    return F.lower(F.hex(c))
+
+
 def field(c: Column) -> Column:
     """A field so that no two rows of fields run together: `-` for null, else its bytes, a colon and its text."""
     text = c.cast("string")
@@ -94,8 +99,9 @@ def links(nodes: DataFrame, level: int, top_tree: bool, final_tree: bool) -> Dat
     levels = F.aggregate(ups, F.array(F.col("members.hash")), lambda made, _: F.concat(made, F.array(_higher(F.element_at(made, -1)))))
     block = block.select("tree", "block", "high", ups.alias("ups"), levels.alias("levels"))
     at = F.col("i")
-    siblings = F.transform("ups", lambda k: F.coalesce(F.get(F.get("levels", k), F.call_function("shiftright", at, k).bitwiseXOR(F.lit(1))), F.lit("")))
-    reached = F.get(F.element_at("levels", -1), F.lit(0))
+    # Digests are stored as their 32 bytes; a node without a sibling has an empty one.
+    siblings = F.transform("ups", lambda k: F.unhex(F.coalesce(F.get(F.get("levels", k), F.call_function("shiftright", at, k).bitwiseXOR(F.lit(1))), F.lit(""))))
+    reached = F.unhex(F.get(F.element_at("levels", -1), F.lit(0)))
     ends = F.col("high") <= level + STRIDE
     one = block.select("*", F.posexplode(F.get("levels", F.lit(0))).alias("i", "own"))
     return one.select(
@@ -111,7 +117,7 @@ def tree_links(nodes: DataFrame, highest: int, top_tree: bool, final_tree: bool)
     out = []
     for level in range(0, max(highest, 1), STRIDE):
         out.append(stage(links(nodes, level, top_tree, final_tree), "links"))
-        nodes = out[-1].where(F.col("high") > level + STRIDE).groupBy("tree", F.col("up_pos").alias("pos"), "high").agg(F.first("reached").alias("hash"))
+        nodes = out[-1].where(F.col("high") > level + STRIDE).groupBy("tree", F.col("up_pos").alias("pos"), "high").agg(shown(F.first("reached")).alias("hash"))
     return out
 
 
@@ -140,11 +146,11 @@ def build(rows: DataFrame, group: str, order: list[str], leaf: str = "leaf") ->
     numbered = stage(numbered, "leaves")
     below = tree_links(numbered.select("tree", "pos", "high", F.col(leaf).alias("hash")), highest, False, trees == 1)
     high = (trees - 1).bit_length()
-    tops = reduce(DataFrame.unionByName, below).where((F.col("up_tree") == TOP) & (F.col("up_level") == 0)).groupBy(F.col("up_pos").alias("pos")).agg(F.first("reached").alias("hash"))
+    tops = reduce(DataFrame.unionByName, below).where((F.col("up_tree") == TOP) & (F.col("up_level") == 0)).groupBy(F.col("up_pos").alias("pos")).agg(shown(F.first("reached")).alias("hash"))
     above = tree_links(tops.select(F.lit(TOP).cast("bigint").alias("tree"), "pos", F.lit(high).alias("high"), "hash"), high, True, True) if trees > 1 else []
     higher = [*below[1:], *above]
     made = reduce(DataFrame.unionByName, higher) if higher else below[0].limit(0)
-    root = (above or below)[-1].where("final").select("reached").first()[0]
+    root = (above or below)[-1].where("final").select(shown(F.col("reached"))).first()[0]
     return Manifest(numbered, below[0].select(LINK_COLUMNS), made.select(LINK_COLUMNS), root)
 
 
@@ -160,29 +166,29 @@ def unlimited(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-# Siblings are folded from the lowest level up; the bits of the place say on which side a node is.
-FOLD = """aggregate({links}.siblings, named_struct('k', 0, 'h', {start}), (a, s) -> named_struct('k', a.k + 1, 'h',
-          sha2(CAST(if(shiftright({pos}, a.k) & 1 = 1, concat(s, a.h), concat(a.h, s)) AS BINARY), 256)), a -> a.h)"""
+# Siblings are folded from the lowest level up; the bits of the place say on which side a node is. Digests travel as bytes and are hashed as text.
+FOLD = """aggregate({links}.siblings, named_struct('k', 0, 'h', lower(hex({start}))), (a, s) -> named_struct('k', a.k + 1, 'h',
+          sha2(CAST(if(shiftright({pos}, a.k) & 1 = 1, concat(lower(hex(s)), a.h), concat(a.h, lower(hex(s)))) AS BINARY), 256)), a -> unhex(a.h))"""
+JOINED = "aggregate({links}.siblings, CAST('' AS BINARY), (a, s) -> concat(a, s))"
 
 
-def climb(manifest: Manifest, claimed: str) -> DataFrame:
-    """`manifest.rows` with `subroot`, `proof` (the siblings' digests up to the root, as bytes) and `folded_root`, what the digest in column
-    `claimed` folds to. Staged when it returns."""
+def climb(manifest: Manifest, claimed: str, keep: list[str]) -> DataFrame:
+    """The columns `keep` of `manifest.rows` with `subroot`, `proof` (the siblings up to the root) and `folded_root`, what the digest in column
+    `claimed` folds to, all as bytes. Staged when it returns."""
     spark = manifest.rows.sparkSession
-    keep = [c for c in manifest.rows.columns if c not in ("tree", "pos", "high")]
     whole = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
-    start = manifest.rows.select("tree", "pos", F.col(claimed).alias("claimed"), whole)
+    start = manifest.rows.select("tree", "pos", F.unhex(claimed).alias("claimed"), whole)
     first = start.join(manifest.leaf_links, ["tree", "pos"])
     salted = F.when((F.col("level") > STRIDE) | (F.col("tree") == TOP), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     higher = manifest.higher_links.withColumn("salt", F.explode(salted))
     query = f"""
         WITH RECURSIVE climb(row, at, salt, tree, level, pos, subroot, proof, folded, final) AS (
             SELECT row, pos, CASE WHEN up_level > {STRIDE} OR up_tree = {TOP} THEN CAST(pos % {SALTS} AS INT) ELSE 0 END, up_tree, up_level, up_pos,
-                   CASE WHEN up_tree = {TOP} OR final THEN reached END, unhex(concat_ws('', siblings)), {FOLD.format(links='f', start='claimed', pos='pos')}, final
+                   CASE WHEN up_tree = {TOP} OR final THEN reached END, {JOINED.format(links='f')}, {FOLD.format(links='f', start='claimed', pos='pos')}, final
             FROM {{first}} f
             UNION ALL
             SELECT c.row, c.at, CASE WHEN n.up_level > {STRIDE} OR n.up_tree = {TOP} THEN CAST(c.at % {SALTS} AS INT) ELSE 0 END, n.up_tree, n.up_level, n.up_pos,
-                   coalesce(c.subroot, CASE WHEN n.up_tree = {TOP} OR n.final THEN n.reached END), concat(c.proof, unhex(concat_ws('', n.siblings))),
+                   coalesce(c.subroot, CASE WHEN n.up_tree = {TOP} OR n.final THEN n.reached END), concat(c.proof, {JOINED.format(links='n')}),
                    {FOLD.format(links='n', start='c.folded', pos='c.pos')}, n.final
             FROM climb c JOIN {{higher}} n ON c.tree = n.tree AND c.level = n.level AND c.pos = n.pos AND c.salt = n.salt)
         SELECT row.*, subroot, proof, folded AS folded_root FROM climb WHERE final"""
@@ -202,11 +208,12 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
     rows = docs.select("doc_id", "lang", leaf.alias("leaf"), F.when(picked & F.col("n_chars").isNotNull(), more).alias("tampered"))
     made = build(rows, "lang", ["doc_id", "leaf"])
-    claimed = Manifest(made.rows.withColumn("claimed", F.coalesce("tampered", "leaf")), made.leaf_links, made.higher_links, made.root)
+    current = made.rows.select("tree", "pos", "doc_id", F.coalesce("tampered", "leaf").alias("claimed"), F.unhex("leaf").alias("own"))
     root = F.lit(made.root).cast("string")
-    return climb(claimed, "claimed").select(
-        "doc_id", "leaf", "subroot", root.alias("root"), F.sha2(F.lower(F.hex("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root",
-        (F.col("folded_root") == root).alias("verified"))
+    got = climb(replace(made, rows=current), "claimed", ["doc_id", "own"])
+    return got.select("doc_id", shown(F.col("own")).alias("leaf"), shown(F.col("subroot")).alias("subroot"), root.alias("root"),
+                      F.sha2(shown(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), shown(F.col("folded_root")).alias("folded_root"),
+                      (shown(F.col("folded_root")) == root).alias("verified"))
 
 
 OP13_SQL = """
