@@ -60,6 +60,16 @@ def run_url(template: str, run_id: Column) -> Column:
     return F.when(F.length(run_id) > 0, F.replace(F.lit(template), F.lit("{run_id}"), quoted))
 
 
+def fact_line(**named: Column) -> Column:
+    """`name: value; name: value` of the values that are not NULL, in the order given; `_` in a name is a space."""
+    return F.concat_ws("; ", *[F.concat(F.lit(name.replace("_", " ") + ": "), value.cast("string")) for name, value in named.items()])
+
+
+def band(lo: Column, hi: Column) -> Column:
+    """`lo to hi` of two texts; NULL if one is."""
+    return F.concat(lo, F.lit(" to "), hi)
+
+
 def array_median(values: Column) -> Column:
     """Median of a short numeric array."""
     ordered = F.sort_array(values)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadwatch.functions.scalars import array_median, array_stddev, half_even, locale_number, thousands
+from loadwatch.functions.scalars import array_median, array_stddev, band, fact_line, half_even, locale_number, thousands
 from loadwatch.model import (FAIL, HISTORY_POINTS, MIN_POINTS, OK, SPARSE_ROWS, TRAILING_POINTS, VOLUME_Z,
                              WEEKDAY_POINTS)
 
@@ -220,6 +220,9 @@ def volume_series(stats: DataFrame, specs: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ results
+NO_BAND = "no band yet"
+
+
 def metrics_of(bands: DataFrame) -> DataFrame:
     """Long metrics of the bands: value, band, expected rows and, on clean days, the base point."""
     name = F.when(F.col("volume"), F.lit("rows")).otherwise(F.concat(F.lit("rule:"), "check_id"))
@@ -236,16 +239,11 @@ def metrics_of(bands: DataFrame) -> DataFrame:
 
 def outlier_results(bands: DataFrame, facts: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Check results of the outlier rules; `totals` (table, load_date, row_count) adds the rows of each load."""
-    value, lo, hi = locale_number(F.col("value")), locale_number(F.col("lo")), locale_number(F.col("hi"))
-    label = F.concat(F.initcap("aggregate"), F.lit(" of "), "column")
-    side = F.when(F.col("score") > 0, "above").otherwise("below")
-    said = F.when(F.col("center").isNull(), F.concat(F.initcap("aggregate"), F.lit(" today: "), value,
-                                                     F.lit(" (not enough history yet)"))) \
-        .when(F.col("passed"), F.concat(label, F.lit(" = "), value, F.lit(" (normal: "), lo, F.lit(" – "), hi, F.lit(")"))) \
-        .otherwise(F.concat(label, F.lit(" = "), value, F.lit(", "), F.format_string("%.1f", half_even(F.abs("score"), 1)),
-                            F.lit("σ "), side, F.lit(" normal (center "), locale_number(F.col("center")), F.lit(")")))
-    limit = F.when(F.col("center").isNull(), F.lit("needs 4 comparable days or more")) \
-        .otherwise(F.concat(F.lit("between "), lo, F.lit(" and "), hi))
+    lo, hi = locale_number(F.col("lo")), locale_number(F.col("hi"))
+    shift = F.format_string("%+.1f", half_even(F.col("score"), 1))
+    said = fact_line(value=locale_number(F.col("value")), band=F.when(F.col("center").isNotNull(), band(lo, hi)), usual=F.when(F.col("center").isNotNull(), locale_number(F.col("center"))),
+                 spreads_away=F.when(~F.col("passed"), shift), of=F.concat("aggregate", F.lit(" "), "column"))
+    limit = F.when(F.col("center").isNull(), NO_BAND).otherwise(band(lo, hi))
     judged = bands.where(~F.col("volume")).drop("z").join(facts, KEY)
     total = F.lit(None).cast("bigint")
     if totals is not None:
@@ -258,33 +256,20 @@ def outlier_results(bands: DataFrame, facts: DataFrame, totals: DataFrame | None
         F.lit(0).cast("bigint").alias("failing_rows"), total.alias("total_rows"), "sql")
 
 
-_DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
-
-
 def volume_results(bands: DataFrame) -> DataFrame:
-    """Check results of the volume monitor."""
-    rows, center, lo, hi = F.col("value"), F.col("center"), F.col("lo"), F.col("hi")
-    weekday = F.get(F.array(*[F.lit(d) for d in _DAYS]), F.weekday("load_date"))
-    scope = F.when(F.col("weekday_used"), F.concat(F.lit("on a "), weekday)).otherwise(F.lit("these days"))
-    usual = F.concat(F.lit(" (~"), thousands(center), F.lit(")"))
-    drop = F.format_string("%.0f", half_even(100 * (1 - rows / F.greatest(center, F.lit(1.0))), 0))
-    times = F.when(center >= 1, F.concat(F.format_string("%.1f", half_even(rows / center, 1)), F.lit(" times the normal"))) \
-        .otherwise(F.lit("far above normal"))
-    said = F.when(center.isNull(), F.concat(thousands(rows), F.lit(" rows (not enough history yet)"))) \
-        .when((rows == 0) & (lo > 0), F.concat(F.lit("The load arrived empty: 0 rows. Normal "), scope, F.lit(" is ~"),
-                                               thousands(center), F.lit("."))) \
-        .when(rows < lo, F.concat(thousands(rows), F.lit(" rows arrived, "), drop, F.lit("% less than normal "), scope,
-                                  usual, F.lit(". Possibly an incomplete load."))) \
-        .when(rows > hi, F.concat(thousands(rows), F.lit(" rows arrived, "), times, F.lit(" "), scope, usual,
-                                  F.lit(". Possibly duplicated."))) \
-        .otherwise(F.concat(thousands(rows), F.lit(" rows (normal "), scope, F.lit(": "), thousands(lo), F.lit(" – "),
-                            thousands(hi), F.lit(").")))
-    limit = F.when(center.isNull(), F.lit("needs 4 comparable days or more")) \
-        .otherwise(F.concat(F.lit("between "), thousands(lo), F.lit(" and "), thousands(hi)))
+    """Check results of the volume monitor; the `rule_type` of a failure says the direction, `volume_low` or `volume_high`."""
+    rows, center, lo, hi = F.col("value"), F.col("center"), thousands(F.col("lo")), thousands(F.col("hi"))
+    days = F.when(F.col("weekday_used"), F.date_format("load_date", "EEEE")).otherwise(F.lit("any day"))
+    change = F.format_string("%+.0f%%", half_even(100 * (rows - center) / center, 0))
+    known = center.isNotNull()
+    said = fact_line(rows=thousands(rows), band=F.when(known, band(lo, hi)), usual=F.when(known, thousands(center)),
+                 change=F.when(~F.col("passed") & (center >= 1), change), compared_with=F.when(known, days))
+    limit = F.when(known, band(lo, hi)).otherwise(NO_BAND)
+    kind = F.when(F.col("passed"), F.lit("volume")).when(rows < center, F.lit("volume_low")).otherwise(F.lit("volume_high"))
     return bands.where(F.col("volume")).select(
         "load_date", "table", F.lit("volume").alias("check_id"), F.lit(1).alias("check_order"),
         F.lit("Row volume").alias("name"), F.lit("monitor").alias("kind"), F.lit("high").alias("severity"),
-        F.lit("volume").alias("rule_type"), F.when(F.col("passed"), OK).otherwise(FAIL).alias("status"),
+        kind.alias("rule_type"), F.when(F.col("passed"), OK).otherwise(FAIL).alias("status"),
         rows.alias("value"), limit.alias("threshold"), said.alias("message"),
         F.lit(0).cast("bigint").alias("failing_rows"), rows.cast("bigint").alias("total_rows"),
         F.lit(None).cast("string").alias("sql"))

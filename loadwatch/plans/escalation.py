@@ -37,17 +37,12 @@ CAUSES = {
 }
 
 
-def cause_key(rule_type: Column, message: Column) -> Column:
-    low = message.contains(" less than normal ") | message.contains("arrived empty")
-    return F.when(rule_type == "volume", F.when(low, "volume_low").otherwise("volume_high")).otherwise(rule_type)
-
-
 def with_causes(checks: DataFrame) -> DataFrame:
-    """Checks (rule_type, message) with their cause and action; an unknown kind takes those of a custom rule."""
+    """Checks (rule_type) with their cause and action; an unknown kind takes those of a custom rule."""
     rows = [(k, *v) for k, v in CAUSES.items()]
     catalogue = small_frame(checks.sparkSession, rows, "cause_key string, cause string, action string")
     cause, action = CAUSES["sql"]
-    return checks.withColumn("cause_key", cause_key(F.col("rule_type"), F.col("message"))) \
+    return checks.withColumn("cause_key", F.col("rule_type")) \
         .join(catalogue, "cause_key", "left") \
         .withColumns({"cause": F.coalesce("cause", F.lit(cause)), "action": F.coalesce("action", F.lit(action))})
 

@@ -72,12 +72,11 @@ def outlier_trailing(spark, sf):
 
 @query(f"""WITH RECURSIVE {band_sql(_EVENT_SERIES)}
     SELECT d AS load_date, key AS check_id, CASE WHEN ok THEN 'ok' ELSE 'fail' END AS status, round_even(v, 4) AS value,
-           CASE WHEN center IS NULL THEN 'needs 4 comparable days or more' ELSE 'between ' || {_loc('lo')} || ' and ' || {_loc('hi')} END AS threshold,
-           CASE WHEN center IS NULL THEN said || ' today: ' || {_loc('v')} || ' (not enough history yet)'
-                WHEN ok THEN said || ' of value = ' || {_loc('v')} || ' (normal: ' || {_loc('lo')} || ' – ' || {_loc('hi')} || ')'
-                ELSE said || ' of value = ' || {_loc('v')} || ', ' || format('{{:.1f}}', round_even(abs(score), 1)) || 'σ '
-                     || CASE WHEN score > 0 THEN 'above' ELSE 'below' END || ' normal (center ' || {_loc('center')} || ')' END AS message
-    FROM (SELECT *, CASE key WHEN 'T1' THEN 'Sum' WHEN 'T2' THEN 'Avg' WHEN 'T3' THEN 'Min' ELSE 'Count' END AS said FROM bands)""")
+           CASE WHEN center IS NULL THEN 'no band yet' ELSE {_loc('lo')} || ' to ' || {_loc('hi')} END AS threshold,
+           concat_ws('; ', 'value: ' || {_loc('v')}, CASE WHEN center IS NOT NULL THEN 'band: ' || {_loc('lo')} || ' to ' || {_loc('hi')} END,
+             CASE WHEN center IS NOT NULL THEN 'usual: ' || {_loc('center')} END, CASE WHEN NOT ok THEN 'spreads away: ' || format('{{:+.1f}}', round_even(score, 1)) END,
+             'of: ' || said || ' value') AS message
+    FROM (SELECT *, CASE key WHEN 'T1' THEN 'sum' WHEN 'T2' THEN 'avg' WHEN 'T3' THEN 'min' ELSE 'count' END AS said FROM bands)""")
 def outlier_checks(spark, sf):
     df, spec = loads_of(table(spark, sf, "events"), "events", "ts")
     rules = _event_rules(spec)
@@ -119,7 +118,7 @@ def volume_same_weekday(spark, sf):
 
 @query(f"""WITH RECURSIVE {band_sql(_daily(_LEDGER, 'day', [('rows', 'count(*)', 3.5, True, True)]))}
     SELECT d AS load_date, CASE WHEN ok THEN 'ok' ELSE 'fail' END AS status, v AS value, CAST(v AS BIGINT) AS total_rows,
-      CASE WHEN center IS NULL THEN 'needs 4 comparable days or more' ELSE 'between ' || replace(format('{{:,.0f}}', lo), ',', '.') || ' and '
+      CASE WHEN center IS NULL THEN 'no band yet' ELSE replace(format('{{:,.0f}}', lo), ',', '.') || ' to '
            || replace(format('{{:,.0f}}', hi), ',', '.') END AS threshold FROM bands""")
 def volume_checks(spark, sf):
     checks = volume_results(_volume_bands(*loads_of(_ledger(spark, sf), "ledger", "day")))

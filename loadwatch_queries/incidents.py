@@ -143,13 +143,11 @@ def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_CASE = "CASE WHEN {c}.rule_type = 'volume' AND (contains({c}.message, ' less than normal ') OR contains({c}.message, 'arrived empty')) THEN {low} " \
-        "WHEN {c}.rule_type = 'volume' THEN {high} " + " ".join(f"WHEN {{c}}.rule_type = '{k}' THEN {{{k}}}" for k in CAUSES if not k.startswith("volume")) + " END"
+_CASE = "CASE " + " ".join(f"WHEN {{c}}.rule_type = '{k}' THEN {{{k}}}" for k in CAUSES) + " END"
 
 
 def _lookup(c: str, which: int) -> str:
-    return _CASE.format(c=c, low=_quote(CAUSES["volume_low"][which]), high=_quote(CAUSES["volume_high"][which]),
-                        **{k: _quote(v[which]) for k, v in CAUSES.items() if not k.startswith("volume")})
+    return _CASE.format(c=c, **{k: _quote(v[which]) for k, v in CAUSES.items()})
 
 
 @query(with_state(f"""SELECT incident_id, tbl AS "table", tbl || '@example.com' AS recipient,

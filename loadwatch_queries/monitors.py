@@ -54,13 +54,9 @@ def _arrivals_sql(now: int) -> str:
 
 @query(f"""SELECT load_date, tbl AS "table", CASE WHEN arrived IS NULL THEN 'fail' WHEN arrived - expected_at > 60 THEN 'warn' ELSE 'ok' END AS status,
     CAST(CASE WHEN arrived IS NULL THEN now_minute - expected_at ELSE greatest(arrived - expected_at, 0) END AS DOUBLE) AS value,
-    'before ' || format('{{:02d}}:{{:02d}}', (expected_at + 60) // 60, (expected_at + 60) % 60) AS threshold,
-    CASE WHEN arrived IS NULL THEN 'The table has not arrived. It was expected at ' || format('{{:02d}}:{{:02d}}', expected_at // 60, expected_at % 60)
-              || ' (' || (now_minute - expected_at) || ' min late).'
-         WHEN arrived - expected_at > 60 THEN 'Arrived at ' || format('{{:02d}}:{{:02d}}', arrived // 60, arrived % 60) || ', ' || (arrived - expected_at)
-              || ' min after the agreed time (' || format('{{:02d}}:{{:02d}}', expected_at // 60, expected_at % 60) || ').'
-         ELSE 'Arrived at ' || format('{{:02d}}:{{:02d}}', arrived // 60, arrived % 60) || ' (expected '
-              || format('{{:02d}}:{{:02d}}', expected_at // 60, expected_at % 60) || ').' END AS message
+    'by ' || format('{{:02d}}:{{:02d}}', (expected_at + 60) // 60, (expected_at + 60) % 60) AS threshold,
+    concat_ws('; ', 'arrived: ' || format('{{:02d}}:{{:02d}}', arrived // 60, arrived % 60), 'due: ' || format('{{:02d}}:{{:02d}}', expected_at // 60, expected_at % 60),
+      CASE WHEN coalesce(arrived, now_minute) > expected_at THEN 'minutes after due: ' || (coalesce(arrived, now_minute) - expected_at) END) AS message
     FROM {_arrivals_sql(840)}""")
 def availability_checks(spark, sf):
     checks = availability(_order_arrivals(spark, sf, 840), _priority_specs(spark))
@@ -95,9 +91,8 @@ def tables_without_load(spark, sf):
                  list_filter(got, lambda x: x = '5-LOW') AS extra FROM r)
     SELECT load_date, CASE WHEN len(missing) > 0 THEN 'fail' WHEN len(extra) > 0 THEN 'warn' ELSE 'ok' END AS status,
       CAST(len(missing) + len(extra) AS DOUBLE) AS value,
-      CASE WHEN len(missing) > 0 THEN 'Missing columns: ' || array_to_string(missing, ', ') || '.'
-           WHEN len(extra) > 0 THEN 'New unexpected columns: ' || array_to_string(extra, ', ') || '.'
-           ELSE 'All 4 expected columns are present.' END AS message FROM c""")
+      concat_ws('; ', 'agreed: 4', CASE WHEN len(missing) > 0 THEN 'absent: ' || array_to_string(missing, ', ') END,
+        CASE WHEN len(extra) > 0 THEN 'not agreed: ' || array_to_string(extra, ', ') END) AS message FROM c""")
 def structure_checks(spark, sf):
     """A daily pivot of orders: one column per priority seen that day, four of them agreed."""
     spec = TableSpec("pivot", tuple(Field(p, "integer") for p in PRIORITIES[:4]))
@@ -107,7 +102,8 @@ def structure_checks(spark, sf):
 
 
 @query(f"""SELECT CAST(max(o_orderdate) AS DATE) + 1 AS load_date, s.tbl AS "table", 'fail' AS status,
-    'Orders has not published today. Last publication: ' || strftime(max(o_orderdate), '%Y-%m-%d %H:%M') || '.' AS message
+    'source: Orders; newest publication: ' || strftime(max(o_orderdate), '%Y-%m-%d %H:%M') || '; due: '
+      || format('{{:02d}}:{{:02d}}', any_value(s.expected_at) // 60, any_value(s.expected_at) % 60) AS message
     FROM orders CROSS JOIN {_PRIORITY} WHERE 500 >= s.expected_at + 60 GROUP BY s.tbl""")
 def overdue_tables(spark, sf):
     """The day after the last order, at 08:20: the tables whose hour and grace have passed fail."""

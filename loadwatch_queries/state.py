@@ -120,33 +120,27 @@ STATE = f"""
     checks(load_date, tbl, check_id, check_order, name, kind, severity, rule_type, status, value, message, failing_rows, total_rows) AS (
       SELECT d, tbl, 'availability', 0, 'Availability of the daily table', 'monitor', 'critical', 'availability',
         CASE WHEN arrived IS NULL THEN 'fail' WHEN arrived > 60 THEN 'warn' ELSE 'ok' END, CAST(coalesce(arrived, now_minute) AS DOUBLE),
-        CASE WHEN arrived IS NULL THEN 'The table has not arrived. It was expected at 00:00 (' || now_minute || ' min late).'
-             WHEN arrived > 60 THEN 'Arrived at ' || {_hhmm('arrived')} || ', ' || arrived || ' min after the agreed time (00:00).'
-             ELSE 'Arrived at ' || {_hhmm('arrived')} || ' (expected 00:00).' END, 0, NULL FROM a
-      UNION ALL SELECT d, tbl, 'volume', 1, 'Row volume', 'monitor', 'high', 'volume', CASE WHEN ok THEN 'ok' ELSE 'fail' END, v,
-        CASE WHEN center IS NULL THEN {_th('v')} || ' rows (not enough history yet)'
-             WHEN v = 0 AND lo > 0 THEN 'The load arrived empty: 0 rows. Normal these days is ~' || {_th('center')} || '.'
-             WHEN v < lo THEN {_th('v')} || ' rows arrived, ' || format('{{:.0f}}', round_even(100 * (1 - v / greatest(center, 1)), 0))
-                              || '% less than normal these days (~' || {_th('center')} || '). Possibly an incomplete load.'
-             WHEN v > hi THEN {_th('v')} || ' rows arrived, ' || CASE WHEN center >= 1 THEN format('{{:.1f}}', round_even(v / center, 1)) || ' times the normal'
-                              ELSE 'far above normal' END || ' these days (~' || {_th('center')} || '). Possibly duplicated.'
-             ELSE {_th('v')} || ' rows (normal these days: ' || {_th('lo')} || ' – ' || {_th('hi')} || ').' END, 0, CAST(v AS BIGINT) FROM vb
+        concat_ws('; ', 'arrived: ' || {_hhmm('arrived')}, 'due: 00:00', CASE WHEN coalesce(arrived, now_minute) > 0 THEN 'minutes after due: ' || coalesce(arrived, now_minute) END),
+        0, NULL FROM a
+      UNION ALL SELECT d, tbl, 'volume', 1, 'Row volume', 'monitor', 'high', CASE WHEN ok THEN 'volume' WHEN v < center THEN 'volume_low' ELSE 'volume_high' END,
+        CASE WHEN ok THEN 'ok' ELSE 'fail' END, v,
+        concat_ws('; ', 'rows: ' || {_th('v')}, 'band: ' || {_th('lo')} || ' to ' || {_th('hi')}, 'usual: ' || {_th('center')},
+          CASE WHEN NOT ok AND center >= 1 THEN 'change: ' || format('{{:+.0f}}%', round_even(100 * (v - center) / center, 0)) END,
+          CASE WHEN center IS NOT NULL THEN 'compared with: any day' END), 0, CAST(v AS BIGINT) FROM vb
       UNION ALL SELECT d, tbl, 'structure', 2, 'Column structure', 'monitor', 'high', 'structure',
         CASE WHEN mk < 96 THEN 'fail' WHEN mv > 300 THEN 'warn' ELSE 'ok' END, CAST((mk < 96)::INT + (mv > 300)::INT AS DOUBLE),
-        CASE WHEN mk < 96 THEN 'Missing columns: k.' WHEN mv > 300 THEN 'New unexpected columns: overflow.'
-             ELSE 'All 5 expected columns are present.' END, 0, NULL FROM a WHERE arrived IS NOT NULL
-      UNION ALL {_row_rule('R001', 3, 'value ≤ 250', 'high', 'range', 'b1', 2)}
-      UNION ALL SELECT d, tbl, 'R002', 4, 'user_id + k cannot repeat', 'rule', 'critical', 'unique', CASE WHEN b2 > 0 THEN 'fail' ELSE 'ok' END,
+        concat_ws('; ', 'agreed: 5', CASE WHEN mk < 96 THEN 'absent: k' END, CASE WHEN mv > 300 THEN 'not agreed: overflow' END), 0, NULL FROM a WHERE arrived IS NOT NULL
+      UNION ALL {_row_rule('R001', 3, 'range: value up to 250 in all but 2% of rows', 'high', 'range', 'b1', 2)}
+      UNION ALL SELECT d, tbl, 'R002', 4, 'unique: user_id, k', 'rule', 'critical', 'unique', CASE WHEN b2 > 0 THEN 'fail' ELSE 'ok' END,
         CAST(b2 AS DOUBLE), CASE WHEN b2 > 0 THEN {_th('b2')} || ' repeated rows in ' || {_th('gr')} || ' values of user_id + k' ELSE 'No duplicates' END,
         b2, n FROM a WHERE arrived IS NOT NULL
-      UNION ALL {_row_rule('R003', 5, 'k <= user_id', 'medium', 'compare', 'b3', 45)}
-      UNION ALL {_row_rule('R004', 6, 'Rows that satisfy: value < 0.1', 'low', 'sql', 'b4', 0)}
-      UNION ALL SELECT ob.d, ob.tbl, 'R005', 7, 'Sum of k without outliers (±2σ vs. last 14 days)', 'rule', 'medium', 'outlier',
+      UNION ALL {_row_rule('R003', 5, 'compare: k <= user_id in all but 45% of rows', 'medium', 'compare', 'b3', 45)}
+      UNION ALL {_row_rule('R004', 6, 'sql: value < 0.1', 'low', 'sql', 'b4', 0)}
+      UNION ALL SELECT ob.d, ob.tbl, 'R005', 7, 'outlier: sum k within 2 spreads of the last 14 days', 'rule', 'medium', 'outlier',
         CASE WHEN ok THEN 'ok' ELSE 'fail' END, round_even(v, 4),
-        CASE WHEN center IS NULL THEN 'Sum today: ' || {_loc('v')} || ' (not enough history yet)'
-             WHEN ok THEN 'Sum of k = ' || {_loc('v')} || ' (normal: ' || {_loc('lo')} || ' – ' || {_loc('hi')} || ')'
-             ELSE 'Sum of k = ' || {_loc('v')} || ', ' || format('{{:.1f}}', round_even(abs(score), 1)) || 'σ '
-                  || CASE WHEN score > 0 THEN 'above' ELSE 'below' END || ' normal (center ' || {_loc('center')} || ')' END, 0, g.n
+        concat_ws('; ', 'value: ' || {_loc('v')}, CASE WHEN center IS NOT NULL THEN 'band: ' || {_loc('lo')} || ' to ' || {_loc('hi')} END,
+          CASE WHEN center IS NOT NULL THEN 'usual: ' || {_loc('center')} END, CASE WHEN NOT ok THEN 'spreads away: ' || format('{{:+.1f}}', round_even(score, 1)) END,
+          'of: sum k'), 0, g.n
         FROM ob JOIN g USING (tbl, d)),
     weighed AS (SELECT *, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS w FROM checks),
     scores AS (SELECT load_date, tbl, CASE WHEN arrived IS NULL THEN 0 ELSE

@@ -24,7 +24,7 @@ RULES = [("unique", "critical", {"columns": ["id"]}), ("same_day", "critical", {
          ("outlier", "high", {"column": "amount", "aggregate": "avg", "z": 4, "same_weekday": False}),
          ("sql", "critical", {"condition": "rate < 2500 OR rate > 7000"})]
 FAULTS = {  # fault -> check that must see it
-    "never_arrives": "availability", "late_arrival": "availability", "empty": "volume", "partial": "volume", "twice": "unique",
+    "never_arrives": "availability", "late_arrival": "availability", "empty": "volume_low", "partial": "volume_low", "twice": "unique",
     "yesterday": "same_day", "balance_above": "compare", "negative_ratio": "range", "unit_error": "outlier", "no_document": "not_null",
     "new_channel": "allowed_values", "dropped_column": "structure", "wrong_rate": "sql",
 }

@@ -23,7 +23,7 @@ def specs(spark):
     (430, 435, "ok", 10), (415, 430, "ok", 0), (480, 480, "ok", 60), (481, 481, "warn", 61), (540, 540, "warn", 120), (None, 495, "fail", 75)])
 def test_lateness(spark, specs, arrived, now, status, value):
     r = availability(spark.createDataFrame([(DAY, "payments", arrived, now)], ARRIVALS), specs).first()
-    assert (r.status, r.value, r.threshold) == (status, value, "before 08:00")
+    assert (r.status, r.value, r.threshold) == (status, value, "by 08:00")
 
 
 def test_backfills_are_not_late_and_daily_publications_are(spark, specs):

@@ -142,7 +142,7 @@ def test_reading_the_state(monitor):
     lines = [r.line for r in monitor.metrics_text().orderBy("position", "label").collect()]
     assert lines[1] == "loadwatch_open_incidents 1" and any(x.startswith('loadwatch_table_rows{table="payments"} ') for x in lines)
     (mail,) = monitor.reports().collect()
-    assert mail.recipient == "data@x.example" and "Missing columns: amount" in mail.body
+    assert mail.recipient == "data@x.example" and "absent: amount" in mail.body
 
 
 def test_rules_can_be_tried_changed_and_removed(monitor):
