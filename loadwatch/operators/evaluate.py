@@ -1,20 +1,25 @@
 """Evaluation of the rules of a table over all its load dates.
 
-Every row rule and every daily aggregate of a table share one scan and one aggregation by load date.
-A uniqueness rule needs a shuffle on its own key and is one more aggregation.
+Every row rule and every daily aggregate of a table share one scan and one aggregation by load date; for a load of one day they can
+instead be observed by the job that stores its rows (`Observed`), and no scan is left for them. All uniqueness rules of a table share one more
+scan and one shuffle, of digests of their keys. A custom condition may look into other tables by name (`visible`).
 """
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from datetime import date
 from functools import reduce
 from typing import Any
 
 from pyspark import InheritableThread
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadwatch.functions.scalars import evidence_number, half_even, thousands
 from loadwatch.model import ERROR, FAIL, NUMERIC, OK, TEXT, Catalog, Rule, TableSpec, small_frame
@@ -22,6 +27,7 @@ from loadwatch.operators.rules import (ROW_RULES, analysis_error, bad_rows, dail
                                        rule_sql)
 from loadwatch.session import stage
 
+TIE_CHARACTERS = 64
 MONITOR_CHECKS = 3  # availability, volume and structure come before the rules
 STAT_COLUMNS = ("table", "load_date", "check_id", "kind", "value", "failing_rows", "repeated_groups", "total_rows")
 
@@ -34,13 +40,26 @@ def daily_stats(df: DataFrame, spec: TableSpec, rules: list[Rule], days: DataFra
     delivered load dates when some of them may have brought no row at all.
     """
     fused = _fused_stats(df, spec, [r for r in rules if r.type in ROW_RULES or r.type == "outlier"])
-    parts = [fused] + [_unique_stats(df, spec, r) for r in rules if r.type == "unique"]
-    stats = reduce(DataFrame.unionAll, parts).selectExpr(f"{quoted(spec.name)} AS `table`", *STAT_COLUMNS[1:])
+    unique = [r for r in rules if r.type == "unique"]
+    parts = [fused] + ([_unique_stats(df, spec, unique)] if unique else [])
+    stats = _of_table(reduce(DataFrame.unionAll, parts), spec)
     if days is None:
         return stats
     return fill_days(stats, days.select("load_date", F.lit(spec.name).alias("table")), {spec.name: rules})
 
 
+def _of_table(stats: DataFrame, spec: TableSpec) -> DataFrame:
+    return stats.selectExpr(f"{quoted(spec.name)} AS `table`", *STAT_COLUMNS[1:])
+
+
+def further_stats(df: DataFrame, spec: TableSpec, rules: list[Rule]) -> list[DataFrame]:
+    """Statistics of uniqueness rules and custom conditions alone, where the others are known from the write; nothing is read without such rules."""
+    unique, custom = [r for r in rules if r.type == "unique"], [r for r in rules if r.type == "sql"]
+    parts = [_unique_stats(df, spec, unique)] if unique else []
+    parts += [_fused_stats(df, spec, custom).where("kind = 'row'")] if custom else []
+    return [_of_table(p, spec) for p in parts]
+
+
 def fill_days(stats: DataFrame, delivered: DataFrame, rules: dict[str, list[Rule]]) -> DataFrame:
     """Statistics completed with zeros for delivered (load_date, table) pairs that brought no row."""
     kinds = [(t, i, k) for t, own in rules.items()
@@ -60,20 +79,50 @@ def _stat(check_id: str, kind: str, value: str, failing: str) -> str:
             f"CAST({failing} AS BIGINT) AS failing_rows, 0L AS repeated_groups, row_count AS total_rows)")
 
 
-def _fused_stats(df: DataFrame, spec: TableSpec, rules: list[Rule]) -> DataFrame:
+def _measures(spec: TableSpec, rules: list[Rule]) -> tuple[dict[str, Column], list[Column], list[str]]:
+    """Flags per row, aggregates of one load, and the long statistics made of those."""
     row_rules = [r for r in rules if r.type in ROW_RULES]
     outliers = [r for r in rules if r.type == "outlier"]
     flags = {f"__bad_{i}": bad_rows(r, spec) for i, r in enumerate(row_rules)}
     aggregates = [F.expr("count(1) AS row_count"), *[F.expr(f"count_if({name}) AS n{name}") for name in flags]]
     aggregates += [daily_value(r).alias(f"value_{i}") for i, r in enumerate(outliers)]
-    # One row per load date after map-side combining, whatever the size of a load.
-    wide = (df.withColumns(flags) if flags else df).groupBy("load_date").agg(*aggregates)
     stats = [_stat("rows", "rows", "row_count", "0")]
     stats += [_stat(r.id, "row", "NULL", f"n__bad_{i}") for i, r in enumerate(row_rules)]
     stats += [_stat(r.id, "outlier", f"value_{i}", "0") for i, r in enumerate(outliers)]
+    return flags, aggregates, stats
+
+
+def _fused_stats(df: DataFrame, spec: TableSpec, rules: list[Rule]) -> DataFrame:
+    flags, aggregates, stats = _measures(spec, rules)
+    # One row per load date after map-side combining, whatever the size of a load.
+    wide = (df.withColumns(flags) if flags else df).groupBy("load_date").agg(*aggregates)
     return wide.selectExpr("load_date", f"inline(array({', '.join(stats)}))")
 
 
+class Observed:
+    """Row rules and daily aggregates of one load, measured by the job that writes its rows.
+
+    Custom conditions stay out: one that fails on its data would take the write with it. A task that is run again counts once, with its
+    successful attempt, because nothing is shuffled between the measure and the write.
+    """
+
+    def __init__(self, df: DataFrame, spec: TableSpec, rules: list[Rule]) -> None:
+        self.spec = spec
+        self.rules = [r for r in rules if r.type != "unique" and r.type != "sql"]
+        self._observation = Observation()
+        flags, aggregates, self._stats = _measures(spec, self.rules)
+        self.rows = (df.withColumns(flags) if flags else df).observe(self._observation, *aggregates)
+        kinds = df.withColumns(flags).agg(*aggregates).schema if flags else df.agg(*aggregates).schema
+        self._schema = "load_date date, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds)
+
+    def stats(self, spark: SparkSession, day: date) -> DataFrame:
+        """The statistics, once `rows` has been written."""
+        seen = self._observation.get
+        names = [c.split(" ")[0] for c in self._schema.split(", ")][1:]
+        wide = small_frame(spark, [(day, *[seen[n] for n in names])], self._schema)
+        return _of_table(wide.selectExpr("load_date", f"inline(array({', '.join(self._stats)}))"), self.spec)
+
+
 def _long_key(spec: TableSpec, columns: list[str]) -> bool:
     """Free text may be long; identifiers are not."""
     return any(spec.column(c).type == TEXT and not is_identifier(c) for c in columns)
@@ -93,33 +142,73 @@ def key_groups(df: DataFrame, columns: list[str], long_key: bool) -> DataFrame:
     return df.groupBy("load_date", *keys).agg(F.expr("count(1) AS __times"))
 
 
-def duplicate_groups(df: DataFrame, columns: list[str], long_key: bool = False, top: int | None = None) -> DataFrame:
-    """Groups that repeat within a load, with how many `times`; with `top`, those of the `top` highest counts and their ties."""
-    return _repeated(df, columns, long_key, top).withColumnRenamed("__times", "times")
+def duplicate_groups(df: DataFrame, columns: list[str], long_key: bool = False) -> DataFrame:
+    """Groups that repeat within a load, with how many `times`."""
+    groups = key_groups(df, columns, long_key).where("__times > 1")
+    return (_with_texts(df, columns, groups) if long_key else groups).withColumnRenamed("__times", "times")
 
 
-def _repeated(df: DataFrame, columns: list[str], long_key: bool, top: int | None) -> DataFrame:
-    """The same with `__times`. The texts of a long key are read back for the groups that are left only."""
-    groups = key_groups(df, columns, long_key).where("__times > 1")
-    if top is not None:
-        most = Window.partitionBy("load_date").orderBy(F.desc("__times"))
-        groups = groups.withColumn("__rank", F.rank().over(most)).where(F.col("__rank") <= top).drop("__rank")
-    if not long_key:
-        return groups
+def _with_texts(df: DataFrame, columns: list[str], groups: DataFrame) -> DataFrame:
+    """Groups of digests with the columns of their keys, read back for these groups only."""
     names = [F.col(f"`{c}`") for c in columns]
     shown = df.select("load_date", _key_digest(columns).alias("__key"), *names).join(groups.select("load_date", "__key"), ["load_date", "__key"], "left_semi")
     one = shown.groupBy("load_date", "__key").agg(*[F.min(f"`{c}`").alias(c) for c in columns])  # all rows of a digest are alike
-    return one.join(groups, ["load_date", "__key"]).select("load_date", *names, "__times")
+    return one.join(groups, ["load_date", "__key"]).drop("__key")
+
+
+def _unique_stats(df: DataFrame, spec: TableSpec, rules: list[Rule]) -> DataFrame:
+    """All uniqueness rules in one scan and one shuffle: each row gives one (rule, key digest) per rule, copies combined before the shuffle.
+    A single rule on short keys needs no digests."""
+    if len(rules) == 1:
+        columns = rules[0].params["columns"]
+        groups = key_groups(df, columns, _long_key(spec, columns)).withColumn("__rule", F.lit(0))
+    else:
+        tagged = F.inline(F.array(*[F.struct(F.lit(i).alias("__rule"), _key_digest(r.params["columns"]).alias("__key")) for i, r in enumerate(rules)]))
+        groups = df.select("load_date", tagged).groupBy("load_date", "__rule", "__key").agg(F.expr("count(1) AS __times"))
+    stats = groups.groupBy("load_date", "__rule").agg(
+        F.expr("sum(__times - 1) AS failing_rows"), F.expr("count_if(__times > 1) AS repeated_groups"), F.expr("sum(__times) AS total_rows"))
+    ids = ", ".join(quoted(r.id) for r in rules)
+    return stats.selectExpr("load_date", f"get(array({ids}), __rule) AS check_id", "'unique' AS kind", "CAST(NULL AS DOUBLE) AS value",
+                            "failing_rows", "repeated_groups", "total_rows")
+
+
+# ------------------------------------------------- conditions over other tables
+_SUBQUERY = re.compile(r"\bselect\b", re.IGNORECASE)
+
+
+def looks_elsewhere(rule: Rule) -> bool:
+    """Whether a custom condition holds a query of its own."""
+    return rule.type == "sql" and bool(_SUBQUERY.search(rule.params["condition"]))
+
+
+@contextmanager
+def visible(spark: SparkSession, tables: dict[str, DataFrame], day: date | None = None) -> Iterator[None]:
+    """Within this, conditions can name the loads of `tables` (of one `day`): as `payments` or `t_payments`. Names are bound when a
+    condition is analysed. Temporary views of the same names are put back at the end."""
+    before: dict[str, DataFrame | None] = {}
+    for name, df in tables.items():
+        load = df if day is None else df.where(F.col("load_date") == F.lit(day))
+        for view in (f"`{name}`", f"`t_{name}`"):
+            known = spark.catalog.tableExists(view) and spark.catalog.getTable(view).isTemporary
+            before.setdefault(view, spark.table(view) if known else None)
+            load.createOrReplaceTempView(view)
+    try:
+        yield
+    finally:
+        for view, df in before.items():
+            if df is None:
+                spark.catalog.dropTempView(view.strip("`"))
+            else:
+                df.createOrReplaceTempView(view)
 
 
-def _unique_stats(df: DataFrame, spec: TableSpec, rule: Rule) -> DataFrame:
-    columns = rule.params["columns"]
-    stats = key_groups(df, columns, _long_key(spec, columns)).groupBy("load_date").agg(
-        F.expr("sum(__times - 1) AS failing_rows"), F.expr("count_if(__times > 1) AS repeated_groups"),
-        F.expr("sum(__times) AS total_rows"))
-    return stats.selectExpr(
-        "load_date", f"{quoted(rule.id)} AS check_id", "'unique' AS kind", "CAST(NULL AS DOUBLE) AS value",
-        "failing_rows", "repeated_groups", "total_rows")
+def stats_by_day(df: DataFrame, spec: TableSpec, rules: list[Rule], tables: dict[str, DataFrame], days: list[date]) -> DataFrame:
+    """Statistics of conditions that look into other tables: the load of each day against the others' loads of that day."""
+    parts = []
+    for day in days:  # calendar days of a publication
+        with visible(df.sparkSession, tables, day):
+            parts.append(_of_table(_fused_stats(df.where(F.col("load_date") == F.lit(day)), spec, rules).where("kind = 'row'"), spec))
+    return reduce(DataFrame.unionAll, parts)
 
 
 # ------------------------------------------------------------------ results
@@ -278,9 +367,25 @@ def duplicate_examples(df: DataFrame, spec: TableSpec, rule: Rule, n: int = 5) -
                                                        F.col("__times").alias("times"))
 
 
+def _head(df: DataFrame, column: str) -> Column:
+    """A column's values, of texts and nested values the beginning, to order ties by."""
+    short = isinstance(df.schema[column].dataType, (T.NumericType, T.DatetimeType, T.BooleanType))
+    return F.col(f"`{column}`") if short else F.substring(F.col(f"`{column}`").cast("string"), 1, TIE_CHARACTERS)
+
+
 def _most_repeated(df: DataFrame, spec: TableSpec, columns: list[str], n: int) -> DataFrame:
-    ranked = Window.partitionBy("load_date").orderBy(F.desc("__times"), *[F.asc_nulls_first(f"`{c}`") for c in columns])
-    return _repeated(df, columns, _long_key(spec, columns), n).withColumn("__position", F.row_number().over(ranked)).where(F.col("__position") <= n)
+    """Ranks name every group apart, so that Spark cuts to `n` a task and load date before it shuffles, however many groups are tied.
+    Of long keys, the columns' first `TIE_CHARACTERS` and then the digest order the ties."""
+    repeated = F.desc("__times")
+    if _long_key(spec, columns):
+        heads = {f"__head_{i}": _head(df, c) for i, c in enumerate(columns)}
+        groups = df.groupBy("load_date", _key_digest(columns).alias("__key")).agg(F.expr("count(1) AS __times"), *[F.min(h).alias(k) for k, h in heads.items()])
+        order = [repeated, *[F.asc_nulls_first(k) for k in heads], F.asc("__key")]
+    else:
+        groups, order = key_groups(df, columns, False), [repeated, *[F.asc_nulls_first(f"`{c}`") for c in columns]]
+    ranked = Window.partitionBy("load_date").orderBy(*order)
+    top = groups.where("__times > 1").withColumn("__position", F.row_number().over(ranked)).where(F.col("__position") <= n)
+    return _with_texts(df, columns, top.select("load_date", "__key", "__times", "__position")) if _long_key(spec, columns) else top
 
 
 def failing_evidence(df: DataFrame, spec: TableSpec, rules: list[Rule], n: int = 5) -> DataFrame | None:
@@ -339,18 +444,27 @@ def run_budgeted(df: DataFrame, seconds: float, max_rows: int = 1000) -> Budgete
     return rows
 
 
-def budgeted_sql_stats(df: DataFrame, spec: TableSpec, rules: list[Rule], seconds: float) -> tuple[list[DataFrame], dict[str, str]]:
-    """Statistics of each custom SQL rule, run alone within `seconds`; and why the others gave none."""
+def budgeted_sql_stats(spark: SparkSession, stats_of: Callable[[list[Rule]], DataFrame], rules: list[Rule], seconds: float) -> tuple[list[DataFrame], dict[str, str]]:
+    """Statistics of custom SQL rules that all share one scan of `seconds`; and why some gave none. Only if the scan takes longer, or an
+    expression fails, the rules are halved, until those to blame are alone, each with `seconds` of its own."""
     done, reasons = [], {}
-    for rule in rules:
-        stats = daily_stats(df, spec, [rule]).where(F.col("kind") == "row")
+
+    def attempt(some: list[Rule]) -> None:
+        stats = stats_of(some)
         try:
-            done.append(within_budget(df.sparkSession, lambda: stage(stats, "sql-rule"), seconds))
+            done.append(within_budget(spark, lambda: stage(stats, "sql-rules"), seconds))
         except Exception as exc:
             said = str(exc) if isinstance(exc, TimeoutError) else data_error(exc)
             if said is None:
                 raise
-            reasons[rule.id] = said
+            if len(some) == 1:
+                reasons[some[0].id] = said
+                return
+            attempt(some[:len(some) // 2])
+            attempt(some[len(some) // 2:])
+
+    if rules:
+        attempt(rules)
     return done, reasons
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from loadwatch.model import Catalog, Rule, small_frame, specs_frame
 from loadwatch.operators import incidents as inc
 from loadwatch.operators.baseline import base_points, clean_history, expected_rows
-from loadwatch.operators.evaluate import failing_evidence, preview_rule
+from loadwatch.operators.evaluate import Observed, failing_evidence, looks_elsewhere, preview_rule, split_by_analysis, visible
 from loadwatch.operators.monitors import overdue_source
 from loadwatch.operators.profile import profile, suggest_rules
 from loadwatch.operators.rules import validate_rule
@@ -35,7 +35,8 @@ EXAMPLES = 5  # bad rows or repeated groups kept with a failing check
 class Monitor:
     """A connector and the store of its results. Holds no data: every call reads the store.
 
-    `sql_seconds` is the time each custom SQL rule may take (None: no limit, and they share the scan of the other rules);
+    `sql_seconds` is the time the custom SQL rules of a table may take together, and each alone if they take longer (None: no limit, and
+    they share the scan of the other rules); a condition may query the other tables of the connector by name, and sees their loads of the same day;
     `row_days` and `history_days` say how long rows, and metrics with check results, are kept.
     """
 
@@ -142,12 +143,17 @@ class Monitor:
                                 F.lit(seq).cast("bigint").alias("seq"), F.lit(head["run_id"]).cast("string").alias("run_id"))
         # Rows retention would drop at once are validated from the source and never stored.
         first_kept = days[-1] - timedelta(days=self.row_days)
-        loads = {}
+        loads, watched = {}, {}
         for spec in self.catalog.tables:
             aligned = align_to_spec(tables[spec.name], spec)
             due = days if spec.load_type == "incremental" else days[-1:]
             kept = [d for d in due if d >= first_kept]
-            self.store.write_load(aligned.where(F.col("load_date") >= F.lit(first_kept)), spec, kept)
+            fresh = aligned.where(F.col("load_date") >= F.lit(first_kept))
+            if len(due) == len(kept) == 1:  # the job that stores the rows of a single day measures them too
+                usable, _ = split_by_analysis(aligned, spec, [r for r in self.catalog.rules_for(spec.name) if r.type not in ("unique", "sql")])
+                watched[spec.name] = (Observed(fresh, spec, usable), kept[0])
+                fresh = watched[spec.name][0].rows
+            self.store.write_load(fresh, spec, kept)
             stored = self.store.rows(spec).where(F.col("load_date").isin(kept))
             older = aligned.where(F.col("load_date") < F.lit(first_kept))
             loads[spec.name] = stored if len(kept) == len(due) else stored.unionByName(older)
@@ -155,7 +161,8 @@ class Monitor:
         metrics, own = self.store.read("metrics"), ["load_date", "table", "metric", "value"]
         since = clean_history(metrics, F.lit(days[0])).select(own).unionByName(metrics.where(F.col("load_date") >= F.lit(days[0])).select(own))
         history = stage(base_points(since), "history")
-        v = validate(self.catalog, loads, arrivals, shape, history, self.sql_seconds, one_day=len(days) == 1)
+        observed = {name: seen.stats(spark, day) for name, (seen, day) in watched.items()}
+        v = validate(self.catalog, loads, arrivals, shape, history, self.sql_seconds, one_day=len(days) == 1, observed=observed)
         counts = v.stats.where(F.col("kind") == "rows").select("load_date", "table", F.col("total_rows").alias("row_count"))
         delivered = arrivals.join(counts, ["load_date", "table"], "left").join(shape, ["load_date", "table"]) \
             .withColumn("row_count", F.coalesce("row_count", F.lit(0).cast("bigint")))
@@ -164,7 +171,7 @@ class Monitor:
         self.store.write("metrics", v.metrics)
         self.store.write("observations", v.observations)
         self.store.clear("examples", arrivals)
-        examples = self._evidence(v.checks, loads)
+        examples = self._evidence(v.checks, loads, first_kept)
         if examples is not None:
             self.store.write("examples", examples)
         datasets = F.lit(None).cast("map<string,bigint>") if head["datasets"] is None else F.create_map(
@@ -178,8 +185,9 @@ class Monitor:
         if firsts := [d for d in days if d.day == 1]:
             self._settle(max(firsts) - timedelta(days=self.history_days))
 
-    def _evidence(self, checks: DataFrame, loads: dict[str, DataFrame]) -> DataFrame | None:
-        """The first bad rows and the most repeated groups of every check that fails, from the load it fails on."""
+    def _evidence(self, checks: DataFrame, loads: dict[str, DataFrame], first_kept: date) -> DataFrame | None:
+        """The first bad rows and the most repeated groups of every check that fails, from the load it fails on; of conditions over other
+        tables, which need a plan for each day, from the loads whose rows are kept."""
         failing = stage(checks.where(F.col("status") == "fail").select("load_date", "table", "check_id"), "failing")
         named = {(r["table"], r["check_id"]) for r in failing.select("table", "check_id").distinct().collect()}  # rules
         out = []
@@ -187,8 +195,13 @@ class Monitor:
             broken = [r for r in self.catalog.rules_for(spec.name) if (spec.name, r.id) in named]
             own = failing.where(F.col("table") == spec.name)
             df = loads[spec.name].join(own.select("load_date").distinct(), "load_date", "left_semi")
-            shown = failing_evidence(df, spec, broken, EXAMPLES)
+            shown = failing_evidence(df, spec, [r for r in broken if not looks_elsewhere(r)], EXAMPLES)
             out += [] if shown is None else [shown]
+            if across := [r for r in broken if looks_elsewhere(r)]:
+                wrong = own.where(F.col("check_id").isin([r.id for r in across]) & (F.col("load_date") >= F.lit(first_kept))).select("load_date").distinct().collect()  # calendar days
+                for day in sorted(r["load_date"] for r in wrong):
+                    with visible(self.spark, loads, day):
+                        out.append(failing_evidence(df.where(F.col("load_date") == F.lit(day)), spec, across, EXAMPLES))
         return reduce(DataFrame.unionByName, out).join(failing, ["load_date", "table", "check_id"], "left_semi") if out else None
 
     def _suggest(self, tables: dict[str, DataFrame], days: list[date]) -> None:
@@ -254,7 +267,12 @@ class Monitor:
         """Try a rule on the latest stored load of its table."""
         rule = validate_rule(Rule.from_dict(raw, id="preview"), self.catalog)
         spec = self.catalog.spec(rule.table)
-        return preview_rule(self.store.rows(spec), spec, rule, seconds)
+        rows = self.store.rows(spec)
+        if not looks_elsewhere(rule):
+            return preview_rule(rows, spec, rule, seconds)
+        newest = rows.agg(F.max("load_date")).first()[0]
+        with visible(self.spark, {s.name: self.store.rows(s) for s in self.catalog.tables}, newest):
+            return preview_rule(rows, spec, rule, seconds)
 
     # ------------------------------------------------------------ incidents
     @property

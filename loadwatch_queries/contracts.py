@@ -15,6 +15,7 @@ from loadwatch.plans.monitor import Monitor
 from loadwatch.plans.validate import collect_stats
 from loadwatch.session import shared_dir, stage
 from loadwatch.sources.connector import align_to_spec, infer_spec, load_connector
+from loadwatch.sources.publications import parse_manifest
 from loadwatch.sources.rulebook import keep_rules, kept_rules, rules_for_tables
 from loadwatch.sources.store import Store
 from loadwatch.streaming.ingest import run_to_table, use_rocksdb
@@ -143,8 +144,12 @@ def cancelled_rule(spark, sf):
     df, spec = loads_of(table(spark, sf, "orders"), "orders")
     rules = rules_of(spec, ("B1", "sql", "low", {"condition": "o_custkey % 2 = 0"}),
                      ("B2", "sql", "low", {"condition": "o_custkey < (SELECT count_if(hash(id) % 7 = 1) FROM range(1000000000000000))"}))
-    done, reasons = budgeted_sql_stats(df, spec, rules[:1], 600)
-    late, why = budgeted_sql_stats(df, spec, rules[1:], 2)
+
+    def stats_of(some):
+        return daily_stats(df, spec, some).where("kind = 'row'")
+
+    done, reasons = budgeted_sql_stats(spark, stats_of, rules[:1], 600)
+    late, why = budgeted_sql_stats(spark, stats_of, rules[1:], 2)
     days = df.groupBy("load_date").agg(F.count(F.lit(1)).alias("total_rows"))
     stats = reduce(DataFrame.unionByName, done + late)
     facts = rule_facts(spark, Catalog((spec,), tuple(rules)))
@@ -254,3 +259,72 @@ def kept_evidence(spark, sf):
     df = df.select("event_id", F.col("user_id"), "event_type", "load_date")
     rules = rules_of(few, ("E1", "unique", "high", {"columns": ["user_id", "event_type"]}), ("E2", "sql", "low", {"condition": "user_id % 10 = 3"}))
     return failing_evidence(df, few, rules).select("load_date", "check_id", "position", "shown")
+
+
+_UNIQUE = {"K1": ["l_orderkey", "l_linenumber"], "K2": ["l_partkey"], "K3": ["l_suppkey", "l_shipdate"], "K4": ["l_returnflag", "l_quantity"], "K5": ["l_orderkey"]}
+
+
+@query(" UNION ALL ".join(f"""SELECT DATE '2024-01-30' AS load_date, '{i}' AS check_id, CASE WHEN sum(c - 1) > 0 THEN 'fail' ELSE 'ok' END AS status,
+    CAST(sum(c - 1) AS DOUBLE) AS value, CAST(sum(c - 1) AS BIGINT) AS failing_rows, CAST(sum(c) AS BIGINT) AS total_rows
+    FROM (SELECT count(*) AS c FROM lineitem GROUP BY {', '.join(k)})""" for i, k in _UNIQUE.items()))
+def several_unique_rules(spark, sf):
+    """Five uniqueness rules of one table, in one scan and one shuffle."""
+    df, spec = loads_of(table(spark, sf, "lineitem"), "lineitem")
+    rules = rules_of(spec, *[(i, "unique", "high", {"columns": k}) for i, k in _UNIQUE.items()])
+    return shown(evaluate_rules(df, spec, rules))
+
+
+def _manifest(spark, dates: list[str]) -> DataFrame:
+    """The rows of one publication, at 06:00 of its last date."""
+    rows = [("run", f"{dates[-1]}T06:00:00", dates, None)]
+    return parse_manifest(small_frame(spark, rows, "run_id string, published_at string, dates array<string>, datasets map<string,bigint>"))
+
+
+_ONE_DAY_RULES = (("orders", "O1", "not_null", {"column": "o_custkey"}), ("orders", "O2", "range", {"column": "o_totalprice", "max": 200000, "max_pct": 5}),
+                  ("orders", "O3", "allowed_values", {"column": "o_orderstatus", "values": ["F", "O"]}), ("orders", "O4", "unique", {"columns": ["o_custkey"]}),
+                  ("orders", "O5", "sql", {"condition": "o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"}),
+                  ("orders", "O6", "outlier", {"column": "o_custkey", "aggregate": "sum"}), ("orders", "O7", "sql", {"condition": "o_totalprice < 1000"}),
+                  ("customer", "C1", "sql", {"condition": "c_custkey NOT IN (SELECT o_custkey FROM t_orders)"}), ("customer", "C2", "unique", {"columns": ["c_custkey"]}))
+
+
+@query("""WITH bad AS (
+    SELECT 'orders' AS "table", 'O1' AS check_id, count(*) FILTER (WHERE o_custkey IS NULL) AS b, 0 AS tol, count(*) AS n FROM orders
+    UNION ALL SELECT 'orders', 'O2', count(*) FILTER (WHERE o_totalprice > 200000), 5, count(*) FROM orders
+    UNION ALL SELECT 'orders', 'O3', count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')), 0, count(*) FROM orders
+    UNION ALL SELECT 'orders', 'O4', count(*) - count(DISTINCT o_custkey), 0, count(*) FROM orders
+    UNION ALL SELECT 'orders', 'O5', count(*) FILTER (WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)), 0, count(*) FROM orders
+    UNION ALL SELECT 'orders', 'O6', 0, 0, count(*) FROM orders
+    UNION ALL SELECT 'orders', 'O7', count(*) FILTER (WHERE o_totalprice < 1000), 0, count(*) FROM orders
+    UNION ALL SELECT 'customer', 'C1', count(*) FILTER (WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)), 0, count(*) FROM customer
+    UNION ALL SELECT 'customer', 'C2', count(*) - count(DISTINCT c_custkey), 0, count(*) FROM customer)
+    SELECT DATE '2024-01-30' AS load_date, "table", check_id, CASE WHEN b > 0 AND 100.0::DOUBLE * b / n > tol THEN 'fail' ELSE 'ok' END AS status,
+      CASE WHEN check_id = 'O6' THEN (SELECT CAST(sum(o_custkey) AS DOUBLE) FROM orders) WHEN check_id IN ('O4', 'C2') THEN CAST(b AS DOUBLE)
+           ELSE round_even(100.0::DOUBLE * b / n, 3) END AS value, b AS failing_rows, n AS total_rows FROM bad""")
+def synced_one_day(spark, sf):
+    """Two whole tables delivered on one day: the job that stores the rows measures the row rules and aggregates; conditions name the other table."""
+    con = load_connector(spark, {"source": "shop", "path": sf, "expected_at": "07:00",
+                                 "tables": [{"name": t, "load_type": "snapshot"} for t in ("orders", "customer")],
+                                 "rules": [{"id": i, "table": t, "type": k, "severity": "high", "params": p} for t, i, k, p in _ONE_DAY_RULES]})
+    store = Store(spark, shared_dir(spark, "store"))
+    Monitor(spark, con, store).sync(_manifest(spark, ["2024-01-30"]))
+    return store.read("check_results").where("kind = 'rule'").select("load_date", "table", "check_id", "status", "value", "failing_rows", "total_rows")
+
+
+@query("""WITH e AS (SELECT CAST(ts AS DATE) AS d, * FROM events)
+    SELECT d AS load_date, 'X1' AS check_id, count(*) FILTER (WHERE user_id IN (SELECT user_id FROM e p WHERE p.d = c.d AND p.event_type = 'purchase')) AS failing_rows,
+      count(*) AS total_rows FROM e c WHERE event_type = 'click' GROUP BY 1
+    UNION ALL SELECT d, 'X2', count(*) FILTER (WHERE user_id NOT IN (SELECT user_id FROM e p WHERE p.d = c.d AND p.event_type = 'click')), count(*)
+    FROM e c WHERE event_type = 'purchase' GROUP BY 1""")
+def rules_across_tables(spark, sf):
+    """Conditions of two tables over each other: every load against the other's load of the same day, through a whole synchronisation."""
+    events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
+    folder = shared_dir(spark, "source")
+    for name, kind in (("clicks", "click"), ("purchases", "purchase")):
+        events.where(F.col("event_type") == kind).write.parquet(f"{folder}/{name}.parquet")
+    con = load_connector(spark, {"source": "web", "path": folder, "expected_at": "07:00", "tables": [{"name": n, "date_column": "ts"} for n in ("clicks", "purchases")],
+                                 "rules": [{"id": i, "table": t, "type": "sql", "severity": "low", "params": {"condition": c}} for t, i, c in (
+                                     ("clicks", "X1", "user_id IN (SELECT user_id FROM purchases)"), ("purchases", "X2", "user_id NOT IN (SELECT user_id FROM clicks)"))]})
+    days = sorted(str(r[0]) for r in events.select(F.to_date("ts")).distinct().collect())  # calendar days
+    store = Store(spark, shared_dir(spark, "store"))
+    Monitor(spark, con, store).sync(_manifest(spark, days))
+    return store.read("check_results").where("kind = 'rule'").select("load_date", "check_id", "failing_rows", "total_rows")
