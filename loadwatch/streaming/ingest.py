@@ -62,6 +62,38 @@ def daily_counts(rows: DataFrame, time_column: str, table: str, load_type: str =
         F.lit(load_type == "incremental").alias("same_weekday"), F.lit(True).alias("volume"))
 
 
+def revise_counts(rows: DataFrame, time_column: str, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Rows per day of a stream, however late they come: every micro-batch writes the new counts of the days it changed as
+    `revision=<batch>` of the table at `path`.
+
+    The count is kept per day (a few bytes of state each, rows combined in every task first) and no watermark drops a row; a batch that is repeated replaces its own revision.
+    """
+    day = rows.select(F.col(time_column).cast("date").alias("load_date")).where("load_date is not null")
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/revision={batch_id}")  # a row per changed day
+
+    return (day.groupBy("load_date").agg(F.count(F.lit(1)).alias("row_count")).writeStream.outputMode("update").foreachBatch(add)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+
+
+REVISIONS = "load_date date, row_count bigint, revision bigint"
+
+
+def revised_series(revisions: DataFrame, table: str, load_type: str = "incremental") -> DataFrame:
+    """The revisions (a stream of them, or a table) as volume series for `stateful_bands`: a later revision of a day replaces its point."""
+    return revisions.select(
+        F.lit(table).alias("table"), F.lit("rows").alias("check_id"), "load_date", F.col("row_count").cast("double").alias("value"),
+        F.lit(VOLUME_Z).alias("z"), F.lit(load_type == "incremental").alias("same_weekday"), F.lit(True).alias("volume"), "revision")
+
+
+def latest_revisions(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest row of each day (and other `keys`); `provisional`: no later day has been seen, so more rows are likely to come."""
+    fields = [c for c in df.columns if c not in keys]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*fields), "revision").alias("__last")).select(*keys, "__last.*")
+    return last.withColumn("provisional", F.col("load_date") == last.agg(F.max("load_date")).scalar())
+
+
 def run_to_table(stream: DataFrame, label: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run a stream over everything available, append to a Parquet table of the shared folder, and read it."""
     spark = stream.sparkSession

@@ -34,8 +34,11 @@ class BaselineState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._points = handle.getListState("points", _POINTS)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._points.put(sorted((int(d), float(v)) for d, v in zip(initialState["day"], initialState["value"], strict=True)))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("day", kind="stable")
+        new = pd.concat(list(rows)).sort_values(["day", "revision"], kind="stable")
         clean = [(int(d), float(v)) for d, v in self._points.get()]
         out = []
         for r in new.itertuples(index=False):
@@ -46,12 +49,12 @@ class BaselineState(StatefulProcessor):
             if passed:
                 insort(clean, (day, value))
             out.append((key[0], key[1], day, value, float(r.z), bool(r.volume), bool(used), center, spread, lo, hi,
-                        score, bool(passed)))
+                        score, bool(passed), int(r.revision)))
         if self._days_kept is not None and clean:
             limit = bisect_left(clean, (clean[-1][0] - self._days_kept,))
             clean = clean[max(0, limit - HISTORY_POINTS):]
         self._points.put(clean)
-        frame = pd.DataFrame(out, columns=[c.split(" ")[0] for c in _BANDS.split(", ")])
+        frame = pd.DataFrame(out, columns=[*(c.split(" ")[0] for c in _BANDS.split(", ")), "revision"])
         for name in ("center", "spread", "lo", "hi", "score"):
             frame[name] = frame[name].astype("float64")
         yield frame
@@ -60,14 +63,21 @@ class BaselineState(StatefulProcessor):
         pass
 
 
-def stateful_bands(series: DataFrame, days_kept: int | None = None) -> DataFrame:
+def stateful_bands(series: DataFrame, days_kept: int | None = None, known: DataFrame | None = None) -> DataFrame:
     """Bands of a stream of daily points, as `loadwatch.operators.baseline.replay` gives in batch. `days_kept`: how far back a
-    day may still be published again; by default any day (the store's own horizon is `DAYS_HISTORY`)."""
-    judged = series.select(*KEY, F.unix_date("load_date").alias("day"), "value", "z", "same_weekday", "volume") \
+    day may still be published again; by default any day (the store's own horizon is `DAYS_HISTORY`). `known`: clean points (table, check_id, load_date, value) that the store
+    holds of earlier days; the stream goes on from there. A column `revision` orders several values of one day in one batch."""
+    revision = F.col("revision") if "revision" in series.columns else F.lit(0)
+    day = F.unix_date("load_date").alias("day")
+    judged = series.select(*KEY, day, "value", "z", "same_weekday", "volume", revision.cast("bigint").alias("revision")) \
         .groupBy(*KEY).transformWithStateInPandas(
-            statefulProcessor=BaselineState(days_kept), outputStructType=_BANDS, outputMode="Append", timeMode="None")
+            statefulProcessor=BaselineState(days_kept), outputStructType=_BANDS + ", revision bigint", outputMode="Append", timeMode="None",
+            initialState=None if known is None else known.select(*KEY, day, "value").groupBy(*KEY))
+    if "revision" not in series.columns:
+        judged = judged.drop("revision")
+    more = ["revision"] if "revision" in series.columns else []
     return judged.select(*KEY, F.date_from_unix_date("day").alias("load_date"), "value", "z", "volume", "weekday_used",
-                         *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("center", "spread", "lo", "hi", "score")], "passed")
+                         *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("center", "spread", "lo", "hi", "score")], "passed", *more)
 
 
 class IncidentState(StatefulProcessor):

@@ -94,7 +94,7 @@ def _actions(s):
         F.lit("").alias("note"), F.lit("ana").alias("actor"))
 
 
-@query(with_state(f""", ev AS (SELECT tbl, ord, d, minute, 0 AS turn, CASE WHEN fail THEN 'fail' ELSE 'pass' END AS event, fails FROM marked
+WITH_ACTIONS = with_state(f""", ev AS (SELECT tbl, ord, d, minute, 0 AS turn, CASE WHEN fail THEN 'fail' ELSE 'pass' END AS event, fails FROM marked
       UNION ALL SELECT DISTINCT c.tbl, 0, load_date, {LAST_MINUTE + 1}, 1, 'escalate', NULL FROM checks c WHERE status = 'fail' AND severity = 'critical'
       UNION ALL SELECT tbl, ord, d, {LAST_MINUTE + 1}, 2, 'resolve', NULL FROM a WHERE isodow(d) = 1),
     p AS (SELECT *, last_value(CASE WHEN event <> 'escalate' THEN event END IGNORE NULLS) OVER (PARTITION BY tbl ORDER BY d, minute, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM ev),
@@ -105,7 +105,10 @@ def _actions(s):
       CASE WHEN bool_or(event IN ('pass', 'resolve')) THEN 'resolved' WHEN bool_or(event = 'escalate') THEN 'escalated' ELSE 'open' END AS status,
       max(CASE event WHEN 'resolve' THEN 'manual' ELSE 'automatic' END) FILTER (WHERE event IN ('pass', 'resolve') AND NOT closed) AS resolution,
       max(d) FILTER (WHERE event IN ('pass', 'resolve') AND NOT closed) AS resolved_date, count(*) FILTER (WHERE event = 'fail') AS loads_failed
-    FROM c2 GROUP BY tbl, isl"""))
+    FROM c2 GROUP BY tbl, isl""")
+
+
+@query(WITH_ACTIONS)
 def incidents_with_actions(spark, sf):
     """A manual resolution splits an incident; an escalation does not."""
     s = state(spark, sf)

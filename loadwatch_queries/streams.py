@@ -9,10 +9,16 @@ from loadwatch.operators.baseline import outlier_series
 from loadwatch.operators.evaluate import daily_stats, rule_facts
 from loadwatch.session import shared_dir, stage
 from loadwatch.sources.store import Store
-from loadwatch.streaming.ingest import daily_counts, run_to_table, stream_rows, use_rocksdb, watch_publications
+from loadwatch.operators import incidents as inc
+from loadwatch.operators.baseline import replay
+from loadwatch.streaming.incidents import events as incident_events
+from loadwatch.streaming.incidents import known_incidents, newest, stateful_log
+from loadwatch.streaming.ingest import (REVISIONS, daily_counts, latest_revisions, revise_counts, revised_series, run_to_table, stream_rows, use_rocksdb,
+                                        watch_publications)
 from loadwatch.streaming.state import stateful_bands, stateful_incidents
 from loadwatch_queries.baselines import _ORDER_SERIES, _daily
 from loadwatch_queries.common import ROUNDED_BANDS, band_sql, loads_of, rounded_bands, rules_of, table
+from loadwatch_queries.incidents import WITH_ACTIONS, _actions
 from loadwatch_queries.sources import _manifests
 from loadwatch_queries.state import state, with_state
 
@@ -100,3 +106,52 @@ def streamed_publications(spark, sf):
     for _ in range(2):
         watch_publications(spark, folder, note, checkpoint).awaitTermination()
     return spark.read.schema("run_id string, n_dates int").parquet(out).select("run_id", "n_dates")
+
+
+@query(f"WITH RECURSIVE {band_sql(_ORDER_SERIES)} {ROUNDED_BANDS} FROM bands")
+def continued_outliers(spark, sf):
+    """Order totals: the days up to the middle of their time in batch, the later ones as a stream that starts from the clean points stored by then."""
+    use_rocksdb(spark)
+    df, spec = loads_of(table(spark, sf, "orders"), "orders", "o_orderdate")
+    rules = rules_of(spec, *[(i, "outlier", "high", {"column": "o_totalprice", "aggregate": a, "z": z}) for i, a, z in (("W1", "sum", 2), ("W2", "avg", 2), ("W3", "max", 3))])
+    series = stage(outlier_series(daily_stats(df, spec, rules), rule_facts(spark, Catalog((spec,), tuple(rules)))), "series")
+    middle = series.agg(F.percentile(F.unix_date("load_date"), 0.5).cast("int")).first()[0]
+    early = stage(replay(series.where(F.unix_date("load_date") < middle)), "early")
+    known = early.where("passed").select("table", "check_id", "load_date", "value")
+    later = series.where(F.unix_date("load_date") >= middle)
+    bands = run_to_table(stateful_bands(_as_stream(spark, later, "series", F.year("load_date")), known=known), "bands")
+    return rounded_bands(early).unionByName(rounded_bands(bands))
+
+
+@query(WITH_ACTIONS)
+def continued_incidents(spark, sf):
+    """Observations and analyst actions: the first 20 days in batch, the others as two streams that start from the open incidents; all incidents."""
+    use_rocksdb(spark)
+    s = state(spark, sf)
+    dated = F.unix_date("load_date").cast("bigint")
+    obs, acts = s.validation.observations.withColumn("seq", dated), _actions(s).withColumn("seq", dated)
+    first, last = obs.agg(F.min("seq"), F.max("seq")).first()
+    before, after = [x.where(F.col("seq") < first + 20) for x in (obs, acts)], [x.where(F.col("seq") >= first + 20) for x in (obs, acts)]
+    tick = obs.where(F.col("seq") == last).withColumn("seq", F.lit(last + 30).cast("bigint"))  # a later publication: it lets the last days through
+    week = F.floor(F.col("seq") / 7)
+    streams = [_as_stream(spark, after[0].unionByName(tick), "observations", week), _as_stream(spark, after[1], "actions", week)]
+    log = run_to_table(stateful_log(incident_events(*streams), 14, known_incidents(*before)), "log")
+    ended = inc.incidents(*before).where("resolved_date is not null")
+    columns = ["table", "opened_date", "status", "resolution", "resolved_date", "loads_failed"]
+    return ended.select(columns).unionByName(newest(log).select(columns))
+
+
+@query(f"""WITH RECURSIVE {band_sql(_daily('events', 'CAST(ts AS DATE)', [('rows', 'count(*)', 3.5, False, True)]))}
+    {ROUNDED_BANDS}, d = (SELECT max(CAST(ts AS DATE)) FROM events) AS provisional FROM bands""")
+def streamed_corrections(spark, sf):
+    """Events of which every second one comes after all days have been counted: the counts are revised, and so are the verdicts; the newest day is provisional."""
+    use_rocksdb(spark)
+    events = table(spark, sf, "events").select("event_id", "ts")
+    path, checkpoint, source = shared_dir(spark, "revisions"), shared_dir(spark, "revisions-checkpoint"), shared_dir(spark, "events")
+    for late in (1, 0):
+        events.where(F.col("event_id") % 2 == late).write.mode("append").parquet(source)
+        revise_counts(spark.readStream.schema(events.schema).parquet(source), "ts", path, checkpoint).awaitTermination()
+    revisions = spark.readStream.schema(REVISIONS).option("maxFilesPerTrigger", 1).parquet(path)
+    bands = run_to_table(stateful_bands(revised_series(revisions, "events", "snapshot")), "bands")
+    last = latest_revisions(bands, ["table", "check_id", "load_date"])
+    return rounded_bands(last).join(last.select("load_date", "provisional"), "load_date")
