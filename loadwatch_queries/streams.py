@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loadwatch.model import Catalog
+from loadwatch.model import Catalog, Field, TableSpec
 from loadwatch.operators.baseline import outlier_series
 from loadwatch.operators.evaluate import daily_stats, rule_facts
 from loadwatch.session import shared_dir, stage
@@ -15,6 +15,7 @@ from loadwatch.streaming.incidents import events as incident_events
 from loadwatch.streaming.incidents import known_incidents, newest, stateful_log
 from loadwatch.streaming.ingest import (REVISIONS, daily_counts, latest_revisions, revise_counts, revised_series, run_to_table, stream_rows, use_rocksdb,
                                         watch_publications)
+from loadwatch.streaming.overdue import overdue_stream
 from loadwatch.streaming.state import stateful_bands, stateful_incidents
 from loadwatch_queries.baselines import _ORDER_SERIES, _daily
 from loadwatch_queries.common import ROUNDED_BANDS, band_sql, loads_of, rounded_bands, rules_of, table
@@ -155,3 +156,24 @@ def streamed_corrections(spark, sf):
     bands = run_to_table(stateful_bands(revised_series(revisions, "events", "snapshot")), "bands")
     last = latest_revisions(bands, ["table", "check_id", "load_date"])
     return rounded_bands(last).join(last.select("load_date", "provisional"), "load_date")
+
+
+@query("""WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events), told AS (
+      SELECT d, CASE WHEN date_diff('day', (SELECT min(d) FROM days), d) % 2 = 0 THEN 6 ELSE 10 END AS hour FROM days
+      WHERE date_diff('day', (SELECT min(d) FROM days), d) % 3 <> 1),
+    clock AS (SELECT CAST(unnest(generate_series((SELECT min(d) FROM told) + INTERVAL 1 DAY, (SELECT max(d) FROM days) + INTERVAL 2 DAY, INTERVAL 1 DAY)) AS DATE) AS d)
+    SELECT c.d AS load_date, t.tbl AS "table", 'fail' AS status, 'source: Events; newest publication: '
+      || strftime((SELECT max(d + to_hours(hour)) FROM told WHERE told.d < c.d), '%Y-%m-%d %H:%M') || '; due: ' || t.due AS message
+    FROM clock c, (VALUES ('early', 6, '06:00'), ('noon', 12, '12:00')) t(tbl, h, due)
+    WHERE NOT EXISTS (SELECT 1 FROM told WHERE told.d = c.d AND told.hour < t.h + 1)""")
+def streamed_overdue(spark, sf):
+    """Publications of events, one in three days left out and some late, beside a clock that runs two days on: each table fails once a day at its deadline."""
+    use_rocksdb(spark)
+    days = table(spark, sf, "events").select(F.to_date("ts").alias("d")).distinct()
+    first = days.agg(F.min("d")).scalar()
+    age, start = F.datediff("d", first), F.col("d").cast("timestamp")
+    told = days.where(age % 3 != 1).select((start + F.when(age % 2 == 0, F.expr("INTERVAL 6 HOURS")).otherwise(F.expr("INTERVAL 10 HOURS"))).alias("published"))
+    clock = days.select((start + F.expr("INTERVAL 71 HOURS")).alias("now"))
+    catalog = Catalog(tuple(TableSpec(n, (Field("id", "integer"),), expected_at=m) for n, m in (("early", 360), ("noon", 720))))
+    late = overdue_stream(_as_stream(spark, told.coalesce(1), "told"), _as_stream(spark, clock.coalesce(1), "clock"), catalog, title="Events")
+    return run_to_table(late, "late").select("load_date", "table", "status", "message")

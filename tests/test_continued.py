@@ -86,3 +86,27 @@ def test_late_rows_correct_their_day(spark):
     bands = latest_revisions(run_to_table(stateful_bands(revised_series(stream, "t", "snapshot")), "bands"), ["load_date"])
     got = {r.load_date: (r.value, r.passed) for r in bands.collect()}
     assert got[date(2026, 1, 3)] == (102.0, True) and got[date(2026, 1, 9)][0] == 108.0 and len(got) == 20
+
+
+def test_a_source_is_overdue_once_a_day_and_table(spark):
+    from loadwatch.model import Catalog, Field, TableSpec, specs_frame
+    from loadwatch.operators.monitors import overdue_source
+    from loadwatch.streaming.overdue import overdue_stream
+    use_rocksdb(spark)
+    catalog = Catalog(tuple(TableSpec(n, (Field("id", "integer"),), expected_at=m) for n, m in (("early", 360), ("noon", 720))))
+    published = [datetime(2026, 1, d, h) for d, h in ((1, 6), (2, 10), (3, 5), (6, 17), (7, 6))]
+    clock = [datetime(2026, 1, d, h, 30) for d in range(1, 10) for h in (8, 15, 23)]
+    path = [shared_dir(spark, "told"), shared_dir(spark, "clock")]
+    out, checkpoint = shared_dir(spark, "late"), shared_dir(spark, "late-checkpoint")
+    for day in range(1, 10):  # one run a day, restarted from its checkpoint: the publications of the day, then its clock
+        for p, rows in ((path[0], [t for t in published if t.day == day]), (path[1], [t for t in clock if t.day == day])):
+            spark.createDataFrame([(t,) for t in rows], "t timestamp").coalesce(1).write.mode("append").parquet(p)
+        told, now = (spark.readStream.schema("t timestamp").parquet(p).withColumnRenamed("t", n) for p, n in zip(path, ("published", "now")))
+        run_to_table(overdue_stream(told, now, catalog), "late", out, checkpoint)
+    late = spark.read.parquet(out).select("load_date", "table", "message").collect()
+    want = set()
+    for now in sorted(clock):
+        log = spark.createDataFrame([(t,) for t in published if t < now], "published timestamp")
+        want |= {(r.load_date, r.table, r.message) for r in overdue_source(log, specs_frame(spark, catalog), now).collect()}
+    got = [(r.load_date, r.table, r.message) for r in late]
+    assert len(set(got)) == len(got) == 11 and set(got) == want
