@@ -22,7 +22,7 @@ from loadwatch.plans import report
 from loadwatch.plans.escalation import escalation_reports
 from loadwatch.plans.validate import validate
 from loadwatch.session import stage, temporary
-from loadwatch.sources.connector import Connector, align_to_spec, available_dates, path_exists, scan
+from loadwatch.sources.connector import Connector, align_to_spec, available_dates, path_exists
 from loadwatch.sources.publications import fingerprint, parse_manifest, plan_dates, publication_log, read_manifest
 from loadwatch.sources.rulebook import keep_rules, kept_rules, next_id
 from loadwatch.sources.store import DAYS_HISTORY, DAYS_ROWS, Store
@@ -98,8 +98,10 @@ class Monitor:
         log = self.store.read("publications")
         last = log.orderBy(F.desc("seq")).select("seq").first()
         dates = published.where(F.col("published_at") == head["published_at"]).select(F.explode("dates").alias("load_date"))
-        available = available_dates([(scan(self.spark, self.connector.files[s.name]), s) for s in self.catalog.tables
-                                     if s.load_type == "incremental" and s.date_column]) if last is None else None
+        available = None
+        if last is None:
+            dated = [(self.connector.current(self.spark, s.name)[0], s) for s in self.catalog.tables if s.load_type == "incremental" and s.date_column]
+            available = available_dates([(df, s) for df, s in dated if df is not None])
         planned = plan_dates(dates, available, log, first_connection=last is None)
         days = sorted(r["load_date"] for r in planned.collect())  # calendar days
         if days:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadwatch.model import DATE, DECIMAL, INTEGER, TEXT, Catalog, Field, Rule, TableSpec
+from loadwatch.sources.dialect import Dialect, read_dialect, sniff
 
 # Keys of a connector file, Spanish name to English name.
 CONFIG_KEYS = {
@@ -45,10 +46,12 @@ def scan_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
     return reader.parquet(path)
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header row. The types are inferred on the first read only; pass the schema afterwards."""
-    reader = spark.read.option("header", True)
-    return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, dialect: Dialect | None = None) -> DataFrame:
+    """CSV with a header row. Its dialect is found and its types are inferred on the first read only; pass both afterwards (a schema
+    alone means commas)."""
+    if dialect is None:
+        dialect = sniff(spark, path) if schema is None else Dialect()
+    return read_dialect(spark, path, dialect, schema)
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -155,6 +158,7 @@ class Connector:
     description: str = ""
     project_url: str = ""
     schemas: dict[str, T.StructType] = field(default_factory=dict)
+    dialects: dict[str, Dialect] = field(default_factory=dict)  # of the CSV tables, as found when the connector was loaded
 
     def spec(self, table: str) -> TableSpec:
         return self.catalog.spec(table)
@@ -165,19 +169,19 @@ class Connector:
         if not path_exists(spark, path):
             return None, self.spec(table).column_names
         try:
-            received = scan(spark, path).schema if not path.lower().endswith(".csv") else _csv_header(spark, path)
+            received = scan(spark, path).schema if not path.lower().endswith(".csv") else _csv_header(spark, path, self.dialects[table])
         except AnalysisException:
             return None, self.spec(table).column_names
         if path.lower().endswith(".csv"):
             frozen = self.schemas[table]
             known = {f.name: f for f in frozen.fields}
             schema = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in received])
-            return scan_csv(spark, path, schema), received
+            return scan_csv(spark, path, schema, self.dialects[table]), received
         return scan_parquet(spark, path, received), received.fieldNames()
 
 
-def _csv_header(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.option("header", True).csv(path).columns
+def _csv_header(spark: SparkSession, path: str, dialect: Dialect) -> list[str]:
+    return spark.read.option("header", True).option("sep", dialect.delimiter).option("quote", dialect.quote).csv(path).columns
 
 
 def _translate(config: Any) -> Any:
@@ -204,13 +208,17 @@ def load_connector(spark: SparkSession, config: str | dict[str, Any], path: str
     base = next((c for c in candidates if path_exists(spark, c)), candidates[0]).rstrip("/")
     hour, minute = (int(x) for x in str(cfg.get("expected_at", "07:00")).split(":"))
     name = cfg.get("source", "source")
-    specs, files, schemas = [], {}, {}
+    specs, files, schemas, dialects = [], {}, {}, {}
     for raw in cfg["tables"]:
         t = _translate(raw)
         file = f"{base}/{t.get('file', t['name'] + '.' + cfg.get('format', 'parquet'))}"
         if not path_exists(spark, file):
             raise FileNotFoundError(f"cannot find {file}: check the path of the connector")
-        schemas[t["name"]] = scan(spark, file).schema
+        if file.lower().endswith(".csv"):
+            dialects[t["name"]] = sniff(spark, file)
+            schemas[t["name"]] = scan_csv(spark, file, None, dialects[t["name"]]).schema
+        else:
+            schemas[t["name"]] = scan_parquet(spark, file).schema
         files[t["name"]] = file
         specs.append(TableSpec(
             name=t["name"], columns=infer_fields(schemas[t["name"]]), title=t.get("title", t["name"]),
@@ -224,7 +232,7 @@ def load_connector(spark: SparkSession, config: str | dict[str, Any], path: str
     return Connector(name=name, title=cfg.get("title", name), path=base, manifest=cfg.get("manifest", ""),
                      expected_at=hour * 60 + minute, catalog=Catalog(tuple(specs), rules), files=files,
                      auto_rules=frozenset(auto), run_url=cfg.get("run_url", ""),
-                     description=cfg.get("description", ""), project_url=cfg.get("project_url", ""), schemas=schemas)
+                     description=cfg.get("description", ""), project_url=cfg.get("project_url", ""), schemas=schemas, dialects=dialects)
 
 
 # ------------------------------------------------------------------ loads

@@ -38,6 +38,18 @@ def csv_scan(spark, sf):
     return scan_csv(spark, path, customer.schema)
 
 
+@query("""SELECT o_orderkey, o_orderstatus, CAST(round(o_totalprice, 2) AS DOUBLE) AS o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders""")
+def csv_dialect(spark, sf):
+    """Orders written with semicolons, points between thousands, decimal commas and the day first, and read back as numbers and dates."""
+    orders = table(spark, sf, "orders")
+    path = shared_dir(spark, "orders") + ".csv"
+    price = F.translate(F.format_number(F.round("o_totalprice", 2), 2), ",.", ".,")
+    orders.select("o_orderkey", "o_orderstatus", price.alias("o_totalprice"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("o_orderdate")) \
+        .write.option("header", True).option("sep", ";").csv(path)
+    read = scan_csv(spark, path)
+    return read.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "o_orderstatus", "o_totalprice", "o_orderdate")
+
+
 _TYPED = ("orders", "lineitem", "events", "documents", "embeddings", "customer")
 
 

@@ -440,3 +440,27 @@ def test_staged_tables_go_when_a_sync_ends(spark, tmp_path):
     assert set(os.listdir(shared)) == before
     (mail,) = m.reports().collect()
     assert "id_payment=P-1-0 (x2)" in mail.body  # the repeated keys travel with the message
+
+
+def test_dialects_are_told_by_their_first_lines():
+    from loadwatch.sources.dialect import Dialect, dialect_of
+    assert dialect_of(["a,b", "1,x", "2,y"]) == Dialect()
+    assert dialect_of([]) == Dialect() and dialect_of(["only", "1"]) == Dialect()
+    assert dialect_of(["a;b;c", "1.234,5;x, y;31/01/2026", "7;z;01/02/2026"]) == Dialect(";", '"', frozenset({"a"}), {"c": "d/M/yyyy"})
+    assert dialect_of(["a\tb", "1\t01-31-2026"]) == Dialect("\t", '"', frozenset(), {"b": "M-d-yyyy"})
+    assert dialect_of(["a|b", "'x|y'|2", "'z|z'|3"]) == Dialect("|", "'")
+    assert dialect_of(["d;v", "01/02/2026;1"]).dates == {"d": "d/M/yyyy"} and dialect_of(["d,v", "01/02/2026,1"]).dates == {"d": "M/d/yyyy"}
+    assert dialect_of(["d,v", "2026-01-02,1.5"]).converted == set()
+
+
+def test_a_dialect_is_kept_for_later_loads(spark, tmp_path):
+    (tmp_path / "sales.csv").write_text("id;amount;day\n1;1.500,25;31/01/2026\n2;-7,5;01/02/2026\n3;;\n")
+    cfg = {"source": "s", "path": str(tmp_path), "format": "csv", "tables": [{"name": "sales", "load_type": "snapshot"}]}
+    con = load_connector(spark, cfg)
+    assert [(c.name, c.type) for c in con.spec("sales").columns] == [("id", "integer"), ("amount", "decimal"), ("day", "date")]
+    df, columns = con.current(spark, "sales")
+    assert columns == ["id", "amount", "day"]
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, 1500.25, date(2026, 1, 31)), (2, -7.5, date(2026, 2, 1)), (3, None, None)]
+    (tmp_path / "sales.csv").write_text("id;amount;extra\n4;3,5;x\n5;wrong;y\n")
+    df, columns = con.current(spark, "sales")
+    assert columns == ["id", "amount", "extra"] and [tuple(r) for r in df.orderBy("id").collect()] == [(4, 3.5, "x"), (5, None, "y")]
