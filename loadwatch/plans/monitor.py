@@ -18,6 +18,7 @@ from loadwatch.operators.evaluate import Observed, failing_evidence, looks_elsew
 from loadwatch.operators.monitors import overdue_source
 from loadwatch.operators.profile import profile, suggest_rules
 from loadwatch.operators.rules import validate_rule
+from loadwatch.operators.sketches import load_sketches, merged_profile
 from loadwatch.plans import report
 from loadwatch.plans.escalation import escalation_reports
 from loadwatch.plans.validate import validate
@@ -37,7 +38,8 @@ class Monitor:
 
     `sql_seconds` is the time the custom SQL rules of a table may take together, and each alone if they take longer (None: no limit, and
     they share the scan of the other rules); a condition may query the other tables of the connector by name, and sees their loads of the same day;
-    `row_days` and `history_days` say how long rows, and metrics with check results, are kept.
+    `row_days` and `history_days` say how long rows, and metrics with check results, are kept. With `sketches`, every load leaves a
+    profile that adds up (one more aggregation over its rows), which `profile_between` reads long after the rows have gone.
     """
 
     spark: SparkSession
@@ -47,6 +49,7 @@ class Monitor:
     sql_seconds: float | None = 300.0
     row_days: int = DAYS_ROWS
     history_days: int = DAYS_HISTORY
+    sketches: bool = False
 
     def __post_init__(self) -> None:
         if not self.rules:
@@ -176,6 +179,10 @@ class Monitor:
         examples = self._evidence(v.checks, loads, first_kept)
         if examples is not None:
             self.store.write("examples", examples)
+        self.store.clear("profiles", arrivals)
+        if self.sketches:
+            profiles = [load_sketches(loads[spec.name], spec) for spec in self.catalog.tables]
+            self.store.write("profiles", reduce(DataFrame.unionByName, profiles))
         datasets = F.lit(None).cast("map<string,bigint>") if head["datasets"] is None else F.create_map(
             *[F.lit(x) for pair in head["datasets"].items() for x in pair]).cast("map<string,bigint>")
         self.store.write("publications", calendar.select(
@@ -396,6 +403,10 @@ class Monitor:
                 detail[f"outlier:{r.id}"] = report.metric_bands(metrics, table, f"rule:{r.id}")
         return detail
 
+    def profile_between(self, table: str, first: date | None = None, last: date | None = None, *by: str) -> DataFrame:
+        """Profile of a table's loads from `first` to `last` together, or one per value of `by`, from their sketches: no row is read."""
+        return merged_profile(self.store.read("profiles", first, last).where(F.col("table") == table), *by)
+
     def metrics_text(self) -> DataFrame:
         """Gauges of the newest day, one `line` each."""
         return report.metrics_export(self.kpis(), self.latest_summary())

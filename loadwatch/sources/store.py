@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from loadwatch.model import CHECK_SCHEMA, LOAD_SCHEMA, METRIC_SCHEMA, TableSpec
 from loadwatch.operators.incidents import ACTION_SCHEMA, CLOSED_SCHEMA, OBSERVATION_SCHEMA
+from loadwatch.operators.sketches import PROFILE_SCHEMA
 from loadwatch.session import stage
 from loadwatch.sources.connector import path_exists
 
@@ -32,8 +33,9 @@ SCHEMAS = {
     "observations": OBSERVATION_SCHEMA,
     "publications": PUBLICATION_SCHEMA,
     "actions": ACTION_SCHEMA,
+    "profiles": PROFILE_SCHEMA,
 }
-BY_MONTH = ("loads", "metrics", "check_results", "examples")  # the others are appended, one partition per publication
+BY_MONTH = ("loads", "metrics", "check_results", "examples", "profiles")  # the others are appended, one partition per publication
 DAYS_ROWS, DAYS_HISTORY = 7, 120  # what retention keeps unless told otherwise
 
 
@@ -198,7 +200,7 @@ class Store:
         if not firsts:
             return
         limit = max(firsts) - timedelta(days=days_history)
-        for name in ("metrics", "check_results", "examples"):
+        for name in ("metrics", "check_results", "examples", "profiles"):
             folders = self._partitions(name)
             edge = f"load_month={limit:%Y-%m}"
             if edge in folders:

@@ -8,6 +8,9 @@ from loadwatch.model import OPERATORS
 from loadwatch.operators.evaluate import (daily_stats, duplicate_examples, duplicate_groups, evaluate_rules,
                                           failing_examples, preview_rule)
 from loadwatch.operators.profile import profile, segment_indicators, suggest_rules
+from loadwatch.operators.sketches import load_sketches, merged_profile
+from loadwatch.session import shared_dir
+from loadwatch.sources.store import Store
 from loadwatch.functions.scalars import evidence_number, grade, hhmm, locale_number, minute_of_day, run_url
 from loadwatch_queries.common import SNAPSHOT, loads_of, row_check_sql, rules_of, shown, table
 
@@ -286,6 +289,41 @@ def column_profile_estimated(spark, sf):
     return profile(*loads, exact=False).join(exact, ["load_date", "position"]).withColumn("estimate_close", near).drop("distinct_values", "exact")
 
 
+def _months_sql() -> str:
+    parts = []
+    for i, (c, kind) in enumerate(_EVENTS):
+        number = kind in ("integer", "decimal")
+        exact = f"CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value, round_even(avg({c}), 2) AS mean_value" if number else \
+            "CAST(NULL AS DOUBLE) AS min_value, CAST(NULL AS DOUBLE) AS max_value, CAST(NULL AS DOUBLE) AS mean_value"
+        parts.append(f"""SELECT CAST(date_trunc('month', ts) AS DATE) AS month, {i} AS position, '{c}' AS "column", '{kind}' AS type,
+            count(DISTINCT CAST(ts AS DATE)) AS loads, count(*) AS n, round_even(100.0::DOUBLE * count(*) FILTER (WHERE {c} IS NULL) / count(*), 2) AS null_pct,
+            {exact}, true AS distinct_close, true AS quantiles_close FROM events GROUP BY 1""")
+    return " UNION ALL ".join(parts)
+
+
+@query(_months_sql())
+def merged_monthly_profile(spark, sf):
+    """Monthly profiles from the stored sketches of daily loads alone. Counts, bounds and means are exact; the distinct counts are held
+    against exact ones (four standard errors), the quartiles against their exact ranks (two points of a hundred)."""
+    df, spec = loads_of(table(spark, sf, "events"), "events", "ts")
+    store = Store(spark, shared_dir(spark, "store"))
+    store.write("profiles", load_sketches(df, spec))
+    month = "CAST(trunc(load_date, 'MM') AS DATE) AS month"
+    got = merged_profile(store.read("profiles"), month)
+    distinct = df.withColumn("month", F.trunc("load_date", "MM")).groupBy("month").agg(
+        *[F.count_distinct(c).alias(c) for c, _ in _EVENTS]).unpivot("month", [c for c, _ in _EVENTS], "column", "exact")
+    marks = got.where("type IN ('integer', 'decimal')").select("month", "column", "p25", "median", "p75")
+    cells = df.select(F.trunc("load_date", "MM").alias("month"), F.expr("inline(array(" + ", ".join(
+        f"struct('{c}' AS column, CAST({c} AS DOUBLE) AS x)" for c, kind in _EVENTS if kind in ("integer", "decimal")) + "))")).where("x IS NOT NULL")
+    ranks = cells.join(marks, ["month", "column"]).groupBy("month", "column").agg(*[
+        F.expr(f"count_if(x <= {q}) / count(1) >= {share - 0.02} AND count_if(x < {q}) / count(1) <= {share + 0.02}").alias(f"ok_{q}")
+        for q, share in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))])
+    near = F.abs(F.col("distinct_values") - F.col("exact")) <= F.greatest(F.lit(2.0), 0.065 * F.col("exact"))
+    return got.join(distinct, ["month", "column"]).join(ranks, ["month", "column"], "left").select(
+        "month", "position", "column", "type", "loads", "n", "null_pct", "min_value", "max_value", "mean_value", near.alias("distinct_close"),
+        F.coalesce(F.expr("ok_p25 AND ok_median AND ok_p75"), F.lit(True)).alias("quantiles_close"))
+
+
 @query("""SELECT * FROM (
     SELECT 'id_customer' AS column_name, 'not_null' AS type, 'high' AS severity, '' AS params FROM customer HAVING count(c_custkey) = count(*)
     UNION ALL SELECT 'id_customer', 'unique', 'critical', '' FROM customer HAVING count(DISTINCT c_custkey) = count(*)
