@@ -1,10 +1,15 @@
 """Benchmark decontamination with DataFrame operations only: a broadcast hash set of test n-grams, scanned token windows.
 
-The windows of all benchmark items (ten consecutive words, or the whole of a shorter item) are distinct rows: hash, words, items.
-They are broadcast if they are `BROADCAST` rows at most (a window is ten words, so that bounds the bytes); beyond that the same
-join shuffles by the hash. Documents are split into words and generate one row per window within one code-generated stage: a
-window is hashed, looked up and, on a hit, compared word by word. Only hits leave the stage. Hits are grouped by document, so
-what is shuffled is the hits and two numbers per document.
+The windows of all benchmark items (ten consecutive words, or the whole of a shorter item) are distinct rows: size, hash, words, and
+the digest of the set of items that have them. Documents are split into words and generate one row per window within one
+code-generated stage: a window is hashed, looked up and, on a hit, compared word by word. Only hits leave the stage: what is shuffled is
+the position, size and item set of hits. The items themselves join last, once per document and set, so that a window of a third of
+the benchmark's items is never sent to the tasks with its items.
+
+The windows are broadcast while, measured, they are `BROADCAST` rows and `BROADCAST_BYTES` at most. Beyond that, the tasks get a table
+of `FILTER_BITS` bits (16 MB, whatever the benchmark) with the bit of every window's hash set; a document's windows whose bit is
+set, some hundredths of them, are shuffled with their own words, at most ten, and compared there. A window may be in a
+third of the documents: its rows are dealt to `SALTS` keys.
 
 Edge cases: null and empty texts have no words and no hits; an item without words has no window; rows that share id and text have
 the same result each; rows that share an id but not the text are told apart by a hash of the text; null ids are kept; an empty
@@ -20,8 +25,10 @@ from loadwatch.llm.arrays import small, table
 from loadwatch.session import stage
 
 LENGTH = 10
-#: Distinct benchmark windows up to which the set is sent to every task.
-BROADCAST = 500_000
+#: Distinct benchmark windows, and bytes of their words, up to which the set is sent to every task.
+BROADCAST, BROADCAST_BYTES = 500_000, 64 << 20
+#: Beyond that: log2 of the bits of the table of hashes, in rows of 64 words; keys that a window's hits are dealt to.
+FILTER_BITS, SALTS = 27, 16
 #: What is not part of a word (ASCII but letters and digits), after lower-casing A-Z.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,19 +41,32 @@ def words(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """Distinct windows: `__size`, `__hash`, `__window`, and the items that have them (`__items`)."""
+    """Distinct windows: `__size`, `__hash`, `__window`, the items that have them (`__items`, sorted) and that set's digest (`__set`)."""
     tokens = benchmark.select(F.col(item).cast("string").alias("__item"), words(F.col(text)).alias("__words")).where(F.size("__words") > 0)
     at = tokens.withColumn("__size", F.least(F.size("__words"), F.lit(length))).withColumn(
         "__at", F.explode(F.expr("sequence(1, size(__words) - __size + 1)")))
     return (at.select("__item", "__size", F.expr("slice(__words, __at, __size)").alias("__window"))
-            .groupBy("__size", "__window").agg(F.collect_set("__item").alias("__items"))
-            .withColumn("__hash", F.xxhash64("__window")))
-
-
-def hits(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per document with a hit: `__id`, `__print` (hash of the text), `__spans` (first word and words, in order), `__found`."""
-    sizes = windows.groupBy("__size").count().collect()  # at most `length` rows
-    few = sum(r["count"] for r in sizes) <= BROADCAST
+            .groupBy("__size", "__window").agg(F.array_sort(F.collect_set("__item")).alias("__items"))
+            .withColumn("__hash", F.xxhash64("__window")).withColumn("__set", F.unhex(F.sha2(F.to_json("__items"), 256))))
+
+
+def filter_table(windows: DataFrame) -> DataFrame:
+    """The bits of the windows' hashes: `__row` (from 0, at most 2^(`FILTER_BITS` - 12)) and `__bits`, 64 numbers of 64 bits."""
+    slot = F.expr(f"__hash & {(1 << FILTER_BITS) - 1}L")
+    lanes = windows.select(F.shiftright(slot, 12).alias("__row"), F.expr("CAST(shiftright(__hash, 6) & 63L AS INT)").alias("__lane"),
+                           F.expr("shiftleft(1L, CAST(__hash & 63L AS INT))").alias("__bit")).groupBy("__row", "__lane").agg(F.bit_or("__bit").alias("__bit"))
+    found = F.map_from_entries(F.collect_list(F.struct("__lane", "__bit")))  # at most 64
+    return lanes.groupBy("__row").agg(found.alias("__found")).select(
+        "__row", F.expr("transform(sequence(0, 63), i -> coalesce(__found[i], 0L))").alias("__bits"))
+
+
+def spots(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """One row per occurrence of a window in a document: `__id`, `__print` (hash of the text), `__pos` (from 0), `__size`, `__set`.
+    `windows` is read more than once."""
+    known = windows.select("__size", "__hash", "__window", "__set")
+    per_size = windows.groupBy("__size").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.array_join("__window", " "))).alias("bytes"))
+    sizes = per_size.collect()  # at most `length` rows
+    few = sum(r["n"] for r in sizes) <= BROADCAST and sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES
     shorter = sorted(r["__size"] for r in sizes if r["__size"] < length)
     tokens = docs.select(F.col(key).alias("__id"), F.xxhash64(text).alias("__print"), words(F.col(text)).alias("__words"))
     at = tokens.select("__id", "__print", "__words", F.posexplode("__words").alias("__pos", "__first"))
@@ -54,14 +74,33 @@ def hits(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "
         at = at.withColumn("__n", F.explode(F.array(*map(F.lit, [*shorter, length]))))
     else:
         at = at.withColumn("__n", F.lit(length))
-    scanned = at.where("__pos + __n <= size(__words)").withColumn("__h", F.expr("xxhash64(slice(__words, __pos + 1, __n))"))
-    known = F.broadcast(windows) if few else windows
-    match = ((F.col("__h") == F.col("__hash")) & (F.col("__n") == F.col("__size"))
-             & (F.expr("slice(__words, __pos + 1, __n)") == F.col("__window")))
-    found = scanned.join(known, match).select("__id", "__print", "__pos", "__size", "__items")
-    return found.groupBy("__id", "__print").agg(
-        F.sort_array(F.collect_set(F.struct("__pos", "__size"))).alias("__spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("__items")))).alias("__found"))
+    own = "slice(__words, __pos + 1, __n)"
+    scanned = at.where("__pos + __n <= size(__words)").withColumn("__h", F.expr(f"xxhash64({own})"))
+    same = (F.col("__h") == F.col("__hash")) & (F.col("__n") == F.col("__size"))
+    if few:
+        met = scanned.join(F.broadcast(known), same & (F.expr(own) == F.col("__window")))
+    else:
+        row, bit = F.expr(f"shiftright(__h & {(1 << FILTER_BITS) - 1}L, 12)"), "shiftright(__bits[CAST(shiftright(__h, 6) & 63L AS INT)], CAST(__h & 63L AS INT)) & 1L"
+        likely = scanned.join(F.broadcast(filter_table(windows)), row == F.col("__row")).where(f"({bit}) = 1L").select(
+            "__id", "__print", "__pos", "__n", "__h", F.expr(own).alias("__own"), F.pmod(F.xxhash64("__id", "__print", "__pos"), F.lit(SALTS)).alias("__salt"))
+        dealt = known.withColumn("__key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        met = likely.join(dealt.hint("merge"), same & (F.col("__salt") == F.col("__key")) & (F.col("__own") == F.col("__window")))
+    return met.select("__id", "__print", "__pos", "__size", "__set")
+
+
+def hits(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, items: bool = True) -> DataFrame:
+    """One row per document with a hit: `__id`, `__print`, `__spans` (first word and words, in order) and, if asked for, `__found`
+    (its items, sorted)."""
+    held = stage(windows, "windows")
+    per = spots(docs, held, key, text, length).groupBy("__id", "__print").agg(
+        F.sort_array(F.collect_set(F.struct("__pos", "__size"))).alias("__spans"), F.collect_set("__set").alias("__sets"))
+    if not items:
+        return per.drop("__sets")
+    per = stage(per, "hits")
+    lists = held.groupBy("__set").agg(F.any_value("__items").alias("__items"))
+    named = per.select(F.col("__id").alias("__i"), F.col("__print").alias("__p"), F.explode("__sets").alias("__set")).join(lists, "__set").groupBy(
+        "__i", "__p").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__found"))
+    return per.join(named, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__print") == F.col("__p"))).select("__id", "__print", "__spans", "__found")
 
 
 #: Words covered by sorted spans: each adds what lies beyond the end reached so far.
@@ -86,7 +125,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                   remove: str = "documents") -> DataFrame:
     """`docs` without contaminated documents (`remove="documents"`), or with every hit word, and what follows it up to the
     next word, taken out of the text (`remove="spans"`)."""
-    found = hits(docs, benchmark_windows(benchmark, text=text, length=length), key, text, length)
+    found = hits(docs, benchmark_windows(benchmark, text=text, length=length), key, text, length, items=False)
     found = small(stage(found.select("__id", "__print", *(["__spans"] if remove == "spans" else [])), "hits"))
     on = F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__print"))
     if remove == "documents":
