@@ -2,7 +2,8 @@
 
 A text is the average, over its words, of the embeddings of each word's character n-grams and of the word itself, hashed to
 `BUCKETS` rows. `fit` trains embeddings and softmax with stochastic gradient descent in numpy on a bounded sample of labelled
-rows (`SAMPLE` rows, those of the smallest row hash within each language, at most `SAMPLE` / languages of each), then fits a temperature and a rejection threshold on rows held out of the
+rows (`SAMPLE` rows, those of the smallest row hash within each language, at most `SAMPLE` / languages of each; ties of the hash go by
+the hash of the text), whose features are made in the tasks, then fits a temperature and a rejection threshold on rows held out of the
 training. The model is a table of `BUCKETS` by languages numbers and so has a fixed size; it goes to the tasks with the
 function. Prediction needs one pass, no shuffle: scores of a batch's distinct words, then sums per text.
 
@@ -98,39 +99,51 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def cuts(text: str) -> list[str]:
+    """A text, and its first, middle and last words, so that short texts are learned too."""
+    w = text.split()
+    return [text, *(" ".join(w[at:at + k]) for k, at in ((3, 0), (8, len(w) // 2), (1, len(w) // 3), (2, max(0, len(w) - 2))) if len(w) > k)]
+
+
+def piece_features(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(text, buckets, shares) of every text's cuts, the whole text first."""
+    seen = [(i, x) for i, t in enumerate(texts) for x in cuts(t)]
+    done = 0
+    for part in chunks(iter([pa.RecordBatch.from_arrays([pa.array([x for _, x in seen], pa.string())], ["t"])]), "t", FIT_BYTES):
+        doc, bucket, share = features(Texts(part.column(0), lower=True))
+        at = np.searchsorted(doc, np.arange(part.num_rows + 1))
+        for k in range(part.num_rows):
+            yield seen[done + k][0], bucket[at[k]:at[k + 1]].astype(np.int32), share[at[k]:at[k + 1]].astype(np.float32)
+        done += part.num_rows
+
+
 def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
-    """Stochastic gradient descent over single texts, a fifth of them kept for calibration. Small cuts of each text join in,
-    so that short texts are learned too: a text is also seen as its first, middle and last words."""
+    rows: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
+    for i, bucket, share in piece_features(texts):
+        rows[i].append((bucket, share))
+    return learn(rows, langs, seed)
+
+
+def learn(rows: list[list[tuple[np.ndarray, np.ndarray]]], langs: list[str], seed: int = 7) -> Model:
+    """Stochastic gradient descent over the features of single texts and of their cuts, a fifth of the texts kept for calibration."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
-    y = np.array([names.index(x) for x in langs])
-    seen, label, held = list(texts), list(y), [i % 5 == 0 for i in range(len(texts))]
-    for i, x in enumerate(texts):
-        w = x.split()
-        for k, at in ((3, 0), (8, len(w) // 2), (1, len(w) // 3), (2, max(0, len(w) - 2))):
-            if len(w) > k:
-                seen.append(" ".join(w[at:at + k]))
-                label.append(y[i])
-                held.append(i % 5 == 0)
-    label, held = np.array(label), np.array(held)
-    parts, done = [], 0
-    for part in chunks(iter([pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], ["t"])]), "t", FIT_BYTES):
-        doc, bucket, share = features(Texts(part.column(0), lower=True))
-        parts.append(((doc + done).astype(np.int32), bucket.astype(np.int32), share.astype(np.float32)))
-        done += part.num_rows
-    doc, bucket, share = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    at = np.searchsorted(doc, np.arange(len(seen) + 1))
+    y = [names.index(x) for x in langs]
+    order = [(i, 0) for i in range(len(rows))] + [(i, k) for i, r in enumerate(rows) for k in range(1, len(r))]
+    label, held = np.array([y[i] for i, _ in order]), np.array([i % 5 == 0 for i, _ in order])
+    bucket, share = (np.concatenate([rows[i][k][j] for i, k in order]) for j in (0, 1))
+    at = np.concatenate([[0], np.cumsum([len(rows[i][k][0]) for i, k in order])])
+    doc = np.repeat(np.arange(len(order)), np.diff(at))
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = np.zeros((WIDTH, len(names)), np.float32), np.zeros(len(names), np.float32)
-    learn = np.flatnonzero(~held) if (~held).any() else np.arange(len(seen))
-    steps = EPOCHS * len(learn)
+    train_on = np.flatnonzero(~held) if (~held).any() else np.arange(len(order))
+    steps = EPOCHS * len(train_on)
     for step in range(steps):
-        if step % len(learn) == 0:
-            order = rng.permutation(learn)
-        i = order[step % len(learn)]
+        if step % len(train_on) == 0:
+            turn = rng.permutation(train_on)
+        i = turn[step % len(train_on)]
         b, s = bucket[at[i]:at[i + 1]], share[at[i]:at[i + 1]]
         if not len(b):
             continue
@@ -145,31 +158,44 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
         bias -= rate * 0.1 * p
         emb[b] -= (rate * 8 * s)[:, None] * grad  # shares are small, so that the table learns at a higher rate
     model = Model(names, (emb @ out).astype(np.float32), bias)
-    test = np.flatnonzero(held) if held.any() else learn
-    z = np.stack([np.bincount(doc, share * model.weights[bucket, k], len(seen)) for k in range(len(names))], axis=1)[test] + bias
+    test = np.flatnonzero(held) if held.any() else train_on
+    z = np.stack([np.bincount(doc, share * model.weights[bucket, k], len(order)) for k in range(len(names))], axis=1)[test] + bias
     losses = {t: -np.log(np.maximum(softmax(z / t)[np.arange(len(test)), label[test]], 1e-12)).mean() for t in np.geomspace(0.1, 5, 40)}
     model.temperature = float(min(losses, key=losses.get))
-    whole = test < len(texts)  # the threshold is set on whole texts: cuts of mixed texts have no one language
+    whole = test < len(rows)  # the threshold is set on whole texts: cuts of mixed texts have no one language
     p = softmax(z[whole] / model.temperature)
     best, right = p.max(axis=1), p.argmax(axis=1) == label[test][whole]
-    order = np.argsort(-best, kind="stable")
-    wrong = np.cumsum(~right[order]) / np.arange(1, len(order) + 1)
+    falling = np.argsort(-best, kind="stable")
+    wrong = np.cumsum(~right[falling]) / np.arange(1, len(falling) + 1)
     fine = np.flatnonzero(wrong <= WRONG)
-    model.threshold = float(best[order][fine[-1]]) if len(fine) else 1.0
+    model.threshold = float(best[falling][fine[-1]]) if len(fine) else 1.0
     return model
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` rows that have a label and a text; the sample does not depend on row order."""
+    """A model from at most `sample` rows that have a label and a text; the sample does not depend on row order. The driver gets
+    features, not texts: at most `BUCKETS` pairs of numbers of a whole text and some hundreds of each of its four cuts."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.length(text)).alias("h"))
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.length(text)).alias("h"), F.xxhash64(text).alias("p"))
     langs = max(1, rows.select("lang").distinct().count())
-    share, first = max(1, sample // langs), F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    share, first = max(1, sample // langs), F.row_number().over(Window.partitionBy("lang").orderBy("h", "p"))
     # Hashes alone are ranked, cut in every task before the shuffle; then the texts up to each language's last hash are read.
-    last = rows.select("lang", "h").withColumn("r", first).where(F.col("r") <= share).groupBy("lang").agg(F.max("h").alias("last"))
-    few = rows.join(small(stage(last, "sample")), "lang").where("h <= last").withColumn("r", first)
-    got = few.where(F.col("r") <= share).select("lang", "text", "h").orderBy("h", "lang", "text").collect()
-    return train([r.text for r in got], [r.lang for r in got])
+    last = rows.select("lang", "h", "p").withColumn("r", first).where(F.col("r") <= share).groupBy("lang").agg(F.max("h").alias("last"))
+    few = rows.join(small(stage(last, "sample")), "lang").where("h <= last").withColumn("r", first).where(F.col("r") <= share)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text", FIT_BYTES):
+            buckets, shares = [[] for _ in range(part.num_rows)], [[] for _ in range(part.num_rows)]
+            for i, bucket, piece in piece_features(part.column("text").to_pylist()):
+                buckets[i].append(bucket.tobytes())
+                shares[i].append(piece.tobytes())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("lang", "h", "p")), pa.array(buckets, pa.list_(pa.binary())),
+                                              pa.array(shares, pa.list_(pa.binary()))], ["lang", "h", "p", "buckets", "shares"])
+
+    got = few.select("lang", "h", "p", "text").mapInArrow(made, "lang string, h long, p long, buckets array<binary>, shares array<binary>") \
+        .orderBy("h", "lang", "p").collect()  # at most `sample` rows
+    return learn([[(np.frombuffer(b, np.int32), np.frombuffer(x, np.float32)) for b, x in zip(r.buckets, r.shares, strict=True)] for r in got],
+                 [r.lang for r in got])
 
 
 def has_letter(text: str | None) -> bool:
