@@ -2,17 +2,27 @@
 
 Three patterns give the base findings: assignments, access keys, long hex. The battery looks at every other run of 20 or more
 characters of base64 or URL alphabets, without the fixed patterns' findings and cut at inner '='; a piece that no alphabet holds, or
-that does not pass whole, is cut at its signs (`tested`). It infers the encoding (hex, base32, lower or upper base36, base64) and asks
+that does not pass whole, is cut at its signs (`tested`).It infers the encoding (hex, base32, lower or upper base36, base62, base64).
 
-* uniformity: is the chi-squared statistic of the alphabet's counts within what a random string gives;
-* serial correlation: is the lag-1 correlation of the symbols' positions in the alphabet within what a random string gives;
-* runs: are there more changes of character class (upper, lower, digit, other) than ordinary text has. Ordinary text changes
-  class with probability `TEXT_CHANGE`; the binomial tail is the p-value of "this is ordinary text".
+One null hypothesis is tested, "this is ordinary text", and modelled so: two symbols are equal with probability `SAME` or more, the
+character class (upper, lower, digit, other) changes between neighbours with probability `TEXT_CHANGE` or less, and neighbours correlate
+in any way or not at all. Three statistics give p-values under it:
 
-A candidate that fails either of the first two is dropped. The p-values of all the others, over the whole table, go through a
-Benjamini-Hochberg step-up in each class of length, with more of the allowance for longer classes (weights that average 1),
-so that the expected share of false findings stays below `Q`. The step-up needs only a histogram of log p-values per class,
-counted with map-side combining: thresholds are a few numbers, whatever the table's size.
+* uniformity: the chi-squared statistic of the alphabet's counts, as the equal pairs it is a linear function of: lower normal tail;
+* runs: the number of changes of class: upper binomial tail;
+* serial correlation: the chance of a lag-1 correlation of the symbols' places in the alphabet that is as near to 0, where it is truly 0
+  (for any other the chance is smaller).
+
+Runs and serial correlation depend on each other: they count as twice the smaller one. With uniformity it is combined by Fisher's method.
+A string that is not random either (chi-squared above, or serial correlation beyond, what a random string of its encoding gives; together
+at `LIKELY`) has the p-value 1, which only raises p-values.
+
+Every string that is tried counts, whole runs and pieces of them, whatever its outcome: the p-values of the whole table go through a
+Benjamini-Hochberg step-up in each class of length, with more of the allowance for longer classes (weights that average 1), so that the
+expected share of false findings stays below `Q`. The step-up needs only a histogram of log p-values per class, counted with map-side
+combining: thresholds are a few numbers, whatever the table's size. Strings of digits alone have nothing to show
+(no change of class, more equal pairs than text); UUIDs are hex with a class of their own between the parts, and are identifiers: they are cut
+at their dashes, to pieces under 20, and not findings. Letters alone may be.
 
 Edge cases: a null or empty text has no spans; overlapping findings are all kept as spans, and merged when the text is
 redacted; repeated rows are scanned each; an empty table gives an empty result. Offsets are code points, ends exclusive.
@@ -43,6 +53,8 @@ INNER = re.compile(rb"[^=]+=*")
 #: What is left of a piece that is cut: the parts that base64 holds, and those that its URL form does; then those without signs.
 MIXED, PLAIN = (re.compile(rb"[A-Za-z0-9+/]+"), re.compile(rb"[A-Za-z0-9_-]+")), re.compile(rb"[A-Za-z0-9+]+")
 Q, TEXT_CHANGE, LIKELY = 0.01, 0.25, 0.001
+#: Chances that two, and that three, symbols of ordinary text are equal: those of English letters (0.066, 0.0054) where every sixth is a capital or a digit.
+SAME, THREE_SAME = 0.045, 0.0033
 #: Lower ends of the classes of length and their weights in the step-up.
 CLASSES, WEIGHTS = (20, 28, 40, 64), (0.6, 0.9, 1.2, 1.3)
 BIN = 0.05
@@ -73,6 +85,11 @@ def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def log_normal_tail(z: float) -> float:
+    """Natural logarithm of the upper tail; far out by its asymptote, where the tail itself is no double."""
+    return math.log(normal_tail(z)) if z < 30 else -z * z / 2 - math.log(z * math.sqrt(2 * math.pi))
+
+
 def log_binomial_tail(k: int, n: int, p: float) -> float:
     """log10 of the chance of k or more of n."""
     if k <= 0:
@@ -87,26 +104,30 @@ def character_class(c: int) -> int:
     return 0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3
 
 
-def battery(s: bytes) -> float | None:
-    """log10 p-value of "ordinary text" of a string that passes as random, else None."""
-    name = encoding(s)
-    if name is None or not re.search(rb"[0-9]", s) or not re.search(rb"[A-Za-z]", s):
-        return None
-    s = s.rstrip(b"=")
+def battery(s: bytes) -> float:
+    """log10 p-value of "ordinary text"; 0 for a string that no alphabet holds or that does not pass as random."""
+    if (name := encoding(s)) is None or len(s := s.rstrip(b"=")) < 2:
+        return 0.0
     place, size, n = PLACES[name], len(PLACES[name]), len(s)
-    x = [place[c] for c in s]
+    x = np.array([place[c] for c in s])
     counts = np.bincount(x, minlength=size)
     chi = float(((counts - n / size) ** 2).sum() * size / n)
     # Wilson and Hilferty: the cube root of chi-squared over its degrees is close to normal.
     free = size - 1
     uniform = normal_tail(((chi / free) ** (1 / 3) - 1 + 2 / (9 * free)) / math.sqrt(2 / (9 * free)))
-    a = np.array(x, float) - np.mean(x)
+    a = x - x.mean()
     spread = float((a * a).sum())
     serial = 2 * normal_tail(abs(float((a[1:] * a[:-1]).sum()) / spread) * math.sqrt(n)) if spread > 0 else 0.0
     if min(uniform, serial) * 2 < LIKELY:
-        return None
+        return 0.0
+    equal, pairs = (chi + n) * n / size - n, n * (n - 1)
+    spare = SAME + 2 * (n - 2) * THREE_SAME - (2 * n - 3) * SAME**2
+    even = log_normal_tail((pairs * SAME - equal) / math.sqrt(2 * pairs * spare))
     kinds = [character_class(c) for c in s]
-    return log_binomial_tail(sum(u != v for u, v in zip(kinds, kinds[1:], strict=False)), n - 1, TEXT_CHANGE)
+    runs = log_binomial_tail(sum(u != v for u, v in zip(kinds, kinds[1:], strict=False)), n - 1, TEXT_CHANGE) * math.log(10)
+    order = min(0.0, math.log(2) + min(runs, math.log(max(1 - serial, 1e-300))))
+    both = even + order
+    return (both + math.log1p(-both)) / math.log(10)  # Fisher: x (1 - ln x) for a product x of two
 
 
 def length_class(n: int) -> int:
@@ -114,11 +135,12 @@ def length_class(n: int) -> int:
 
 
 def tested(s: bytes, at: int) -> Iterator[tuple[int, int, int, int]]:
-    """(class, bin, start, end) of the pieces of a string at `at` that pass as random; a secret may be found with less or more around it."""
+    """(class, bin, start, end) of a string at `at` and, unless it passes as random, of its pieces: a secret may stand in a longer run."""
     if len(s) < LEAST:
         return
-    if (logp := battery(s)) is not None:
-        yield length_class(len(s)), int(-logp / BIN), at, at + len(s)
+    logp = battery(s)
+    yield length_class(len(s)), int(-logp / BIN), at, at + len(s)
+    if logp < 0:
         return
     body = s.rstrip(b"=")
     for cut in MIXED if encoding(s) is None else (PLAIN,):
@@ -129,7 +151,7 @@ def tested(s: bytes, at: int) -> Iterator[tuple[int, int, int, int]]:
 
 
 def candidates(raw: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(class, bin, start, end) of strings that pass as random, of what is outside the base spans, which come in order of start."""
+    """(class, bin, start, end) of every string tried, of what is outside the base spans, which come in order of start."""
     out, k, covered = set(), 0, 0
     for m in CANDIDATE.finditer(raw):
         at, rest = max(m.start(), covered), []
