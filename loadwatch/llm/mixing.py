@@ -8,9 +8,11 @@ time at which the cumulative demand reaches the copy's first word: the inverse o
 knots' segment. Documents are range-sorted by position. The copy that crosses the target is cut there, so that a source takes
 its target to within a word.
 
-A source may hold a third of all rows: the running sum is not one window over the source, but a sum over `hash` buckets of about
-`ROWS` rows (a window over bucket totals), plus a window inside each bucket. Sources are aggregated once; the capped shares are
-solved on the table of sources, by aggregates that return one row a round.
+A source may hold a third of all rows, and so may one id, or rows without one. Rows alike in key, source and text are one row with a
+count until their places are known. The running sum is not one window over the source, but a sum over buckets of about `ROWS` rows (a
+window over bucket totals), plus a window inside each: hash ranges of the key, and where one key has more rows than that, the rows
+before it, ranges of the text's hash for its own rows, and the rows after it. Sources are aggregated once; the capped shares are solved
+on the table of sources, by aggregates that return one row a round.
 
 Edge cases: null and empty texts have size 0 and are taken 0 words of; a null source is a source of its own, last; repeated rows
 each count and follow one another; an empty table gives an empty result. Clashing columns of the input pass through untouched.
@@ -23,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loadwatch.llm.arrays import table
+from loadwatch.llm.arrays import small, table
 from loadwatch.session import stage
 
 WEIGHTS, CAP = (5.0, 2.0, 1.0), 3
@@ -71,23 +73,39 @@ def inverse(share: Column, knots: tuple[tuple[float, float], ...]) -> Column:
     return out
 
 
+def pieces(rows: DataFrame) -> DataFrame:
+    """`rows` (rank, bucket, h, p...) with `piece`: buckets are cut around and within the keys of more than `ROWS` rows."""
+    # Keys of more rows than a bucket: at most rows / ROWS of them, few in any one bucket.
+    many = rows.groupBy("rank", "bucket", "h").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > ROWS)
+    many = stage(many.groupBy("rank", "bucket").agg(F.map_from_entries(F.collect_list(F.struct("h", "rows"))).alias("many")), "keys")
+    rows = rows.join(small(many), ["rank", "bucket"], "left")
+    own = F.try_element_at("many", F.col("h"))
+    return rows.withColumn("piece", F.struct(
+        F.coalesce(F.size(F.filter(F.map_keys("many"), lambda k: k < F.col("h"))), F.lit(0)).alias("after"), own.isNotNull().alias("own"),
+        F.when(own.isNotNull(), F.floor((F.col("p") / 2.0**64 + 0.5) * F.ceil(own / ROWS))).alias("range"))).drop("many")
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS,
         cap: int = CAP, schedules=SCHEDULES) -> DataFrame:
     """Per row of `docs` (its `key`): `size`, `source`, `source_size`, `target`, `taken`, `copies` (first word on the source's line,
     words taken, position), empty if the mix leaves the document out."""
-    base = stage(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-                             F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("h"), F.xxhash64(text).alias("p")), "sizes")
-    sizes = base.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("source_size"))
+    alike = stage(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
+                              F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("h"), F.xxhash64(text).alias("p")).groupBy(
+        "key", "source", "size", "h", "p").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sizes = alike.groupBy("source").agg(F.sum("n").alias("rows"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = stage(source_targets(sizes, weights, cap).withColumn("buckets", F.ceil(F.col("rows") / ROWS)), "sources")
     few = targets.count() <= 100_000  # a source is under 100 bytes
     known = targets.withColumnRenamed("source", "__source")
-    rows = base.join(F.broadcast(known) if few else known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    rows = alike.join(F.broadcast(known) if few else known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2.0**32 * F.col("buckets")))
-    totals = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
-    before = totals.withColumn("before", F.sum("words").over(Window.partitionBy("rank").orderBy("bucket")) - F.col("words"))
-    inside = Window.partitionBy("rank", "bucket").orderBy("h", "key", "size", "p").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
-        before.select("rank", "bucket", "before"), ["rank", "bucket"]).withColumn("at", F.col("before") + F.col("within"))
+    rows = pieces(rows)
+    at = ("rank", "bucket", "piece")
+    totals = rows.groupBy(*at).agg(F.sum(F.col("size") * F.col("n")).alias("words"))
+    before = totals.withColumn("before", F.sum("words").over(Window.partitionBy("rank").orderBy("bucket", "piece")) - F.col("words"))
+    inside = Window.partitionBy(*at).orderBy("h", "key", "p", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("within", F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0))).join(
+        before.select(*at, "before"), [*at]).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    placed = placed.withColumn("at", F.col("before") + F.col("within") + F.col("i") * F.col("size"))
     whole = F.round("target").cast("long")
     copies = F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda e: F.struct(
         (F.col("at") + e * F.col("source_size")).alias("start"),

@@ -90,3 +90,39 @@ def test_all_capped(spark):
     sizes = spark.createDataFrame([("a", 1, 0), ("b", 1, 10), (None, 1, 5)], "source string, rows bigint, source_size bigint")
     got = {r.source: r.target for r in source_targets(sizes).collect()}
     assert got == targets_by_hand({"a": 0, "b": 10, None: 5})
+
+
+@pytest.mark.parametrize("rows", [1_000, 5])
+def test_one_id_or_none_in_a_third_of_the_rows(spark, monkeypatch, rows):
+    """Rows that share an id, rows without one and equal rows: every word of a source is placed once, in order of the id's hash."""
+    monkeypatch.setattr(mixing, "ROWS", rows)
+    data = [(i, f"{'w ' * (i % 7)}x{i}", "ab"[i % 2]) for i in range(60)]
+    data += [(7, f"{'w ' * (i % 5)}y{i}", "a") for i in range(40)] + [(None, f"z{i} z", "a") for i in range(40)] + [(9, "the same text", "a")] * 40
+    docs = spark.createDataFrame(data, "doc_id int, text string, source string").repartition(5)
+    got = mix(docs).collect()
+    assert len(got) == len(data)
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        whole, size = round(mine[0].target), mine[0].source_size
+        assert size == sum(r.size for r in mine) and sum(r.taken for r in mine) == min(whole, 3 * size)
+        spans = sorted((c.start, c.words) for r in mine for c in r.copies)
+        assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
+        first = sorted((r for r in mine if r.copies), key=lambda r: r.copies[0].start)
+        hashes = [hashlib.md5(str("" if r.doc_id is None else r.doc_id).encode()).hexdigest() for r in first]
+        assert hashes == sorted(hashes)
+    assert sorted(map(str, mix(docs.repartition(3)).collect())) == sorted(map(str, got))
+    order = training_order(docs)
+    assert order.agg(F.sum("taken_words")).first()[0] == sum(r.taken for r in got)
+
+
+def test_no_window_holds_more_than_a_few_buckets_of_rows(spark, monkeypatch):
+    """Pieces of one key that has a third of the rows are about ROWS rows each, and stand in order."""
+    monkeypatch.setattr(mixing, "ROWS", 50)
+    h, p = F.md5(F.when(F.col("id") % 3 != 0, F.col("id").cast("string")).otherwise("")), F.xxhash64("id")
+    rows = spark.range(4000).select(h.alias("h"), p.alias("p"), F.lit(0).alias("rank"),
+                                    F.floor(F.conv(F.substring(h, 1, 2), 16, 10).cast("int") / 256 * 80).alias("bucket"))
+    got = mixing.pieces(rows)
+    sizes = [r["count"] for r in got.groupBy("rank", "bucket", "piece").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 150
+    order = [(r.h, r.p) for r in got.orderBy("bucket", "piece", "h", "p").collect()]
+    assert order == sorted(order)
