@@ -16,8 +16,10 @@ it have reached, and quantised interpolated probabilities. All monotone sequence
 among the contexts, reads two pointers, adds the base of the context's range and looks for the successor by the high bits, within
 that range only. Probabilities are absolutely discounted bigrams, interpolated with the add-one unigram.
 
-The distinct successors of contexts that are split are counted before (`followers`): each shard counts those dealt to it, and the
-shards' numbers are added up. There are at most `2 / SPLIT` such contexts a shard, so their counts go to every task.
+The distinct successors of contexts that are split are counted before (`followers`), from the blocks as they lie in the shared
+folder and by the words' hashes, so that no block is joined with its words' numbers a second time: each shard counts the pairs dealt
+to it, and the shards' numbers are added up. There are at most `2 / SPLIT` such contexts a shard, so they go to every task, and so do
+their counts.
 
 Edge cases: a null or empty text is one end token; a null id is held in training; repeated rows count and are scored each; an empty
 table gives an empty result; no training row gives counts of 0. Texts may be of any length.
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import math
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -204,12 +206,12 @@ def blocks(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
             ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("__key"))
             yield pa.RecordBatch.from_arrays([
                 pa.array([number], pa.int64()), ids, pa.array([pack(size, teaches.astype(np.uint8), token)], pa.binary()),
-                pa.array([pack(steps(words), seen)], pa.binary()), pa.array([len(words)], pa.int64()), pa.array([len(token)], pa.int64())],
-                ["block", "ids", "tokens", "words", "n_words", "n_tokens"])
+                pa.array([pack(steps(words), seen)], pa.binary()), pa.array([len(words)], pa.int64()), pa.array([len(token)], pa.int64()),
+                pa.array([int(seen.sum())], pa.int64())], ["block", "ids", "tokens", "words", "n_words", "n_tokens", "n_train"])
             number += 1
 
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.coalesce(train, F.lit(True)).alias("__train"))
-    return stage(rows.mapInArrow(run, f"block bigint, ids array<{kind}>, tokens binary, words binary, n_words bigint, n_tokens bigint"), "blocks")
+    return stage(rows.mapInArrow(run, f"block bigint, ids array<{kind}>, tokens binary, words binary, n_words bigint, n_tokens bigint, n_train bigint"), "blocks")
 
 
 def steps(ascending: np.ndarray) -> np.ndarray:
@@ -224,9 +226,9 @@ def parts_of(shard: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]
     return order, list(zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True))
 
 
-def counted(held: DataFrame, shards: int) -> DataFrame:
+def counted(held: DataFrame, shards: int, often: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Per block and word shard, staged: the words' numbers and training counts, in the order of the block; on one row of each
-    shard, the shard's training tokens and words."""
+    shard, the shard's training words, and the hashes and numbers of those whose counts are `often`."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,26 +246,31 @@ def counted(held: DataFrame, shards: int) -> DataFrame:
         words, inverse = np.unique(np.concatenate([np.cumsum(h.astype(np.uint64), dtype=np.uint64) for h, _ in got]), return_inverse=True)
         total = np.zeros(len(words), np.int64)
         np.add.at(total, inverse, np.concatenate([c.astype(np.int64) for _, c in got]))
-        n = len(got)
+        n, some = len(got), np.flatnonzero(often(total))
         replies = [pack(steps(2 + shard + inverse[a:b] * shards), total[inverse[a:b]]) for a, b in zip(at, at[1:], strict=False)]
         return pa.table({"block": rows.column("block"), "shard": pa.array([shard] * n, pa.int32()), "payload": pa.array(replies, pa.binary()),
-                         "n": pa.array([int(total.sum())] + [0] * (n - 1), pa.int64()), "v": pa.array([int((total > 0).sum())] + [0] * (n - 1), pa.int64())})
+                         "v": pa.array([int((total > 0).sum())] + [0] * (n - 1), pa.int64()),
+                         "often": pa.array([pack(words[some], 2 + shard + some * shards) if len(some) else None] + [None] * (n - 1), pa.binary())})
 
     sent = held.select("block", "words").mapInArrow(send, "shard int, block bigint, payload binary")
-    return stage(sent.groupBy("shard").applyInArrow(count, "block bigint, shard int, payload binary, n bigint, v bigint"), "counts")
+    return stage(sent.groupBy("shard").applyInArrow(count, "block bigint, shard int, payload binary, v bigint, often binary"), "counts")
 
 
-def numbered(tokens: bytes, replies: list[bytes]) -> tuple[np.ndarray, ...]:
-    """A block's texts' sizes, whether they train, its tokens and the token before each; the numbers and counts of its words, the
-    beginning of a text last."""
+def sequence(tokens: bytes, begin: int) -> tuple[np.ndarray, ...]:
+    """A block's texts' sizes, whether they train, its tokens and the token before each, `begin` at the beginning of a text."""
     size, teaches, token = (x.astype(np.int64) for x in unpack(tokens))
+    before = np.concatenate([[begin], token[:-1]])
+    before[np.cumsum(size)[:-1]] = begin
+    return size, teaches, token, before
+
+
+def numbered(tokens: bytes, replies: list[bytes]) -> tuple[np.ndarray, ...]:
+    """What `sequence` gives; the numbers and counts of the block's words, the beginning of a text last."""
     got = [unpack(x) for x in replies]
-    k, last = sum(len(c) for _, c in got), np.cumsum(size) - 1
     number = np.append(np.concatenate([np.cumsum(x.astype(np.int64)) for x, _ in got]), BEGIN)
+    size, teaches, token, before = sequence(tokens, len(number) - 1)
     count = np.concatenate([c.astype(np.int64) for _, c in got])
-    count = np.append(count, count[token[last[0]]])  # a text begins as often as one ends
-    before = np.concatenate([[k], token[:-1]])
-    before[last[:-1] + 1] = k
+    count = np.append(count, count[token[size[0] - 1]])  # a text begins as often as one ends
     return size, teaches, token, before, number, count
 
 
@@ -307,30 +314,51 @@ def dealt(context: np.ndarray, word: np.ndarray, count: np.ndarray, n: int, shar
     return (spread(deal) % np.uint64(shards)).astype(np.int64)
 
 
-def followers(held: DataFrame, counts: DataFrame, n: int, shards: int, split: float) -> tuple[np.ndarray, np.ndarray]:
-    """The contexts that are split, ascending, and the number of distinct successors of each in the training texts."""
-    if shards == 1:
+def split_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and numbers of the words that are split as contexts."""
+    got = [unpack(r[0]) for r in counts.select("often").where(F.col("often").isNotNull()).collect()]
+    hashes, numbers = (np.concatenate([np.zeros(0, t), *(g[i].astype(t) for g in got)]) for i, t in enumerate((np.uint64, np.int64)))
+    order = np.argsort(hashes)
+    return hashes[order], numbers[order]
+
+
+def followers(held: DataFrame, hashes: np.ndarray, numbers: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts that are split, ascending, and the number of distinct successors of each in the training texts. `hashes` (ascending)
+    and `numbers`: the words that are split; nothing follows an end, whose place here stands for the beginning."""
+    if len(hashes) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    end = spread(np.array([END]))[0]
 
-    def send(mine: pa.Table, replies: pa.Table) -> pa.Table:
-        found = replies.column("payload").to_pylist()
-        size, teaches, token, before, number, count = numbered(mine.column("tokens")[0].as_py(), [found[i] for i in np.argsort(replies.column("shard").to_numpy())])
-        on = (splits(count, n, shards, split) > 1)[before] & np.repeat(teaches > 0, size)
-        key = np.unique(before[on] * len(number) + token[on])
-        context, word = key // len(number), key % len(number)
-        order, parts = parts_of(dealt(number[context], number[word], count[context], n, shards, split)) if len(key) else (None, [])
-        return pa.table({"shard": pa.array([x for x, _, _ in parts], pa.int32()),
-                         "payload": pa.array([pack(number[context[order[a:b]]], number[word[order[a:b]]]) for _, a, b in parts], pa.binary())})
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tokens, packed in zip(batch.column("tokens"), batch.column("words"), strict=True):
+                words = np.cumsum(unpack(packed.as_py())[0].astype(np.uint64), dtype=np.uint64)
+                size, teaches, token, before = sequence(tokens.as_py(), len(words))
+                place = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
+                place[hashes[place] != words] = -1
+                place = np.append(place, place[np.searchsorted(words, end)])
+                on = (place[before] >= 0) & np.repeat(teaches > 0, size)
+                key = np.unique(token[on] * len(hashes) + place[before[on]])  # by hash of the word, then by context
+                word, context = words[key // len(hashes)], key % len(hashes)
+                order, parts = parts_of((spread(word + spread(context.astype(np.uint64) + np.uint64(1))) % np.uint64(shards)).astype(np.int64))
+                word, context = word[order], context[order]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in parts], pa.int32()), pa.array(
+                    [pack(context[a:b], steps(word[a:b])) for _, a, b in parts], pa.binary())], ["shard", "payload"])
 
     def count_distinct(rows: pa.Table) -> pa.Table:
         got = [unpack(x) for x in rows.column("payload").to_pylist()]
-        contexts, c = np.unique(np.concatenate([x.astype(np.int64) for x, _ in got]), return_inverse=True)
-        words, w = np.unique(np.concatenate([x.astype(np.int64) for _, x in got]), return_inverse=True)
-        return pa.table({"context": contexts, "n": np.bincount(np.unique(c * len(words) + w) // len(words), minlength=len(contexts))})
-
-    sent = held.select("block", "tokens").groupBy("block").cogroup(counts.select("block", "shard", "payload").groupBy("block")).applyInArrow(send, "shard int, payload binary")
+        contexts = np.concatenate([c.astype(np.int64) for c, _ in got])
+        words = np.concatenate([np.cumsum(w.astype(np.uint64), dtype=np.uint64) for _, w in got])
+        order = np.lexsort((words, contexts))
+        contexts, words = contexts[order], words[order]
+        new = np.concatenate([[True], (contexts[1:] != contexts[:-1]) | (words[1:] != words[:-1])])
+        found, n = np.unique(contexts[new], return_counts=True)
+        return pa.table({"context": found, "n": n})
+
+    sent = held.select("tokens", "words").mapInArrow(send, "shard int, payload binary")
     rows = sent.groupBy("shard").applyInArrow(count_distinct, "context bigint, n bigint").groupBy("context").agg(F.sum("n")).collect()
-    rows = np.array(sorted(map(tuple, rows)), np.int64).reshape(-1, 2)
+    numbers = np.where(hashes == end, BEGIN, numbers)
+    rows = np.array(sorted((int(numbers[c]), n) for c, n in rows), np.int64).reshape(-1, 2)
     return rows[:, 0].copy(), rows[:, 1].copy()
 
 
@@ -369,13 +397,12 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
           words_shard: int = WORDS_SHARD, pairs_shard: int = PAIRS_SHARD, split: float = SPLIT) -> DataFrame:
     """Per row of `docs`: `key`, `train`, `n_tokens`, `n_known`, `train_tokens`, `base_score` (add-one unigrams), `score` (the trie's)."""
     held = blocks(docs, train, key, text, block_bytes)
-    sums = held.agg(F.sum("n_words"), F.sum("n_tokens")).first()
+    sums = held.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("n_train")).first()
     word_shards = max(1, math.ceil((sums[0] or 0) / words_shard))
-    shards = max(1, math.ceil((sums[1] or 0) / pairs_shard))
-    counts = counted(held, word_shards)
-    totals = counts.agg(F.sum("n"), F.sum("v")).first()
-    n, v = totals[0] or 0, totals[1] or 0
-    after = followers(held, counts, n, shards, split)
+    shards, n = max(1, math.ceil((sums[1] or 0) / pairs_shard)), sums[2] or 0
+    counts = counted(held, word_shards, lambda count: splits(count, n, shards, split) > 1)
+    v = counts.agg(F.sum("v")).first()[0] or 0
+    after = followers(held, *split_words(counts), shards)
     kind = docs.schema[key].dataType.simpleString()
     # Rows with ids carry what a block knows of its texts by itself; they pass a shard unchanged.
     passed = f"shard int, block bigint, payload binary, ids array<{kind}>"

@@ -1,5 +1,9 @@
+import json
 import math
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -95,3 +99,29 @@ def test_split_contexts_have_the_model_spelled_out(spark):
     trains = [k < 1000 for k, _ in rows]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     compared(score(df, F.col("doc_id") < 1000, block_bytes=2_000, words_shard=100, pairs_shard=100).collect(), rows, trains)
+
+
+SHUFFLED = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+folder = sys.argv[1]
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
+         .config("spark.checkpoint.dir", folder + "/shared").config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", folder)
+         .config("spark.eventLog.rolling.enabled", "false").config("spark.eventLog.compress", "false").getOrCreate())
+from loadwatch.llm.scoring import blocks, score
+docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+print(score(docs, F.lit(True), block_bytes=500_000, pairs_shard=50_000).count(), blocks(docs, F.lit(True), block_bytes=500_000).agg(F.sum(F.length("tokens"))).first()[0])
+spark.stop()
+"""
+
+
+def test_tokens_of_a_block_pass_one_shuffle(folder):
+    """What is read with the words' numbers is read once: the contexts that are split are counted from the blocks as they lie."""
+    root = Path(__file__).resolve().parents[2]
+    done = subprocess.run([sys.executable, "-c", SHUFFLED, folder], cwd=root, capture_output=True, text=True, timeout=300)
+    rows, tokens = map(int, done.stdout.split())
+    log = [json.loads(line) for f in Path(folder).iterdir() if f.is_file() for line in f.open()]
+    written = sum(e["Task Metrics"]["Shuffle Write Metrics"]["Shuffle Bytes Written"] for e in log if e["Event"] == "SparkListenerTaskEnd")
+    assert rows == 1000
+    # Words 1.4 times the tokens' bytes, tokens and numbers 1.2, pairs 2.4, the rest 0.1; a second join of tokens and numbers adds 1.2.
+    assert written < 5.7 * tokens
