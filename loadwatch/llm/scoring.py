@@ -265,13 +265,17 @@ def sequence(tokens: bytes, begin: int) -> tuple[np.ndarray, ...]:
 
 
 def numbered(tokens: bytes, replies: list[bytes]) -> tuple[np.ndarray, ...]:
-    """What `sequence` gives; the numbers and counts of the block's words, the beginning of a text last."""
+    """What `sequence` gives, with the block's words in the order of their numbers; these, ascending, and the words' counts. The
+    beginning of a text is one of the words."""
     got = [unpack(x) for x in replies]
     number = np.append(np.concatenate([np.cumsum(x.astype(np.int64)) for x, _ in got]), BEGIN)
     size, teaches, token, before = sequence(tokens, len(number) - 1)
     count = np.concatenate([c.astype(np.int64) for _, c in got])
     count = np.append(count, count[token[size[0] - 1]])  # a text begins as often as one ends
-    return size, teaches, token, before, number, count
+    order = np.argsort(number)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return size, teaches, place[token], place[before], number[order], count[order]
 
 
 class Block:
@@ -280,25 +284,26 @@ class Block:
     def __init__(self, tokens: bytes, replies: list[bytes], shards: int, n: int, split: float):
         """`replies`: in the order of the word shards."""
         self.size, self.teaches, self.token, before, self.number, self.count = numbered(tokens, replies)
-        k = len(self.number) - 1
+        k = len(self.number)
         self.owner = np.repeat(np.arange(len(self.size)), self.size)
-        key = before * (k + 1) + self.token
+        key = before * k + self.token
         self.by_pair = np.argsort(key, kind="stable")
         key = key[self.by_pair]
         self.begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        self.context, self.word = key[self.begin] // (k + 1), key[self.begin] % (k + 1)
+        self.context, self.word = key[self.begin] // k, key[self.begin] % k
         self.begin = np.append(self.begin, len(key))
         self.seen = np.add.reduceat(np.repeat(self.teaches, self.size)[self.by_pair], self.begin[:-1])
         self.order, self.parts = parts_of(dealt(self.number[self.context], self.number[self.word], self.count[self.context], n, shards, split))
 
     def packed(self, a: int, b: int) -> bytes:
-        """Pairs of one shard: contexts in runs, words as places in a table, training counts, and the texts of each pair."""
+        """Pairs of one shard: contexts in runs, words as places in a table, training counts, and the texts of each pair. Numbers ascend
+        and are sent as `steps`."""
         on = self.order[a:b]
         contexts, runs = np.unique(self.context[on], return_counts=True)  # the order is stable: contexts ascend
         words, inverse = np.unique(self.word[on], return_inverse=True)
         times = self.begin[on + 1] - self.begin[on]
         places = np.repeat(self.begin[on] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-        return pack(self.number[contexts], self.count[contexts], runs, self.number[words], self.count[words], inverse, self.seen[on],
+        return pack(steps(self.number[contexts]), self.count[contexts], runs, steps(self.number[words]), self.count[words], inverse, self.seen[on],
                     times, self.owner[self.by_pair[places]], np.array([len(self.size)]))
 
 
@@ -364,7 +369,8 @@ def followers(held: DataFrame, hashes: np.ndarray, numbers: np.ndarray, shards:
 
 def answered(payloads: list[bytes], n: int, v: int, split: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
     """One shard: its trie, and per block the sums of the codes of its texts. `split`: as `followers` gives them."""
-    got = [[x if k in (5, 7, 8) else x.astype(np.int64) for k, x in enumerate(unpack(p))] for p in payloads]
+    got = [[np.cumsum(x, dtype=np.int64) if k in (0, 3) else x if k in (5, 7, 8) else x.astype(np.int64) for k, x in enumerate(unpack(p))]
+           for p in payloads]
     # The shard's contexts and words, once each.
     contexts, first = np.unique(np.concatenate([g[0] for g in got]), return_index=True)
     times = np.concatenate([g[1] for g in got])[first]

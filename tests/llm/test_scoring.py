@@ -123,5 +123,6 @@ def test_tokens_of_a_block_pass_one_shuffle(folder):
     log = [json.loads(line) for f in Path(folder).iterdir() if f.is_file() for line in f.open()]
     written = sum(e["Task Metrics"]["Shuffle Write Metrics"]["Shuffle Bytes Written"] for e in log if e["Event"] == "SparkListenerTaskEnd")
     assert rows == 1000
-    # Words 1.4 times the tokens' bytes, tokens and numbers 1.2, pairs 2.4, the rest 0.1; a second join of tokens and numbers adds 1.2.
-    assert written < 5.7 * tokens
+    # Words 1.4 times the tokens' bytes, tokens and numbers 1.2, pairs 2.2 (2.4 where numbers don't go out as steps), the rest 0.1; a
+    # second join of tokens and numbers adds 1.2.
+    assert written < 5.05 * tokens
